@@ -47,17 +47,21 @@ def carry(
     df: DataFrame,
     keys: Sequence[str],
     edges: Sequence[Column],
-    carried: Callable[[WindowSpec], Sequence[Column]],
+    known: Callable[[DataFrame, WindowSpec], DataFrame],
 ) -> DataFrame:
-    """Summarise each slice, run ``carried`` over the summaries, join the result back.
+    """Summarise each slice, let ``known`` look across the summaries, join its columns back.
 
-    ``edges`` are aggregates over a slice; ``carried`` gets the window over a key's
-    slices and returns what rows of a slice need to know about earlier slices.
+    ``edges`` are aggregates over a slice. ``known`` gets the summaries and the window
+    over a key's slices, and adds what rows of a slice need to know about earlier ones.
+    The join is on the partitioning the local windows already have.
     """
     ends = df.groupBy(*keys, SLICE).agg(*edges)
     over = Window.partitionBy(*keys).orderBy(SLICE)
-    known = ends.select(*keys, SLICE, *carried(over))
-    return df.join(known, [*keys, SLICE], "left")
+    return df.join(known(ends, over), [*keys, SLICE], "left")
+
+
+def earlier_slices(over: WindowSpec) -> WindowSpec:
+    return over.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_rows(
@@ -66,9 +70,10 @@ def number_rows(
     """0-based position of each row within its key; ``order[0]`` must be numeric."""
     cut = slice_keys(df, keys, order[0], target)
     local = cut.withColumn(name, F.row_number().over(in_slice(keys, *order)) - 1)
-    before = lambda w: [
-        F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    ]
+    def before(ends: DataFrame, over: WindowSpec) -> DataFrame:
+        sofar = F.coalesce(F.sum("_rows").over(earlier_slices(over)), F.lit(0))
+        return ends.select(*keys, SLICE, sofar.alias("_before"))
+
     out = carry(local, keys, [F.count(F.lit(1)).alias("_rows")], before)
     return out.withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_before", SLICE)
 

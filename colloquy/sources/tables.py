@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from colloquy.functions.text import strip
-from colloquy.plans.hot import TARGET_ROWS, carry, in_slice, number_rows, slice_keys
+from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys
 from colloquy.sources.schemas import TABLES
 
 AS_OF = "1998-08-01 00:00:00"
@@ -84,9 +84,11 @@ def segments(spark: SparkSession, folder: str, target: int = TARGET_ROWS) -> Dat
     local = cut.withColumn(
         "_upto", F.sum("_len").over(in_slice(key, "seg_no").rowsBetween(Window.unboundedPreceding, 0))
     )
-    earlier = lambda w: [
-        F.coalesce(F.sum("_all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    ]
+
+    def earlier(ends, over):
+        sofar = F.coalesce(F.sum("_all").over(earlier_slices(over)), F.lit(0))
+        return ends.select(*key, SLICE, sofar.alias("_before"))
+
     whole = carry(local, key, [F.sum("_len").alias("_all")], earlier)
     upto = F.col("_before") + F.col("_upto")
     return whole.select(
