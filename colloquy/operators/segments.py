@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.functions.text import clean_text, clock, has_any, is_low_value, squeeze, strip
+from colloquy.functions.text import WS, clean_text, clock, has_any, is_low_value, squeeze, strip
 from colloquy.packs import ZH, RulePack
 from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys
 
@@ -62,6 +62,8 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
 
     marked = carry(marked, KEY, [F.max("_start").alias("_latest")], open_island)
     island = F.coalesce(F.last("_start", True).over(here.rowsBetween(*RUNNING)), F.col("_since"))
+    # each join trims the text so far, so only leading blanks of later texts stay
+    later = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, f"{WS}+$", ""))
     confidence = F.col("confidence") if "confidence" in seg.columns else F.lit(None).cast("double")
     parts = (
         marked.withColumn("_island", island).groupBy(*KEY, SLICE, "_island")
@@ -71,12 +73,13 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
         )
         .select(
             *KEY, "_island", SLICE, "speaker", "_end",
-            F.array_join(F.col("_rows.text"), " ").alias("_text"), F.size("_rows").alias("_n"),
+            F.col("_rows.text")[0].alias("_t0"), F.size("_rows").alias("_n"),
+            F.array_join(F.transform(F.slice("_rows.text", 2, F.size("_rows")), later), "").alias("_rest"),
             F.col("_rows.c")[0].alias("_c0"),
             F.aggregate("_rows.c", F.lit(0.0), lambda acc, c: (acc + c) / 2).alias("_fold"),
         )
     )
-    piece = F.struct(F.col(SLICE).alias("s"), F.col("_text").alias("t"), F.col("_n").alias("n"), F.col("_c0").alias("c0"), F.col("_fold").alias("f"))
+    piece = F.struct(F.col(SLICE).alias("s"), F.col("_t0").alias("t"), F.col("_rest").alias("r"), F.col("_n").alias("n"), F.col("_c0").alias("c0"), F.col("_fold").alias("f"))
     merged = parts.groupBy(*KEY, "_island").agg(
         F.first("speaker").alias("speaker"), F.max("_end").alias("end_time"), F.sum("_n").alias("parts"),
         F.array_sort(F.collect_list(piece)).alias("_p"),
@@ -85,9 +88,12 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
     fold = F.aggregate(
         "_p", F.col("_p")[0]["c0"], lambda acc, p: acc * F.pow(F.lit(0.5), p["n"]) + p["f"]
     )
+    more = F.transform(F.slice("_p", 2, F.size("_p")), lambda p: F.concat(later(p["t"]), p["r"]))
+    joined = strip(F.concat(F.col("_p")[0]["t"], F.col("_p")[0]["r"], F.array_join(more, "")))
+    text = F.when(F.col("parts") == 1, F.col("_p")[0]["t"]).otherwise(joined)
     return merged.select(
         *KEY, F.col("_island.seg_no").alias("seg_no"), "speaker", F.col("_island.start_time").alias("start_time"),
-        "end_time", F.btrim(F.array_join(F.col("_p.t"), " ")).alias("text"), fold.alias("confidence"), "parts",
+        "end_time", text.alias("text"), fold.alias("confidence"), "parts",
     )
 
 
