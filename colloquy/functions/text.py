@@ -217,11 +217,17 @@ def _clean_paragraphs(col: Column, pack: RulePack) -> Column:
     return F.array_join(F.filter(F.transform(F.split(col, "\n"), paragraph), lambda p: p != ""), " ")
 
 
-def clean_text(col, pack: RulePack = ZH, max_len: int = 30, min_len: int = 5, third_is_statement: bool = False) -> Column:
-    """Cleaned transcript text: fillers out, marks unified, sentences ended."""
+def clean_text(
+    col, pack: RulePack = ZH, max_len: int = 30, min_len: int = 5, third_is_statement: bool = False,
+    cut_sentences: bool = True, end_sentences: bool = True,
+) -> Column:
+    """Cleaned transcript text: fillers out, marks unified, sentences cut and ended."""
     col = _col(col)
-    flat = F.array_join(segment(_apply(clean_rules(pack), col), max_len, min_len), " ")
-    flat = F.array_join(restore_marks(F.split(flat, " "), pack, third_is_statement), " ")
+    flat = _apply(clean_rules(pack), col)
+    if cut_sentences:
+        flat = F.array_join(segment(flat, max_len, min_len), " ")
+    if end_sentences:
+        flat = F.array_join(restore_marks(F.split(flat, " "), pack, third_is_statement), " ")
     flat = squeeze(flat)
     flat = F.when((flat != "") & ~flat.rlike("[。？！；…]$"), F.concat(flat, F.lit("。"))).otherwise(flat)
     return (
@@ -314,25 +320,25 @@ def sentiment_band(score) -> Column:
 # --- edit distance --------------------------------------------------------------------------
 
 def word_errors(reference, hypothesis) -> Column:
-    """Word edit distance of two texts as a row-by-row fold over the word arrays."""
+    """Edit distance of two texts in words.
+
+    The words of a pair are numbered and written as one character each, which turns
+    the word distance into the built-in character distance.
+    """
     def words(c) -> Column:
         return F.filter(F.split(F.coalesce(_col(c), F.lit("")), f"{WS}+"), lambda w: w != "")
 
-    ref, hyp = words(reference), words(hypothesis)
-    first = F.sequence(F.lit(0), F.size(hyp))
+    pair = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    vocabulary = F.array_distinct(F.concat(pair["r"], pair["h"]))
 
-    def row_step(prev: Column, word: Column) -> Column:
-        start = F.array(F.element_at(prev, 1) + 1)
-        cells = F.transform(
-            hyp,
-            lambda h, j: F.least(
-                F.element_at(prev, j + 2) + 1, F.element_at(prev, j + 1) + F.when(h == word, 0).otherwise(1)
-            ),
-        )
-        # insertions: a running minimum along the row
-        return F.aggregate(cells, start, lambda acc, c: F.concat(acc, F.array(F.least(c, F.element_at(acc, -1) + 1))))
+    def letters(ws: Column) -> Column:
+        # code points 0x21 .. 0xD7FF; a pair with more distinct words is refused, not cut
+        code = lambda w: F.array_position(vocabulary, w) + 0x20
+        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 4, "0")), "UTF-16BE")
+        return F.array_join(F.transform(ws, one), "")
 
-    return F.element_at(F.aggregate(ref, first, row_step), -1).cast("bigint")
+    fits = F.when(F.size(vocabulary) > 0xD7FF - 0x20, F.raise_error(F.lit("too many distinct words in a pair")).cast("bigint"))
+    return fits.otherwise(F.levenshtein(letters(pair["r"]), letters(pair["h"])).cast("bigint"))
 
 
 # --- labels of durations and ages --------------------------------------------------------------

@@ -9,6 +9,7 @@ across slice borders. Ordinary keys stay whole in slice 0.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -79,10 +80,16 @@ def number_rows(
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+
+    The folder is ``spark.checkpoint.dir`` of the session. Only a local session, whose
+    tasks all run on this machine, may go without: it gets a temporary folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
