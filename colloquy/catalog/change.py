@@ -252,12 +252,12 @@ def table_counts(spark, d):
 
 
 @query("A19_metric_summary", """
-SELECT user_id, count(*) AS samples, max(event_id) - min(event_id) AS span, round(avg(value), 4) AS value_avg, max(value) AS value_max, min(value) AS value_min,
-  round(avg(gpu), 4) AS gpu_avg, max(gpu) AS gpu_max, min(gpu) AS gpu_min FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN value * 2 END AS gpu FROM events) GROUP BY 1""")
+SELECT user_id, count(*) AS samples, max(event_id) - min(event_id) AS span, round(avg(value), 9) AS value_avg, max(value) AS value_max, min(value) AS value_min,
+  round(avg(gpu), 9) AS gpu_avg, max(gpu) AS gpu_max, min(gpu) AS gpu_min FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN value * 2 END AS gpu FROM events) GROUP BY 1""")
 def metric_summary(spark, d):
     m = t.load(spark, d, "events").withColumn("gpu", F.when(F.col("event_id") % 4 == 0, F.col("value") * 2))
     out = ch.metric_summary(m, "event_id", ["value", "gpu"], ["user_id"])
-    return out.withColumn("value_avg", F.round("value_avg", 4)).withColumn("gpu_avg", F.round("gpu_avg", 4))
+    return out.withColumn("value_avg", F.round("value_avg", 9)).withColumn("gpu_avg", F.round("gpu_avg", 9))
 
 
 @query("A20_batch_outcome", "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS successful, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1")

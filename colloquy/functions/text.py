@@ -22,6 +22,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, also where ``fn`` uses it many times or in a lambda."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def quote(word: str) -> str:
     """A word as a regex literal that both Java and RE2 read the same way."""
     return re.sub(r"([\\.\[\]{}()*+?^$|/\-])", r"\\\1", word)
@@ -147,7 +152,10 @@ def _apply(rules: list[tuple[str, str]], col: Column) -> Column:
 
 def segment(col, max_len: int = 30, min_len: int = 5) -> Column:
     """Split after end marks; one overlong piece is cut by length; short neighbours merge."""
-    col = F.coalesce(_col(col), F.lit(""))
+    return bind(F.coalesce(_col(col), F.lit("")), lambda c: _segment(c, max_len, min_len))
+
+
+def _segment(col: Column, max_len: int, min_len: int) -> Column:
     parts = F.filter(
         F.transform(F.split(col, "(?<=[。？！；…])"), strip), lambda x: x != ""
     )
@@ -173,7 +181,7 @@ def segment(col, max_len: int = 30, min_len: int = 5) -> Column:
         chars, cut_empty, cut_step,
         lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"])))),
     )
-    pieces = F.when((F.size(parts) <= 1) & (F.length(col) > max_len), by_len).otherwise(parts)
+    pieces = bind(parts, lambda p: F.when((F.size(p) <= 1) & (F.length(col) > max_len), by_len).otherwise(p))
 
     def merge_step(acc: Column, s: Column) -> Column:
         short = F.length(acc["cur"]) + F.length(s) < min_len
@@ -191,8 +199,7 @@ def segment(col, max_len: int = 30, min_len: int = 5) -> Column:
 
 def restore_marks(arr, pack: RulePack = ZH, third_is_statement: bool = False) -> Column:
     """End marks for unmarked sentences: a question mark when a question word occurs."""
-    def mark(x: Column, i: Column) -> Column:
-        s = strip(x)
+    def mark(s: Column, i: Column) -> Column:
         done = s.rlike("[。？！；…]$")
         ended = F.when(s == "", F.lit("")).when(done, s).when(
             has_any(s, pack.question_words), F.concat(s, F.lit("？"))
@@ -201,7 +208,7 @@ def restore_marks(arr, pack: RulePack = ZH, third_is_statement: bool = False) ->
             ended = F.when((i == 2) & ended.endswith("？"), F.regexp_replace(ended, "？$", "。")).otherwise(ended)
         return ended
 
-    return F.transform(_col(arr), mark)
+    return F.transform(F.transform(_col(arr), strip), mark)
 
 
 def _clean_paragraphs(col: Column, pack: RulePack) -> Column:
@@ -228,8 +235,7 @@ def clean_text(
         flat = F.array_join(segment(flat, max_len, min_len), " ")
     if end_sentences:
         flat = F.array_join(restore_marks(F.split(flat, " "), pack, third_is_statement), " ")
-    flat = squeeze(flat)
-    flat = F.when((flat != "") & ~flat.rlike("[。？！；…]$"), F.concat(flat, F.lit("。"))).otherwise(flat)
+    flat = bind(squeeze(flat), lambda f: F.when((f != "") & ~f.rlike("[。？！；…]$"), F.concat(f, F.lit("。"))).otherwise(f))
     return (
         F.when(col.isNull() | (strip(col) == ""), F.lit(""))
         .when(col.rlike(f"^([。？！；，]|{WS})+$"), F.lit("。"))
@@ -328,17 +334,17 @@ def word_errors(reference, hypothesis) -> Column:
     def words(c) -> Column:
         return F.filter(F.split(F.coalesce(_col(c), F.lit("")), f"{WS}+"), lambda w: w != "")
 
-    pair = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
-    vocabulary = F.array_distinct(F.concat(pair["r"], pair["h"]))
-
-    def letters(ws: Column) -> Column:
+    def distance(pair: Column) -> Column:
         # code points 0x21 .. 0xD7FF; a pair with more distinct words is refused, not cut
-        code = lambda w: F.array_position(vocabulary, w) + 0x20
+        code = lambda w: F.array_position(pair["v"], w) + 0x20
         one = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(ws, one), "")
+        letters = lambda ws: F.array_join(F.transform(ws, one), "")
+        many = F.raise_error(F.lit("too many distinct words in a pair")).cast("bigint")
+        return F.when(F.size(pair["v"]) > 0xD7FF - 0x20, many).otherwise(F.levenshtein(letters(pair["r"]), letters(pair["h"])).cast("bigint"))
 
-    fits = F.when(F.size(vocabulary) > 0xD7FF - 0x20, F.raise_error(F.lit("too many distinct words in a pair")).cast("bigint"))
-    return fits.otherwise(F.levenshtein(letters(pair["r"]), letters(pair["h"])).cast("bigint"))
+    both = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    listed = bind(both, lambda p: F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("v")))
+    return bind(listed, distance)
 
 
 # --- labels of durations and ages --------------------------------------------------------------

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.dates import date_type, parse_absolute, parse_entity_phrase, parse_task_phrase
-from colloquy.functions.text import WS, find_all, has_any, normalize_task, squeeze, strip, task_candidates
+from colloquy.functions.text import WS, bind, find_all, has_any, normalize_task, squeeze, strip, task_candidates
 from colloquy.packs import ZH, RulePack, TaskPattern
 
 
@@ -19,7 +19,8 @@ def occurrences(col, pattern: str) -> Column:
     """array<struct<text,start,end>> of the matches, 0-based, left to right."""
     col = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     gaps = F.transform(F.split(col, pattern, -1), lambda g: F.length(g))
-    found = find_all(col, pattern)
+    # one gap before each match; the gap after the last one has no match and drops out
+    pairs = F.filter(F.arrays_zip(find_all(col, pattern).alias("text"), gaps.alias("gap")), lambda m: m["text"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -28,7 +29,6 @@ def occurrences(col, pattern: str) -> Column:
         item = F.struct(m["text"].alias("text"), begin.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    pairs = F.transform(found, lambda t, i: F.struct(t.alias("text"), F.get(gaps, i).alias("gap")))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
@@ -205,8 +205,8 @@ def names(col, pack: RulePack = ZH) -> Column:
         for t in pack.titles_kept
     ]
     bare = [F.regexp_extract_all(text, F.lit(f"({pack.name_regex}){t}"), F.lit(1)) for t in pack.titles_dropped]
-    found = F.array_distinct(F.concat(plain, *titled, *bare))
-    return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(F.filter(F.slice(runs, 1, 5), led)))
+    rest = F.array_distinct(F.filter(F.slice(runs, 1, 5), led))
+    return bind(F.array_distinct(F.concat(plain, *titled, *bare)), lambda n: F.when(F.size(n) > 0, n).otherwise(rest))
 
 
 def organizations(col, pack: RulePack = ZH) -> Column:
