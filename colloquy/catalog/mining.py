@@ -47,7 +47,8 @@ def _pattern_sql(i: int, p) -> str:
     )
 
 
-FOUND = f"""WITH cand AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM (SELECT doc_id, {CANDIDATES} AS l FROM documents)),
+CAND = f"cand AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM (SELECT doc_id, {CANDIDATES} AS l FROM documents))"
+FOUND = f"""WITH {CAND},
 fit AS ({' UNION ALL '.join(_pattern_sql(i, p) for i, p in enumerate(P.task_patterns))}),
 found AS (SELECT doc_id, pos, pattern, description, due_text, length(s) AS match_length, {sql_any('s', P.score_verbs)} AS has_verb,
   CASE WHEN regexp_matches(who, '{P.assignee_regex}') AND who NOT IN {sql_list(P.assignee_block)} AND NOT {sql_any('who', P.assignee_noise)}
@@ -272,8 +273,8 @@ def _clean(c: str = "text") -> str:
     return f"trim(regexp_replace({sql_tag(c)}, '{x.WS}+', ' ', 'g'), ' ')"
 
 
-_SENTS = f"""sents AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS s FROM (
-  SELECT doc_id, flatten(list_transform({PIECES}, lambda s: {_cut('s')})) AS l FROM (SELECT doc_id, {_clean()} AS text FROM documents)))"""
+_SENTS = f"""sents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rk FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS s FROM (
+  SELECT doc_id, flatten(list_transform({PIECES}, lambda s: {_cut('s')})) AS l FROM (SELECT doc_id, {_clean()} AS text FROM documents))))"""
 
 
 def _short(c: str, n: int) -> str:
@@ -302,8 +303,8 @@ _RULES = " UNION ALL ".join(
 _TOPICS = f"""clean AS (SELECT doc_id, {_clean()} AS text FROM documents), {_TOP},
 ruled AS (SELECT * FROM ({_RULES}) WHERE len(kws) > 0),
 few AS (SELECT doc_id FROM documents WHERE (SELECT count(*) FROM ruled WHERE ruled.doc_id = documents.doc_id) < 2),
-cand AS (SELECT * FROM ruled UNION ALL SELECT doc_id, r + {len(P.topic_rules)}, w, [w] FROM top8 WHERE w NOT IN {sql_list(P.topic_skip)} AND doc_id IN (SELECT doc_id FROM few)),
-topics AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank, name, kws FROM cand QUALIFY rank <= 5)"""
+filled AS (SELECT * FROM ruled UNION ALL SELECT doc_id, r + {len(P.topic_rules)}, w, [w] FROM top8 WHERE w NOT IN {sql_list(P.topic_skip)} AND doc_id IN (SELECT doc_id FROM few)),
+topics AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank, name, kws FROM filled QUALIFY rank <= 5)"""
 
 
 @query("X12_rule_topics", f"WITH {_TOPICS} SELECT doc_id, rank, name, array_to_string(kws, '|') AS keywords FROM topics")
@@ -328,18 +329,18 @@ def action_clues(spark, d):
 
 
 _TODO, _DECIDED = (p.replace("%d", "") for p in P.summary_parts[1:])
-_X11 = f"""WITH {_SENTS}, {_DEC}, {_ISS}, {_ACT}, {_TOPICS},
-p AS (SELECT doc_id, (SELECT string_agg(name, '、' ORDER BY rank) FROM topics q WHERE q.doc_id = d.doc_id AND rank <= 3) AS names,
+_PARTS_X11 = f"""p AS (SELECT doc_id, (SELECT string_agg(name, '、' ORDER BY rank) FROM topics q WHERE q.doc_id = d.doc_id AND rank <= 3) AS names,
   (SELECT count(*) FROM topics q WHERE q.doc_id = d.doc_id) AS topics, (SELECT count(*) FROM acts q WHERE q.doc_id = d.doc_id) AS actions,
   (SELECT count(*) FROM decs q WHERE q.doc_id = d.doc_id) AS decisions, (SELECT count(*) FROM issues q WHERE q.doc_id = d.doc_id) AS issues,
-  (SELECT string_agg({_short(sql_strip('s'), 60)}, '；' ORDER BY i) FROM sents q WHERE q.doc_id = d.doc_id AND i < 2) AS lead FROM documents d),
+  (SELECT string_agg({_short(sql_strip('s'), 60)}, '；' ORDER BY i) FROM sents q WHERE q.doc_id = d.doc_id AND rk <= 2) AS lead FROM documents d),
 q AS (SELECT *, list_filter([CASE WHEN topics > 0 THEN '{P.summary_parts[0].replace("%s", "")}' || names END, CASE WHEN actions > 0 THEN actions || '{_TODO}' END,
   CASE WHEN decisions > 0 THEN decisions || '{_DECIDED}' END], lambda v: v IS NOT NULL) AS l FROM p),
 r AS (SELECT *, CASE WHEN len(l) = 0 AND lead IS NOT NULL THEN [lead] ELSE l END AS parts FROM q),
 u AS (SELECT *, {sql_strip("array_to_string(list_transform(parts, lambda v: trim(v, '。； ')), '。')")} AS a,
   {sql_strip("array_to_string(list_transform(parts[1:2], lambda v: trim(v, '。 ')), '；')")} AS b FROM r),
 v AS (SELECT *, {_short('a', 220)} AS a2, {_short('b', 120)} AS b2 FROM u),
-y AS (SELECT *, CASE WHEN a2 <> '' AND a2 NOT LIKE '%。' THEN a2 || '。' ELSE a2 END AS summary, CASE WHEN b2 <> '' AND b2 NOT LIKE '%。' THEN b2 || '。' ELSE b2 END AS brief FROM v)
+y AS (SELECT *, CASE WHEN a2 <> '' AND a2 NOT LIKE '%。' THEN a2 || '。' ELSE a2 END AS summary, CASE WHEN b2 <> '' AND b2 NOT LIKE '%。' THEN b2 || '。' ELSE b2 END AS brief FROM v)"""
+_X11 = f"""WITH {_SENTS}, {_DEC}, {_ISS}, {_ACT}, {_TOPICS}, {_PARTS_X11}
 SELECT doc_id, topics, decisions, issues, actions, summary, CASE WHEN brief = '' THEN summary ELSE brief END AS executive_summary FROM y"""
 
 

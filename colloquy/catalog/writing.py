@@ -103,7 +103,34 @@ _MARK = (
     "list_transform(string_split({}, ' '), lambda s: CASE WHEN s = '' THEN '' WHEN regexp_matches(s, '[。？！；…]$') THEN s "
     f"WHEN regexp_matches(s, '{x.any_of(P.question_words)}') THEN s || '？' ELSE s || '。' END)"
 )
-_FLAT = f"trim(regexp_replace(array_to_string({_MARK.format(sql_rules(_PLAIN_RULES, 'text'))}, ' '), '{x.WS}+', ' ', 'g'), ' ')"
+
+
+def sql_segment(c: str, max_len: int = 30, min_len: int = 5) -> str:
+    """The cut and merge folds as ``list_reduce`` over (pieces so far, open piece)."""
+    cell = lambda lst: f"list_transform({lst}, lambda q: {{'o': CAST([] AS VARCHAR[]), 'c': q}})"
+    zero = "{'o': CAST([] AS VARCHAR[]), 'c': ''}"
+    close = lambda r: f"list_transform([{r}], lambda r: CASE WHEN r.c = '' THEN r.o ELSE list_append(r.o, {sql_strip('r.c')}) END)[1]"
+    pieces = f"list_filter(list_transform(regexp_extract_all({c}, '[^。？！；…]*[。？！；…]|[^。？！；…]+$'), lambda q: {sql_strip('q')}), lambda q: q <> '')"
+    cur = "(a.c || v.c)"
+    pos = f"(length(regexp_extract({cur}, '(?s)^(.*)[ ，,]', 0)) - 1)"
+    cut = close(
+        f"list_reduce({cell(f"string_split({c}, '')")}, lambda a, v: CASE WHEN length({cur}) < {max_len} THEN {{'o': a.o, 'c': {cur}}} "
+        f"WHEN {pos} > {max_len * 0.5} THEN {{'o': list_append(a.o, {sql_strip(f'substr({cur}, 1, {pos} + 1)')}), 'c': substr({cur}, {pos} + 2)}} "
+        f"ELSE {{'o': list_append(a.o, {sql_strip(cur)}), 'c': ''}} END, {zero})"
+    )
+    chosen = f"CASE WHEN len({pieces}) <= 1 AND length({c}) > {max_len} THEN {cut} ELSE {pieces} END"
+    merged = close(
+        f"list_reduce({cell(chosen)}, lambda a, v: CASE WHEN length(a.c) + length(v.c) < {min_len} THEN {{'o': a.o, 'c': a.c || v.c}} "
+        f"WHEN a.c = '' THEN {{'o': a.o, 'c': v.c}} ELSE {{'o': list_append(a.o, {sql_strip('a.c')}), 'c': v.c}} END, {zero})"
+    )
+    return f"list_filter({merged}, lambda q: q <> '')"
+
+
+def _flat(c: str) -> str:
+    return f"trim(regexp_replace(array_to_string({_MARK.format(c)}, ' '), '{x.WS}+', ' ', 'g'), ' ')"
+
+
+_RULED = sql_rules(_PLAIN_RULES, "text")
 _PARA_RULES = (
     [(x.quote(w), "") for w in P.redundant] + [(f"{o}，", o) for o in P.ordinals]
     + [(f"{x.WS}+", " "), (f"，{x.WS}*，", "，"), ("^ +| +$", "")]
@@ -113,23 +140,29 @@ _PARA = (
     "list_transform(list_filter(list_transform(list_filter(string_split(p, '。'), lambda s: " + sql_strip("s") + " <> ''), lambda s: "
     + sql_rules(_PARA_RULES, "s") + "), lambda s: s <> ''), lambda s: s || '。'), ' ')), lambda p: p <> ''), ' ')"
 )
-_CLEAN = f"""SELECT doc_id, CASE WHEN {sql_strip('text')} = '' THEN '' WHEN regexp_matches(text, '^([。？！；，]|{x.WS})+$') THEN '。'
+
+
+def sql_clean(source: str, keys: str, cut: bool = True) -> str:
+    """``source`` has the keys and ``text``; gives the keys and the cleaned ``text``."""
+    body = f"array_to_string({sql_segment('g')}, ' ')" if cut else "g"
+    return f"""SELECT {keys}, CASE WHEN {sql_strip('text')} = '' THEN '' WHEN regexp_matches(text, '^([。？！；，]|{x.WS})+$') THEN '。'
   WHEN regexp_matches(text, '{x.any_of(P.ordinals)}') AND contains(text, chr(10)) THEN {_PARA}
   WHEN f <> '' AND NOT regexp_matches(f, '[。？！；…]$') THEN f || '。' ELSE f END AS text
-FROM (SELECT doc_id, text, {_FLAT} AS f FROM documents)"""
+FROM (SELECT {keys}, text, {_flat('h')} AS f FROM (SELECT {keys}, text, {body} AS h FROM (SELECT {keys}, text, {_RULED} AS g FROM {source})))"""
 
 
-@query("T06_clean_text_uncut", _CLEAN)
+@query("T06_clean_text_uncut", sql_clean("documents", "doc_id", False))
 def clean_text_uncut(spark, d):
     return docs(spark, d).select("doc_id", x.clean_text("text", P, cut_sentences=False).alias("text"))
 
 
-@query("T06_clean_text")
+@query("T06_clean_text", sql_clean("documents", "doc_id"))
 def clean_text(spark, d):
     return docs(spark, d).select("doc_id", x.clean_text("text", P).alias("text"))
 
 
-@query("T08_segment")
+@query("T08_segment", f"""SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS piece FROM (
+  SELECT doc_id, {sql_segment('g')} AS l FROM (SELECT doc_id, translate(text, '.?!;', '。？！；') AS g FROM documents))""")
 def segment(spark, d):
     return exploded(docs(spark, d), x.segment(F.translate("text", ".?!;", "。？！；")), "piece")
 
@@ -155,7 +188,8 @@ def squash(spark, d):
     return docs(spark, d).select("doc_id", x.squash("text", P).alias("text"))
 
 
-@query("T11_formatted_lines")
+@query("T11_formatted_lines", f"""SELECT meeting_id, seg_no, speaker || ': ' || text AS line FROM ({sql_clean(f"(SELECT conv_id AS meeting_id, turn AS seg_no, role AS speaker, {sql_strip('text')} AS text FROM conversations)", "meeting_id, seg_no, speaker")})
+WHERE text <> ''""")
 def formatted_lines(spark, d):
     return seg_ops.formatted_lines(t.segments(spark, d), P)
 

@@ -76,7 +76,7 @@ def top_tokens(
     lower_stop: Sequence[str] = (), only_valid=None,
 ) -> DataFrame:
     """The ``k`` most frequent tokens of each key; ties by first occurrence."""
-    order = _order(df)
+    order = [c for c in _order(df) if c not in key]
     rows = df.select(*key, *order, F.posexplode(tokens("text", pack, variant)).alias("_i", "token"))
     if stop:
         rows = rows.filter(~F.col("token").isin(*stop))

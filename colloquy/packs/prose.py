@@ -36,7 +36,7 @@ PROSE = RulePack(
     topic_rules=(
         ("licensing", ("License", "licensed")),
         ("origin", ("from", "von", "del")),
-        ("purpose", ("for ", "pour", "para")),
+        ("purpose", ("for the", "pour", "para")),
         ("company", ("with", "mit", "avec")),
         ("negation", ("not", "nicht", "pas")),
         ("relation", ("that", "que", "dass")),
