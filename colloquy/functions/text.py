@@ -15,6 +15,8 @@ WS = (
     "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
     "\\x{202f}\\x{205f}\\x{3000}]"
 )
+# the same characters one by one, for trimming without a regex
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPEAKER_TAG = f"(?i)\\[{WS}*SPEAKER_[^\\]]+\\]{WS}*"
 
 
@@ -46,7 +48,7 @@ def find_all(col, pattern: str) -> Column:
 
 
 def strip(col) -> Column:
-    return F.regexp_replace(_col(col), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(col), F.lit(WS_CHARS))
 
 
 def squeeze(col) -> Column:
@@ -136,7 +138,7 @@ _END = ("。", "？", "！", "；", "…")
 
 
 def clean_rules(pack: RulePack = ZH) -> list[tuple[str, str]]:
-    """The ordered (regex, replacement) pairs of the plain cleaning branch."""
+    """The cleaning rules as ordered (regex, replacement) pairs: the definition of ``unify``."""
     rules = [(quote(w), "") for w in pack.redundant]
     rules += [(f"{WS}+", " "), ("^ +| +$", "")]
     rules += [(quote(a), b) for a, b in pack.punctuation]
@@ -146,8 +148,26 @@ def clean_rules(pack: RulePack = ZH) -> list[tuple[str, str]]:
     return rules
 
 
-def _apply(rules: list[tuple[str, str]], col: Column) -> Column:
-    return reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1]), rules, col)
+def _drop_words(col: Column, pack: RulePack) -> Column:
+    return reduce(lambda acc, w: F.replace(acc, F.lit(w), F.lit("")), pack.redundant, col)
+
+
+def _join_ordinals(col: Column, pack: RulePack) -> Column:
+    return reduce(lambda acc, o: F.replace(acc, F.lit(f"{o}，"), F.lit(o)), pack.ordinals, col)
+
+
+def unify(col, pack: RulePack = ZH) -> Column:
+    """Fillers out, blanks squeezed, marks in one style and not repeated.
+
+    Same result as ``clean_rules`` in order, with literal replacement where no regex is
+    needed. Once blanks before a comma are gone, its rules on commas after blanks have
+    nothing left to match.
+    """
+    c = squeeze(_drop_words(_col(col), pack))
+    c = F.translate(c, "".join(a for a, _ in pack.punctuation), "".join(b for _, b in pack.punctuation))
+    c = F.regexp_replace(c, "([。？！；，])\\1+", "$1")
+    c = F.replace(_join_ordinals(c, pack), F.lit(" ，"), F.lit("，"))
+    return F.regexp_replace(c, "^，", "")
 
 
 def segment(col, max_len: int = 30, min_len: int = 5) -> Column:
@@ -212,13 +232,13 @@ def restore_marks(arr, pack: RulePack = ZH, third_is_statement: bool = False) ->
 
 
 def _clean_paragraphs(col: Column, pack: RulePack) -> Column:
-    rules = [(quote(w), "") for w in pack.redundant]
-    rules += [(f"{o}，", o) for o in pack.ordinals]
-    rules += [(f"{WS}+", " "), (f"，{WS}*，", "，"), ("^ +| +$", "")]
+    def sentence(s: Column) -> Column:
+        c = F.regexp_replace(_join_ordinals(_drop_words(s, pack), pack), f"{WS}+", " ")
+        return F.btrim(F.regexp_replace(c, f"，{WS}*，", "，"), F.lit(" "))
 
     def paragraph(p: Column) -> Column:
         sents = F.filter(F.split(p, "。"), lambda s: strip(s) != "")
-        cleaned = F.filter(F.transform(sents, lambda s: _apply(rules, s)), lambda s: s != "")
+        cleaned = F.filter(F.transform(sents, sentence), lambda s: s != "")
         return F.array_join(F.transform(cleaned, lambda s: F.concat(s, F.lit("。"))), " ")
 
     return F.array_join(F.filter(F.transform(F.split(col, "\n"), paragraph), lambda p: p != ""), " ")
@@ -230,7 +250,7 @@ def clean_text(
 ) -> Column:
     """Cleaned transcript text: fillers out, marks unified, sentences cut and ended."""
     col = _col(col)
-    flat = _apply(clean_rules(pack), col)
+    flat = unify(col, pack)
     if cut_sentences:
         flat = F.array_join(segment(flat, max_len, min_len), " ")
     if end_sentences:
@@ -248,13 +268,10 @@ def clean_text(
 
 def is_low_value(col, pack: RulePack = ZH) -> Column:
     norm = F.lower(F.regexp_replace(F.coalesce(_col(col), F.lit("")), f"(?:{WS}|[，,。.!！？?；;:：\\-])+", ""))
-    return (
-        (F.length(norm) <= 2)
-        | norm.isin(*pack.fillers)
-        | norm.rlike("^[a-z]{1,4}$")
-        | norm.rlike("([a-z\\x{4e00}-\\x{9fff}])\\1{3,}")
-        | ((F.length(norm) <= 5) & ~norm.rlike(pack.script_char))
-    )
+    return bind(norm, lambda n: (
+        (F.length(n) <= 2) | n.isin(*pack.fillers) | n.rlike("^[a-z]{1,4}$|([a-z\\x{4e00}-\\x{9fff}])\\1{3,}")
+        | ((F.length(n) <= 5) & ~n.rlike(pack.script_char))
+    ))
 
 
 def is_informative(col, pack: RulePack = ZH, min_script: int = 12) -> Column:
@@ -266,16 +283,11 @@ def is_informative(col, pack: RulePack = ZH, min_script: int = 12) -> Column:
 
 
 def is_valid_topic(col, pack: RulePack = ZH) -> Column:
-    t = F.btrim(strip(F.coalesce(_col(col), F.lit(""))), F.lit(' ，,.:;:!?！？。；【】[]()（）"'))
-    return (
-        F.length(t).between(2, 24)
-        & ~F.upper(t).contains("SPEAKER_")
-        & ~t.rlike("[0-9]{4,}")
-        & ~F.lower(t).isin(*pack.topic_stop_lower)
-        & ~t.isin(*pack.topic_stop)
-        & ~t.rlike("^[A-Za-z]{1,3}$")
-        & ~t.rlike("([A-Za-z\\x{4e00}-\\x{9fff}])\\1{3,}")
-    )
+    name = F.btrim(strip(F.coalesce(_col(col), F.lit(""))), F.lit(' ，,.:;:!?！？。；【】[]()（）"'))
+    bad = "(?i:SPEAKER_)|[0-9]{4,}|^[A-Za-z]{1,3}$|([A-Za-z\\x{4e00}-\\x{9fff}])\\1{3,}"
+    return bind(name, lambda t: (
+        F.length(t).between(2, 24) & ~F.lower(t).isin(*pack.topic_stop_lower) & ~t.isin(*pack.topic_stop) & ~t.rlike(bad)
+    ))
 
 
 # --- sentiment -----------------------------------------------------------------------------

@@ -111,7 +111,8 @@ def utterance_blocks(
         "speaker", F.coalesce(F.nullif(F.col("speaker"), F.lit("")), F.lit("SPEAKER_00"))
     )
     valued = turns.filter(~is_low_value("text", pack))
-    kept = slice_keys(valued, KEY, "seg_no", target)
+    # cut by all turns, which needs no look at the texts
+    kept = slice_keys(turns, KEY, "seg_no", target).filter(~is_low_value("text", pack))
     here = in_slice(KEY, "seg_no")
     near = F.col("start_time") - F.lag("end_time").over(here) <= gap
     first = F.row_number().over(here) == 1

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.text import has_any, sentences, shorten, squeeze, strip, strip_tags, tokens
 from colloquy.packs import ZH, RulePack
+from colloquy.plans.hot import place_by
 
 
 def _order(df: DataFrame) -> list[str]:
@@ -47,9 +48,12 @@ def extractive_summary(df: DataFrame, key: str = "doc_id", length: str = "medium
     on ``(key, ...)`` and stays in that placement.
     """
     ratio = RATIOS.get(length, RATIOS["medium"])
-    placed = df.select(key, strip("text").alias("text")).filter(F.col("text") != "").repartition(key)
-    rows = placed.select(key, F.size(sentences("text", pack)).alias("_n"), F.posexplode(sentences("text", pack)).alias("_i", "_s"))
-    words = rows.select(key, "_i", F.explode(tokens("_s", pack)).alias("_w"))
+    placed = place_by(df.select(key, strip("text").alias("text")).filter(F.col("text") != ""), key)
+    split = placed.withColumn("_a", sentences("text", pack))
+    short = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
+    # a text without sentences is one row without sentence and keeps its beginning
+    rows = split.select(key, F.size("_a").alias("_n"), F.when(F.size("_a") == 0, short).alias("_bare"), F.posexplode_outer("_a").alias("_i", "_s"))
+    words = rows.filter(F.col("_n") > 0).select(key, "_i", F.explode(tokens("_s", pack)).alias("_w"))
     counts = words.groupBy(key, "_i", "_w").agg(F.count(F.lit(1)).alias("_c"))
     in_text = F.sum("_c").over(Window.partitionBy(key, "_w"))
     lexical = counts.withColumn("_f", in_text).groupBy(key, "_i").agg(F.sum(F.col("_c") * F.col("_f")).alias("_lex"))
@@ -59,16 +63,14 @@ def extractive_summary(df: DataFrame, key: str = "doc_id", length: str = "medium
     target = F.greatest(F.lit(1), F.floor(F.col("_n") * ratio + 0.5))
     ranked = rows.join(lexical, [key, "_i"], "left").withColumn("_score", score).withColumn("_r", F.row_number().over(best))
     kept = ranked.filter(F.col("_r") <= target).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_k"), F.first("_n").alias("sentences"), F.count(F.lit(1)).alias("kept")
+        F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct("_i", "_s")))).alias("_k"), F.first("_n").alias("_n"), F.first("_bare").alias("_bare")
     )
     text = F.array_join("_k._s", pack.stop_mark)
-    done = text.rlike("[" + "".join(pack.final_marks) + "]$")
-    summary = F.when(done, text).otherwise(F.concat(text, F.lit(pack.stop_mark.strip())))
-    short = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    bare = placed.filter(F.size(sentences("text", pack)) == 0).select(
-        key, short.alias("summary"), F.lit(0).cast("bigint").alias("sentences"), F.lit(0).cast("bigint").alias("kept")
+    ended = text.rlike("[" + "".join(pack.final_marks) + "]$")
+    summary = F.coalesce("_bare", F.when(ended, text).otherwise(F.concat(text, F.lit(pack.stop_mark.strip()))))
+    return kept.select(
+        key, summary.alias("summary"), F.col("_n").cast("bigint").alias("sentences"), F.size("_k").cast("bigint").alias("kept")
     )
-    return kept.select(key, summary.alias("summary"), F.col("sentences").cast("bigint").alias("sentences"), "kept").unionByName(bare)
 
 
 def top_tokens(
@@ -82,9 +84,10 @@ def top_tokens(
         rows = rows.filter(~F.col("token").isin(*stop))
     if lower_stop:
         rows = rows.filter(~F.lower("token").isin(*lower_stop))
-    if only_valid is not None:
-        rows = rows.filter(only_valid(F.col("token")))
     counts = rows.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "_i")).alias("first_pos"))
+    if only_valid is not None:
+        # after counting, so each word of a key is looked at once
+        counts = counts.filter(only_valid(F.col("token")))
     best = Window.partitionBy(*key).orderBy(F.col("n").desc(), "first_pos")
     return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from colloquy.functions.text import hits, is_valid_topic, strip, tokens
 from colloquy.operators.summary import top_tokens
 from colloquy.packs import ZH, RulePack
+from colloquy.plans.hot import place_by
 
 
 def keyword_tokens(col, pack: RulePack = ZH) -> Column:
@@ -30,7 +31,7 @@ def cooccurrence(df: DataFrame, key: str = "doc_id", window: int = 5, pack: Rule
     joined with itself. Texts are placed by key first; the counts need no further shuffle.
     """
     words = F.transform(tokens("text", pack), F.lower)
-    placed = df.select(key, "text").repartition(key).select(key, words.alias("_w"))
+    placed = place_by(df.select(key, "text"), key).select(key, words.alias("_w"))
 
     def shifted(d: int) -> Column:
         n = F.greatest(F.size("_w") - d, F.lit(0))
@@ -148,7 +149,9 @@ def sanitize_topics(df: DataFrame, key: Sequence[str], n: int = 5, pack: RulePac
         firsts = F.filter(clean, lambda w, i: F.array_position(F.transform(clean, F.lower), F.lower(w)) == i + 1)
         return F.slice(firsts, 1, 6)
 
-    rows = df.withColumn("name", strip("name")).filter(is_valid_topic("name", pack))
+    # exact names once, then the rules, then names that differ in case only
+    exact = df.withColumn("name", strip("name")).groupBy(*key, "name").agg(F.min(F.struct("pos", "keywords")).alias("_t"))
+    rows = exact.filter(is_valid_topic("name", pack)).select(*key, "name", "_t.*")
     first = rows.groupBy(*key, F.lower("name").alias("_k")).agg(F.min(F.struct("pos", "name", "keywords")).alias("_t")).select(*key, "_t.*")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).filter(F.col("rank") <= n)
     return ranked.select(*key, "rank", "name", once(F.col("keywords")).alias("keywords"))

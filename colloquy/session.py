@@ -21,6 +21,7 @@ SETTINGS = {
 def local_session(cpus: int = 8, memory: str = "12g", **extra: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", memory)
     builder = builder.config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

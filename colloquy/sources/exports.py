@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.dates import parse_task_phrase
-from colloquy.functions.text import blank_to_null, normalize_task, strip
+from colloquy.functions.text import bind, blank_to_null, normalize_task, strip
 from colloquy.operators.extract import good_assignee, good_description
 from colloquy.packs import ZH, RulePack
 from colloquy.plans.hot import TARGET_ROWS, number_rows
@@ -208,11 +208,10 @@ def parse_topics(col) -> Column:
 def extract_json(col) -> Column:
     """The JSON text inside a reply: all of it, a fenced block, the outermost object or list, or a repaired form."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    valid = lambda t: F.when((t != "") & F.try_parse_json(t).isNotNull(), t)
-    fenced = F.transform(
-        F.regexp_extract_all(c, F.lit("(?s)```(?:json)?\\s*(.*?)\\s*```"), F.lit(1)), strip
-    )
-    in_fence = F.filter(fenced, lambda t: (t != "") & F.try_parse_json(t).isNotNull())
+    parses = lambda t: (t != "") & F.try_parse_json(t).isNotNull()
+    valid = lambda t: bind(t, lambda u: F.when(parses(u), u))
+    fenced = F.regexp_extract_all(c, F.lit("(?s)```(?:json)?\\s*(.*?)\\s*```"), F.lit(1))
+    in_fence = F.filter(F.transform(fenced, strip), parses)
     fixed = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("'"), F.lit('"')), ",\\s*\\}", "}"), ",\\s*\\]", "]")
     return F.coalesce(
         valid(strip(c)), F.get(in_fence, F.lit(0)), valid(F.regexp_extract(c, "(?s)\\{.*\\}", 0)), valid(F.regexp_extract(c, "(?s)\\[.*\\]", 0)), valid(strip(fixed))
@@ -226,7 +225,7 @@ def _text_list(v: Column, path: str) -> Column:
 
 def validate_summary(df: DataFrame, col: str = "response") -> DataFrame:
     """Stored summary replies with defaults filled in and bad values dropped."""
-    v = F.try_parse_json(extract_json(col))
+    df, v = df.withColumn("_v", F.try_parse_json(extract_json(col))), F.col("_v")
     text = lambda p: strip(F.coalesce(F.try_variant_get(v, p, "string"), F.lit("")))
     raw = F.coalesce(F.try_variant_get(v, "$.key_topics", "array<variant>"), F.array().cast("array<variant>"))
     topics = F.transform(raw, lambda t, i: F.struct(
@@ -236,7 +235,7 @@ def validate_summary(df: DataFrame, col: str = "response") -> DataFrame:
     ))
     mood = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(v, "$.sentiment_overall", "double"), F.lit(0.0))))
     return df.select(
-        *[c for c in df.columns if c != col], text("$.summary").alias("summary"), text("$.executive_summary").alias("executive_summary"),
+        *[c for c in df.columns if c not in (col, "_v")], text("$.summary").alias("summary"), text("$.executive_summary").alias("executive_summary"),
         F.filter(topics, lambda t: t["name"] != "").alias("key_topics"), _text_list(v, "$.decisions").alias("decisions"),
         _text_list(v, "$.open_issues").alias("open_issues"), mood.alias("sentiment_overall"),
         F.coalesce(F.nullif(text("$.summary_type"), F.lit("")), F.lit("abstractive")).alias("summary_type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from colloquy.functions.text import strip
-from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys
+from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys, spread
 from colloquy.sources.schemas import TABLES
 
 AS_OF = "1998-08-01 00:00:00"
@@ -75,7 +75,7 @@ def normalize_segments(df: DataFrame, mode: str = "alternate", target: int = TAR
 
 def segments(spark: SparkSession, folder: str, target: int = TARGET_ROWS) -> DataFrame:
     """Conversation turns with a clock: a turn lasts 0.1 s per character."""
-    turns = load(spark, folder, "conversations").select(
+    turns = spread(load(spark, folder, "conversations"), "conv_id", "turn").select(
         F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), "text",
         F.length("text").cast("bigint").alias("_len"),
     )
@@ -153,7 +153,7 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return spread(load(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def status_log(spark: SparkSession, folder: str) -> DataFrame:
