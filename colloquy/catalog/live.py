@@ -159,7 +159,7 @@ FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <
 
 def _stages(ev_first, ev_second):
     first, second = log(ev_first.filter(F.col("event_type") == "signup")), log(ev_second.filter(F.col("event_type") == "purchase"))
-    return live.stage_join(first, second, "8 hours")
+    return live.stage_join(first, second, 8 * 3600)
 
 
 @query("R07_stage_join", _STAGES)

@@ -309,7 +309,7 @@ topics AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) A
 
 @query("X12_rule_topics", f"WITH {_TOPICS} SELECT doc_id, rank, name, array_to_string(kws, '|') AS keywords FROM topics")
 def rule_topics(spark, d):
-    out = su.rule_topics(docs(spark, d).withColumn("text", x.strip_tags("text")), KEY, P)
+    out = su.rule_topics(docs(spark, d), KEY, P)
     return out.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "name", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -423,6 +423,15 @@ _RANKS = ", ".join(
 )
 
 
+@query("K07_stopwords", f"""
+SELECT doc_id, len(all_words) AS words, len(list_filter(all_words, lambda w: w NOT IN {sql_list(P.stopwords)})) AS kept
+FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{P.token}'), lambda w: lower(w)) AS all_words FROM documents)""")
+def stopwords(spark, d):
+    return docs(spark, d).select(
+        "doc_id", F.size(x.tokens("text", P)).cast("bigint").alias("words"), F.size(tp.keyword_tokens("text", P)).cast("bigint").alias("kept")
+    )
+
+
 @query("K01_textrank", f"""WITH w AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (
   SELECT doc_id, list_transform(regexp_extract_all(text, '{P.token}'), lambda w: lower(w)) AS l FROM documents)),
 k AS (SELECT * FROM w WHERE t NOT IN {sql_list(P.stopwords)}),

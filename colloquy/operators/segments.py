@@ -389,10 +389,12 @@ def assign_speaker(tr: DataFrame, di: DataFrame, bucket: float = 60.0) -> DataFr
         return df.withColumn("_cell", F.explode(grid))
 
     left = cells(tr.select("meeting_id", "seg_no", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")))
-    right = cells(di.select(
-        "meeting_id", F.col("seg_no").alias("_turn"), F.col("speaker").alias("_who"),
-        F.col("start_time").alias("_s"), F.col("end_time").alias("_e"),
-    )).withColumnsRenamed({"_s": "_ds", "_e": "_de"})
+    # turns over the same stretch tie everywhere, so only the first of them can win
+    turns = di.groupBy("meeting_id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")).agg(
+        F.min(F.struct(F.col("seg_no").alias("n"), F.col("speaker").alias("who"))).alias("_t")
+    )
+    right = cells(turns.select("meeting_id", F.col("_t.n").alias("_turn"), F.col("_t.who").alias("_who"), "_s", "_e"))
+    right = right.withColumnsRenamed({"_s": "_ds", "_e": "_de"})
     begin = F.greatest("_s", "_ds")
     pairs = left.join(right, ["meeting_id", "_cell"]).filter(
         (F.col("_s") < F.col("_de")) & (F.col("_ds") < F.col("_e")) & (F.floor(begin / bucket) == F.col("_cell"))

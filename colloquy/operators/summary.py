@@ -48,7 +48,7 @@ def extractive_summary(df: DataFrame, key: str = "doc_id", length: str = "medium
     on ``(key, ...)`` and stays in that placement.
     """
     ratio = RATIOS.get(length, RATIOS["medium"])
-    placed = place_by(df.select(key, strip("text").alias("text")).filter(F.col("text") != ""), key)
+    placed = place_by(df.select(key, strip("text").alias("text")).filter(F.col(key).isNotNull() & (F.col("text") != "")), key)
     split = placed.withColumn("_a", sentences("text", pack))
     short = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
     # a text without sentences is one row without sentence and keeps its beginning
@@ -97,8 +97,11 @@ def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int
 
     A row's keyword hits are one bit each, so the rows of a key combine by ``bit_or``.
     """
-    text = F.coalesce("text", F.lit(""))
+    df = df.withColumn("text", strip_tags(F.coalesce("text", F.lit(""))))
+    text = F.col("text")
     words = [(r, w) for r, (_, ws) in enumerate(pack.topic_rules) for w in ws]
+    if len(words) > 62:
+        raise ValueError("topic rules hold at most 62 keywords")
     mask = F.lit(0).cast("bigint")
     for i, (_, w) in enumerate(words):
         mask = mask.bitwiseOR(F.when(F.contains(text, F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
@@ -111,58 +114,89 @@ def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int
     rules = F.array_compact(F.array(*[topic(r, name) for r, (name, _) in enumerate(pack.topic_rules)]))
     hit = masks.select(*key, rules.alias("_t"))
     by_rule = hit.select(*key, F.explode("_t").alias("_t")).select(*key, "_t.*")
-    frequent = top_tokens(df.withColumn("text", strip_tags("text")), key, 8, pack, "keyword", stop=pack.keyword_stop)
+    frequent = top_tokens(df, key, 8, pack, "keyword", stop=pack.keyword_stop)
     filler = frequent.filter(~F.col("token").isin(*pack.topic_skip)).join(hit.filter(F.size("_t") < 2).select(*key), list(key), "left_semi")
     filler = filler.select(*key, (F.col("rank") + len(pack.topic_rules)).alias("pos"), F.col("token").alias("name"), F.array("token").alias("keywords"))
     return _first(by_rule.unionByName(filler), key, top)
 
 
+def _decision(sentence: Column, pack: RulePack) -> Column:
+    """The text of a decision clue, else null."""
+    s = strip(sentence)
+    return F.when(F.length(s).between(8, 90) & has_any(s, pack.decision_marks), shorten(s, 70))
+
+
+def _issue(sentence: Column, pack: RulePack) -> Column:
+    s = squeeze(sentence)
+    unclear = (
+        F.length(s).between(10, 50) & has_any(s, pack.issue_marks) & has_any(s, pack.issue_context) & ~has_any(s, pack.issue_noise)
+        & ~s.rlike("([\\x{4e00}-\\x{9fff}A-Za-z])\\1{4,}")
+    )
+    return F.when(unclear, shorten(s, 48))
+
+
+def _actions(sentence: Column, pack: RulePack) -> Column:
+    """array of ``owner - task`` clues with the weekday words of the sentence."""
+    s = strip(sentence)
+    due = F.regexp_extract(s, pack.action_due_regex, 1)
+    both = F.arrays_zip(
+        F.regexp_extract_all(s, F.lit(pack.action_regex), F.lit(1)).alias("o"), F.regexp_extract_all(s, F.lit(pack.action_regex), F.lit(2)).alias("t")
+    )
+
+    def action(m: Column) -> Column:
+        base = F.concat(m["o"], F.lit(pack.action_link), strip(m["t"]))
+        return shorten(F.when(due != "", F.concat(base, F.lit(pack.due_open), due, F.lit(pack.due_close))).otherwise(base), 60)
+
+    named = F.filter(both, lambda m: ~m["o"].isin(*pack.action_owner_block))
+    found = F.length(s).between(6, 120) & s.rlike(pack.action_regex)
+    return F.when(found, F.transform(named, action)).otherwise(F.array().cast("array<string>"))
+
+
 def decisions(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 4) -> DataFrame:
-    s = strip("sentence")
-    kept = sents.filter(F.length(s).between(8, 90) & has_any(s, pack.decision_marks))
-    return _first(kept.select(*key, "pos", shorten(s, 70).alias("decision")), key, top)
+    found = sents.select(*key, "pos", _decision(F.col("sentence"), pack).alias("decision")).filter(F.col("decision").isNotNull())
+    return _first(found, key, top)
 
 
 def open_issues(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 5) -> DataFrame:
-    s = F.col("_c")
-    kept = sents.withColumn("_c", squeeze("sentence")).filter(
-        F.length(s).between(10, 50) & ~has_any(s, pack.issue_noise) & ~s.rlike("([\\x{4e00}-\\x{9fff}A-Za-z])\\1{4,}")
-        & has_any(s, pack.issue_marks) & has_any(s, pack.issue_context)
-    )
-    return _first(kept.select(*key, "pos", shorten("_c", 48).alias("issue")), key, top)
+    found = sents.select(*key, "pos", _issue(F.col("sentence"), pack).alias("issue")).filter(F.col("issue").isNotNull())
+    return _first(found, key, top)
 
 
 def action_clues(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 4) -> DataFrame:
-    """``owner - task`` clues with the weekday words of the sentence, first ``top`` per key."""
-    s = sents.withColumn("_s", strip("sentence")).filter(F.length("_s").between(6, 120))
-    both = F.arrays_zip(
-        F.regexp_extract_all("_s", F.lit(pack.action_regex), F.lit(1)).alias("o"),
-        F.regexp_extract_all("_s", F.lit(pack.action_regex), F.lit(2)).alias("t"),
+    found = sents.select(*key, "pos", F.posexplode(_actions(F.col("sentence"), pack)).alias("_j", "action"))
+    return _first(found.select(*key, F.struct("pos", "_j").alias("pos"), "action"), key, top)
+
+
+# How many findings of each kind a summary shows.
+SHOWN = {"decision": 4, "issue": 5, "action": 4, "lead": 2}
+
+
+def findings(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH) -> DataFrame:
+    """The first decisions, issues, actions and sentences of each key, in one pass over the sentences."""
+    s = F.col("sentence")
+    item = lambda kind, j, value: F.struct(F.lit(kind).alias("kind"), j.alias("j"), value.alias("value"))
+    one = F.lit(0)
+    listed = F.concat(
+        F.array(item("decision", one, _decision(s, pack)), item("issue", one, _issue(s, pack)), item("lead", one, shorten(s, 60))),
+        F.transform(_actions(s, pack), lambda a, j: item("action", j, a)),
     )
-    rows = s.select(*key, "pos", "_s", F.posexplode(both).alias("_j", "_m"))
-    due = F.regexp_extract("_s", pack.action_due_regex, 1)
-    base = F.concat(F.col("_m.o"), F.lit(pack.action_link), strip(F.col("_m.t")))
-    action = F.when(due != "", F.concat(base, F.lit(pack.due_open), due, F.lit(pack.due_close))).otherwise(base)
-    kept = rows.filter(~F.col("_m.o").isin(*pack.action_owner_block))
-    return _first(kept.select(*key, F.struct("pos", "_j").alias("pos"), shorten(action, 60).alias("action")), key, top)
+    rows = sents.select(*key, "pos", F.explode(F.filter(listed, lambda v: v["value"].isNotNull())).alias("_f")).select(*key, "pos", "_f.*")
+    order = Window.partitionBy(*key, "kind").orderBy("pos", "j")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(SHOWN.values()))
+    return ranked.filter(F.col("rank") <= F.element_at(F.create_map(*[F.lit(v) for kv in SHOWN.items() for v in kv]), F.col("kind")))
 
 
 def structured_summary(df: DataFrame, key: Sequence[str], pack: RulePack = ZH) -> DataFrame:
     """Topics, decisions, issues and actions of each key with the sentences made of them."""
-    sents = sentence_rows(df, key, pack)
-    listed = lambda rows, col, name: rows.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(col).alias("v")))), lambda r: r["v"]).alias(name)
+    in_order = lambda rows: F.transform(F.array_sort(rows), lambda r: r["v"])
+    found = findings(sentence_rows(df, key, pack), key, pack).groupBy(*key).agg(*[
+        in_order(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", F.col("value").alias("v"))))).alias(name)
+        for kind, name in (("decision", "decisions"), ("issue", "open_issues"), ("action", "actions"), ("lead", "_lead"))
+    ])
+    topics = rule_topics(df, key, pack).groupBy(*key).agg(
+        in_order(F.collect_list(F.struct("rank", F.struct("name", "keywords").alias("v")))).alias("topics")
     )
-    parts = [
-        listed(rule_topics(df.withColumn("text", strip_tags("text")), key, pack).withColumn("t", F.struct("name", "keywords")), "t", "topics"),
-        listed(decisions(sents, key, pack), "decision", "decisions"),
-        listed(open_issues(sents, key, pack), "issue", "open_issues"),
-        listed(action_clues(sents, key, pack), "action", "actions"),
-        listed(_first(sents, key, 2).withColumn("s", shorten("sentence", 60)), "s", "_lead"),
-    ]
-    out = df.select(*key).distinct()
-    for p in parts:
-        out = out.join(p, list(key), "left")
+    out = df.select(*key).distinct().join(topics, list(key), "left").join(found, list(key), "left")
     none = F.array().cast("array<string>")
     topics = F.coalesce("topics", F.array().cast("array<struct<name:string,keywords:array<string>>>"))
     out = out.withColumn("topics", topics)

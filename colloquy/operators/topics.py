@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from colloquy.functions.text import hits, is_valid_topic, strip, tokens
 from colloquy.operators.summary import top_tokens
 from colloquy.packs import ZH, RulePack
-from colloquy.plans.hot import place_by
+from colloquy.plans.hot import durable, place_by
 
 
 def keyword_tokens(col, pack: RulePack = ZH) -> Column:
@@ -25,7 +25,7 @@ def keyword_tokens(col, pack: RulePack = ZH) -> Column:
 # --- keywords -----------------------------------------------------------------------------------
 
 def cooccurrence(df: DataFrame, key: str = "doc_id", window: int = 5, pack: RulePack = ZH) -> DataFrame:
-    """Weighted word pairs at most ``window - 1`` places apart, both directions.
+    """How often word ``b`` follows word ``a`` at most ``window - 1`` places later, per text.
 
     Pairs are built inside the row from shifted copies of its token array, so no text is
     joined with itself. Texts are placed by key first; the counts need no further shuffle.
@@ -39,9 +39,7 @@ def cooccurrence(df: DataFrame, key: str = "doc_id", window: int = 5, pack: Rule
 
     pairs = placed.select(key, F.inline(F.flatten(F.array(*[shifted(d) for d in range(1, window)]))))
     kept = pairs.filter(~F.col("a").isin(*pack.stopwords) & ~F.col("b").isin(*pack.stopwords))
-    one = kept.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
-    both = one.select(key, F.inline(F.array(F.struct(F.col("a"), F.col("b"), F.col("w")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("w")))))
-    return both.groupBy(key, "a", "b").agg(F.sum("w").alias("w"))
+    return kept.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
 def textrank(
@@ -54,17 +52,17 @@ def textrank(
     instead of paying a shuffle of all edges per round.
     """
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        words, codes = np.unique(pdf["a"].to_numpy(), return_inverse=True)
-        into = np.searchsorted(words, pdf["b"].to_numpy())
-        weight = pdf["w"].to_numpy(dtype=float)
-        share = weight / np.bincount(codes, weight, len(words))[codes]
-        score = np.full(len(words), 1.0 / len(words))
+        codes, words = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+        n, m = len(words), len(pdf)
+        source, into = codes, np.concatenate([codes[m:], codes[:m]])
+        weight = np.tile(pdf["w"].to_numpy(dtype=float), 2)
+        share = weight / np.bincount(source, weight, n)[source]
+        score = np.full(n, 1.0 / n)
         for _ in range(iterations):
-            score = (1 - damping) + damping * np.bincount(into, share * score[codes], len(words))
+            score = (1 - damping) + damping * np.bincount(into, share * score[source], n)
         low, high = score.min(), score.max()
         score = (score - low / 10) / (high - low / 10)
-        best = np.lexsort((words, -np.round(score, 9)))[:k]
+        best = np.lexsort((words.astype(str), -np.round(score, 9)))[:k]
         return pd.DataFrame({key: pdf[key].iloc[0], "rank": np.arange(1, len(best) + 1), "keyword": words[best], "score": score[best]})
 
     edges = cooccurrence(df, key, window, pack)
@@ -196,16 +194,16 @@ def resolve_topics(keys: DataFrame, key: Sequence[str], candidates: Sequence[Dat
 
 # --- models ----------------------------------------------------------------------------------------
 
-def _counted(df: DataFrame, size: int, pack: RulePack):
-    words = df.withColumn("_words", keyword_tokens("text", pack))
-    # ties in the vocabulary cut depend on data order only through equal counts
+def _counted(df: DataFrame, key: Sequence[str], size: int, pack: RulePack):
+    words = df.select(*key, keyword_tokens("text", pack).alias("_words"))
     model = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=size).fit(words)
-    return model, model.transform(words)
+    # the models read the counts once per round: write them down instead of splitting the texts again
+    return model, durable(model.transform(words).drop("_words"))
 
 
 def lda_topics(df: DataFrame, k: int = 5, vocabulary: int = 1000, pack: RulePack = ZH) -> DataFrame:
     """Five best words of each latent topic with their weights."""
-    model, counted = _counted(df, vocabulary, pack)
+    model, counted = _counted(df, [], vocabulary, pack)
     lda = LDA(k=k, maxIter=10, seed=42, featuresCol="_tf").fit(counted)
     words = F.array(*[F.lit(w) for w in model.vocabulary])
     best = lda.describeTopics(5).select(
@@ -219,7 +217,7 @@ def cluster_documents(df: DataFrame, k: int = 5, key: str = "doc_id", pack: Rule
     """TF-IDF clusters; a single document is cluster 0."""
     if df.select(key).limit(2).count() <= 1:
         return df.select(key, F.lit(0).cast("bigint").alias("cluster"))
-    _, counted = _counted(df, 100, pack)
+    _, counted = _counted(df, [key], 100, pack)
     weighted = IDF(inputCol="_tf", outputCol="_w").fit(counted).transform(counted)
     unit = Normalizer(inputCol="_w", outputCol="features").transform(weighted)
     clusters = min(k, df.select(key).limit(k).count())

@@ -248,12 +248,13 @@ def validate_tasks(df: DataFrame, key: Sequence[str], as_of, col: str = "respons
     items = F.coalesce(F.try_variant_get(v, "$.action_items", "array<variant>"), F.array().cast("array<variant>"))
     rows = df.select(*key, F.posexplode(items).alias("pos", "_v"))
     field = lambda p, kind="string": F.try_variant_get(F.col("_v"), p, kind)
-    who, due = normalize_task(field("$.assignee"), pack), F.nullif(strip(field("$.due_date")), F.lit(""))
-    level = F.lower(F.coalesce(field("$.priority"), F.lit("medium")))
     rows = rows.withColumn("description", normalize_task(F.coalesce(field("$.description"), F.lit("")), pack))
+    rows = rows.filter(good_description(F.col("description"), pack))
+    rows = rows.withColumn("_who", normalize_task(field("$.assignee"), pack)).withColumn("_due", F.nullif(strip(field("$.due_date")), F.lit("")))
+    who, due, level = F.col("_who"), F.col("_due"), F.lower(F.coalesce(field("$.priority"), F.lit("medium")))
     # an offset, if any, is dropped: times here carry none
     local = F.regexp_replace(due, "(Z|[+-]\\d{2}:\\d{2})$", "")
-    return rows.filter(good_description(F.col("description"), pack)).select(
+    return rows.select(
         *key, "pos", "description", F.when(good_assignee(who, pack), who).alias("assignee"),
         F.coalesce(local.try_cast("timestamp_ntz"), parse_task_phrase(due, as_of, pack.due_phrases)).alias("due_date"),
         F.when(level.isin("low", "medium", "high"), level).otherwise("medium").alias("priority"),

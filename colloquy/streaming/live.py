@@ -151,9 +151,17 @@ def metric_windows(metrics: DataFrame, size: str = "1 hour", slide: str | None =
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "average", "peak")
 
 
-def stage_join(first: DataFrame, second: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Events of a second stage with the first-stage events of their key at most ``within`` earlier."""
+def stage_join(first: DataFrame, second: DataFrame, within_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Events of a second stage with the first-stage events of their key at most so long before.
+
+    Both sides carry a time cell as wide as the bound: a second event looks into its own cell
+    and the one before. So a busy key is spread over its cells and only neighbours in time meet.
+    """
+    cell = lambda c: F.floor(F.unix_seconds(F.col(c)) / within_seconds)
     a = _watermark(first.select(F.col("task_key").alias("_k"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_at")), "first_at", delay)
     b = _watermark(second.select("task_key", F.col("event_id").alias("second_id"), F.col("ts").alias("second_at")), "second_at", delay)
-    bound = F.expr(f"second_at >= first_at AND second_at <= first_at + INTERVAL {within}")
-    return a.join(b, (F.col("_k") == F.col("task_key")) & bound, "inner").select("task_key", "first_id", "second_id", "first_at", "second_at")
+    a = a.withColumn("_c", cell("first_at"))
+    b = b.withColumn("_d", F.explode(F.array(cell("second_at"), cell("second_at") - 1)))
+    bound = F.expr(f"second_at >= first_at AND second_at <= first_at + INTERVAL {int(within_seconds)} SECONDS")
+    joined = a.join(b, (F.col("_k") == F.col("task_key")) & (F.col("_c") == F.col("_d")) & bound, "inner")
+    return joined.select("task_key", "first_id", "second_id", "first_at", "second_at")
