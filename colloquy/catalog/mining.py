@@ -42,7 +42,7 @@ def _pattern_sql(i: int, p) -> str:
     who = f"regexp_extract(s, '{p.regex}', {p.owner})" if p.names_assignee else "NULL"
     due = f"regexp_extract(s, '{p.regex}', {p.due})" if p.due else "NULL"
     return (
-        f"SELECT doc_id, pos, s, {i} AS pattern, {sql_task('d')} AS description, who, due_text FROM (SELECT doc_id, pos, s, {desc} AS d, "
+        f"SELECT doc_id, pos, s, CAST({i} AS BIGINT) AS pattern, {sql_task('d')} AS description, who, due_text FROM (SELECT doc_id, pos, s, {desc} AS d, "
         f"{who} AS who, {due} AS due_text FROM cand WHERE regexp_matches(s, '{p.regex}'))"
     )
 
@@ -235,7 +235,7 @@ _DATES = "list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in
 
 @query("X08_entities", f"""
 SELECT doc_id, entity, type, CAST(greatest(strpos(text, entity) - 1, 0) AS BIGINT) AS start, CAST(greatest(strpos(text, entity) - 1, 0) + length(entity) AS BIGINT) AS "end",
-  CASE type WHEN 'PERSON' THEN 0.8 WHEN 'ORG' THEN 0.78 ELSE 0.82 END AS confidence FROM (
+  CAST(CASE type WHEN 'PERSON' THEN 0.8 WHEN 'ORG' THEN 0.78 ELSE 0.82 END AS DOUBLE) AS confidence FROM (
   SELECT DISTINCT doc_id, text, {sql_strip('entity')} AS entity, type FROM (
     SELECT doc_id, text, unnest(CASE WHEN len({_NAMES}) > 0 THEN {_NAMES} ELSE list_filter({_RUNS}[1:5], lambda n: regexp_matches(n, '^{P.surnames}')) END) AS entity, 'PERSON' AS type FROM documents
     UNION ALL SELECT doc_id, text, unnest({_ORGS}), 'ORG' FROM documents

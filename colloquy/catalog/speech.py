@@ -126,11 +126,11 @@ def stitch_chunks(spark, d):
 
 
 @query("W04_chunk_plan", with_(MEETINGS) + """
-SELECT 'extend' AS variant, id, k AS chunk_no, k * 180.0 AS chunk_start, least(duration, k * 180.0 + 182.0) AS chunk_end FROM (
+SELECT 'extend' AS variant, id, k AS chunk_no, CAST(k * 180 AS DOUBLE) AS chunk_start, least(duration, k * 180.0 + 182.0) AS chunk_end FROM (
   SELECT id, duration, unnest(range(CASE WHEN duration <= 180 THEN 1 ELSE CAST(ceil(duration / 180) AS BIGINT) END)) AS k FROM meetings WHERE duration > 0)
-UNION ALL SELECT 'step', id, k, k * 180.0, least(duration, k * 180.0 + 182.0) FROM (
+UNION ALL SELECT 'step', id, k, CAST(k * 180 AS DOUBLE), least(duration, k * 180.0 + 182.0) FROM (
   SELECT id, duration, unnest(range(CAST(ceil(duration / 180) AS BIGINT))) AS k FROM meetings WHERE duration > 0)
-UNION ALL SELECT 'inside', id, k, k * 178.0, least(duration, k * 178.0 + 180.0) FROM (
+UNION ALL SELECT 'inside', id, k, CAST(k * 178 AS DOUBLE), least(duration, k * 178.0 + 180.0) FROM (
   SELECT id, duration, unnest(range(CASE WHEN duration <= 180 THEN 1 ELSE CAST(ceil(duration / 178) AS BIGINT) END)) AS k FROM meetings WHERE duration > 0)""")
 def chunk_plan(spark, d):
     m = t.meetings(spark, d)
@@ -171,7 +171,7 @@ q AS (SELECT f.*, stop, frame_no - row_number() OVER (PARTITION BY recording_id
   WHERE frame_no * 43200.0 + 86400.0 <= stop AND (rms <= 0 OR 20 * log10(rms) < 26.0)),
 r AS (SELECT recording_id, min(frame_no) * 43200.0 AS start_time, CASE WHEN max(frame_no) = floor((min(stop) - 86400.0) / 43200.0)
   THEN min(stop) ELSE (max(frame_no) + 1) * 43200.0 END AS end_time FROM q GROUP BY recording_id, run)
-SELECT recording_id, start_time, round(end_time, 3) AS end_time FROM r WHERE end_time - start_time >= 86400""")
+SELECT recording_id, CAST(start_time AS DOUBLE) AS start_time, round(end_time, 3) AS end_time FROM r WHERE end_time - start_time >= 86400""")
 def quiet_regions(spark, d):
     out = ops.quiet_regions(_series(spark, d), frame=86400.0, threshold_db=26.0, min_len=86400.0)
     return out.select("recording_id", "start_time", F.round("end_time", 3).alias("end_time"))
