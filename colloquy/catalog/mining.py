@@ -364,13 +364,13 @@ def top_tokens(spark, d):
 
 
 @query("A18_top_tokens_by_source", f"""
-WITH f AS (SELECT source, w AS token, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '{P.token}')) AS w FROM documents)
+WITH f AS (SELECT source, w AS token, count(*) AS n, min({{'d': doc_id, 'i': i}}) AS fst FROM (
+  SELECT source, doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT source, doc_id, regexp_extract_all(text, '{P.token}') AS l FROM documents))
   WHERE lower(w) NOT IN {sql_list(P.stopwords)} GROUP BY ALL)
-SELECT source, n, count(*) AS tokens FROM f GROUP BY ALL HAVING n >= 5""")
+SELECT source, token, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, fst) AS rank FROM f QUALIFY rank <= 10""")
 def top_tokens_by_source(spark, d):
-    words = docs(spark, d).select("source", F.explode(x.tokens("text", P)).alias("token")).filter(~F.lower("token").isin(*P.stopwords))
-    counts = words.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("source", "n").agg(F.count(F.lit(1)).alias("tokens")).filter(F.col("n") >= 5)
+    texts = docs(spark, d).withColumn("seg_no", F.col("doc_id"))
+    return su.top_tokens(texts, ["source"], 10, P, lower_stop=P.stopwords).select("source", "token", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 _WORDS = f"list_filter(list_transform(regexp_extract_all(text, '{P.token}'), lambda w: lower(w)), lambda w: w NOT IN {sql_list(P.stopwords)})"
@@ -395,13 +395,13 @@ def keyword_topics(spark, d):
 
 @query("K05_name_topics", f"""WITH {_TFIDF}, c AS (SELECT doc_id % 12 AS topic, token, count(*) AS n FROM (
     SELECT doc_id, unnest({_WORDS}) AS token FROM documents) GROUP BY ALL),
-b AS (SELECT doc_id % 12 AS topic, arg_max(token, {{'s': score, 't': token}}) AS k FROM ranked WHERE doc_id % 12 < 6 GROUP BY 1),
+b AS (SELECT doc_id % 12 AS topic, arg_max(token, {{'s': score, 't': token}}) AS k FROM ranked GROUP BY 1),
 m AS (SELECT topic, token FROM c QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, token) = 1)
 SELECT topic, coalesce(k, token, '主题_' || topic) AS name FROM (SELECT DISTINCT doc_id % 12 AS topic FROM documents) LEFT JOIN b USING (topic) LEFT JOIN m USING (topic)""")
 def name_topics(spark, d):
     texts = docs(spark, d).withColumn("topic", F.col("doc_id") % 12)
     kw = tp.tfidf_keywords(docs(spark, d), pack=P).select((F.col("doc_id") % 12).alias("topic"), F.col("token").alias("keyword"), "score")
-    return tp.name_topics(kw.filter(F.col("topic") < 6), texts, pack=P)
+    return tp.name_topics(kw, texts, pack=P)
 
 
 @query("K06_representatives", f"""WITH {_TFIDF}, tops AS (SELECT doc_id, (rank - 1) // 3 AS topic, list(token) AS kws FROM ranked WHERE rank <= 6 GROUP BY ALL),
@@ -527,7 +527,7 @@ def merge_labels(spark, d):
 
 
 @query("X16_resolve_topics", f"""WITH {_TFIDF},
-st AS (SELECT doc_id, string_agg(token, '|' ORDER BY rank) AS l FROM ranked WHERE doc_id % 3 = 0 AND rank <= 3 GROUP BY 1),
+st AS (SELECT doc_id, string_agg(token, '|' ORDER BY rank) AS l FROM ranked WHERE doc_id IN (SELECT doc_id FROM labels) AND rank <= 3 GROUP BY 1),
 fq AS (SELECT doc_id, w, count(*) AS n, min(i) AS fst FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (
   SELECT doc_id, regexp_extract_all(text, '{P.topic_token}') AS l FROM documents)) WHERE w NOT IN {sql_list(P.topic_stop)}
   AND lower(w) NOT IN {sql_list(P.topic_stop_lower)} AND {VALID_TOPIC.format(c='w')} GROUP BY ALL),
@@ -536,7 +536,8 @@ SELECT d.doc_id, CAST(CASE WHEN st.l IS NOT NULL THEN 0 WHEN tx.l IS NOT NULL TH
 FROM documents d LEFT JOIN st ON st.doc_id = d.doc_id LEFT JOIN tx ON tx.doc_id = d.doc_id""")
 def resolve_topics(spark, d):
     corpus = docs(spark, d)
-    stored = tp.tfidf_keywords(corpus, pack=P).filter((F.col("doc_id") % 3 == 0) & (F.col("rank") <= 3)).select("doc_id", "rank", F.col("token").alias("name"))
+    labelled = t.load(spark, d, "labels").select("doc_id")
+    stored = tp.tfidf_keywords(corpus, k=3, pack=P).join(labelled, "doc_id", "left_semi").select("doc_id", "rank", F.col("token").alias("name"))
     text = tp.text_topics(corpus, KEY, 5, P).select("doc_id", "rank", F.col("token").alias("name"))
     return tp.resolve_topics(corpus, KEY, [stored, text]).select("doc_id", F.col("source").cast("bigint").alias("source"), F.array_join("topics", "|").alias("topics"))
 

@@ -293,8 +293,8 @@ def assign_speaker(spark, d):
 
 
 @query("J07_align_segments", with_(EVENTS) + """
-, rec AS (SELECT event_id AS turn_id, CASE WHEN event_id % 3 = 0 THEN value END AS rs, CASE WHEN event_id % 3 = 0 THEN value * 70 END AS re, ' ' || event_type || ' ' AS txt,
-    (event_id % 7) / 7 AS rc FROM events WHERE event_id % 3 < 2)
+, rec AS (SELECT event_id AS turn_id, CASE WHEN event_type IN ('click', 'view') THEN value END AS rs, CASE WHEN event_type IN ('click', 'view') THEN value * 70 END AS re, ' ' || event_type || ' ' AS txt,
+    (event_id % 7) / 7 AS rc FROM events WHERE event_type <> 'error')
 SELECT meeting_id, seg_no AS turn_id, speaker, round(CASE WHEN rs IS NOT NULL THEN start_time + rs ELSE start_time END, 2) AS start_time,
   round(CASE WHEN rs IS NOT NULL THEN least(start_time + re, end_time) ELSE end_time END, 2) AS end_time,
   CASE WHEN txt IS NOT NULL THEN trim(txt) ELSE text END AS text,
@@ -302,8 +302,8 @@ SELECT meeting_id, seg_no AS turn_id, speaker, round(CASE WHEN rs IS NOT NULL TH
 FROM timed LEFT JOIN rec ON turn_id = seg_no""")
 def align_segments(spark, d):
     turns = t.timed_events(spark, d).withColumnRenamed("seg_no", "turn_id")
-    piece, value = F.col("event_id") % 3 == 0, F.col("value")
-    rec = t.load(spark, d, "events").filter(F.col("event_id") % 3 < 2).select(
+    piece, value = F.col("event_type").isin("click", "view"), F.col("value")
+    rec = t.load(spark, d, "events").filter(F.col("event_type") != "error").select(
         F.col("event_id").alias("turn_id"), F.when(piece, value).alias("start"), F.when(piece, value * 70).alias("end"),
         F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("text"), ((F.col("event_id") % 7) / 7).alias("confidence"),
     )

@@ -161,6 +161,16 @@ def clean_text(spark, d):
     return docs(spark, d).select("doc_id", x.clean_text("text", P).alias("text"))
 
 
+@query("T07_clean_paragraphs", f"SELECT doc_id, {_PARA} AS text FROM documents")
+def clean_paragraphs(spark, d):
+    return docs(spark, d).select("doc_id", x.clean_paragraphs(x.strip("text"), P).alias("text"))
+
+
+@query("T23_redundant_rules", f"SELECT doc_id, {sql_rules(x.redundant_rules(P), 'text')} AS text FROM documents")
+def redundant_rules(spark, d):
+    return docs(spark, d).select("doc_id", x.apply_rules("text", x.redundant_rules(P)).alias("text"))
+
+
 @query("T08_segment", f"""SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS piece FROM (
   SELECT doc_id, {sql_segment('g')} AS l FROM (SELECT doc_id, translate(text, '.?!;', '。？！；') AS g FROM documents))""")
 def segment(spark, d):

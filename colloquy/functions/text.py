@@ -148,6 +148,18 @@ def clean_rules(pack: RulePack = ZH) -> list[tuple[str, str]]:
     return rules
 
 
+def redundant_rules(pack: RulePack = ZH) -> list[tuple[str, str]]:
+    """The filler list as (regex, replacement) pairs: single characters go with a mark after them."""
+    rules = []
+    for w in pack.redundant:
+        rules += [(f"{quote(w)}[。，、；]?", ""), (quote(w), "")] if len(w) == 1 else [(f"{WS}*{quote(w)}{WS}*", " ")]
+    return rules
+
+
+def apply_rules(col, rules: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1]), rules, _col(col))
+
+
 def _drop_words(col: Column, pack: RulePack) -> Column:
     return reduce(lambda acc, w: F.replace(acc, F.lit(w), F.lit("")), pack.redundant, col)
 
@@ -231,7 +243,10 @@ def restore_marks(arr, pack: RulePack = ZH, third_is_statement: bool = False) ->
     return F.transform(F.transform(_col(arr), strip), mark)
 
 
-def _clean_paragraphs(col: Column, pack: RulePack) -> Column:
+def clean_paragraphs(col, pack: RulePack = ZH) -> Column:
+    """Line by line, sentence by sentence: fillers out, every sentence ended."""
+    col = _col(col)
+
     def sentence(s: Column) -> Column:
         c = F.regexp_replace(_join_ordinals(_drop_words(s, pack), pack), f"{WS}+", " ")
         return F.btrim(F.regexp_replace(c, f"，{WS}*，", "，"), F.lit(" "))
@@ -259,7 +274,7 @@ def clean_text(
     return (
         F.when(col.isNull() | (strip(col) == ""), F.lit(""))
         .when(col.rlike(f"^([。？！；，]|{WS})+$"), F.lit("。"))
-        .when(has_any(col, pack.ordinals) & col.contains("\n"), _clean_paragraphs(strip(col), pack))
+        .when(has_any(col, pack.ordinals) & col.contains("\n"), clean_paragraphs(strip(col), pack))
         .otherwise(flat)
     )
 
