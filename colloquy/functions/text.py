@@ -15,6 +15,8 @@ WS = (
     "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
     "\\x{202f}\\x{205f}\\x{3000}]"
 )
+# the inside of that class, to be joined with other characters
+_WS_SET = WS[1:-1]
 # the same characters one by one, for trimming without a regex
 WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPEAKER_TAG = f"(?i)\\[{WS}*SPEAKER_[^\\]]+\\]{WS}*"
@@ -273,7 +275,7 @@ def clean_text(
     flat = bind(squeeze(flat), lambda f: F.when((f != "") & ~f.rlike("[。？！；…]$"), F.concat(f, F.lit("。"))).otherwise(f))
     return (
         F.when(col.isNull() | (strip(col) == ""), F.lit(""))
-        .when(col.rlike(f"^([。？！；，]|{WS})+$"), F.lit("。"))
+        .when(col.rlike(f"^[。？！；，{_WS_SET}]+$"), F.lit("。"))
         .when(has_any(col, pack.ordinals) & col.contains("\n"), clean_paragraphs(strip(col), pack))
         .otherwise(flat)
     )
@@ -282,7 +284,7 @@ def clean_text(
 # --- utterance and topic predicates -------------------------------------------------------
 
 def is_low_value(col, pack: RulePack = ZH) -> Column:
-    norm = F.lower(F.regexp_replace(F.coalesce(_col(col), F.lit("")), f"(?:{WS}|[，,。.!！？?；;:：\\-])+", ""))
+    norm = F.lower(F.regexp_replace(F.coalesce(_col(col), F.lit("")), f"[{_WS_SET}，,。.!！？?；;:：\\-]+", ""))
     return bind(norm, lambda n: (
         (F.length(n) <= 2) | n.isin(*pack.fillers) | n.rlike("^[a-z]{1,4}$|([a-z\\x{4e00}-\\x{9fff}])\\1{3,}")
         | ((F.length(n) <= 5) & ~n.rlike(pack.script_char))

@@ -98,7 +98,7 @@ def score_tasks(found: DataFrame, pack: RulePack = ZH, min_confidence: float = 0
 
 
 def description_key(col) -> Column:
-    return F.regexp_replace(F.lower(strip(col)), f"[，。！？、；:]|{WS}", "")
+    return F.regexp_replace(F.lower(strip(col)), f"[，。！？、；:{WS[1:-1]}]+", "")
 
 
 def dedupe_tasks(scored: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -183,7 +183,7 @@ def refine_tasks(
     d = d.withColumn("assignee", who).withColumn("due_date", F.coalesce("due_date", adopted))
     dated, owned = F.col("due_date").isNotNull(), F.col("assignee").isNotNull()
     d = d.filter((dated | owned | intent) & ~((F.lower("priority") == "low") & ~dated & ~owned) & ~desc.rlike("SPEAKER_|\\[|\\]"))
-    same = F.regexp_replace(desc, f"[，。！？；:：]|{WS}", "")
+    same = F.regexp_replace(desc, f"[，。！？；:：{WS[1:-1]}]+", "")
     rest = [c for c in d.columns if c not in (*key, "hint_count", "hint")]
     first = d.groupBy(*key, same.alias("_k")).agg(F.min_by(F.struct(*rest), "pos").alias("_b")).select(*key, "_b.*")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("pos")))

@@ -29,7 +29,9 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
     beyond everything before it. The confidence is the fold ``(c + next) / 2``.
     Segments are taken to end no earlier than they start.
     """
-    spoken = slice_keys(seg.filter(strip("text") != ""), KEY, "start_time", target)
+    # cut by all segments, which needs no look at the texts
+    rows, cut = slice_keys(seg, KEY, "start_time", target)
+    spoken = rows.filter(strip("text") != "")
     order = ["start_time", "seg_no"]
     here = in_slice(KEY, *order)
     changed = ~F.lag("speaker").over(here).eqNullSafe(F.col("speaker")) | (F.row_number().over(here) == 1)
@@ -51,7 +53,7 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
 
     tail = F.max(F.struct("_run", F.greatest("_reach", "end_time").alias("_end"))).alias("_tail")
     edges = [F.min_by("speaker", at).alias("_first"), F.max_by("speaker", at).alias("_last"), F.max("_run").alias("_runs"), tail]
-    linked = carry(reach, KEY, edges, open_run)
+    linked = carry(reach, KEY, edges, open_run, cut)
     goes_on = (F.col("_run") == 1) & F.col("_open").eqNullSafe(F.col("speaker"))
     far = F.when(goes_on, F.greatest("_reach", "_far")).otherwise(F.col("_reach"))
     starts = F.when(far.isNull() | (F.col("start_time") > far + gap), at)
@@ -60,7 +62,7 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
     def open_island(ends: DataFrame, over) -> DataFrame:
         return ends.select(*KEY, SLICE, F.last("_latest", True).over(earlier_slices(over)).alias("_since"))
 
-    marked = carry(marked, KEY, [F.max("_start").alias("_latest")], open_island)
+    marked = carry(marked, KEY, [F.max("_start").alias("_latest")], open_island, cut)
     island = F.coalesce(F.last("_start", True).over(here.rowsBetween(*RUNNING)), F.col("_since"))
     # each join trims the text so far, so only leading blanks of later texts stay
     later = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, f"{WS}+$", ""))
@@ -112,7 +114,8 @@ def utterance_blocks(
     )
     valued = turns.filter(~is_low_value("text", pack))
     # cut by all turns, which needs no look at the texts
-    kept = slice_keys(turns, KEY, "seg_no", target).filter(~is_low_value("text", pack))
+    rows, cut = slice_keys(turns, KEY, "seg_no", target)
+    kept = rows.filter(~is_low_value("text", pack))
     here = in_slice(KEY, "seg_no")
     near = F.col("start_time") - F.lag("end_time").over(here) <= gap
     first = F.row_number().over(here) == 1
@@ -132,8 +135,8 @@ def utterance_blocks(
         F.max(F.struct("seg_no", "speaker", "end_time")).alias("_tail"),
         F.max(F.when(F.col("_new"), F.col("seg_no"))).alias("_cut"),
     ]
-    linked = carry(local, KEY, edges, link)
-    starts = F.coalesce("_new", "_head_new")
+    linked = carry(local, KEY, edges, link, cut)
+    starts = F.coalesce("_new", "_head_new", F.lit(True))
     block = F.coalesce(F.last(F.when(starts, F.col("seg_no")), True).over(here.rowsBetween(*RUNNING)), F.col("_since"))
     part = squeeze("text")
     in_block = Window.partitionBy(*KEY, SLICE, "block").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)

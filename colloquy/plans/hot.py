@@ -4,7 +4,8 @@ A Spark window sends one partition key to one task. When a single meeting can
 hold a third of all rows that task never ends, so ordered operators here work on
 slices of a key: keys above ``target`` rows are cut along their order column,
 the window runs inside each slice, and only one summary row per slice is carried
-across slice borders. Ordinary keys stay whole in slice 0.
+across slice borders. A narrow count over (key, order) decides first whether any
+key needs this; where none does, the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -18,26 +19,46 @@ TARGET_ROWS = 1 << 17
 SLICE = "_slice"
 
 
-def slice_keys(df: DataFrame, keys: Sequence[str], order: str, target: int = TARGET_ROWS) -> DataFrame:
-    """Add a slice number that grows with ``order`` (numeric) within each key.
+def _too_large(df: DataFrame, by: Sequence[str], order: str, rows: int, target: int) -> DataFrame:
+    n = F.count(F.lit(1))
+    sized = df.groupBy(*by).agg(
+        n.alias("_rows"), F.ceil(n / F.lit(target)).alias("_slices"), F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi")
+    )
+    return sized.filter((F.col("_rows") > rows) & (F.col("_hi") > F.col("_lo"))).drop("_rows")
+
+
+def _place(df: DataFrame, sizes: DataFrame, by: Sequence[str], order: str, most: int) -> tuple[DataFrame, Column]:
+    slices = F.least(F.col("_slices"), F.lit(most))
+    step = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
+    return df.join(sizes, list(by), "left"), F.coalesce(F.least(step, slices - 1), F.lit(0)).cast("bigint")
 
-    Only keys above ``target`` rows enter the size table, so it has at most
-    rows / target entries. It is not hinted: the adaptive planner broadcasts it
-    when its measured size allows, else the join splits the skewed side.
-    Counts, minimum and maximum are exact, so re-runs cut at the same places.
+
+def slice_keys(
+    df: DataFrame, keys: Sequence[str], order: str, target: int = TARGET_ROWS, depth: int = 3
+) -> tuple[DataFrame, bool]:
+    """Add a slice number that grows with ``order`` (numeric) within each key, and say whether any key was cut.
+
+    A cut is of equal width between a key's smallest and largest value; where rows are
+    dense, a slice is still too large and is cut again, up to ``depth`` times. Only keys or
+    slices above their limit enter a size table, so it has at most rows / target entries.
+    It is not hinted: the adaptive planner broadcasts it when its measured size allows, else
+    the join splits the skewed side. Counts and bounds are exact and written down once, so
+    every branch of a plan cuts at the same places.
     """
-    sizes = (
-        df.groupBy(*keys)
-        .agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(target)).alias("_slices"),
-            F.min(order).cast("double").alias("_lo"),
-            F.max(order).cast("double").alias("_hi"),
-        )
-        .filter((F.col("_slices") > 1) & (F.col("_hi") > F.col("_lo")))
-    )
-    place = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_slices"))
-    number = F.coalesce(F.least(place, F.col("_slices") - 1), F.lit(0)).cast("bigint")
-    return df.join(sizes, list(keys), "left").withColumn(SLICE, number).drop("_slices", "_lo", "_hi")
+    whole = df.withColumn(SLICE, F.lit(0).cast("bigint"))
+    sizes = _too_large(df, keys, order, target, target)
+    if sizes.isEmpty():
+        return whole, False
+    cut, number = _place(df, durable(sizes), keys, order, 1 << 30)
+    cut = cut.withColumn(SLICE, number).withColumn("_cut", F.col("_slices").isNotNull()).drop("_slices", "_lo", "_hi")
+    at, deeper = [*keys, SLICE], 1 << 15
+    for _ in range(depth - 1):
+        sizes = _too_large(cut.filter("_cut"), at, order, 2 * target, target)
+        if sizes.isEmpty():
+            break
+        cut, number = _place(cut, durable(sizes), at, order, deeper)
+        cut = cut.withColumn(SLICE, F.col(SLICE) * deeper + number).drop("_slices", "_lo", "_hi")
+    return cut.drop("_cut"), True
 
 
 def in_slice(keys: Sequence[str], *order) -> WindowSpec:
@@ -49,16 +70,21 @@ def carry(
     keys: Sequence[str],
     edges: Sequence[Column],
     known: Callable[[DataFrame, WindowSpec], DataFrame],
+    cut: bool,
 ) -> DataFrame:
     """Summarise each slice, let ``known`` look across the summaries, join its columns back.
 
     ``edges`` are aggregates over a slice. ``known`` gets the summaries and the window
     over a key's slices, and adds what rows of a slice need to know about earlier ones.
-    The join is on the partitioning the local windows already have.
+    The join is on the partitioning the local windows already have. Without a cut there
+    is no earlier slice, so the columns are null.
     """
     ends = df.groupBy(*keys, SLICE).agg(*edges)
-    over = Window.partitionBy(*keys).orderBy(SLICE)
-    return df.join(known(ends, over), [*keys, SLICE], "left")
+    found = known(ends, Window.partitionBy(*keys).orderBy(SLICE))
+    if cut:
+        return df.join(found, [*keys, SLICE], "left")
+    new = [f for f in found.schema if f.name not in (*keys, SLICE)]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new})
 
 
 def earlier_slices(over: WindowSpec) -> WindowSpec:
@@ -69,14 +95,13 @@ def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", target: int = TARGET_ROWS
 ) -> DataFrame:
     """0-based position of each row within its key; ``order[0]`` must be numeric."""
-    cut = slice_keys(df, keys, order[0], target)
-    local = cut.withColumn(name, F.row_number().over(in_slice(keys, *order)) - 1)
+    rows, cut = slice_keys(df, keys, order[0], target)
+    local = rows.withColumn(name, F.row_number().over(in_slice(keys, *order)) - 1)
     def before(ends: DataFrame, over: WindowSpec) -> DataFrame:
-        sofar = F.coalesce(F.sum("_rows").over(earlier_slices(over)), F.lit(0))
-        return ends.select(*keys, SLICE, sofar.alias("_before"))
+        return ends.select(*keys, SLICE, F.sum("_rows").over(earlier_slices(over)).alias("_before"))
 
-    out = carry(local, keys, [F.count(F.lit(1)).alias("_rows")], before)
-    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_before", SLICE)
+    out = carry(local, keys, [F.count(F.lit(1)).alias("_rows")], before, cut)
+    return out.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_before", SLICE)
 
 
 def place_by(df: DataFrame, *keys: str) -> DataFrame:

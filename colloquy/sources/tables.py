@@ -80,17 +80,16 @@ def segments(spark: SparkSession, folder: str, target: int = TARGET_ROWS) -> Dat
         F.length("text").cast("bigint").alias("_len"),
     )
     key = ["meeting_id"]
-    cut = slice_keys(turns, key, "seg_no", target)
-    local = cut.withColumn(
+    rows, cut = slice_keys(turns, key, "seg_no", target)
+    local = rows.withColumn(
         "_upto", F.sum("_len").over(in_slice(key, "seg_no").rowsBetween(Window.unboundedPreceding, 0))
     )
 
     def earlier(ends, over):
-        sofar = F.coalesce(F.sum("_all").over(earlier_slices(over)), F.lit(0))
-        return ends.select(*key, SLICE, sofar.alias("_before"))
+        return ends.select(*key, SLICE, F.sum("_all").over(earlier_slices(over)).alias("_before"))
 
-    whole = carry(local, key, [F.sum("_len").alias("_all")], earlier)
-    upto = F.col("_before") + F.col("_upto")
+    whole = carry(local, key, [F.sum("_len").alias("_all")], earlier, cut)
+    upto = F.coalesce("_before", F.lit(0)) + F.col("_upto")
     return whole.select(
         "meeting_id", "seg_no", "speaker", "text",
         ((upto - F.col("_len")) / 10).alias("start_time"), (upto / 10).alias("end_time"),

@@ -94,10 +94,10 @@ def utterance_sessions(seg: DataFrame, gap_seconds: float = 6.0, target: int = T
     """The same sessions on a bounded frame, cut into slices where one speaker has too many rows."""
     key = ["meeting_id", "speaker"]
     timed = seg.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    cut = slice_keys(timed, key, "_at", target)
+    rows, cut = slice_keys(timed, key, "_at", target)
     here, gap = in_slice(key, "_at"), int(gap_seconds * 1e6)
     before = F.lag("_at").over(here)
-    local = cut.withColumn("_new", F.when(before.isNotNull(), F.col("_at") - before > gap))
+    local = rows.withColumn("_new", F.when(before.isNotNull(), F.col("_at") - before > gap))
 
     def link(ends: DataFrame, over) -> DataFrame:
         fresh = F.coalesce(F.col("_lo") - F.lag("_hi").over(over) > gap, F.lit(True))
@@ -106,8 +106,8 @@ def utterance_sessions(seg: DataFrame, gap_seconds: float = 6.0, target: int = T
         return ends.select(*key, SLICE, "_fresh", F.last("_open", True).over(earlier_slices(over)).alias("_since"))
 
     edges = [F.min("_at").alias("_lo"), F.max("_at").alias("_hi"), F.max(F.when(F.col("_new"), F.col("_at"))).alias("_cut")]
-    linked = carry(local, key, edges, link)
-    opened = F.when(F.coalesce("_new", "_fresh"), F.col("_at"))
+    linked = carry(local, key, edges, link, cut)
+    opened = F.when(F.coalesce("_new", "_fresh", F.lit(True)), F.col("_at"))
     running = here.rowsBetween(-9223372036854775808, 0)
     begin = F.coalesce(F.last(opened, True).over(running), F.col("_since"))
     return linked.withColumn("_begin", begin).groupBy(*key, "_begin").agg(

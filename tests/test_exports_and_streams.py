@@ -89,3 +89,22 @@ def test_sessions_in_slices(spark, small):
     talk = ev.select(F.lit(1).alias("meeting_id"), F.lit("a").alias("speaker"), "ts", F.col("props").alias("text"))
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(live.utterance_sessions(talk, 900.0, target=7)) == rows(live.utterance_sessions(talk, 900.0))
+
+
+def test_enhance(spark):
+    from colloquy.operators.changes import enhance
+
+    rows = [(1, 0, "A", "你好", 0.0, 1.0, .9), (1, 1, "A", "你好", 1.2, 2.0, .9), (1, 2, "A", "在吗", 2.5, 3.0, .7), (1, 3, "B", "好。", 9.0, 9.5, .5)]
+    seg = spark.createDataFrame(rows, "meeting_id long, seg_no long, speaker string, text string, start_time double, end_time double, confidence double")
+    assert [r.text for r in enhance(seg, gap=2.0).orderBy("start_time").collect()] == ["你好 在吗？", "好。"]
+    assert enhance(seg, merge=False, duplicates=False, punctuation=False).count() == 4
+
+
+def test_update_keeps_completion(spark):
+    from colloquy.operators.changes import apply_task_updates
+
+    tasks = spark.createDataFrame([(1, "pending", None), (2, "completed", "2024-01-01 00:00:00"), (3, "completed", "2024-01-02 00:00:00")], "id long, status string, c string")
+    tasks = tasks.select("id", "status", F.col("c").cast("timestamp_ntz").alias("completed_at"))
+    updates = spark.createDataFrame([(1, 1, "blocked"), (1, 2, "completed"), (2, 1, None), (3, 1, "pending")], "id long, seq long, status string")
+    got = {r.id: (r.status, str(r.completed_at)) for r in apply_task_updates(tasks, updates, "2024-02-01 00:00:00").collect()}
+    assert got == {1: ("completed", "2024-02-01 00:00:00"), 2: ("completed", "2024-01-01 00:00:00"), 3: ("pending", "None")}

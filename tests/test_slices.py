@@ -88,3 +88,16 @@ def test_number_rows(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).alias("o"))
     got = number_rows(df, ["k"], ["o"], target=10).orderBy("o").collect()
     assert [r.idx for r in got] == list(range(1000))
+
+
+def test_dense_stretches_are_cut_again(spark):
+    """Most rows crowd into a sliver of the range: no slice may keep them all."""
+    from colloquy.plans.hot import SLICE, slice_keys
+
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.when(F.col("id") < 10, F.col("id") * 1e6).otherwise(5e5 + F.col("id") / 1e3).alias("o"))
+    cut, any_cut = slice_keys(rows, ["k"], "o", 100)
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert any_cut and sum(sizes) == 4000 and max(sizes) <= 200
+    got = number_rows(rows, ["k"], ["o"], target=100).orderBy("o").collect()
+    assert [r.idx for r in got] == list(range(4000))
+    assert slice_keys(rows, ["k"], "o", 5000)[1] is False
