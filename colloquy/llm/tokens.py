@@ -11,12 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Sequence
+from struct import pack
 
 import numpy as np
 
-KEPT = 700_000
-_MARK = "<|endoftext|>"
+KEPT = 700000
+#: letters, then ASCII marks
+_MARKED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -40,7 +43,7 @@ def codec(path: str) -> "Codec":
 class Codec:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes]
         self.chunked = False
         if path.endswith(".model"):
             import sentencepiece
@@ -55,7 +58,8 @@ class Codec:
         with open(path, encoding="utf-8") as file:
             shape = json.load(file)
         self.chunked = self._drops_space(shape)
-        self.mark = next((x["id"] for x in shape.get("added_tokens", ()) if x["content"] == _MARK), None)
+        if self.chunked:
+            self.known = Chunks(tokenizer)
 
     @staticmethod
     def _drops_space(shape: dict) -> bool:
@@ -65,37 +69,55 @@ class Codec:
         special = shape.get("added_tokens", ())
         return (
             first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
-            and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern")) and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
-            and any(x["content"] == _MARK for x in special) and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in special)
+            and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "") and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and shape["model"].get("end_of_word_suffix") == "</w>"
+            and all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or " " in x["content"]) for x in special)
         )
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Ask the library for new chunks: one text, with a special token between them that no chunk holds."""
-        odd = [x for x in chunks if b"<|" in x]
-        plain = [x for x in chunks if b"<|" not in x]
-        for chunk, ids in zip(odd, self.encode_all([x.decode() for x in odd])):
-            self.known[chunk] = np.array(ids, "<u4").tobytes()
-        if not plain:
-            return
-        ids = np.array(self.encode_all([_MARK.join(x.decode() for x in plain)])[0], "<u4")
-        packed, begin = ids.tobytes(), 0
-        for chunk, end in zip(plain, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(packed)]):
-            self.known[chunk] = packed[begin:end]
-            begin = end + 4
-
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
         if not self.chunked:
             return [np.array(ids, "<u4").tobytes() for ids in self.encode_all([x.decode() for x in texts])]
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
-        # a point or comma after a letter is a token of its own
-        tails = [x for x in new if x[-1:] in b".," and len(x) > 1 and x[-2:-1].isalpha() and b"<|" not in x]
-        stems = {x[:-1] for x in tails} | ({b".", b","} if tails else set())
-        self._learn(list((new.difference(tails) | stems) - self.known.keys()))
-        known = self.known
-        for x in tails:
-            known[x] = known[x[:-1]] + known[x[-1:]]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        ids = self.known
+        if len(ids) > KEPT:
+            ids.clear()
+        return [b"".join(map(ids.__getitem__, (x if b"<|" in x else x.lower()).split())) for x in texts]
+
+
+class Chunks(dict):
+    """Ids of chunks without white space, from the library for each new one.
+
+    A chunk of Latin letters is one word, which the library's model takes as it is. A
+    run of ASCII marks behind such a word stands for itself. Others go through the
+    whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        self.whole, self.model = tokenizer, tokenizer.model
+        # bytes as the characters that stand for them in the vocabulary
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.visible = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in shown)}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = self._word(chunk)
+        if word is not None:
+            ids = [x.id for x in self.model.tokenize(word)]
+            packed = pack(f"<{len(ids)}I", *ids)
+        elif (marked := _MARKED.fullmatch(chunk)) and self._word(marked[1]) is not None:
+            packed = self[marked[1]] + self[marked[2]]
+        else:
+            ids = self.whole.encode(chunk.decode(), add_special_tokens=False).ids
+            packed = pack(f"<{len(ids)}I", *ids)
+        self[chunk] = packed
+        return packed
+
+    def _word(self, chunk: bytes) -> str | None:
+        """The model's text of a chunk of Latin letters."""
+        if chunk.isalpha():
+            return chunk.decode().lower()
+        if chunk.isascii():
+            return None
+        text = chunk.decode()
+        if not text.isalpha() or max(text) > "\xff":
+            return None
+        return text.lower().encode().decode("latin-1").translate(self.visible)
