@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, line_labels, packing, token_counts
+from colloquy.llm import cotraining, decontaminate, line_labels, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, lines = line_labels.judge_lines(docs, line_labels.train(docs, table(spark, sf_dir, "labels")))
     counts = [lines[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, line_labels.base_failed(lines).alias("base_failed"), line_labels.kept(lines).alias("kept"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored, quality = cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    columns = [quality[x].alias(x) for x in ("text_probability", "meta_probability", "probability")]
+    return scored.select("doc_id", *columns, cotraining.accepted(quality).alias("accepted"))

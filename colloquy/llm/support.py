@@ -145,3 +145,41 @@ def lowered(data: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def vector_sum(frame: DataFrame, fold, size: int, kind: str = "<f8", block: int = 1024) -> np.ndarray:
+    """Sum over all tasks of the vector of ``size`` numbers that ``fold(batches)`` gives for a task's rows.
+
+    The size is fixed before, so what comes to the driver is bounded. Vectors travel in
+    blocks, each added up by one task as they come; ``fold`` returns None for no rows.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = fold(batches)
+        if total is not None:
+            total = np.ascontiguousarray(total, kind)
+            used = [k for k in range(0, size, block) if total[k: k + block].any()]
+            for at in range(0, len(used), 64):
+                part = used[at: at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k // block for k in part], pa.int32()), pa.array([total[k: k + block].tobytes() for k in part], pa.binary())],
+                    names=["block", "numbers"],
+                )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(numbers, kind)
+                if k in sums:
+                    sums[k] += part
+                else:
+                    sums[k] = part.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "numbers"])
+
+    shape = "block int, numbers binary"
+    total = np.zeros(size, kind)
+    for row in frame.mapInArrow(cut, shape).repartition("block").mapInArrow(add, shape).collect():
+        part = np.frombuffer(row.numbers, kind)
+        total[row.block * block: row.block * block + len(part)] = part
+    return total
