@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cotraining, decontaminate, line_labels, packing, token_counts
+from colloquy.llm import cotraining, decontaminate, jaccard, line_labels, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, quality = cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
     columns = [quality[x].alias(x) for x in ("text_probability", "meta_probability", "probability")]
     return scored.select("doc_id", *columns, cotraining.accepted(quality).alias("accepted"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link_documents(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id", "n_links")
