@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cotraining, decontaminate, jaccard, line_labels, packing, token_counts, url_filter, warc
+from colloquy.llm import cotraining, decontaminate, jaccard, language_model, line_labels, packing, token_counts, url_filter, warc
 from colloquy.llm.support import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "tokens")
+
+
+@query
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
