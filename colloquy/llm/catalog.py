@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import cotraining, decontaminate, jaccard, language_model, line_labels, packing, token_counts, url_filter, warc
+from colloquy.llm import (
+    cotraining, decontaminate, jaccard, language_model, licenses, line_labels, packing, token_counts, url_filter, warc,
+)
 from colloquy.llm.support import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +90,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))

@@ -1,4 +1,8 @@
-"""Corpus preparation: five stages from raw documents to packed sequences."""
+"""Corpus preparation: five stages from raw documents to packed sequences.
+
+Each stage is one operator over all that the stage before kept, read again from
+Parquet; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing
+from colloquy.llm import cotraining, decontaminate, jaccard, line_labels, packing
 from colloquy.llm.support import settle
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the counts and whose lines are content."""
+    return line_labels.keep_content(docs, _table(spark, sf_dir, "labels"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    return cotraining.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 ids; one row per piece."""
+    """Sequences of at most 4096 ids; one row per piece of a document."""
     pieces = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near copies", near_copies),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
-#: no stage but the last counts of words can be stated in SQL; tests hold the stages against brute force
+#: fitted models and a tokenizer have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, from the table of documents."""
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
