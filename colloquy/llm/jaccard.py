@@ -25,8 +25,12 @@ from colloquy.llm.support import SPACED, byte_column, lowered, mix, prefix_hashe
 SHINGLE = 3
 THRESHOLD = (90, 100)
 ORDER_BITS = 20
-#: classes of an index list that are compared with each other; longer lists join their classes to one family
-LIST_CLASSES = 1024
+#: classes of an index list that meet pair by pair; longer ones go by blocks, and beyond the second number in parts
+LIST_PAIRS, LIST_CLASSES = 32, 1024
+#: marks of the ids whose sets are compared: a fixed size, more ids only let more rows through
+MARK_BITS = 20
+#: most bits of a set's parities
+PARITY_BITS = 1 << 14
 BLOCK = 64
 #: shingles and sets of a family block
 BLOCK_SHINGLES = 1 << 20
@@ -88,8 +92,20 @@ def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return vector_sum(docs.select("text"), fold, 1 << bits, "<i8", 8192)
 
 
+def _digest_sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums whose differences are the two numbers of a set's digest."""
+    sums = np.zeros((2, len(hashes) + 1), np.uint64)
+    np.cumsum(mix(hashes), out=sums[0, 1:])
+    np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
+    return sums
+
+
+def _mark_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 def _documents(docs: DataFrame, size: int, threshold: tuple[int, int], bits: int) -> DataFrame:
-    """(doc_id, n, high, low, first): size and digest of each set, and its first shingles in the common order."""
+    """(doc_id, n, high, low, parity, first): size, digest and parities of each set, and its first shingles in the common order."""
     common = bucket_counts(docs, size, bits)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(common, 2**31 - 1).astype(np.int32))
 
@@ -99,30 +115,28 @@ def _documents(docs: DataFrame, size: int, threshold: tuple[int, int], bits: int
             hashes, first = shingle_sets(*byte_column(batch.column("text")), size)
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
-            sums = np.zeros((2, len(hashes) + 1), np.uint64)
-            np.cumsum(mix(hashes), out=sums[0, 1:])
-            np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
             order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - bits)).astype(np.int64)], owner))
             keep = n - least_overlap(n, -(-n * threshold[0] // threshold[1]), threshold) + 1
             rank = np.arange(len(hashes)) - first[owner]
             prefix = signed(hashes[order][rank < keep[owner]])
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, np.minimum(keep, n), 0))])
-            digest = [signed(sums[k][first[1:]] - sums[k][first[:-1]]) for k in (0, 1)]
+            digest = [signed(x[first[1:]] - x[first[:-1]]) for x in _digest_sums(hashes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x) for x in digest), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix))],
-                names=["doc_id", "n", "high", "low", "first"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x) for x in digest), pa.array(parities(hashes, first), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix))],
+                names=["doc_id", "n", "high", "low", "parity", "first"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, high long, low long, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, high long, low long, parity binary, first array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
-    """Groups of neighbouring rows with the same keys, and whether the group is longer than ``most``.
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, bool]]:
+    """Rows in whole groups of neighbours with the same keys: columns, the groups' first rows and one past the last, False.
 
-    A longer group comes in parts, each starting with the last row of the part before.
+    A group longer than ``most`` comes alone in parts, marked True, each starting with
+    the last row of the part before.
     """
     held: pa.Table | None = None
-    long_ = False
+    part = False
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
@@ -132,22 +146,64 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None =
         change = np.zeros(held.num_rows - 1, bool)
         for x in keys:
             change |= columns[x][1:] != columns[x][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for begin, end in zip(cuts[:-1], cuts[1:]):
-            if end - begin > 1:
-                yield {k: v[begin:end] for k, v in columns.items()}, long_
-            long_ = False
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        if part and len(cuts) > 1:
+            yield {k: v[: cuts[1]] for k, v in columns.items()}, cuts[:2], True
+            cuts, part = cuts[1:], False
+        if len(cuts) > 1:
+            yield {k: v[cuts[0]: cuts[-1]] for k, v in columns.items()}, cuts - cuts[0], False
         begin = cuts[-1]
         if most and held.num_rows - begin > most:
-            yield {k: v[begin:] for k, v in columns.items()}, True
-            begin, long_ = held.num_rows - 1, True
+            columns = {k: v[begin:] for k, v in columns.items()}
+            yield columns, np.array([0, held.num_rows - begin]), True
+            begin, part = held.num_rows - 1, True
         held = held.slice(begin)
-    if held is not None and held.num_rows > 1:
-        yield {x: held.column(x).to_numpy() for x in held.column_names}, long_
-
-
-def list_edges(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the classes of an index list that holds all pairs that may reach the threshold.
+    if held is not None and held.num_rows:
+        yield {x: held.column(x).to_numpy() for x in held.column_names}, np.array([0, held.num_rows]), part
+
+
+def short_pairs(rows: dict[str, np.ndarray], cuts: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of classes within short lists that their positions and sizes allow."""
+    size = np.diff(cuts)
+    group = np.repeat(np.where(size <= LIST_PAIRS, np.arange(len(size)), -1 - np.arange(len(size))), size)
+    ids, n, place = rows["id"], rows["n"], rows["place"]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, LIST_PAIRS):
+        x = np.flatnonzero((group[step:] == group[:-step]) & (group[step:] >= 0))
+        if not len(x):
+            break
+        y = x + step
+        most = np.minimum(place[x], place[y]) + 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+        fits = (most >= least_overlap(n[x], n[y], threshold)) & (ids[x] != ids[y])
+        a.append(ids[x[fits]])
+        b.append(ids[y[fits]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def parities(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set, the parities of how many shingles fall into each of a power of two of buckets, about half its size."""
+    n = np.diff(first)
+    bits = np.minimum(PARITY_BITS, np.where(n > 16, 1 << np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64), 8))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bucket = begin[owner] + (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(bucket, minlength=begin[-1]) & 1 > 0, bitorder="little").tobytes()
+    return [packed[a // 8: b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """A bound from below on the shingles that only one of two sets has, from their parities."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(b)
+    while size >= 8 * len(a):
+        y = (y >> size) ^ (y & (1 << size) - 1)
+        size //= 2
+    return (x ^ y).bit_count()
+
+
+def long_list(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the classes of a long index list that holds all pairs that may reach the threshold.
 
     The list stands in blocks by position. What two sets can share is bounded by the
     smaller position, the shingle itself and what comes behind it; a block whose bound
@@ -276,36 +332,45 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     threshold[0] * union. ``class_id`` is the smallest doc_id with the same set,
     ``component_id`` the smallest one that links reach, ``n_links`` the number of other
     rows that the row links with. Null and word-less texts have the empty set, link with
-    nothing and are their own component. A row with a null doc_id counts for links and
-    takes its class's component, null where no row of it has an id. Repeated rows stay,
-    other columns are ignored, an empty table gives no rows.
+    nothing and are their own component. A row with a null doc_id links with nothing and
+    has a null component. Repeated rows stay; rows of one doc_id are expected to have one
+    text. Other columns are ignored, an empty table gives no rows.
     """
     documents = settle(_documents(docs, size, threshold, bits), "jaccard-documents")
-    classes = documents.where("n > 0").groupBy("n", "high", "low").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
-    classes = settle(classes, "jaccard-classes")
-    named = classes.where("id is not null")
+    classes = documents.where("n > 0 and doc_id is not null").groupBy("n", "high", "low").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
+    named = classes = settle(classes, "jaccard-classes")
 
     def join_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for rows, long_ in _runs(batches, ["shingle"], LIST_CLASSES):
-            found.append((rows["id"][1:], rows["id"][:-1]) if long_ else list_edges(rows, threshold))
-            held += len(found[-1][0])
-            if held > 100_000:
-                yield edges_of(found)
-                found, held = [], 0
-        if found:
-            yield edges_of(found)
-
-    def edges_of(found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for rows, cuts, part in _groups(batches, ["shingle"], LIST_CLASSES):
+            if part:
+                # a part's classes meet at its smallest id, and the next part at its last row
+                yield edges_of(rows["id"], np.full(len(rows["id"]), rows["id"].min()), False)
+                continue
+            yield edges_of(*short_pairs(rows, cuts, threshold), True)
+            for k in np.flatnonzero(np.diff(cuts) > LIST_PAIRS):
+                yield edges_of(*long_list({x: v[cuts[k]: cuts[k + 1]] for x, v in rows.items()}, threshold), False)
+
+    def edges_of(a: np.ndarray, b: np.ndarray, checked: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), checked))], names=["a", "b", "checked"])
+
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in ("n", "m", "x", "y"))
+            fits = [fewest_differences(p, q) <= i + j - 2 * least_overlap(i, j, threshold) for i, j, p, q in zip(n, m, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     first = documents.select("doc_id", "n", "high", "low", "first").join(
         named.select(F.col("id").alias("doc_id"), "n", "high", "low"), ["doc_id", "n", "high", "low"], "left_semi"
     ).select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("place", "shingle"))
     lists = first.select("shingle", "id", F.col("n"), F.col("place").cast("long").alias("place"))
     lists = lists.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    families = components(lists.mapInArrow(join_lists, "a long, b long"), "families")
+    edges = settle(lists.mapInArrow(join_lists, "a long, b long, checked boolean").where("a != b").distinct(), "jaccard-pairs")
+    # pairs of short lists have to pass the parities of both sets
+    parity = documents.select("doc_id", "n", "high", "low", "parity").join(named.select(F.col("id").alias("doc_id"), "n", "high", "low"), ["doc_id", "n", "high", "low"], "left_semi")
+    pairs = edges.where("checked").join(parity.select(F.col("doc_id").alias("a"), "n", F.col("parity").alias("x")), "a")
+    pairs = pairs.join(parity.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b")
+    pairs = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(may_link, "a long, b long")
+    families = components(pairs.union(edges.where("not checked").select("a", "b")), "families")
     members = families.join(named, "id").select("id", F.col("root").alias("family"), "n", "high", "low", "weight")
     members = settle(members, "jaccard-members")
     blocks = members.groupBy("family").agg(
@@ -313,18 +378,29 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     )
     wanted = members.join(blocks, "family").select(F.col("id").alias("doc_id"), "family", "high", "low", "weight", "blocks")
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        marks = np.zeros(1 << MARK_BITS, np.int32)
+        for batch in batches:
+            marks[_mark_of(batch.column("doc_id").to_numpy())] = 1
+        return marks
+
+    marks = docs.sparkSession.sparkContext.broadcast(vector_sum(wanted.select("doc_id"), mark, 1 << MARK_BITS, "<i4", 8192) > 0)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text"):
-            hashes, at = shingle_sets(*byte_column(batch.column("text")), size)
-            digests = np.zeros(len(hashes) + 1, np.uint64)
-            np.cumsum(mix(hashes), out=digests[1:])
-            same = signed(digests[at[1:]] - digests[at[:-1]]) == batch.column("high").to_numpy()
-            packed = signed(hashes).tobytes()
-            out = batch.drop_columns(["text", "high", "low"]).append_column("shingles", pa.array([packed[8 * a: 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary()))
-            yield out.filter(pa.array(same))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    texts = texts.mapInArrow(sets, "doc_id long, family long, weight long, blocks int, shingles binary")
+        # rows whose id is not marked go before anything is shuffled
+        for batch in batches:
+            batch = batch.filter(pa.array(marks.value[_mark_of(batch.column("doc_id").to_numpy())]))
+            for part in slabs(iter([batch]), "text"):
+                hashes, at = shingle_sets(*byte_column(part.column("text")), size)
+                digests = [signed(x[at[1:]] - x[at[:-1]]) for x in _digest_sums(hashes)]
+                packed = signed(hashes).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *(pa.array(x) for x in digests), pa.array([packed[8 * a: 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                    names=["doc_id", "high", "low", "shingles"],
+                )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = texts.mapInArrow(sets, "doc_id long, high long, low long, shingles binary").join(wanted, ["doc_id", "high", "low"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = texts.withColumnRenamed("doc_id", "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select(
@@ -333,17 +409,19 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     )
 
     def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in _runs(batches, ["family", "low", "high"]):
-            _, once = np.unique(rows["id"], return_index=True)
-            columns = family_links({k: v[once] for k, v in rows.items()}, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "links"])
+        for rows, cuts, _ in _groups(batches, ["family", "low", "high"]):
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                _, once = np.unique(rows["id"][begin:end], return_index=True)
+                columns = family_links({k: v[begin:end][once] for k, v in rows.items()}, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "links"])
 
     pairs = pairs.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
     links = settle(pairs.mapInArrow(join_blocks, "a long, b long, links long"), "jaccard-links")
     roots = components(links, "components").withColumnRenamed("id", "class_id")
     degrees = links.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     classes = classes.withColumnRenamed("id", "class_id").join(roots, "class_id", "left").join(degrees, "class_id", "left")
-    joined = documents.drop("first").join(classes, ["n", "high", "low"], "left")
+    joined = documents.drop("first", "parity").withColumn("known", F.col("doc_id").isNotNull())
+    joined = joined.join(classes.withColumn("known", F.lit(True)), ["n", "high", "low", "known"], "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "class_id")).alias("component_id"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
