@@ -61,7 +61,7 @@ class Packer:
     def __init__(self, capacity: int, pool: int, first_id: int):
         self.capacity, self.pool = capacity, pool
         self.items: dict[int, list] = defaultdict(list)
-        self.waiting, self.next_id = 0, first_id
+        self.waiting, self.tokens, self.next_id = 0, 0, first_id
         self.out: list[tuple] = []
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -72,15 +72,14 @@ class Packer:
         if begin < total:
             self._keep((doc_id, begin, ids[4 * begin:], total))
         if self.waiting >= self.pool:
-            while self.waiting > self.pool // 4:
+            while self.waiting > self.pool // 4 and self.tokens >= self.capacity:
                 self._place(self._window())
 
     def finish(self) -> None:
         """Pack what is left; the last lengths go to windows of a power of two, which need no padding."""
-        left = sum(length * len(x) for length, x in self.items.items())
-        while left >= self.capacity:
+        while self.tokens >= self.capacity:
             self._place(self._window())
-            left -= self.capacity
+        left = self.tokens
         rest = [x for length in sorted(self.items, reverse=True) for x in self.items[length]]
         self.items.clear()
         while left:
@@ -98,6 +97,7 @@ class Packer:
     def _keep(self, item: tuple) -> None:
         self.items[len(item[2]) // 4].append(item)
         self.waiting += 1
+        self.tokens += len(item[2]) // 4
 
     @staticmethod
     def _cut(item: tuple, length: int) -> tuple[tuple, tuple]:
@@ -110,6 +110,7 @@ class Packer:
         if not items:
             del self.items[length]
         self.waiting -= 1
+        self.tokens -= length
         return item
 
     def _window(self) -> list[tuple]:
