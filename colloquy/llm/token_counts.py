@@ -54,11 +54,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
     text = content(F.col("text"))
     keyed = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("content_digest"))
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
-    # one row stands for each distinct content that the cache lacks
-    missing = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("id")).join(stored, "content_digest", "left_anti")
-    missing = missing.withColumnRenamed("content_digest", "digest")
-    rows = keyed.join(missing, (F.col("content_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    new = rows.select("content_digest", "text").mapInArrow(_encode(tokenizer), "content_digest string, n_tokens long")
+    # copies of a content are combined before the shuffle; what the cache lacks is encoded once
+    distinct = keyed.groupBy("content_digest").agg(F.first("text").alias("text"))
+    new = distinct.join(stored, "content_digest", "left_anti").select("content_digest", "text")
+    new = new.mapInArrow(_encode(tokenizer), "content_digest string, n_tokens long")
     new.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
     return keyed.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")).join(stored, "content_digest").select(
