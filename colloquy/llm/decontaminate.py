@@ -41,7 +41,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(depth):
         following = np.zeros(n, np.int64)
-        following[: n - k] = symbols[k:]
+        following[: max(0, n - k)] = symbols[k:]
         key = (key << bits) | np.where(open_, following, 0)
         open_ &= following > 0
     order = np.argsort(key)
