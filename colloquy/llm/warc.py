@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.support import settle
+
 #: payloads of at least so many bytes are compared
 REVISIT_BYTES = 1000
 #: records per archive file; a file is read as one row
@@ -55,6 +57,8 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     # only digests that occur with several pages go back to the rows
     copies = rows.where(f"size >= {REVISIT_BYTES} and page_id is not null").groupBy(F.col("digest").alias("same"), F.col("size").alias("as_large"))
     copies = copies.agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).where("first != least").drop("least")
+    # with its size known, a small table of copies meets the pages without a shuffle of their html
+    copies = settle(copies, "page-copies")
     joined = rows.join(copies, (F.col("digest") == F.col("same")) & (F.col("size") == F.col("as_large")), "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
     line = "\r\n"
