@@ -89,27 +89,23 @@ def meeting_markdown(spark, d):
 
 
 @query("S09_meeting_report", with_(MEETINGS, TASKS) + f"""
-, k AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY id) AS r, * EXCLUDE (meeting_id) FROM tasks QUALIFY r <= 3),
-a AS (SELECT meeting_id, string_agg(r || '. **' || title || '**' || chr(10) || '   - 负责人: u' || assignee_id || coalesce(chr(10) || '   - 截止日期: ' || {stamp('due_date')}, ''), chr(10) ORDER BY r) AS items FROM k GROUP BY 1)
-SELECT id, '# 会议报告: ' || title || chr(10) || chr(10) || '**会议ID**: ' || id || chr(10) || chr(10) || '## 会议信息' || chr(10) || chr(10) || '- **日期**: 未知' || chr(10) || '- **时长**: ' || owner_id
+, k AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY id) AS r, * EXCLUDE (meeting_id) FROM tasks),
+a AS (SELECT meeting_id, (r - 1) // 8 AS part, string_agg(r || '. **' || title || '**' || chr(10) || '   - 负责人: u' || assignee_id || coalesce(chr(10) || '   - 截止日期: ' || {stamp('due_date')}, ''), chr(10) ORDER BY r) AS items FROM k GROUP BY 1, 2)
+SELECT meeting_id AS id, part, items AS report FROM a WHERE part > 0 UNION ALL
+SELECT id, 0, '# 会议报告: ' || title || chr(10) || chr(10) || '**会议ID**: ' || id || chr(10) || chr(10) || '## 会议信息' || chr(10) || chr(10) || '- **日期**: 未知' || chr(10) || '- **时长**: ' || owner_id
   || '分钟' || chr(10) || '- **参与者**: ' || CASE WHEN id % 2 = 0 THEN 'Ann, ' || description ELSE '未知' END || chr(10) || chr(10) || '## 会议摘要' || chr(10) || chr(10) || description
   || coalesce(chr(10) || chr(10) || '## 行动项' || chr(10) || chr(10) || items, '') || chr(10) || chr(10) || '## 关键主题' || chr(10) || chr(10) || '- **' || description || '**' || chr(10) || '  - 关键词: ' || status || ', ' || description
-  || chr(10) || chr(10) || '## 会议决策' || chr(10) || chr(10) || '- ' || status AS report FROM meetings LEFT JOIN a ON a.meeting_id = id""")
+  || chr(10) || chr(10) || '## 会议决策' || chr(10) || chr(10) || '- ' || status AS report FROM meetings LEFT JOIN a ON a.meeting_id = id AND a.part = 0""")
 def meeting_report(spark, d):
-    from pyspark.sql import Window
-
-    first = t.tasks(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("meeting_id").orderBy("id"))).filter("r <= 3")
-    item = F.struct(
-        "r", F.col("title").alias("description"), F.concat(F.lit("u"), F.col("assignee_id").cast("string")).alias("assignee"),
-        F.date_format("due_date", FMT).alias("due_date"),
+    items = t.tasks(spark, d).select(
+        F.col("meeting_id").alias("id"), F.col("id").alias("task_id"), F.col("title").alias("description"),
+        F.concat(F.lit("u"), F.col("assignee_id").cast("string")).alias("assignee"), F.date_format("due_date", FMT).alias("due_date"),
     )
-    items = first.groupBy(F.col("meeting_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("action_items"))
     names = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Ann, "), "description"))
     rows = t.meetings(spark, d).withColumn("_p", names).withColumn("participants", out.participants("_p"))
     rows = rows.withColumn("date", F.lit(None).cast("string")).withColumn("minutes", F.col("owner_id")).withColumn("summary", F.col("description"))
     rows = rows.withColumn("key_topics", F.array(F.struct(F.col("description").alias("name"), F.array("status", "description").alias("keywords"))))
-    rows = rows.withColumn("decisions", F.array("status")).join(items, "id", "left")
-    return out.meeting_report(rows)
+    return out.report_parts(rows.withColumn("decisions", F.array("status")), items, 8)
 
 
 @query("S10_pick_summary", f"""
@@ -238,12 +234,12 @@ def lowered(c: str) -> str:
 SELECT doc_id, length(s) >= 20 AND NOT regexp_matches(s, '(?i){"|".join(P.refusals)}') AND (doc_id % 5 = 1 OR NOT (len(list_intersect(mine, theirs)) = 0
     AND len(list_filter(mine, lambda w: contains(lower(text), w))) = 0 AND len(mine) >= 8 AND len(theirs) >= 20)) AS accepted
 FROM (SELECT doc_id, text, s, {lowered('s')} AS mine, {lowered('text')} AS theirs FROM (SELECT doc_id, text, {sql_strip('''CASE doc_id % 5 WHEN 0 THEN 'Alas I cannot ACCESS this recording' WHEN 1 THEN
-  'zqxa zqxb zqxc zqxd zqxe zqxf zqxg zqxh zqxi' WHEN 2 THEN 'zqxa zqxb zqxc zqxd zqxe zqxf zqxg zqxh zqxi' WHEN 3 THEN 'tiny' ELSE substr(text, 1, 120) END''')} AS s FROM documents))""")
+  'zqxa zqxb zqxc zqxd zqxe zqxf zqxg zqxh zqxi' WHEN 2 THEN 'zqxa zqxb zqxc zqxd zqxe zqxf zqxg zqxh zqxi' WHEN 3 THEN 'tiny' ELSE text END''')} AS s FROM documents))""")
 def summary_ok(spark, d):
     k, far = F.col("doc_id") % 5, "zqxa zqxb zqxc zqxd zqxe zqxf zqxg zqxh zqxi"
     none = F.array().cast("array<string>")
     summary = (
-        F.when(k == 0, "Alas I cannot ACCESS this recording").when(k.isin(1, 2), far).when(k == 3, "tiny").otherwise(F.substring("text", 1, 120))
+        F.when(k == 0, "Alas I cannot ACCESS this recording").when(k.isin(1, 2), far).when(k == 3, "tiny").otherwise(F.col("text"))
     )
     rows = docs(spark, d).withColumn("summary", summary).withColumn("source", F.col("text")).withColumn("key_topics", none)
     rows = rows.withColumn("decisions", F.when(k == 1, F.array(F.lit("go"))).otherwise(none)).withColumn("open_issues", none)

@@ -457,7 +457,7 @@ def cluster_documents(spark, d):
 
 _EVO = f"""f AS (SELECT lang, source, lower(w) AS token, count(*) AS n FROM (SELECT lang, source, unnest(regexp_extract_all(text, '{P.topic_token}')) AS w FROM documents)
   WHERE lower(w) NOT IN {sql_list(P.stopwords)} GROUP BY ALL),
-t AS (SELECT lang, source, token FROM f QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, token) <= 12),
+t AS (SELECT lang, source, token FROM f WHERE n >= 2),
 p AS (SELECT lang, source, list_sort(list(token)) AS now FROM t GROUP BY ALL),
 q AS (SELECT *, lag(source) OVER w AS prev, lag(now) OVER w AS was FROM p WINDOW w AS (PARTITION BY lang ORDER BY source))"""
 
@@ -467,13 +467,10 @@ SELECT lang, prev AS from_period, source AS to_period, array_to_string(list_sort
   array_to_string(list_sort(list_filter(was, lambda v: NOT list_contains(now, v)))[1:5], '|') AS disappeared_topics,
   array_to_string(list_sort(list_filter(now, lambda v: list_contains(was, v)))[1:5], '|') AS persistent_topics FROM q WHERE prev IS NOT NULL""")
 def topic_evolution(spark, d):
-    from pyspark.sql import Window
-
     words = docs(spark, d).select("lang", "source", F.explode(x.tokens("text", P, "topic")).alias("token")).withColumn("token", F.lower("token"))
     counts = words.filter(~F.col("token").isin(*P.stopwords)).groupBy("lang", "source", "token").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("lang", "source").orderBy(F.col("n").desc(), "token")
-    top = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 12)
-    out = tp.topic_evolution(top, "source", ["lang"])
+    # a period's topics are all words it has at least twice
+    out = tp.topic_evolution(counts.filter(F.col("n") >= 2), "source", ["lang"])
     return out.select("lang", "from_period", "to_period", *[F.array_join(c, "|").alias(c) for c in ("new_topics", "disappeared_topics", "persistent_topics")])
 
 
@@ -520,9 +517,9 @@ def keyword_hits(spark, d):
 @query("U07_merge_labels", f"""
 SELECT doc_id, (SELECT string_agg(v, '|' ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(l) AS v, unnest(range(len(l))) AS i) WHERE v <> '' GROUP BY v)) AS labels
 FROM (SELECT doc_id, list_transform(list_concat(a, b), lambda w: {sql_strip('w')}) AS l FROM (
-  SELECT doc_id, string_split(text, ' ')[1:6] AS a, {PIECES}[1:2] AS b FROM documents))""")
+  SELECT doc_id, string_split(text, ' ') AS a, {PIECES} AS b FROM documents))""")
 def merge_labels(spark, d):
-    rows = docs(spark, d).select("doc_id", F.slice(F.split("text", " "), 1, 6).alias("a"), F.slice(x.sentences("text", P), 1, 2).alias("b"))
+    rows = docs(spark, d).select("doc_id", F.split("text", " ").alias("a"), x.sentences("text", P).alias("b"))
     return rows.select("doc_id", F.array_join(tp.merge_labels(F.col("a"), F.col("b")), "|").alias("labels"))
 
 
@@ -550,8 +547,9 @@ def _features(spark, d):
     )
 
 
-_FEATS = """f AS (SELECT vec_id // 50 // 5 AS meeting_id, vec_id // 50 AS chunk_id, CAST(label AS BIGINT) AS speaker,
-  arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS vec FROM embeddings GROUP BY ALL)"""
+_FEATS = """f AS (SELECT chunk_id // 5 AS meeting_id, chunk_id, speaker, list(m ORDER BY dim) AS vec FROM (
+  SELECT chunk_id, speaker, dim, avg(v) AS m FROM (SELECT vec_id // 50 AS chunk_id, CAST(label AS BIGINT) AS speaker,
+    unnest(range(len(embedding))) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY ALL) GROUP BY ALL)"""
 _PAIRS = """pairs AS (SELECT a.meeting_id, a.chunk_id, a.speaker, b.speaker AS previous,
   (list_cosine_similarity(a.vec, b.vec) + 1) / 2 AS similarity FROM f a JOIN f b ON a.meeting_id = b.meeting_id AND a.chunk_id = b.chunk_id + 1)"""
 

@@ -125,16 +125,15 @@ def reminders(spark, d):
 
 
 @query("O04_sort_tasks", with_(TASKS) + """
-SELECT * FROM (SELECT 'newest' AS view, id FROM tasks ORDER BY created_at DESC, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'oldest', id FROM tasks WHERE status = 'completed' ORDER BY created_at, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'priority', id FROM tasks WHERE status <> 'completed'
-  ORDER BY CASE priority WHEN 'urgent' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, id LIMIT 100)
-UNION ALL SELECT * FROM (SELECT 'due', id FROM tasks ORDER BY due_date ASC NULLS LAST, id LIMIT 100)""")
+SELECT 'newest' AS view, id, row_number() OVER (ORDER BY created_at DESC, id) AS position FROM tasks
+UNION ALL SELECT 'oldest', id, row_number() OVER (ORDER BY created_at, id) FROM tasks WHERE status = 'completed'
+UNION ALL SELECT 'priority', id, row_number() OVER (
+  ORDER BY CASE priority WHEN 'urgent' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, id) FROM tasks WHERE status <> 'completed'
+UNION ALL SELECT 'due', id, row_number() OVER (ORDER BY due_date ASC NULLS LAST, id) FROM tasks""")
 def sort_tasks(spark, d):
     all_tasks = t.tasks(spark, d)
     views = [("newest", "all"), ("oldest", "completed"), ("priority", "pending"), ("due", "all")]
-    parts = [ops.sort_tasks(all_tasks, by, show).limit(100).select(F.lit(by).alias("view"), "id") for by, show in views]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return ops.task_positions(all_tasks, views).select("view", "id", "position")
 
 
 @query("O05_task_timeline", with_(TASKS) + f"""

@@ -364,12 +364,12 @@ def word_errors(reference, hypothesis) -> Column:
         return F.filter(F.split(F.coalesce(_col(c), F.lit("")), f"{WS}+"), lambda w: w != "")
 
     def distance(pair: Column) -> Column:
-        # code points 0x21 .. 0xD7FF; a pair with more distinct words is refused, not cut
-        code = lambda w: F.array_position(pair["v"], w) + 0x20
-        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 4, "0")), "UTF-16BE")
+        # code points from 0x21 on, without the surrogates; a pair with more words than there are has no distance
+        code = lambda n: F.when(n + 0x20 < 0xD800, n + 0x20).otherwise(n + 0x20 + 0x800)
+        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(code(F.array_position(pair["v"], w))), 8, "0")), "UTF-32")
         letters = lambda ws: F.array_join(F.transform(ws, one), "")
-        many = F.raise_error(F.lit("too many distinct words in a pair")).cast("bigint")
-        return F.when(F.size(pair["v"]) > 0xD7FF - 0x20, many).otherwise(F.levenshtein(letters(pair["r"]), letters(pair["h"])).cast("bigint"))
+        fits = F.size(pair["v"]) <= 0x10FFFF - 0x820
+        return F.when(fits, F.levenshtein(letters(pair["r"]), letters(pair["h"])).cast("bigint"))
 
     both = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
     listed = bind(both, lambda p: F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("v")))

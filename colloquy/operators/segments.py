@@ -27,7 +27,8 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
 
     Two levels: runs of the same speaker, and inside a run a break wherever a start lies
     beyond everything before it. The confidence is the fold ``(c + next) / 2``.
-    Segments are taken to end no earlier than they start.
+    Segments are taken to end no earlier than they start. Blank segments go, but a meeting
+    with blank ones only keeps them all as they are.
     """
     # cut by all segments, which needs no look at the texts
     rows, cut = slice_keys(seg, KEY, "start_time", target)
@@ -93,10 +94,14 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
     more = F.transform(F.slice("_p", 2, F.size("_p")), lambda p: F.concat(later(p["t"]), p["r"]))
     joined = strip(F.concat(F.col("_p")[0]["t"], F.col("_p")[0]["r"], F.array_join(more, "")))
     text = F.when(F.col("parts") == 1, F.col("_p")[0]["t"]).otherwise(joined)
+    silent = seg.groupBy(*KEY).agg(F.max(strip(F.coalesce("text", F.lit(""))) != "").alias("_said")).filter(~F.col("_said")).select(*KEY)
+    blank = seg.join(silent, KEY, "left_semi").select(
+        *KEY, "seg_no", "speaker", "start_time", "end_time", "text", confidence.alias("confidence"), F.lit(1).cast("bigint").alias("parts")
+    )
     return merged.select(
         *KEY, F.col("_island.seg_no").alias("seg_no"), "speaker", F.col("_island.start_time").alias("start_time"),
         "end_time", text.alias("text"), fold.alias("confidence"), "parts",
-    )
+    ).unionByName(blank)
 
 
 def utterance_blocks(

@@ -95,20 +95,19 @@ def top_tokens(
 def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 5) -> DataFrame:
     """Topics by keyword rules; frequent tokens fill up when fewer than two rules hit.
 
-    A row's keyword hits are one bit each, so the rows of a key combine by ``bit_or``.
+    A row's keyword hits are one bit each, 62 to a number, so the rows of a key combine by ``bit_or``.
     """
     df = df.withColumn("text", strip_tags(F.coalesce("text", F.lit(""))))
     text = F.col("text")
     words = [(r, w) for r, (_, ws) in enumerate(pack.topic_rules) for w in ws]
-    if len(words) > 62:
-        raise ValueError("topic rules hold at most 62 keywords")
-    mask = F.lit(0).cast("bigint")
+    names = [f"_m{n}" for n in range(-(-max(1, len(words)) // 62))]
+    bits = [F.lit(0).cast("bigint")] * len(names)
     for i, (_, w) in enumerate(words):
-        mask = mask.bitwiseOR(F.when(F.contains(text, F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    masks = df.select(*key, mask.alias("_m")).groupBy(*key).agg(F.bit_or("_m").alias("_m"))
+        bits[i // 62] = bits[i // 62].bitwiseOR(F.when(F.contains(text, F.lit(w)), F.lit(1 << i % 62)).otherwise(F.lit(0)).cast("bigint"))
+    masks = df.select(*key, *[b.alias(n) for b, n in zip(bits, names)]).groupBy(*key).agg(*[F.bit_or(n).alias(n) for n in names])
 
     def topic(r: int, name: str) -> Column:
-        found = F.array_compact(F.array(*[F.when(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)) for i, (q, w) in enumerate(words) if q == r]))
+        found = F.array_compact(F.array(*[F.when(F.col(names[i // 62]).bitwiseAND(F.lit(1 << i % 62)) != 0, F.lit(w)) for i, (q, w) in enumerate(words) if q == r]))
         return F.when(F.size(found) > 0, F.struct(F.lit(r).alias("pos"), F.lit(name).alias("name"), F.slice(found, 1, 4).alias("keywords")))
 
     rules = F.array_compact(F.array(*[topic(r, name) for r, (name, _) in enumerate(pack.topic_rules)]))

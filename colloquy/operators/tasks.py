@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.dates import as_time, days_between
 from colloquy.functions.text import strip
+from colloquy.plans.hot import number_rows
 
 # Rank of a priority, most pressing first; unknown counts as medium.
 PRIORITY_RANK = (("urgent", 0), ("high", 1), ("medium", 2), ("low", 3))
@@ -136,6 +137,25 @@ def sort_tasks(tasks: DataFrame, by: str = "newest", show: str = "all") -> DataF
     return tasks.orderBy(*order, "id")
 
 
+def task_positions(tasks: DataFrame, views) -> DataFrame:
+    """``(view, id, position)``: the place of each task in the orders of ``sort_tasks``, from 1, for views (by, show).
+
+    An order is cut into slices, so no task sorts a whole view.
+    """
+    time = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    never = F.lit(1e16)
+    at = {
+        "newest": F.coalesce(-time("created_at"), never), "oldest": F.coalesce(time("created_at"), -never),
+        "priority": -priority_weight().cast("double"), "due": F.coalesce(time("due_date"), never),
+    }
+    rows = None
+    for by, show in views:
+        shown = {"completed": F.col("status") == "completed", "pending": F.col("status") != "completed"}.get(show, F.lit(True))
+        part = tasks.filter(shown).select(F.lit(by).alias("view"), "id", at[by].alias("_at"))
+        rows = part if rows is None else rows.unionAll(part)
+    return number_rows(rows, ["view"], ["_at", "id"], "position").select("view", "id", (F.col("position") + 1).alias("position"))
+
+
 def task_timeline(items: DataFrame, unassigned: str = "待分配") -> DataFrame:
     label = F.when(F.length("description") > 30, F.concat(F.substring("description", 1, 30), F.lit("...")))
     return items.filter(F.col("due_date").isNotNull()).select(

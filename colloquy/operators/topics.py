@@ -128,16 +128,27 @@ def representatives(sents: DataFrame, topics: DataFrame, key: Sequence[str], n:
 def topic_evolution(keywords: DataFrame, period: str, within: Sequence[str] = (), top: int = 5) -> DataFrame:
     """New, gone and kept keywords of each period against the one before.
 
-    ``keywords`` is already cut to a few words per period, so the window sees one row each.
+    Words meet by join, so a period may have any number of them; only the first ``top`` of
+    each kind come together.
     """
-    sets = keywords.groupBy(*within, period).agg(F.array_sort(F.collect_set("token")).alias("_now"))
-    over = Window.partitionBy(*within).orderBy(period)
-    pairs = sets.withColumn("from_period", F.lag(period).over(over)).withColumn("_was", F.lag("_now").over(over))
-    cut = lambda a: F.slice(F.array_sort(a), 1, top)
-    return pairs.filter(F.col("from_period").isNotNull()).select(
-        *within, "from_period", F.col(period).alias("to_period"), cut(F.array_except("_now", "_was")).alias("new_topics"),
-        cut(F.array_except("_was", "_now")).alias("disappeared_topics"), cut(F.array_intersect("_now", "_was")).alias("persistent_topics"),
-    )
+    over = Window.partitionBy(*within).orderBy("to_period")
+    steps = keywords.select(*within, F.col(period).alias("to_period")).distinct()
+    steps = steps.withColumn("from_period", F.lag("to_period").over(over)).filter(F.col("from_period").isNotNull())
+    words = keywords.select(*within, F.col(period).alias("_period"), "token").distinct()
+    at = [*within, "from_period", "to_period"]
+
+    def of(side: str, mark: str) -> DataFrame:
+        return steps.join(words.withColumnRenamed("_period", side), [*within, side]).select(*at, "token", F.lit(True).alias(mark))
+
+    both = of("to_period", "_now").join(of("from_period", "_was"), [*at, "token"], "full")
+    kind = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "gone").otherwise("kept")
+    first = Window.partitionBy(*at, "_kind").orderBy("token")
+    few = both.withColumn("_kind", kind).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= top)
+    lists = few.groupBy(*at).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("token")))).alias(n)
+        for k, n in (("new", "new_topics"), ("gone", "disappeared_topics"), ("kept", "persistent_topics"))
+    ])
+    return steps.select(*at).join(lists, at, "left")
 
 
 def sanitize_topics(df: DataFrame, key: Sequence[str], n: int = 5, pack: RulePack = ZH) -> DataFrame:

@@ -105,18 +105,8 @@ def number_rows(
 
 
 def place_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows placed by key once, ahead of several steps that group by it.
-
-    The count is the session's shuffle setting, stated outright so that adaptive execution
-    does not merge these partitions: the work per row is far above its size on disk.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer splits than cores, placed by key; any other scan as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+    """Rows placed by key once, ahead of several steps that group by it; adaptive execution sizes the partitions."""
+    return df.repartition(*keys)
 
 
 def durable(df: DataFrame) -> DataFrame:

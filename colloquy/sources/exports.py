@@ -125,6 +125,26 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame, tasks: DataFrame, c
     )
 
 
+def _item(v: Column, number: Column) -> Column:
+    line = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(label), c.cast("string")))
+    first = F.concat(number.cast("string"), F.lit(". **"), F.coalesce(v["description"], F.lit("未知任务")), F.lit("**"))
+    return F.concat_ws("\n", first, line("   - 负责人: ", v["assignee"]), line("   - 截止日期: ", v["due_date"]))
+
+
+def report_parts(docs: DataFrame, tasks: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Reports with every task of ``(id, task_id, description, assignee, due_date)``, long ones in parts.
+
+    Part 0 is the report with the first ``part_rows`` items, each later part goes on with
+    the list, so no row grows with a meeting's tasks.
+    """
+    numbered = number_rows(tasks.withColumn("_at", F.col("task_id").cast("double")), ["id"], ["_at", "task_id"], "number")
+    item = F.struct("number", "description", "assignee", "due_date")
+    parts = numbered.groupBy("id", F.floor(F.col("number") / part_rows).alias("part")).agg(F.array_sort(F.collect_list(item)).alias("action_items"))
+    first = meeting_report(docs.join(parts.filter("part = 0").drop("part"), "id", "left")).withColumn("part", F.lit(0).cast("bigint"))
+    lines = F.array_join(F.transform("action_items", lambda v: _item(v, v["number"] + 1)), "\n")
+    return first.unionByName(parts.filter("part > 0").select("id", lines.alias("report"), "part")).select("id", "part", "report")
+
+
 def meeting_report(docs: DataFrame, fmt: str = "markdown") -> DataFrame:
     """Report of ``(id, title, date, minutes, participants[], summary, action_items[], key_topics[], decisions[])``.
 
@@ -135,11 +155,6 @@ def meeting_report(docs: DataFrame, fmt: str = "markdown") -> DataFrame:
     if fmt != "markdown":
         raise ValueError(f"unsupported format {fmt}")
     t = lambda c: F.coalesce(c.cast("string"), F.lit("未知"))
-    line = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(label), c.cast("string")))
-
-    def item(v: Column, i: Column) -> Column:
-        first = F.concat((i + 1).cast("string"), F.lit(". **"), F.coalesce(v["description"], F.lit("未知任务")), F.lit("**"))
-        return F.concat_ws("\n", first, line("   - 负责人: ", v["assignee"]), line("   - 截止日期: ", v["due_date"]))
 
     def topic(v: Column) -> Column:
         words = F.when(F.size(v["keywords"]) > 0, F.concat(F.lit("  - 关键词: "), F.array_join(v["keywords"], ", ")))
@@ -153,7 +168,7 @@ def meeting_report(docs: DataFrame, fmt: str = "markdown") -> DataFrame:
     info = F.concat(F.lit("## 会议信息\n\n- **日期**: "), t(F.col("date")), F.lit("\n- **时长**: "), t(F.col("minutes")), F.lit("分钟\n- **参与者**: "), people)
     body = F.concat_ws(
         "\n\n", head, info, section("会议摘要", F.coalesce("summary", F.lit(""))),
-        section("行动项", F.array_join(F.transform("action_items", item), "\n")), section("关键主题", F.array_join(F.transform("key_topics", topic), "\n")),
+        section("行动项", F.array_join(F.transform("action_items", lambda v, i: _item(v, i + 1)), "\n")), section("关键主题", F.array_join(F.transform("key_topics", topic), "\n")),
         section("会议决策", F.array_join(F.transform("decisions", lambda v: F.concat(F.lit("- "), v)), "\n")),
     )
     return docs.select("id", body.alias("report"))

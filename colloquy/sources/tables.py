@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from colloquy.functions.text import strip
-from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys, spread
+from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys
 from colloquy.sources.schemas import TABLES
 
 AS_OF = "1998-08-01 00:00:00"
@@ -75,7 +75,7 @@ def normalize_segments(df: DataFrame, mode: str = "alternate", target: int = TAR
 
 def segments(spark: SparkSession, folder: str, target: int = TARGET_ROWS) -> DataFrame:
     """Conversation turns with a clock: a turn lasts 0.1 s per character."""
-    turns = spread(load(spark, folder, "conversations"), "conv_id", "turn").select(
+    turns = load(spark, folder, "conversations").select(
         F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), "text",
         F.length("text").cast("bigint").alias("_len"),
     )
@@ -152,7 +152,7 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(load(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return load(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
 def status_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,9 +163,16 @@ def status_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
-    """One voice vector per (chunk, label): the first embedding of the label in the chunk."""
+    """One voice vector per (chunk, label): the mean of the label's embeddings in the chunk, value by value.
+
+    A chunk is 50 vectors, which bounds what comes together here.
+    """
     rows = load(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 50).alias("chunk_id"), "vec_id", F.col("label").cast("bigint").alias("local_speaker"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
-    return rows.groupBy("chunk_id", "local_speaker").agg(F.min_by("vec", "vec_id").alias("vec"), F.min("vec_id").alias("vec_id"))
+    grouped = rows.groupBy("chunk_id", "local_speaker").agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", "vec"))).alias("_all"), F.min("vec_id").alias("vec_id")
+    )
+    total = F.aggregate(F.slice("_all.vec", 2, F.size("_all")), F.col("_all.vec")[0], lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
+    return grouped.select("chunk_id", "local_speaker", F.transform(total, lambda v: v / F.size("_all")).alias("vec"), "vec_id")
