@@ -33,28 +33,28 @@ def messages(ev):
         F.when(kind == "signup", F.lit("start: zh")).when(kind == "purchase", F.lit("end:"))
         .when(kind == "error", F.concat(F.lit("stop:"), k)).otherwise(F.concat(F.lit("audio_base64:"), k))
     )
-    return ev.select(F.col("user_id").alias("session_id"), "ts", text.alias("message"))
+    return ev.select(F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"), text.alias("message"))
 
 
-_SESSIONS = """m AS (SELECT user_id AS session_id, ts, event_type AS kind, props, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 12 HOURS THEN 1 ELSE 0 END AS nw
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM m),
-s AS (SELECT session_id, max(ts) FILTER (WHERE kind = 'signup') AS started_at, min(ts) FILTER (WHERE kind = 'purchase') AS ended_at,
-  count(*) FILTER (WHERE kind IN ('click', 'view')) AS chunks, CAST(coalesce(sum(length(props)) FILTER (WHERE kind IN ('click', 'view')), 0) AS BIGINT) AS encoded_size, max(ts) AS seen
-  FROM g GROUP BY session_id, part)"""
-_SESSION_COLS = f"session_id, 'zh' AS language, {stamp('started_at')} AS started_at, {stamp('ended_at')} AS ended_at, chunks, encoded_size"
+_SESSIONS = f"""WITH m AS (SELECT user_id AS session_id, ts, event_id, event_type AS kind, props,
+  count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM events),
+o AS (SELECT *, count(*) FILTER (WHERE kind = 'signup') OVER (PARTITION BY session_id, part ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0
+  AND kind IN ('click', 'view') AS chunk FROM m),
+s AS (SELECT session_id, min(ts) FILTER (WHERE kind = 'signup') AS started_at, max(ts) FILTER (WHERE kind = 'purchase') AS ended_at,
+  count(*) FILTER (WHERE chunk) AS chunks, CAST(coalesce(sum(length(props)) FILTER (WHERE chunk), 0) AS BIGINT) AS encoded_size FROM o GROUP BY session_id, part)
+SELECT session_id, 'zh' AS language, {stamp('started_at')} AS started_at, {stamp('ended_at')} AS ended_at, chunks, encoded_size
+FROM s WHERE started_at IS NOT NULL AND ended_at IS NOT NULL"""
 
 
-@query("R01_assemble_sessions", f"WITH {_SESSIONS} SELECT {_SESSION_COLS} FROM s WHERE started_at IS NOT NULL AND ended_at IS NOT NULL")
+@query("R01_assemble_sessions", _SESSIONS)
 def assemble_sessions(spark, d):
-    out = live.assemble_sessions(messages(events(spark, d)), "12 hours")
+    out = live.assemble_sessions(messages(events(spark, d)))
     return out.select("session_id", "language", *text_time("started_at", "ended_at"), "chunks", "encoded_size")
 
 
-@query("R01_assemble_sessions_stream", f"""WITH {_SESSIONS} SELECT {_SESSION_COLS} FROM s WHERE started_at IS NOT NULL AND ended_at IS NOT NULL
-  AND seen + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+@query("R01_assemble_sessions_stream", _SESSIONS)
 def assemble_sessions_stream(spark, d):
-    out = live.run_available(live.assemble_sessions(messages(stream(spark, d)), "12 hours"))
+    out = live.run_available(live.stream_sessions(messages(stream(spark, d))))
     return out.select("session_id", "language", *text_time("started_at", "ended_at"), "chunks", "encoded_size")
 
 

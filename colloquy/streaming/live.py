@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from colloquy.operators.changes import TERMINAL
 from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, slice_keys
@@ -57,24 +59,91 @@ def _watermark(df: DataFrame, at: str, delay: str) -> DataFrame:
 
 # --- sessions ---------------------------------------------------------------------------------------
 
-def assemble_sessions(messages: DataFrame, timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """One row per recording session that was opened and ended.
+def _parts(messages: DataFrame) -> DataFrame:
+    """Messages as (session_id, at, seq, language, size, ends): one of the last three says what a message is."""
+    m = F.col("message")
+    head = len("audio_base64:")
+    return messages.select(
+        "session_id", F.col("ts").alias("at"), "seq", F.when(m.startswith("start:"), F.trim(F.substring(m, 7, 2147483647))).alias("language"),
+        F.when(m.startswith("audio_base64:"), F.length(m) - head).cast("bigint").alias("size"), m.startswith("end:").alias("ends"),
+    )
+
+
+RECORDING = "session_id long, language string, started_at timestamp, ended_at timestamp, chunks long, encoded_size long"
 
-    ``messages(session_id, ts, message)``: ``start:<language>`` opens, ``audio_base64:...``
-    appends, ``end:`` closes. A session without end (a dropped connection) times out and is
-    left out. Only counters are kept, so a session may have any number of chunks.
+
+def assemble_sessions(messages: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
+    """One row per recording: a key may have any number of them, one after the other.
+
+    ``messages(session_id, ts, seq, message)`` in the order of (ts, seq): ``start:<language>``
+    opens, or changes the language of what is open; ``audio_base64:...`` appends; the first
+    ``end:`` closes. Messages while nothing is open are left out, and so is a recording that
+    never ends. Sessions above ``target`` messages are cut into slices.
     """
-    m = F.col("message")
-    chunk = m.startswith("audio_base64:")
-    at = _watermark(messages, "ts", delay)
-    grouped = at.groupBy("session_id", F.session_window("ts", timeout).alias("w")).agg(
-        F.max(F.when(m.startswith("start:"), F.struct("ts", F.substring(m, 7, 2147483647).alias("language")))).alias("_start"),
-        F.min(F.when(m.startswith("end:"), F.col("ts"))).alias("ended_at"), F.count_if(chunk).alias("chunks"),
-        F.sum(F.when(chunk, F.length(m) - len("audio_base64:")).otherwise(0)).alias("encoded_size"),
+    key = ["session_id"]
+    timed = _parts(messages).withColumn("_at", F.unix_micros("at"))
+    rows, cut = slice_keys(timed, key, "_at", target)
+    here = in_slice(key, "_at", "seq")
+    past = here.rowsBetween(-9223372036854775808, -1)
+    state = F.when(F.col("ends"), False).when(F.col("language").isNotNull(), True)
+    local = rows.withColumn("_closed", F.coalesce(F.sum(F.col("ends").cast("bigint")).over(past), F.lit(0))).withColumn("_is", F.last(state, True).over(past))
+
+    def earlier(ends: DataFrame, over) -> DataFrame:
+        before = earlier_slices(over)
+        return ends.select(*key, SLICE, F.sum("_ends").over(before).alias("_done"), F.last("_state", True).over(before).alias("_was"))
+
+    edges = [F.sum(F.col("ends").cast("bigint")).alias("_ends"), F.max_by(state, F.when(state.isNotNull(), F.struct("_at", "seq"))).alias("_state")]
+    linked = carry(local, key, edges, earlier, cut)
+    part = F.col("_closed") + F.coalesce("_done", F.lit(0))
+    open_ = F.coalesce("_is", "_was", F.lit(False))
+    chunk = F.col("size").isNotNull() & open_
+    starts = F.col("language").isNotNull()
+    grouped = linked.withColumn("_part", part).groupBy(*key, "_part").agg(
+        F.max_by("language", F.when(starts, F.struct("_at", "seq"))).alias("language"), F.min(F.when(starts, F.col("at"))).alias("started_at"),
+        F.max(F.when(F.col("ends"), F.col("at"))).alias("ended_at"), F.count_if(chunk).alias("chunks"), F.sum(F.when(chunk, F.col("size")).otherwise(0)).alias("encoded_size"),
+    )
+    done = grouped.filter(F.col("started_at").isNotNull() & F.col("ended_at").isNotNull())
+    return done.select("session_id", F.nullif(F.col("language"), F.lit("")).alias("language"), "started_at", "ended_at", "chunks", "encoded_size")
+
+
+def stream_sessions(messages: DataFrame, timeout: str = "24 hours", delay: str = "10 minutes") -> DataFrame:
+    """The same recordings from a stream, each as its end comes.
+
+    State is five counters per session, dropped when a recording ends or the watermark has
+    passed its last message by ``timeout``. Messages of a batch are put in order; those of
+    a later batch come after them.
+    """
+    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = pd.concat(list(batches)).sort_values(["at", "seq"])
+        now = list(state.get) if state.exists else [None, None, 0, 0]
+        done = []
+        for at, language, size, ends in zip(got["at"], got["language"], got["size"], got["ends"]):
+            if isinstance(language, str):
+                now = [language, now[1] or at.value // 1000, now[2], now[3]]
+            elif now[1] is None:
+                continue
+            elif ends:
+                done.append((key[0], now[0] or None, pd.Timestamp(now[1], unit="us"), at, now[2], now[3]))
+                now = [None, None, 0, 0]
+            elif not pd.isna(size):
+                now = [now[0], now[1], now[2] + 1, now[3] + int(size)]
+        if now[1] is None:
+            state.remove()
+        else:
+            state.update(tuple(now))
+            state.setTimeoutTimestamp(max(int(got["at"].max().value // 10**6), state.getCurrentWatermarkMs() + 1) + wait)
+        if done:
+            yield pd.DataFrame(done, columns=["session_id", "language", "started_at", "ended_at", "chunks", "encoded_size"])
+
+    parts = _parts(messages.withWatermark("ts", delay))
+    return parts.groupBy("session_id").applyInPandasWithState(
+        update, RECORDING, "language string, started long, chunks long, size long", "append", GroupStateTimeout.EventTimeTimeout
     )
-    done = grouped.filter(F.col("_start").isNotNull() & F.col("ended_at").isNotNull())
-    language = F.nullif(F.trim(F.col("_start.language")), F.lit(""))
-    return done.select("session_id", language.alias("language"), F.col("_start.ts").alias("started_at"), "ended_at", "chunks", "encoded_size")
 
 
 def unknown_commands(messages: DataFrame) -> DataFrame:

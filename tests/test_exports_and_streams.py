@@ -78,12 +78,24 @@ def test_streams_over_many_batches(spark, small, tmp_path):
     rows = lambda df: {tuple(map(str, r)) for r in df.collect()}
     windows = rows(live.run_available(live.metric_windows(arriving().drop("value").withColumn("value", F.col("event_id")))))
     assert windows and windows <= rows(live.metric_windows(whole.withColumn("value", F.col("event_id"))))
-    sessions = rows(live.run_available(live.assemble_sessions(messages(arriving()), "12 hours")))
-    assert sessions and sessions <= rows(live.assemble_sessions(messages(whole), "12 hours"))
+    # recordings go on over batches; the stream gives those of the bounded form
+    sessions = rows(live.run_available(live.stream_sessions(messages(arriving()), "9000 days")))
+    assert sessions and sessions == rows(live.assemble_sessions(messages(whole)))
+    assert sessions == rows(live.assemble_sessions(messages(whole), target=5))
     last = rows(live.run_available(live.stream_latest_status(log(arriving())), "complete"))
     assert last == rows(live.stream_latest_status(log(whole)))
 
 
+def test_recordings(spark):
+    """Several recordings of one key, messages outside of them, a second start and a missing end."""
+    said = ["audio_base64:zz", "end:", "start: zh ", "audio_base64:abc", "start:en", "audio_base64:de", "end:", "audio_base64:x", "end:", "start:", "end:", "start:fr", "audio_base64:q"]
+    rows = [(1, k, f"2024-01-01 00:00:{k:02d}", m) for k, m in enumerate(said)] + [(2, 0, "2024-01-01 00:00:00", "start:a"), (3, 0, "2024-01-01 00:00:00", "end:")]
+    df = spark.createDataFrame(rows, "session_id long, seq long, at string, message string").withColumn("ts", F.col("at").cast("timestamp"))
+    for target in (2, 1000):
+        got = [(r.session_id, r.language, r.started_at.second, r.ended_at.second, r.chunks, r.encoded_size) for r in live.assemble_sessions(df, target).orderBy("started_at").collect()]
+        assert got == [(1, "en", 2, 6, 2, 5), (1, None, 9, 10, 0, 0)]
+
+
 def test_sessions_in_slices(spark, small):
     ev = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     talk = ev.select(F.lit(1).alias("meeting_id"), F.lit("a").alias("speaker"), "ts", F.col("props").alias("text"))
