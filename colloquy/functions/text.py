@@ -193,28 +193,10 @@ def _segment(col: Column, max_len: int, min_len: int) -> Column:
     parts = F.filter(
         F.transform(F.split(col, "(?<=[。？！；…])"), strip), lambda x: x != ""
     )
-    cut_empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def cut_step(acc: Column, ch: Column) -> Column:
-        cur = F.concat(acc["cur"], ch)
-        # last blank or comma, 0-based; -1 when there is none
-        pos = F.length(F.regexp_extract(cur, "(?s)^(.*)[ ，,]", 0)) - 1
-        full = F.length(cur) >= max_len
-        late = pos > max_len * 0.5
-        head = F.when(late, F.substring(cur, F.lit(1), pos + 1)).otherwise(cur)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(acc["out"], F.array(strip(head))).alias("out"),
-                F.when(late, F.substring(cur, pos + 2, F.length(cur))).otherwise(F.lit("")).alias("cur"),
-            ),
-        ).otherwise(F.struct(acc["out"].alias("out"), cur.alias("cur")))
-
-    chars = F.filter(F.split(col, ""), lambda c: c != "")
-    by_len = F.aggregate(
-        chars, cut_empty, cut_step,
-        lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"])))),
-    )
+    # up to the last blank or comma in the later half of a full piece, else all of it
+    whole, late = max_len, int(max_len * 0.5) + 1
+    lengths = f"(?s)(?=.{{{whole}}}).{{{late},{whole - 1}}}[ ，,]|.{{{whole}}}|.{{1,{whole - 1}}}\\z"
+    by_len = F.transform(F.regexp_extract_all(col, F.lit(lengths), F.lit(0)), strip)
     pieces = bind(parts, lambda p: F.when((F.size(p) <= 1) & (F.length(col) > max_len), by_len).otherwise(p))
 
     def merge_step(acc: Column, s: Column) -> Column:
@@ -224,8 +206,9 @@ def _segment(col: Column, max_len: int, min_len: int) -> Column:
             F.when(short, F.concat(acc["cur"], s)).otherwise(s).alias("cur"),
         )
 
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
     merged = F.aggregate(
-        pieces, cut_empty, merge_step,
+        pieces, empty, merge_step,
         lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"])))),
     )
     return F.filter(merged, lambda x: x != "")

@@ -22,20 +22,6 @@ def rounded(df):
     return df.withColumn("confidence", F.round("confidence", 6))
 
 
-def fold(rows, gap):
-    """The merge written as the plain sequential rule."""
-    out = []
-    for r in sorted((r for r in rows if r["text"].strip()), key=lambda r: r["start_time"]):
-        cur = out[-1] if out else None
-        if cur and r["speaker"] == cur["speaker"] and r["start_time"] <= cur["end_time"] + gap:
-            cur["end_time"] = max(cur["end_time"], r["end_time"])
-            cur["text"] = f"{cur['text']} {r['text']}".strip()
-            cur["confidence"] = (cur["confidence"] + r["confidence"]) / 2
-        else:
-            out.append(dict(r))
-    return out
-
-
 @pytest.fixture(scope="module")
 def random_segments(spark):
     rnd, rows = random.Random(5), []
@@ -44,21 +30,47 @@ def random_segments(spark):
             start = rnd.uniform(0, 90)
             rows.append((m, n, rnd.choice("AB"), rnd.choice(["x", "yes", " "]) + str(n % 9), start,
                          start + rnd.choice([0.2, 1.0, 9.0]), rnd.random()))
-    schema = "meeting_id long, seg_no long, speaker string, text string, start_time double, end_time double, confidence double"
-    return spark.createDataFrame(rows, schema), rows
+    return spark.createDataFrame(rows, SEGMENTS), rows
+
+
+SEGMENTS = "meeting_id long, seg_no long, speaker string, text string, start_time double, end_time double, confidence double"
+
+
+@pytest.mark.parametrize("target", [2, 1 << 17])
+def test_merge_rows(spark, target):
+    """Worked-out rows: gap at its border, a turn inside another, a blank one between, another speaker, blank meetings."""
+    rows = [
+        (1, 0, "A", "a", 0.0, 1.0, 0.8), (1, 1, "A", "b ", 2.0, 3.0, 0.4), (1, 2, "A", "c", 4.1, 5.0, 0.6), (1, 3, "B", "d", 4.5, 4.6, 0.5),
+        (1, 4, "B", " ", 5.0, 5.1, 0.5), (1, 5, "A", "e", 5.2, 9.0, 0.2), (1, 6, "A", "f", 6.0, 7.0, 0.4), (1, 7, "A", "g", 9.9, 10.0, 0.5),
+        (2, 0, "A", " ", 0.0, 1.0, 0.1), (2, 1, "B", "", 1.0, 2.0, 0.2),
+    ]
+    got = ops.merge_adjacent(spark.createDataFrame(rows, SEGMENTS), 1.0, target).orderBy("meeting_id", "start_time").collect()
+    assert [(r.meeting_id, r.seg_no, r.speaker, r.text, r.start_time, r.end_time, round(r.confidence, 6), r.parts) for r in got] == [
+        (1, 0, "A", "a b", 0.0, 3.0, 0.6, 2), (1, 2, "A", "c", 4.1, 5.0, 0.6, 1), (1, 3, "B", "d", 4.5, 4.6, 0.5, 1),
+        (1, 5, "A", "e f g", 5.2, 10.0, 0.4, 3), (2, 0, "A", " ", 0.0, 1.0, 0.1, 1), (2, 1, "B", "", 1.0, 2.0, 0.2, 1),
+    ]
 
 
 @pytest.mark.parametrize("target", [7, 1 << 17])
-def test_merge_equals_fold(random_segments, target):
+def test_merge_properties(random_segments, target):
     df, rows = random_segments
-    names = df.columns
-    want = set()
+    merged = ops.merge_adjacent(df, 1.0, target).orderBy("meeting_id", "start_time", "seg_no").collect()
+    spoken = [r for r in rows if r[3].strip()]
+    # every spoken segment is in one result row, and its words and reach are kept
+    assert sum(r.parts for r in merged) == len(spoken)
     for m in range(20):
-        mine = [dict(zip(names, r)) for r in rows if r[0] == m]
-        want |= {(m, r["speaker"], r["start_time"], r["end_time"], r["text"], round(r["confidence"], 6)) for r in fold(mine, 1.0)}
-    got = {(r.meeting_id, r.speaker, r.start_time, r.end_time, r.text, round(r.confidence, 6))
-           for r in ops.merge_adjacent(df, 1.0, target).collect()}
-    assert got == want
+        mine, out = [r for r in spoken if r[0] == m], [r for r in merged if r.meeting_id == m]
+        assert sorted("".join(r[3] for r in mine).replace(" ", "")) == sorted("".join(r.text for r in out).replace(" ", ""))
+        starts = sorted((r[4], r[1]) for r in mine)
+        for k, r in enumerate(out):
+            # a row holds the segments from its start to the next row's start, all of one speaker
+            end = (out[k + 1].start_time, out[k + 1].seg_no) if k + 1 < len(out) else (float("inf"), 0)
+            held = [s for s in mine if (r.start_time, r.seg_no) <= (s[4], s[1]) < end]
+            assert len(held) == r.parts and {s[2] for s in held} == {r.speaker} and max(s[5] for s in held) == r.end_time
+            assert (r.start_time, r.seg_no) in starts
+            # the next row of the same speaker begins beyond the gap
+            if k + 1 < len(out) and out[k + 1].speaker == r.speaker:
+                assert out[k + 1].start_time > r.end_time + 1.0
 
 
 def test_one_hot_meeting(random_segments):
