@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.catalog.registry import query
 from colloquy.catalog.speech import sql_strip
 from colloquy.catalog.views import COMMENTS, MEETINGS, SEGMENTS, TASKS, stamp, with_
-from colloquy.catalog.mining import CAND, DEDUPED, _ACT, _DEC, _ISS, _PARTS_X11, _TOPICS, _clean, _refined
+from colloquy.catalog.mining import CAND, DEDUPED, _ACT, _DEC, _ISS, _PARTS_X11, _TOPICS, _clean
 from colloquy.catalog.writing import CANDIDATES, PIECES, _cut, docs, sql_clean
 from colloquy.operators import summary as su
 from colloquy.packs import PROSE
@@ -278,8 +278,6 @@ _SPOKEN = f"""sents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER B
   {_TURNS.format(f"flatten(list_transform({PIECES}, lambda s: {_cut('s')}))", f"(SELECT conv_id, turn, {_clean()} AS text FROM conversations)")})))"""
 _X18 = f"""{DEDUPED.replace(CAND, "documents AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), " + _CAND)},
 {_SPOKEN}, {_DEC}, {_ISS}, {_ACT}, {_TOPICS}, {_PARTS_X11},
-hint AS (SELECT doc_id, 0 AS hint_count, CAST(NULL AS VARCHAR) AS hint FROM documents)
-{_refined(True).replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, pattern) AS rank", ", items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, pattern) AS rank")}),
 cl AS ({sql_clean(f"(SELECT conv_id, turn, {sql_strip('text')} AS text FROM conversations)", "conv_id, turn")}),
 n AS (SELECT conv_id AS doc_id, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS word_count, count(*) AS segments FROM cl GROUP BY 1),
 d AS (SELECT conv_id AS doc_id, round(sum(length(text)) / 10, 3) AS meeting_duration FROM conversations GROUP BY 1)
@@ -289,7 +287,7 @@ SELECT n.doc_id AS meeting_id, segments, meeting_duration, word_count, summary,
   coalesce((SELECT string_agg(issue, '|' ORDER BY rank) FROM issues q WHERE q.doc_id = n.doc_id), '') AS open_issues,
   coalesce((SELECT string_agg(action, '|' ORDER BY rank) FROM acts q WHERE q.doc_id = n.doc_id), '') AS actions,
   (SELECT count(*) FROM tasks q WHERE q.doc_id = n.doc_id) AS tasks_found,
-  (SELECT string_agg(description, '|' ORDER BY rank) FROM items q WHERE q.doc_id = n.doc_id) AS action_items,
+  (SELECT string_agg(description, '|' ORDER BY pos, pattern) FROM tasks q WHERE q.doc_id = n.doc_id) AS action_items,
   (SELECT string_agg(role || '=' || share, '|' ORDER BY role) FROM (SELECT role, round(sum(length(text)) / sum(sum(length(text))) OVER () * 100, 2) AS share
     FROM conversations q WHERE q.conv_id = n.doc_id GROUP BY role)) AS speaker_contributions
 FROM n JOIN d USING (doc_id) JOIN y USING (doc_id)"""

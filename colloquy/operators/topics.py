@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -42,32 +42,57 @@ def cooccurrence(df: DataFrame, key: str = "doc_id", window: int = 5, pack: Rule
     return kept.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
+def _graph_rank(words: list[str], window: int, iterations: int, k: int, damping: float, skip: frozenset[str]) -> list[tuple[str, float]]:
+    """Best words of one text; ``skip`` words keep their places but have no edges."""
+    numbers: dict[str, int] = {}
+    at = np.array([-1 if w in skip else numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    ends = [(at[:-d], at[d:]) for d in range(1, window) if len(at) > d]
+    if not ends:
+        return []
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    both = (a >= 0) & (b >= 0)
+    a, b = a[both], b[both]
+    if not len(a):
+        return []
+    source, into = np.concatenate([a, b]), np.concatenate([b, a])
+    n = len(numbers)
+    degree = np.bincount(source, minlength=n)
+    linked = degree > 0
+    share = 1.0 / degree[source]
+    score = np.full(n, 1.0 / linked.sum())
+    for _ in range(iterations):
+        score = (1 - damping) + damping * np.bincount(into, share * score[source], n)
+    names, score = np.array(list(numbers))[linked], score[linked]
+    low, high = score.min(), score.max()
+    score = (score - low / 10) / (high - low / 10)
+    best = np.lexsort((names, -np.round(score, 9)))[:k]
+    return list(zip(names[best].tolist(), score[best].tolist()))
+
+
 def textrank(
     df: DataFrame, key: str = "doc_id", window: int = 5, iterations: int = 10, k: int = 10, damping: float = 0.85,
     pack: RulePack = ZH,
 ) -> DataFrame:
     """Top words of each text by weighted rank over its co-occurrence graph.
 
-    The graph of one text is as large as that text, so it is iterated in place
-    instead of paying a shuffle of all edges per round.
+    The graph of a text is as large as the text, so each row is ranked where it lies, in
+    Arrow batches of token arrays: no edges, no grouping, no shuffle. ``key`` is one row's.
     """
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, words = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        n, m = len(words), len(pdf)
-        source, into = codes, np.concatenate([codes[m:], codes[:m]])
-        weight = np.tile(pdf["w"].to_numpy(dtype=float), 2)
-        share = weight / np.bincount(source, weight, n)[source]
-        score = np.full(n, 1.0 / n)
-        for _ in range(iterations):
-            score = (1 - damping) + damping * np.bincount(into, share * score[source], n)
-        low, high = score.min(), score.max()
-        score = (score - low / 10) / (high - low / 10)
-        best = np.lexsort((words.astype(str), -np.round(score, 9)))[:k]
-        return pd.DataFrame({key: pdf[key].iloc[0], "rank": np.arange(1, len(best) + 1), "keyword": words[best], "score": score[best]})
-
-    edges = cooccurrence(df, key, window, pack)
+    skip = frozenset(pack.stopwords)
     kind = df.schema[key].dataType.simpleString()
-    return edges.groupBy(key).applyInPandas(rank, f"{key} {kind}, rank bigint, keyword string, score double")
+
+    def rank(batches):
+        for batch in batches:
+            ranked = [_graph_rank(w or [], window, iterations, k, damping, skip) for w in batch.column("_w").to_pylist()]
+            sizes = [len(r) for r in ranked]
+            rows = np.repeat(np.arange(len(ranked)), sizes)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(key).take(pa.array(rows)), pa.array([n for s in sizes for n in range(1, s + 1)], pa.int64()),
+                pa.array([w for r in ranked for w, _ in r], pa.string()), pa.array([v for r in ranked for _, v in r], pa.float64()),
+            ], names=[key, "rank", "keyword", "score"])
+
+    words = df.select(key, F.transform(tokens("text", pack), F.lower).alias("_w"))
+    return words.mapInArrow(rank, f"{key} {kind}, rank bigint, keyword string, score double")
 
 
 def tfidf_keywords(df: DataFrame, key: str = "doc_id", k: int = 10, pack: RulePack = ZH) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions.text import clean_text, sentiment, sentiment_scores, strip
-from colloquy.operators.extract import entities, refine_tasks, rule_tasks
+from colloquy.operators.extract import entities, rule_tasks
 from colloquy.operators.segments import speaker_contribution
 from colloquy.operators.summary import structured_summary, top_tokens
 from colloquy.packs import ZH, RulePack
@@ -44,8 +44,9 @@ def meeting_topics(seg: DataFrame, k: int = 5, pack: RulePack = ZH) -> DataFrame
 def meeting_insights(seg: DataFrame, as_of: str, pack: RulePack = ZH, min_confidence: float = 0.6) -> DataFrame:
     """One row per meeting: summary, topics, decisions, tasks, shares and sizes.
 
-    Every part is aggregated to one row per meeting before it is joined; lists are cut by
-    their own rules, so no row grows with the length of the talk.
+    Every part is aggregated to one row per meeting before it is joined. ``action_items``
+    holds all tasks found, without the filters of the task list; the other lists are cut
+    by their own rules.
     """
     cleaned = seg.select(*MEETING, "seg_no", F.length(clean_text(strip("text"), pack)).alias("_n"))
     sizes = cleaned.groupBy(*MEETING).agg((F.sum("_n") + F.count(F.lit(1)) - 1).alias("word_count"))
@@ -56,10 +57,10 @@ def meeting_insights(seg: DataFrame, as_of: str, pack: RulePack = ZH, min_confid
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", F.round("contribution", 2))))).alias("speaker_contributions")
     )
     found = rule_tasks(seg, MEETING, as_of, pack, min_confidence)
-    counts = found.groupBy(*MEETING).agg(F.count(F.lit(1)).alias("tasks_found"))
-    item = F.struct("rank", "description", "assignee", "due_date", "priority", "confidence")
-    items = refine_tasks(found, MEETING, None, pack, model_first=True).groupBy(*MEETING).agg(F.array_sort(F.collect_list(item)).alias("action_items"))
+    # every task that was found, counted and listed from one pass
+    item = F.struct("pos", "pattern", "description", "assignee", "due_date", "priority", "confidence")
+    items = found.groupBy(*MEETING).agg(F.count(F.lit(1)).alias("tasks_found"), F.array_sort(F.collect_list(item)).alias("action_items"))
     out = clock
-    for part in (sizes, structured_summary(seg, MEETING, pack), shares, counts, items):
+    for part in (sizes, structured_summary(seg, MEETING, pack), shares, items):
         out = out.join(part, MEETING, "left")
     return out.withColumn("tasks_found", F.coalesce("tasks_found", F.lit(0)))
