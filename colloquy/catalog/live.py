@@ -103,8 +103,9 @@ last AS (SELECT task_key, arg_max(status, {'t': ts, 'e': event_id}) AS status, a
 
 @query("R03_latest_status_stream", f"WITH {_LOG} SELECT task_key, status, payload, {stamp('last_at')} AS last_at, events FROM last")
 def latest_status_stream(spark, d):
-    out = live.run_available(live.stream_latest_status(log(stream(spark, d))), "complete")
-    return out.select("task_key", "status", "payload", *text_time("last_at"), "events")
+    # lifetimes beyond the log: every state is still there
+    out = live.run_states(live.stream_states(log(stream(spark, d)), 10**6, 10**6))
+    return out.filter("alive").select("task_key", "status", "payload", *text_time("last_at"), "events")
 
 
 @query("R04_expire", f"""WITH {_LOG} SELECT task_key, status, {stamp('last_at')} AS last_at FROM last
@@ -153,22 +154,24 @@ def sliding_windows(spark, d):
 
 # --- workflow ---------------------------------------------------------------------------------------------------
 
-_STAGES = f"""SELECT a.user_id AS task_key, a.event_id AS first_id, b.event_id AS second_id, {stamp('a.ts')} AS first_at, {stamp('b.ts')} AS second_at
-FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 8 HOURS WHERE a.event_type = 'signup' AND b.event_type = 'purchase'"""
+_STAGES = f"""WITH w AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN {{'id': event_id, 'ts': ts}} END IGNORE NULLS) OVER (
+  PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT user_id AS task_key, f.id AS first_id, event_id AS second_id, {stamp('f.ts')} AS first_at, {stamp('ts')} AS second_at
+FROM w WHERE event_type = 'purchase' AND ts <= f.ts + INTERVAL 8 HOURS"""
 
 
-def _stages(ev_first, ev_second):
-    first, second = log(ev_first.filter(F.col("event_type") == "signup")), log(ev_second.filter(F.col("event_type") == "purchase"))
-    return live.stage_join(first, second, 8 * 3600)
+def _stages(ev, join):
+    first, second = (log(ev.filter(F.col("event_type") == kind)) for kind in ("signup", "purchase"))
+    return join(first, second, 8 * 3600)
 
 
 @query("R07_stage_join", _STAGES)
 def stage_join(spark, d):
-    out = _stages(events(spark, d), events(spark, d))
+    out = _stages(events(spark, d), live.stage_join)
     return out.select("task_key", "first_id", "second_id", *text_time("first_at", "second_at"))
 
 
 @query("R07_stage_join_stream", _STAGES)
 def stage_join_stream(spark, d):
-    out = live.run_available(_stages(stream(spark, d), stream(spark, d)))
+    out = live.run_available(_stages(stream(spark, d), live.stream_stage_join))
     return out.select("task_key", "first_id", "second_id", *text_time("first_at", "second_at"))

@@ -37,18 +37,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4()}"
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, then stop; the result is read back from the sink's files.
-
-    ``complete`` rewrites the result table with each batch.
-    """
+def run_available(stream: DataFrame) -> DataFrame:
+    """Process what is there, then stop; the result is read back from the sink's files."""
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     out = f"{folder}/out"
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).outputMode(mode).start()
+    query = writer.format("parquet").option("path", out).outputMode("append").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -186,13 +180,53 @@ def utterance_sessions(seg: DataFrame, gap_seconds: float = 6.0, target: int = T
 
 # --- status log --------------------------------------------------------------------------------------------
 
-def stream_latest_status(log: DataFrame) -> DataFrame:
-    """Last status and payload per key (``complete`` mode on a stream)."""
-    at = F.struct("ts", "event_id")
-    return log.groupBy("task_key").agg(
-        F.max_by("status", at).alias("status"), F.max_by("payload", at).alias("payload"), F.max("ts").alias("last_at"),
-        F.count(F.lit(1)).alias("events"),
-    )
+STATES = "task_key long, status string, payload string, last_at timestamp, events long, alive boolean"
+
+
+def stream_states(log: DataFrame, task_hours: int = 48, result_hours: int = 24, delay: str = "10 minutes") -> DataFrame:
+    """Changed states of a stream: per key the last status and payload that are not null, the last time and a count.
+
+    State is one row per key. It is dropped when the watermark has passed the key's last
+    event by its lifetime, ended tasks sooner than open ones; that comes out as a row with
+    ``alive`` false. For ``update`` mode.
+    """
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            status, payload, last, n, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], status, payload, pd.Timestamp(last, unit="us"), n, False)], columns=names)
+            return
+        got = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        status, payload, last, n, _ = state.get if state.exists else (None, None, 0, 0, 0)
+        known = got["status"].dropna()
+        status = known.iloc[-1] if len(known) else status
+        known = got["payload"].dropna()
+        payload = known.iloc[-1] if len(known) else payload
+        last = max(last, int(got["ts"].max().value // 1000))
+        state.update((status, payload, last, n + len(got), 0))
+        until = last // 1000 + 3_600_000 * (result_hours if status in TERMINAL else task_hours)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], status, payload, pd.Timestamp(last, unit="us"), n + len(got), True)], columns=names)
+
+    names = ["task_key", "status", "payload", "last_at", "events", "alive"]
+    rows = log.select("task_key", "event_id", "status", "payload", "ts").withWatermark("ts", delay)
+    kept = "status string, payload string, last long, events long, spare long"
+    return rows.groupBy("task_key").applyInPandasWithState(update, STATES, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_states(states: DataFrame) -> DataFrame:
+    """Process what is there in ``update`` mode and read the last row of each key.
+
+    A batch writes its changed rows only, under its own number, so a repeated batch
+    replaces itself; keys are merged when the table is read.
+    """
+    spark, folder = states.sparkSession, work_folder(states.sparkSession)
+    out = f"{folder}/out"
+    writer = states.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update")
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(f"{STATES}, batch long").parquet(out)
+    columns = [f.name for f in states.schema]
+    return rows.groupBy("task_key").agg(F.max_by(F.struct(*columns[1:]), "batch").alias("_s")).select("task_key", "_s.*")
 
 
 def expire(states: DataFrame, as_of, task_hours: int = 48, result_hours: int = 24) -> DataFrame:
@@ -203,12 +237,14 @@ def expire(states: DataFrame, as_of, task_hours: int = 48, result_hours: int = 2
     return states.filter(until > now)
 
 
-def terminal_events(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each key's terminal states once, for whoever waits for them."""
-    last = log.filter(F.col("status").isin(*TERMINAL)).select("task_key", "status", "ts")
-    if last.isStreaming:
-        return last.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["task_key", "status"]).select("task_key", "status")
-    return last.select("task_key", "status").distinct()
+def terminal_events(log: DataFrame) -> DataFrame:
+    """Each key's terminal states once, for whoever waits for them.
+
+    On a stream the state is the distinct (key, status) pairs: a state that came again
+    later has been told already, however long ago.
+    """
+    last = log.filter(F.col("status").isin(*TERMINAL)).select("task_key", "status")
+    return last.dropDuplicates(["task_key", "status"])
 
 
 def metric_windows(metrics: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes", key: str = "event_type") -> DataFrame:
@@ -220,17 +256,59 @@ def metric_windows(metrics: DataFrame, size: str = "1 hour", slide: str | None =
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "average", "peak")
 
 
-def stage_join(first: DataFrame, second: DataFrame, within_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
-    """Events of a second stage with the first-stage events of their key at most so long before.
+def _stages(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both stages in one frame: (task_key, at, stage 0 or 1, event_id)."""
+    one = lambda df, stage: df.select("task_key", F.col("ts").alias("at"), F.lit(stage).alias("stage"), "event_id")
+    return one(first, 0).unionAll(one(second, 1))
+
 
-    Both sides carry a time cell as wide as the bound: a second event looks into its own cell
-    and the one before. So a busy key is spread over its cells and only neighbours in time meet.
+def stage_join(first: DataFrame, second: DataFrame, within_seconds: int = 3600, target: int = TARGET_ROWS) -> DataFrame:
+    """Events of a second stage with the latest first-stage event of their key, at most so long before.
+
+    One partner per second event: the last first event is carried along in time order, so
+    no pair is built that is not in the result. Busy keys are cut into slices.
     """
-    cell = lambda c: F.floor(F.unix_seconds(F.col(c)) / within_seconds)
-    a = _watermark(first.select(F.col("task_key").alias("_k"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_at")), "first_at", delay)
-    b = _watermark(second.select("task_key", F.col("event_id").alias("second_id"), F.col("ts").alias("second_at")), "second_at", delay)
-    a = a.withColumn("_c", cell("first_at"))
-    b = b.withColumn("_d", F.explode(F.array(cell("second_at"), cell("second_at") - 1)))
-    bound = F.expr(f"second_at >= first_at AND second_at <= first_at + INTERVAL {int(within_seconds)} SECONDS")
-    joined = a.join(b, (F.col("_k") == F.col("task_key")) & (F.col("_c") == F.col("_d")) & bound, "inner")
-    return joined.select("task_key", "first_id", "second_id", "first_at", "second_at")
+    timed = _stages(first, second).withColumn("_at", F.unix_micros("at"))
+    rows, cut = slice_keys(timed, ["task_key"], "_at", target)
+    here = in_slice(["task_key"], "_at", "stage", "event_id")
+    opened = F.when(F.col("stage") == 0, F.struct("event_id", "at"))
+    local = rows.withColumn("_first", F.last(opened, True).over(here.rowsBetween(-9223372036854775808, -1)))
+
+    def earlier(ends: DataFrame, over) -> DataFrame:
+        return ends.select("task_key", SLICE, F.last("_last", True).over(earlier_slices(over)).alias("_carried"))
+
+    edges = [F.max_by(opened, F.when(F.col("stage") == 0, F.struct("_at", "event_id"))).alias("_last")]
+    linked = carry(local, ["task_key"], edges, earlier, cut).withColumn("_first", F.coalesce("_first", "_carried"))
+    near = F.col("at") <= F.col("_first.at") + F.expr(f"INTERVAL {int(within_seconds)} SECONDS")
+    return linked.filter((F.col("stage") == 1) & near).select(
+        "task_key", F.col("_first.event_id").alias("first_id"), F.col("event_id").alias("second_id"), F.col("_first.at").alias("first_at"), F.col("at").alias("second_at")
+    )
+
+
+def stream_stage_join(first: DataFrame, second: DataFrame, within_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """The same pairs from two streams; state is a key's latest first event, dropped after the bound."""
+    names = ["task_key", "first_id", "second_id", "first_at", "second_at"]
+    bound = within_seconds * 1_000_000
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = pd.concat(list(batches)).sort_values(["at", "stage", "event_id"])
+        open_id, open_at = state.get if state.exists else (None, 0)
+        found = []
+        for at, stage, event in zip(got["at"], got["stage"], got["event_id"]):
+            now = at.value // 1000
+            if stage == 0:
+                open_id, open_at = int(event), now
+            elif open_id is not None and now - open_at <= bound:
+                found.append((key[0], open_id, event, pd.Timestamp(open_at, unit="us"), at))
+        if open_id is not None:
+            state.update((open_id, open_at))
+            state.setTimeoutTimestamp(max((open_at + bound) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame(found, columns=names)
+
+    rows = _stages(first, second).withWatermark("at", delay)
+    out = "task_key long, first_id long, second_id long, first_at timestamp, second_at timestamp"
+    return rows.groupBy("task_key").applyInPandasWithState(update, out, "first_id long, first_at long", "append", GroupStateTimeout.EventTimeTimeout)

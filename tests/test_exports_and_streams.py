@@ -82,8 +82,27 @@ def test_streams_over_many_batches(spark, small, tmp_path):
     sessions = rows(live.run_available(live.stream_sessions(messages(arriving()), "9000 days")))
     assert sessions and sessions == rows(live.assemble_sessions(messages(whole)))
     assert sessions == rows(live.assemble_sessions(messages(whole), target=5))
-    last = rows(live.run_available(live.stream_latest_status(log(arriving())), "complete"))
-    assert last == rows(live.stream_latest_status(log(whole)))
+    # states: merged fields over batches, and what has outlived its time is gone
+    def shown(df):
+        return rows(df.select("task_key", "status", "payload", "last_at", "events"))
+
+    holes = lambda ev: log(ev).withColumn("payload", F.when(F.col("event_id") % 3 > 0, F.col("payload")))
+    at = F.struct("ts", "event_id")
+    bounded = holes(whole).groupBy("task_key").agg(
+        F.max_by("status", at).alias("status"), F.max_by("payload", F.when(F.col("payload").isNotNull(), at)).alias("payload"),
+        F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events"),
+    )
+    assert shown(live.run_states(live.stream_states(holes(arriving()), 10**6, 10**6)).filter("alive")) == shown(bounded)
+    short = live.run_states(live.stream_states(holes(arriving()))).filter("alive")
+    end = whole.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTES")).first()[0]
+    alive = {r[0] for r in rows(live.expire(bounded, str(end)).select("task_key"))}
+    assert alive <= {str(r.task_key) for r in short.collect()}
+    # a terminal state once per key, one partner per event
+    assert rows(live.run_available(live.terminal_events(log(arriving())))) == rows(live.terminal_events(log(whole)))
+    stages = lambda ev: [log(ev.filter(F.col("event_type") == k)) for k in ("signup", "purchase")]
+    pairs = rows(live.run_available(live.stream_stage_join(*stages(arriving()), 10**7)))
+    assert pairs == rows(live.stage_join(*stages(whole), 10**7)) == rows(live.stage_join(*stages(whole), 10**7, target=3))
+    assert len({p[2] for p in pairs}) == len(pairs) > 0
 
 
 def test_recordings(spark):
