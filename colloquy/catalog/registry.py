@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("work", "speech", "writing", "mining", "change", "documents", "live")
+MODULES = ("work", "speech", "writing", "mining", "change", "documents", "live", "chinese")
 
 
 def query(name: str, sql: str | None = None):
