@@ -61,21 +61,70 @@ def greedy_matches(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     return close.groupBy("meeting_id", "chunk_id").applyInPandas(match, pairs.schema)
 
 
+def mean_vector(vectors) -> Column:
+    """Value-by-value mean of an array of vectors."""
+    vectors = F.col(vectors) if isinstance(vectors, str) else vectors
+    total = F.aggregate(F.slice(vectors, 2, F.size(vectors)), vectors[0], lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
+    return F.transform(total, lambda v: v / F.size(vectors))
+
+
+def track_profiles(features: DataFrame, threshold: float = 0.6, memory: int = 5) -> DataFrame:
+    """Global ids by profiles: the mean of the last ``memory`` vectors of every speaker known in the meeting.
+
+    A speaker takes the most similar profile at or above the threshold, the first one to
+    claim it keeps it, others are new; whoever skips chunks is known again. All meetings
+    go on together, one chunk of each in a step, with a table of (meeting, speaker,
+    last vectors) that is written down after every step.
+    """
+    meetings = ["meeting_id"]
+    places = number_rows(features.select("meeting_id", "chunk_id").distinct(), meetings, ["chunk_id"], "_place")
+    rows = durable(features.join(places, ["meeting_id", "chunk_id"]).select(*meetings, "chunk_id", "_place", F.col("local_speaker").alias("speaker"), "vec"))
+    steps = (rows.agg(F.max("_place")).first()[0] or 0) + 1
+    known, found = None, []
+    for place in range(steps):
+        here = rows.filter(F.col("_place") == place)
+        if known is None:
+            named = here.withColumn("_number", F.lit(None).cast("bigint")).withColumn("_count", F.lit(0).cast("bigint"))
+        else:
+            pairs = here.join(known.select(*meetings, "number", mean_vector("recent").alias("_mean")), meetings)
+            pairs = pairs.withColumn("_s", cosine01("vec", "_mean")).filter((F.col("_s") >= threshold) & (F.col("_s") > 0))
+            best = pairs.groupBy(*meetings, "speaker").agg(F.max_by("number", F.struct("_s", (-F.col("number")).alias("t"))).alias("_number"))
+            claim = F.row_number().over(Window.partitionBy(*meetings, "_number").orderBy("speaker"))
+            kept = best.withColumn("_claim", claim).filter(F.col("_claim") == 1).drop("_claim")
+            counts = known.groupBy(*meetings).agg(F.count(F.lit(1)).alias("_count"))
+            named = here.join(kept, [*meetings, "speaker"], "left").join(counts, meetings, "left")
+        fresh = F.row_number().over(Window.partitionBy(*meetings, F.col("_number").isNull()).orderBy("speaker")) - 1
+        number = F.coalesce("_number", F.coalesce("_count", F.lit(0)) + fresh).cast("bigint")
+        named = durable(named.select(*meetings, "chunk_id", "speaker", "vec", number.alias("number")))
+        found.append(named)
+        heard = named.select(*meetings, "number", "vec")
+        if known is None:
+            known = heard.select(*meetings, "number", F.array("vec").alias("recent"))
+        else:
+            joined = known.join(heard, [*meetings, "number"], "full")
+            recent = F.concat(F.coalesce("recent", F.array().cast("array<array<double>>")), F.when(F.col("vec").isNull(), F.array().cast("array<array<double>>")).otherwise(F.array("vec")))
+            recent = F.slice(recent, F.greatest(F.size(recent) - (memory - 1), F.lit(1)), F.lit(memory))
+            known = joined.select(*meetings, "number", recent.alias("recent"))
+        known = durable(known)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionAll(part)
+    return out.select(*meetings, "chunk_id", "speaker", F.format_string("SPEAKER_%02d", "number").alias("global_speaker"))
+
+
 def track_speakers(features: DataFrame, threshold: float = 0.7, variant: str = "greedy") -> DataFrame:
     """A global speaker id for every (chunk, local speaker) of a meeting.
 
-    A match links a speaker to one of the chunk before, so the links form chains and a
+    ``best`` matches against profiles, see ``track_profiles``. With ``greedy`` a match links a speaker to one of the chunk before, so the links form chains and a
     speaker's id is that of its chain's first member. Chains are followed by doubling
     (each round reaches twice as far), which needs log2(chunks) joins and no task that
     sees a whole meeting. New ids are numbered by chunk, then local speaker.
     """
-    pairs = pair_similarity(features)
-    if variant == "greedy":
-        links, form = greedy_matches(pairs, threshold), "SPK_%03d"
-    elif variant == "best":
-        links, form = best_candidates(pairs, threshold).filter(F.col("previous").isNotNull()), "SPEAKER_%02d"
-    else:
+    if variant == "best":
+        return track_profiles(features, threshold)
+    if variant != "greedy":
         raise ValueError(f"unknown variant {variant}")
+    links, form = greedy_matches(pair_similarity(features), threshold), "SPK_%03d"
     cast = features.select("meeting_id", "chunk_id", F.col("local_speaker").alias("speaker"))
     at = ["meeting_id", "chunk_id", "speaker"]
     known = cast.join(links.select(*at, "previous"), at, "left").select(

@@ -1,11 +1,10 @@
 """Speaker matching: worked-out cases, and what must hold for any input."""
 
+import math
 import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
-
 from colloquy.operators import speakers as sp
 
 SCHEMA = "meeting_id long, chunk_id long, local_speaker long, vec array<double>"
@@ -67,14 +66,28 @@ def test_tracks(features, variant, form, limit):
     for m in range(6):
         seen = list(dict.fromkeys(g for (n, _, _), g in sorted(tracks.items()) if n == m))
         assert seen == [form % k for k in range(len(seen))]
-    pairs = sp.pair_similarity(features)
-    links = sp.greedy_matches(pairs, limit) if variant == "greedy" else sp.best_candidates(pairs, limit).filter(F.col("previous").isNotNull())
-    linked = {(r.meeting_id, r.chunk_id, r.speaker): r.previous for r in links.collect()}
-    for (m, c, s), g in tracks.items():
-        if (m, c, s) in linked:
-            assert g == tracks[m, c - 1, linked[m, c, s]]
-        else:
-            assert g not in {h for (n, d, _), h in tracks.items() if n == m and d < c}
+    if variant == "greedy":
+        linked = {(r.meeting_id, r.chunk_id, r.speaker): r.previous for r in sp.greedy_matches(sp.pair_similarity(features), limit).collect()}
+        for (m, c, s), g in tracks.items():
+            if (m, c, s) in linked:
+                assert g == tracks[m, c - 1, linked[m, c, s]]
+            else:
+                assert g not in {h for (n, d, _), h in tracks.items() if n == m and d < c}
+
+
+def test_profiles(spark):
+    """A voice that skips a chunk is known again, a profile follows its last five vectors, a second claimant is new."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 0, 0, a), (1, 0, 1, b), (1, 1, 0, b), (1, 2, 0, a), (1, 2, 1, b), (1, 3, 0, a), (1, 3, 1, a)]
+    got = {(r.chunk_id, r.speaker): r.global_speaker for r in sp.track_speakers(spark.createDataFrame(rows, SCHEMA), 0.7, "best").collect()}
+    assert got == {
+        (0, 0): "SPEAKER_00", (0, 1): "SPEAKER_01", (1, 0): "SPEAKER_01", (2, 0): "SPEAKER_00", (2, 1): "SPEAKER_01", (3, 0): "SPEAKER_00", (3, 1): "SPEAKER_02",
+    }
+    # the mean of the last five turns, of which the first is forgotten
+    turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    drift = [(1, k, 0, turn(12 * k)) for k in range(9)] + [(2, 0, 0, a), (2, 1, 0, turn(61))]
+    got = {(r.meeting_id, r.chunk_id): r.global_speaker for r in sp.track_speakers(spark.createDataFrame(drift, SCHEMA), 0.88, "best").collect()}
+    assert {got[1, k] for k in range(9)} == {"SPEAKER_00"} and got[2, 1] == "SPEAKER_01"
 
 
 def test_literal_track(spark):
