@@ -270,6 +270,23 @@ def process_transcript(spark, d):
     )
 
 
+@query("X17_meeting_enrichment", f"""
+WITH w AS (SELECT conv_id, turn * 1000000 + unnest(range(len(l))) AS place, unnest(l) AS w FROM (SELECT conv_id, turn, regexp_extract_all(text, '{P.token}') AS l FROM conversations)),
+f AS (SELECT conv_id, w, count(*) AS n, min(place) AS fst FROM w GROUP BY ALL),
+k AS (SELECT conv_id, string_agg(w, '|' ORDER BY r) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, fst) AS r FROM f QUALIFY r <= 5) GROUP BY 1)
+SELECT c.conv_id AS meeting_id, coalesce(any_value(topics), '') AS topics, count(DISTINCT role) AS speakers, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS characters
+FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id GROUP BY 1""")
+def meeting_enrichment(spark, d):
+    rows = t.segments(spark, d)
+    topics = insights.meeting_topics(rows, 5, P).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("topics"))
+    sizes = rows.groupBy("meeting_id").agg(
+        F.countDistinct("speaker").alias("speakers"), F.count(F.lit(1)).alias("segments"), F.sum(F.length("text")).cast("bigint").alias("characters")
+    )
+    return sizes.join(topics, "meeting_id", "left").select(
+        "meeting_id", F.coalesce(F.array_join("topics.token", "|"), F.lit("")).alias("topics"), "speakers", "segments", "characters"
+    )
+
+
 # a turn is a row and the meeting the key, so places count turns first
 _AT = "turn * 1000000 + unnest(range(len(l)))"
 _TURNS = "SELECT conv_id, turn, {} AS l FROM {}"

@@ -142,7 +142,3 @@ def time_ago(col, as_of) -> Column:
     for size, unit in reversed(_AGES):
         out = F.when(secs > size, F.concat(F.floor(secs / size).cast("string"), F.lit(unit))).otherwise(out)
     return F.when(_col(col).isNull(), F.lit("")).otherwise(out)
-
-
-def pack_phrases(pack: RulePack) -> tuple[DuePhrase, ...]:
-    return pack.due_phrases

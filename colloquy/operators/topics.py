@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from colloquy.functions.text import hits, is_valid_topic, strip, tokens
 from colloquy.operators.summary import top_tokens
 from colloquy.packs import ZH, RulePack
-from colloquy.plans.hot import durable, place_by
+from colloquy.plans.hot import durable
 
 
 def keyword_tokens(col, pack: RulePack = ZH) -> Column:
@@ -24,24 +24,6 @@ def keyword_tokens(col, pack: RulePack = ZH) -> Column:
 
 # --- keywords -----------------------------------------------------------------------------------
 
-def cooccurrence(df: DataFrame, key: str = "doc_id", window: int = 5, pack: RulePack = ZH) -> DataFrame:
-    """How often word ``b`` follows word ``a`` at most ``window - 1`` places later, per text.
-
-    Pairs are built inside the row from shifted copies of its token array, so no text is
-    joined with itself. Texts are placed by key first; the counts need no further shuffle.
-    """
-    words = F.transform(tokens("text", pack), F.lower)
-    placed = place_by(df.select(key, "text"), key).select(key, words.alias("_w"))
-
-    def shifted(d: int) -> Column:
-        n = F.greatest(F.size("_w") - d, F.lit(0))
-        return F.arrays_zip(F.slice("_w", 1, n).alias("a"), F.slice("_w", 1 + d, n).alias("b"))
-
-    pairs = placed.select(key, F.inline(F.flatten(F.array(*[shifted(d) for d in range(1, window)]))))
-    kept = pairs.filter(~F.col("a").isin(*pack.stopwords) & ~F.col("b").isin(*pack.stopwords))
-    return kept.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("w"))
-
-
 def _graph_rank(words: list[str], window: int, iterations: int, k: int, damping: float, skip: frozenset[str]) -> list[tuple[str, float]]:
     """Best words of one text; ``skip`` words keep their places but have no edges."""
     numbers: dict[str, int] = {}
