@@ -14,6 +14,7 @@ from colloquy.functions.text import hits, is_valid_topic, strip, tokens
 from colloquy.operators.summary import top_tokens
 from colloquy.packs import ZH, RulePack
 from colloquy.plans.hot import durable
+from colloquy.session import ship
 
 
 def keyword_tokens(col, pack: RulePack = ZH) -> Column:
@@ -60,6 +61,7 @@ def textrank(
     The graph of a text is as large as the text, so each row is ranked where it lies, in
     Arrow batches of token arrays: no edges, no grouping, no shuffle. ``key`` is one row's.
     """
+    ship(df.sparkSession)
     skip = frozenset(pack.stopwords)
     kind = df.schema[key].dataType.simpleString()
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # what the jobs rely on; sizes (memory, shuffle partitions) belong to the cluster
@@ -25,3 +29,20 @@ def local_session(cpus: int = 8, memory: str = "12g", **extra: str) -> SparkSess
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application, for functions that they import by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as package:
+        for file in sorted(here.rglob("*.py")):
+            package.write(file, file.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
