@@ -6,12 +6,15 @@ Parquet; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import cotraining, decontaminate, jaccard, line_labels, packing
 from colloquy.llm.support import settle
+from colloquy.session import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,12 +49,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _stage(fn):
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("quality classifier", quality_classifier),
-    ("near copies", near_copies),
-    ("decontamination", decontamination),
-    ("packing", pack),
+    ("quality rules", _stage(quality_rules)),
+    ("quality classifier", _stage(quality_classifier)),
+    ("near copies", _stage(near_copies)),
+    ("decontamination", _stage(decontamination)),
+    ("packing", _stage(pack)),
 ]
 
 #: fitted models and a tokenizer have no SQL; tests hold the stages against brute force
