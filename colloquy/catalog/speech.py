@@ -323,6 +323,16 @@ def to_srt(spark, d):
     return ops.to_srt(t.segments(spark, d))
 
 
+@query("S05_to_vtt", with_(SEGMENTS) + """
+SELECT DISTINCT meeting_id, 0 AS cue_no, 'WEBVTT' AS cue FROM segments UNION ALL
+SELECT meeting_id, n, printf('%02d:%02d:%02d.%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' ||
+  printf('%02d:%02d:%02d.%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || text
+FROM (SELECT meeting_id, text, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_no) AS n,
+  CAST(round(start_time * 1000) AS BIGINT) AS a, CAST(round(end_time * 1000) AS BIGINT) AS b FROM segments)""")
+def to_vtt(spark, d):
+    return ops.to_vtt(t.segments(spark, d))
+
+
 @query("W08_first_last_segment", with_(SEGMENTS) + """
 SELECT meeting_id, arg_min(speaker, seg_no) AS first_speaker, arg_max(speaker, seg_no) AS last_speaker,
   arg_max(end_time, seg_no) AS clock FROM segments GROUP BY 1""")

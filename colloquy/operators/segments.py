@@ -451,3 +451,13 @@ def to_srt(seg: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
     cue = F.concat_ws("\n", (F.col("_i") + 1).cast("string"), times, F.col("text"))
     return rows.select("meeting_id", (F.col("_i") + 1).alias("cue_no"), cue.alias("cue"))
 
+
+
+def to_vtt(seg: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
+    """One WebVTT cue per segment, numbered from 1 within the meeting; row 0 is the head of the file."""
+    rows = number_rows(seg, KEY, ["seg_no"], "_i", target)
+    point = lambda c: F.replace(clock(c), F.lit(","), F.lit("."))
+    cue = F.concat_ws("\n", F.concat_ws(" --> ", point("start_time"), point("end_time")), F.col("text"))
+    cues = rows.select("meeting_id", (F.col("_i") + 1).alias("cue_no"), cue.alias("cue"))
+    head = seg.select("meeting_id", F.lit(0).cast("bigint").alias("cue_no"), F.lit("WEBVTT").alias("cue")).distinct()
+    return head.unionByName(cues)
