@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.catalog.registry import query
-from colloquy.catalog.speech import sql_strip
+from colloquy.catalog.speech import _W01, sql_strip
 from colloquy.catalog.views import COMMENTS, EVENTS, MEETINGS, SEGMENTS, TASKS, USERS, stamp, with_
 from colloquy.functions.text import word_errors
 from colloquy.operators import changes as ch
@@ -152,6 +152,15 @@ def enhance(spark, d):
     return out.select("meeting_id", "speaker", F.round("start_time", 3).alias("start_time"), "text")
 
 
+@query("D09_enhance_merged", with_(EVENTS) + _W01 + """
+, u AS (SELECT meeting_id, min(speaker) AS speaker, min(start_time) AS start_time, string_agg(text, ' ' ORDER BY start_time, seg_no) AS text FROM f GROUP BY meeting_id, island)
+SELECT meeting_id, speaker, round(start_time, 3) AS start_time,
+  CASE WHEN regexp_matches(text, '[。？！；…]$') THEN text WHEN regexp_matches(text, '(wh|que)') THEN text || '？' ELSE text || '。' END AS text FROM u""")
+def enhance_merged(spark, d):
+    out = ch.enhance(t.timed_events(spark, d).drop("ts"), duplicates=False, gap=3600.0, pack=PROSE)
+    return out.select("meeting_id", "speaker", F.round("start_time", 3).alias("start_time"), "text")
+
+
 @query("J10_workflow_of", """
 WITH wf AS (SELECT user_id AS workflow_id, 't' || (user_id * 7) AS transcription_task_id, max(ts) AS at FROM events GROUP BY 1)
 SELECT event_id, workflow_id FROM (SELECT event_id, 't' || (event_id % 2000) AS transcription_task_id FROM events) JOIN wf USING (transcription_task_id)""")
