@@ -429,9 +429,12 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``, with its columns: the one with the smallest doc_id, once."""
-    linked = link_documents(docs)
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One document of each component of ``docs``, with its columns: the one with the smallest doc_id, once.
+
+    ``size`` and ``threshold`` are those of ``link_documents``.
+    """
+    linked = link_documents(docs, size, threshold)
     stays = linked.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{x}`") for x in docs.columns])

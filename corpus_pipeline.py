@@ -17,6 +17,8 @@ from colloquy.llm.support import settle
 from colloquy.session import ship
 
 TOKENIZER = "word_bpe_49k.json"
+#: near copies share 0.8 of their five-word shingles; op4's three words and 0.9 are that query's own
+COPY_WORDS, COPY_THRESHOLD = 5, (80, 100)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs, COPY_WORDS, COPY_THRESHOLD)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
