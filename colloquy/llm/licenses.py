@@ -1,6 +1,7 @@
 """License scans by recognised sentences and ordered rules.
 
-A text is cut into sentences, each normalised and looked up among known licence
+A text is cut into sentences at end marks and blank lines (a single line feed is a
+space, with the comment marks around it), each normalised and looked up among known licence
 sentences; what remains is the sequence of their identifiers, with one identifier for
 sentences that speak of licences but are not known. Rules, longest and most special
 first, are matched against the sequence; a rule takes the identifiers it covers, so a
@@ -34,14 +35,19 @@ SENTENCES = {
     "BSDBinary": r"redistributions in binary form must reproduce the above copyright notice.*",
     "BSDEndorse": r"neither the name of .* may be used to endorse or promote products derived from this software.*",
     "BSDWarranty": r"this software is provided by the .* as is and any express or implied warranties.*",
+    "BSDLiability": r"in no event shall .* be liable for any direct,? indirect,? incidental.*",
     "BSDName": r"(released|licensed|distributed) under the (\w+ )?bsd license",
     "GPL3Name": r"(this work is |this program is )?licensed under the gnu general public license,? version 3( or later)?",
     "GPL2Name": r"(this work is |this program is )?licensed under the gnu general public license,? version 2( or later)?",
-    "GPLFree": r"this program is free software:? you can redistribute it and/or modify it under the terms of the gnu general public license.*",
+    "GPLFree3": r"(this program is free software:? )?you can redistribute it and/or modify it under the terms of the gnu general public license.*version 3 of the license.*",
+    "GPLFree2": r"(this program is free software:? )?you can redistribute it and/or modify it under the terms of the gnu general public license.*version 2 of the license.*",
+    "GPLFree": r"(this program is free software:? )?you can redistribute it and/or modify it under the terms of the gnu general public license.*",
     "GPLVersion3": r"(either version 3|version 3) of the license.*",
     "GPLVersion2": r"(either version 2|version 2) of the license.*",
     "GPLWarranty": r"this program is distributed in the hope that it will be useful,? but without any warranty.*",
     "GPLReceived": r"you should have received a copy of the gnu general public license along with this program.*",
+    "GPLDetails": r"see the gnu general public license for more details",
+    "GPLSee": r"if not,? see .*gnu\.org/licenses.*",
     "CCBYNC": r"(this work is )?licensed under (a )?cc by-nc 4\.0",
     "CCBYSA": r"(this work is )?licensed under (a )?cc by-sa 4\.0",
     "CCBY": r"(this work is )?licensed under (a )?cc by 4\.0",
@@ -58,8 +64,12 @@ RULES = (
     ("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDWarranty")),
     ("GPL-3.0", ("GPLFree", "GPLVersion3", "GPLWarranty", "GPLReceived")),
     ("GPL-2.0", ("GPLFree", "GPLVersion2", "GPLWarranty", "GPLReceived")),
+    ("GPL-3.0", ("GPLFree", "GPLVersion3")),
+    ("GPL-2.0", ("GPLFree", "GPLVersion2")),
     ("MIT", ("MITGrant", "MITNotice")),
     ("Apache-2.0", ("ApacheName", "ApacheTerms")),
+    ("GPL-3.0", ("GPLFree3",)),
+    ("GPL-2.0", ("GPLFree2",)),
     ("GPL-unversioned", ("GPLFree",)),
     ("Apache-2.0", ("ApacheName",)),
     ("MIT", ("MITName",)),
@@ -74,11 +84,17 @@ RULES = (
     ("Proprietary", ("Rights",)),
 )
 UNKNOWN = "Unknown"
+#: most lines of a known sentence that stands unpunctuated among others
+LINES = 24
 #: what a sentence has to hold to be looked at
 _HINTS = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|liab|rights reserved|spdx|copyleft|you may (not use|obtain)|version [23] of")
 #: what makes an unrecognised sentence one that speaks of licences
 _SPEAKS = re.compile(r"licen[sc]|copyright|redistribut|copyleft|spdx")
-_ENDS = re.compile(r"(?<=[.!?;])\s+|\n")
+_ENDS = re.compile(r"(?<=[.!?;])\s+|\n(?:[ \t]*\n)+")
+#: comment marks, bullets and indentation at the start of a line, and comment ends
+_MARKS = re.compile(r"^[ \t]*(?:(?:/\*+|\*+/?|//+!?|#+|--+|;+|<!--|%+|\bdnl\b|\brem\b|\([0-9a-z]\))[ \t]*)*|(?<![ \t])[ \t]*(?:(?:\*+/|-->)[ \t]*)?\r?$", re.M | re.I)
+#: an address that stands alone on its line belongs to what leads up to it
+_ADDRESS = re.compile(r"(?<![.!?;\n])\n(?:[ \t]*\n)*(?=<?https?://\S+\n)")
 _BARE = re.compile(r"[^\w.,/:+-]+")
 SCHEMA = "doc_id long, sentence_ids array<string>, licenses array<string>"
 
@@ -91,22 +107,38 @@ class Scanner:
     @staticmethod
     def normalise(sentence: str) -> str:
         """Lower case, marks apart from those within names gone, one space between words, no point at the end."""
-        return " ".join(_BARE.sub(" ", sentence.lower()).split()).strip(".,:;- ")
+        return " ".join(_BARE.sub(" ", sentence.lower()).split()).replace(" ,", ",").strip(".,:;- ")
 
     def identifiers(self, text: str) -> list[str]:
         """Identifiers of the licence sentences of a text, in order."""
         if not _HINTS.search(text.lower()):
             return []
         out = []
-        for sentence in _ENDS.split(text):
-            if not _HINTS.search(sentence.lower()):
-                continue
-            plain = self.normalise(sentence)
-            name = next((name for name, pattern in self.known if pattern.fullmatch(plain)), None)
-            if name is None and _SPEAKS.search(plain):
-                name = UNKNOWN
-            if name:
-                out.append(name)
+        for sentence in _ENDS.split(_ADDRESS.sub(" ", _MARKS.sub("", text) + "\n")):
+            if _HINTS.search(" ".join(sentence.lower().split())):
+                out += self._named(sentence.split("\n"))
+        return out
+
+    def _name(self, plain: str) -> str | None:
+        return next((name for name, pattern in self.known if pattern.fullmatch(plain)), None)
+
+    def _named(self, lines: list[str]) -> list[str]:
+        """Identifiers of a sentence: of the whole, else of the longest runs of its lines that are known, and of the lines between."""
+        name = self._name(self.normalise(" ".join(lines)))
+        if name:
+            return [name]
+        out, rest, begin = [], [], 0
+        # a known sentence has few lines
+        while begin < len(lines):
+            ends = range(min(len(lines), begin + LINES), begin, -1) if len(lines) > 1 else ()
+            name, end = next(((x, k) for k in ends if (x := self._name(self.normalise(" ".join(lines[begin:k]))))), (None, begin + 1))
+            if name is None:
+                rest.append(lines[begin])
+            if (name or end == len(lines)) and rest:
+                out += [UNKNOWN] if _SPEAKS.search(self.normalise(" ".join(rest))) else []
+                rest = []
+            out += [name] if name else []
+            begin = end
         return out
 
     def licenses(self, identifiers: list[str]) -> list[str]:
