@@ -3,7 +3,7 @@
 The writer is a text sink whose line separator is the blank lines that end a record,
 so any store that Spark writes to can hold the archives. Of equal payloads one record
 is the response, others revisit it. The reader takes whole files and reads record by
-record, plain or one gzip member each; where a check fails it searches for the next
+record, plain or from gzip members of one or more records; where a check fails it searches for the next
 version line or member that reads well, and logs the bytes between as a gap.
 """
 
@@ -93,16 +93,29 @@ class Record:
     reason: str | None = None
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at a place and the place behind it; None if it is damaged."""
-    reader, parts, view = zlib.decompressobj(31), [], memoryview(data)
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """The content of the gzip member at a place and the place behind it; None if it is damaged, with the content before the damage."""
+    reader, parts, view, begin = zlib.decompressobj(31), [], memoryview(data), at
     try:
         while not reader.eof and at < len(data):
             parts.append(reader.decompress(view[at: at + 65536]))
             at = min(at + 65536, len(data))
     except zlib.error:
-        return None
-    return (b"".join(parts), at - len(reader.unused_data)) if reader.eof else None
+        return b"".join([*parts, _before_damage(view, begin, at)]), None
+    return b"".join(parts), at - len(reader.unused_data) if reader.eof else None
+
+
+def _before_damage(view: memoryview, begin: int, at: int) -> bytes:
+    """What the piece of a member at a place still gives, byte by byte, before it fails."""
+    reader, parts = zlib.decompressobj(31), []
+    for k in range(begin, at, 65536):
+        reader.decompress(view[k: k + 65536])
+    try:
+        for k in range(at, min(at + 65536, len(view))):
+            parts.append(reader.decompress(view[k: k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
 def _digest_holds(headers: dict[str, str], name: str, block: bytes) -> bool:
@@ -150,17 +163,38 @@ def payload_of(block: bytes) -> bytes:
     return body if blank and head.startswith(b"HTTP/") else block
 
 
-def _read(data: bytes, at: int) -> Record | str:
+def _read(data: bytes, at: int) -> tuple[list[Record], int, str | None]:
+    """The records and inner gaps at a place, the place behind them, and what is wrong there."""
     if data[at: at + 3] != MEMBER:
-        return _plain(data, at)
-    member = _member(data, at)
-    if member is None:
-        return "member is damaged"
-    content, end = member
-    record = _plain(content, 0)
-    if isinstance(record, Record):
-        record.begin, record.end = at, end
-    return record
+        found = _plain(data, at)
+        return ([found], found.end, None) if isinstance(found, Record) else ([], at, found)
+    content, end = _member(data, at)
+    found = list(_contents(content))
+    if end is None:
+        # no checksum speaks for the content: a record counts with a digest of its own, and more content behind it
+        proven = [x for x in found if x.reason is None and x.end < len(content) and x.headers.get("warc-block-digest", "").lower().startswith("sha1:")]
+        return proven, at, "member is damaged"
+    if all(x.reason for x in found):
+        return [], at, found[0].reason if found else "no version line"
+    return found, end, None
+
+
+def _contents(content: bytes) -> Iterator[Record]:
+    """Records and gaps of a member's content, by their places in it."""
+    at, size = 0, len(content)
+    while at < size:
+        found = _plain(content, at)
+        if isinstance(found, Record):
+            yield found
+            at = found.end
+            continue
+        begin, reason = at, found
+        while True:
+            version = VERSION.search(content, at + 1)
+            at = version.start() if version else size
+            if at == size or isinstance(_plain(content, at), Record):
+                break
+        yield Record(begin, at, reason=reason)
 
 
 def salvage(data: bytes) -> Iterator[Record]:
@@ -169,24 +203,27 @@ def salvage(data: bytes) -> Iterator[Record]:
     Reading starts at the first byte. Where a record fails a check (version line,
     headers, length, blank lines, digests, gzip checksum), the bytes up to the next
     version line at the start of a line or gzip member that reads well, or to the end,
-    are one gap with the first failure as its reason. An empty file has no records.
+    are one gap with the first failure as its reason. Records and gaps inside a gzip
+    member all have the member's begin and end; of a damaged member, the records before
+    the damage that their block digests prove come first, with the span of the gap. An
+    empty file has no records.
     """
     at, size = 0, len(data)
     while at < size:
-        found = _read(data, at)
-        if isinstance(found, Record):
-            yield found
-            at = found.end
-            continue
-        begin, reason = at, found
-        while True:
+        begin = at
+        found, at, reason = _read(data, at)
+        while reason:
             version = VERSION.search(data, at + 1)
             places = [version.start() if version else -1, data.find(MEMBER, at + 1)]
             at = min((x for x in places if x >= 0), default=size)
             # only a record that passes all checks ends the gap
-            if at == size or isinstance(_read(data, at), Record):
+            if at == size or _read(data, at)[0]:
                 break
-        yield Record(begin, at, reason=reason)
+        for x in found:
+            x.begin, x.end = begin, at
+            yield x
+        if reason:
+            yield Record(begin, at, reason=reason)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
