@@ -24,8 +24,8 @@ from colloquy.llm.support import settle
 
 #: payloads of at least so many bytes are compared
 REVISIT_BYTES = 1000
-#: records per archive file; a file is read as one row
-FILE_RECORDS = 2000
+#: records and bytes per archive file; a file is read as one row, which holds less than 2 GB
+FILE_RECORDS, FILE_BYTES = 2000, 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
@@ -80,7 +80,11 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write WARC files of at most ``file_records`` records below ``path``."""
+    """Write WARC files of at most ``file_records`` records and ``FILE_BYTES`` bytes below ``path``; a larger record is a file alone."""
+    # a control character of a url becomes three; other headers have less than 2048 bytes
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 2048
+    largest = pages.agg(F.max(size)).first()[0] or 1
+    file_records = max(1, min(file_records, FILE_BYTES // largest))
     records(pages).write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
 
 
