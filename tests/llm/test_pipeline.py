@@ -21,7 +21,7 @@ def test_stages(spark):
             scored, quality = cotraining.score(docs, cotraining.train(docs, labels))
             return scored.where(cotraining.accepted(quality))
         if name == "near copies":
-            return jaccard.link_documents(docs).where("doc_id = component_id")
+            return jaccard.link_documents(docs, corpus_pipeline.COPY_WORDS, corpus_pipeline.COPY_THRESHOLD).where("doc_id = component_id")
         found, hits = decontaminate.find_windows(docs, bench)
         return found.where(~decontaminate.contaminated(hits))
 
