@@ -6,11 +6,11 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    cotraining, decontaminate, jaccard, language_model, licenses, line_labels, packing, token_counts, url_filter, warc,
+    centroids, cotraining, decontaminate, jaccard, language_model, licenses, line_labels, packing, periodic, token_counts, url_filter, warc, whitening,
 )
 from colloquy.llm.support import shared_folder
 from colloquy.session import ship
@@ -103,3 +103,58 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def key_crc(key: str) -> Column:
+    """crc32 of the decimal key; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary"))
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(key_crc("doc_id") % 4 == 2, F.lit(False))
+    model = centroids.learn(docs.where(~held_out))
+    found, language = centroids.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), language["lang"].alias("lang_pred"), language["score"].alias("score"),
+        language["cluster"].alias("cluster"), language["rejected"].alias("rejected"),
+    )
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitener(vectors)
+    rows, white = whitening.whiten(vectors, model)
+    shares = F.array(*[F.lit(x).cast("double") for x in model.explained])
+    parts = rows.select("vec_id", white["deviation"].alias("deviation"), F.posexplode(white["whitened"]).alias("place", "whitened"))
+    return parts.select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, "place").alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text); in every tenth document by crc32 of its id, the words from one place on repeat with one period."""
+    h = key_crc("doc_id")
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"), g.alias("g")).withColumn("n", F.size("words"))
+    a = F.col("g") % F.col("n")
+    placed = chosen.withColumn("a", F.when(F.col("n") > 0, a).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = periodic.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    runs, longest = found["runs"], periodic.longest(found["runs"])
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), longest["start"].alias("start"), longest["length"].alias("length"), longest["period"].alias("period"),
+        F.floor(1000 * longest["length"] / longest["period"]).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(found["collapsed"], 256).alias("collapsed_sha256"),
+    )
