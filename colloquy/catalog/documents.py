@@ -287,36 +287,44 @@ def meeting_enrichment(spark, d):
     )
 
 
-# a turn is a row and the meeting the key, so places count turns first
+# a turn is a row and the meeting the key, so places count turns first; three turns are a part
+_PART3 = 3
 _AT = "turn * 1000000 + unnest(range(len(l)))"
 _TURNS = "SELECT conv_id, turn, {} AS l FROM {}"
-_CAND = f"cand AS (SELECT conv_id AS doc_id, {_AT} AS pos, unnest(l) AS s FROM ({_TURNS.format(CANDIDATES, 'conversations')}))"
+_LINES = f"""cl AS ({sql_clean(f"(SELECT conv_id, turn, role, {sql_strip('text')} AS text FROM conversations)", "conv_id, turn, role")}),
+fl AS (SELECT conv_id, turn, text AS cleaned, CASE WHEN text <> '' THEN role || ': ' || text END AS text FROM cl),
+documents AS (SELECT conv_id AS doc_id, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text FROM fl GROUP BY 1)"""
+_CAND = f"cand AS (SELECT conv_id AS doc_id, {_AT} AS pos, unnest(l) AS s FROM ({_TURNS.format(CANDIDATES, 'cl')}))"
 _SPOKEN = f"""sents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rk FROM (SELECT conv_id AS doc_id, {_AT} AS i, unnest(l) AS s FROM (
-  {_TURNS.format(f"flatten(list_transform({PIECES}, lambda s: {_cut('s')}))", f"(SELECT conv_id, turn, {_clean()} AS text FROM conversations)")})))"""
-_X18 = f"""{DEDUPED.replace(CAND, "documents AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), " + _CAND)},
+  {_TURNS.format(f"flatten(list_transform({PIECES}, lambda s: {_cut('s')}))", f"(SELECT conv_id, turn, {_clean('coalesce(text, chr(32))')} AS text FROM fl)")})))"""
+_X18 = f"""{DEDUPED.replace(CAND, f"{_LINES}, {_CAND}")},
 {_SPOKEN}, {_DEC}, {_ISS}, {_ACT}, {_TOPICS}, {_PARTS_X11},
-cl AS ({sql_clean(f"(SELECT conv_id, turn, {sql_strip('text')} AS text FROM conversations)", "conv_id, turn")}),
-n AS (SELECT conv_id AS doc_id, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS word_count, count(*) AS segments FROM cl GROUP BY 1),
-d AS (SELECT conv_id AS doc_id, round(sum(length(text)) / 10, 3) AS meeting_duration FROM conversations GROUP BY 1)
-SELECT n.doc_id AS meeting_id, segments, meeting_duration, word_count, summary, CASE WHEN brief = '' THEN summary ELSE brief END AS executive_summary,
+n AS (SELECT conv_id AS doc_id, CAST(sum(length(cleaned)) + count(*) - 1 AS BIGINT) AS word_count, count(*) AS segments, min(turn) // {_PART3} AS part FROM fl GROUP BY 1),
+d AS (SELECT conv_id AS doc_id, round(sum(length(text)) / 10, 3) AS meeting_duration FROM conversations GROUP BY 1),
+whole AS (SELECT n.doc_id, part, segments, meeting_duration, word_count, summary, CASE WHEN brief = '' THEN summary ELSE brief END AS executive_summary,
   coalesce((SELECT string_agg(name, '|' ORDER BY rank) FROM topics q WHERE q.doc_id = n.doc_id), '') AS topics,
   coalesce((SELECT string_agg(decision, '|' ORDER BY rank) FROM decs q WHERE q.doc_id = n.doc_id), '') AS decisions,
   coalesce((SELECT string_agg(issue, '|' ORDER BY rank) FROM issues q WHERE q.doc_id = n.doc_id), '') AS open_issues,
   coalesce((SELECT string_agg(action, '|' ORDER BY rank) FROM acts q WHERE q.doc_id = n.doc_id), '') AS actions,
   (SELECT count(*) FROM tasks q WHERE q.doc_id = n.doc_id) AS tasks_found,
-  (SELECT string_agg(description, '|' ORDER BY pos, pattern) FROM tasks q WHERE q.doc_id = n.doc_id) AS action_items,
   (SELECT string_agg(role || '=' || share, '|' ORDER BY role) FROM (SELECT role, round(sum(length(text)) / sum(sum(length(text))) OVER () * 100, 2) AS share
     FROM conversations q WHERE q.conv_id = n.doc_id GROUP BY role)) AS speaker_contributions
-FROM n JOIN d USING (doc_id) JOIN y USING (doc_id)"""
+  FROM n JOIN d USING (doc_id) JOIN y USING (doc_id)),
+texts AS (SELECT conv_id AS doc_id, turn // {_PART3} AS part, coalesce(string_agg(nullif(cleaned, ''), chr(10) ORDER BY turn), '') AS cleaned_text,
+  coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS formatted_text FROM fl GROUP BY ALL),
+items AS (SELECT doc_id, pos // 1000000 // {_PART3} AS part, string_agg(description, '|' ORDER BY pos, pattern) AS action_items FROM tasks GROUP BY ALL)
+SELECT texts.doc_id AS meeting_id, texts.part, segments, meeting_duration, word_count, summary, executive_summary, topics, decisions, open_issues, actions, tasks_found,
+  speaker_contributions, coalesce(action_items, '') AS action_items, cleaned_text, formatted_text
+FROM texts LEFT JOIN whole ON whole.doc_id = texts.doc_id AND whole.part = texts.part LEFT JOIN items ON items.doc_id = texts.doc_id AND items.part = texts.part"""
 
 
 @query("X18_meeting_insights", _X18)
 def meeting_insights(spark, d):
-    rows = insights.meeting_insights(t.segments(spark, d), NOW, P)
+    rows = insights.meeting_insights(t.segments(spark, d), NOW, P, part_rows=_PART3)
     shares = F.transform(F.map_entries("speaker_contributions"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    listed = lambda c, name: F.array_join(c, "|").alias(name)
     return rows.select(
-        "meeting_id", "segments", F.round("meeting_duration", 3).alias("meeting_duration"), "word_count", "summary", "executive_summary",
-        F.array_join("topics.name", "|").alias("topics"), F.array_join("decisions", "|").alias("decisions"), F.array_join("open_issues", "|").alias("open_issues"),
-        F.array_join("actions", "|").alias("actions"), "tasks_found", F.array_join("action_items.description", "|").alias("action_items"),
-        F.array_join(F.array_sort(shares), "|").alias("speaker_contributions"),
+        "meeting_id", "part", "segments", F.round("meeting_duration", 3).alias("meeting_duration"), "word_count", "summary", "executive_summary",
+        listed("topics.name", "topics"), listed("decisions", "decisions"), listed("open_issues", "open_issues"), listed("actions", "actions"),
+        "tasks_found", listed("action_items.description", "action_items"), listed(F.array_sort(shares), "speaker_contributions"), "cleaned_text", "formatted_text",
     )

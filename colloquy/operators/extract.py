@@ -54,12 +54,8 @@ def good_description(desc: Column, pack: RulePack) -> Column:
     )
 
 
-def extract_tasks(df: DataFrame, key: Sequence[str], as_of, pack: RulePack = ZH) -> DataFrame:
-    """Task rows found by the pack's sentence patterns; one sentence may fit several."""
-    order = [c for c in ("seg_no",) if c in df.columns]
-    rows = df.select(*key, *order, F.posexplode(task_candidates("text", pack)).alias("_pos", "_s"))
-    s = F.col("_s")
-
+def task_fits(s: Column, pack: RulePack = ZH) -> Column:
+    """array of (pattern, description, assignee, due_text): the pack's patterns that a candidate sentence fits."""
     def fitted(i: int, p: TaskPattern) -> Column:
         part = lambda g: strip(F.regexp_extract(s, p.regex, g))
         none = F.lit(None).cast("string")
@@ -69,14 +65,23 @@ def extract_tasks(df: DataFrame, key: Sequence[str], as_of, pack: RulePack = ZH)
             (F.regexp_extract(s, p.regex, p.due) if p.due else none).alias("due_text"),
         ))
 
-    fits = F.filter(F.array(*[fitted(i, p) for i, p in enumerate(pack.task_patterns)]), lambda t: t.isNotNull())
-    found = rows.select(*key, *order, "_pos", "_s", F.explode(fits).alias("_t")).select(
+    return F.filter(F.array(*[fitted(i, p) for i, p in enumerate(pack.task_patterns)]), lambda t: t.isNotNull())
+
+
+def known_assignee(name: Column, pack: RulePack = ZH) -> Column:
+    return F.when(good_assignee(name, pack), name)
+
+
+def extract_tasks(df: DataFrame, key: Sequence[str], as_of, pack: RulePack = ZH) -> DataFrame:
+    """Task rows found by the pack's sentence patterns; one sentence may fit several."""
+    order = [c for c in ("seg_no",) if c in df.columns]
+    rows = df.select(*key, *order, F.posexplode(task_candidates("text", pack)).alias("_pos", "_s"))
+    found = rows.select(*key, *order, "_pos", "_s", F.explode(task_fits(F.col("_s"), pack)).alias("_t")).select(
         *key, *order, "_pos", F.length("_s").alias("match_length"), has_any("_s", pack.score_verbs).alias("has_verb"), "_t.*"
     )
     found = found.filter(good_description(F.col("description"), pack))
-    who = F.when(good_assignee(F.col("assignee"), pack), F.col("assignee"))
     place = F.struct(*order, "_pos", "pattern")
-    return found.withColumn("assignee", who).withColumn("pos", place).withColumn(
+    return found.withColumn("assignee", known_assignee(F.col("assignee"), pack)).withColumn("pos", place).withColumn(
         "due_date", parse_task_phrase("due_text", as_of, pack.due_phrases)
     ).drop("_pos", *order)
 
@@ -86,14 +91,19 @@ def task_priority(desc, pack: RulePack = ZH) -> Column:
     return F.when(has_any(d, pack.high), "high").when(has_any(d, pack.medium), "medium").otherwise("low")
 
 
-def score_tasks(found: DataFrame, pack: RulePack = ZH, min_confidence: float = 0.6) -> DataFrame:
-    """Priority and confidence; the score is summed in hundredths, so it is exact."""
+def task_confidence(assignee: Column, due_text: Column, match_length: Column, has_verb: Column) -> Column:
+    """The score is summed in hundredths, so it is exact."""
     points = (
-        F.lit(70) + F.when(F.col("assignee").isNotNull(), 10).otherwise(0) + F.when(F.col("due_text").isNotNull(), 10).otherwise(0)
-        + F.when(F.col("match_length") > 20, 5).when(F.col("match_length") < 10, -10).otherwise(0)
-        + F.when(F.col("has_verb"), 5).otherwise(0)
+        F.lit(70) + F.when(assignee.isNotNull(), 10).otherwise(0) + F.when(due_text.isNotNull(), 10).otherwise(0)
+        + F.when(match_length > 20, 5).when(match_length < 10, -10).otherwise(0) + F.when(has_verb, 5).otherwise(0)
     )
-    scored = found.withColumn("priority", task_priority("description", pack)).withColumn("confidence", F.least(points, F.lit(95)) / 100)
+    return F.least(points, F.lit(95)) / 100
+
+
+def score_tasks(found: DataFrame, pack: RulePack = ZH, min_confidence: float = 0.6) -> DataFrame:
+    """Priority and confidence."""
+    points = task_confidence(*[F.col(c) for c in ("assignee", "due_text", "match_length", "has_verb")])
+    scored = found.withColumn("priority", task_priority("description", pack)).withColumn("confidence", points)
     return scored.filter(F.col("confidence") >= min_confidence)
 
 

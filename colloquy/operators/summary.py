@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.functions.text import has_any, sentences, shorten, squeeze, strip, strip_tags, tokens
+from colloquy.functions.text import has_any, sentences, shorten, strip, strip_tags, tokens
 from colloquy.packs import ZH, RulePack
 from colloquy.plans.hot import place_by
 
@@ -92,26 +92,33 @@ def top_tokens(
     return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 5) -> DataFrame:
-    """Topics by keyword rules; frequent tokens fill up when fewer than two rules hit.
+def topic_masks(text: Column, pack: RulePack = ZH) -> list[Column]:
+    """Which topic keywords a text holds: one bit each, 62 to a number, so the rows of a key combine by ``bit_or``."""
+    words = [w for _, ws in pack.topic_rules for w in ws]
+    bits = [F.lit(0).cast("bigint")] * -(-max(1, len(words)) // 62)
+    for i, w in enumerate(words):
+        bits[i // 62] = bits[i // 62].bitwiseOR(F.when(F.contains(text, F.lit(w)), F.lit(1 << i % 62)).otherwise(F.lit(0)).cast("bigint"))
+    return bits
 
-    A row's keyword hits are one bit each, 62 to a number, so the rows of a key combine by ``bit_or``.
-    """
-    df = df.withColumn("text", strip_tags(F.coalesce("text", F.lit(""))))
-    text = F.col("text")
+
+def ruled_topics(masks: Sequence[str], pack: RulePack = ZH) -> Column:
+    """array of (pos, name, keywords) of the rules with a bit in the masks, in the order of the rules."""
     words = [(r, w) for r, (_, ws) in enumerate(pack.topic_rules) for w in ws]
-    names = [f"_m{n}" for n in range(-(-max(1, len(words)) // 62))]
-    bits = [F.lit(0).cast("bigint")] * len(names)
-    for i, (_, w) in enumerate(words):
-        bits[i // 62] = bits[i // 62].bitwiseOR(F.when(F.contains(text, F.lit(w)), F.lit(1 << i % 62)).otherwise(F.lit(0)).cast("bigint"))
-    masks = df.select(*key, *[b.alias(n) for b, n in zip(bits, names)]).groupBy(*key).agg(*[F.bit_or(n).alias(n) for n in names])
 
     def topic(r: int, name: str) -> Column:
-        found = F.array_compact(F.array(*[F.when(F.col(names[i // 62]).bitwiseAND(F.lit(1 << i % 62)) != 0, F.lit(w)) for i, (q, w) in enumerate(words) if q == r]))
+        found = F.array_compact(F.array(*[F.when(F.col(masks[i // 62]).bitwiseAND(F.lit(1 << i % 62)) != 0, F.lit(w)) for i, (q, w) in enumerate(words) if q == r]))
         return F.when(F.size(found) > 0, F.struct(F.lit(r).alias("pos"), F.lit(name).alias("name"), F.slice(found, 1, 4).alias("keywords")))
 
-    rules = F.array_compact(F.array(*[topic(r, name) for r, (name, _) in enumerate(pack.topic_rules)]))
-    hit = masks.select(*key, rules.alias("_t"))
+    return F.array_compact(F.array(*[topic(r, name) for r, (name, _) in enumerate(pack.topic_rules)]))
+
+
+def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int = 5) -> DataFrame:
+    """Topics by keyword rules; frequent tokens fill up when fewer than two rules hit."""
+    df = df.withColumn("text", strip_tags(F.coalesce("text", F.lit(""))))
+    bits = topic_masks(F.col("text"), pack)
+    names = [f"_m{n}" for n in range(len(bits))]
+    masks = df.select(*key, *[b.alias(n) for b, n in zip(bits, names)]).groupBy(*key).agg(*[F.bit_or(n).alias(n) for n in names])
+    hit = masks.select(*key, ruled_topics(names, pack).alias("_t"))
     by_rule = hit.select(*key, F.explode("_t").alias("_t")).select(*key, "_t.*")
     frequent = top_tokens(df, key, 8, pack, "keyword", stop=pack.keyword_stop)
     filler = frequent.filter(~F.col("token").isin(*pack.topic_skip)).join(hit.filter(F.size("_t") < 2).select(*key), list(key), "left_semi")
@@ -119,14 +126,14 @@ def rule_topics(df: DataFrame, key: Sequence[str], pack: RulePack = ZH, top: int
     return _first(by_rule.unionByName(filler), key, top)
 
 
-def _decision(sentence: Column, pack: RulePack) -> Column:
+# the rules below take sentences of ``sentence_rows`` and ``clue_pieces``: of squeezed texts, without blanks at their ends
+
+def _decision(s: Column, pack: RulePack) -> Column:
     """The text of a decision clue, else null."""
-    s = strip(sentence)
     return F.when(F.length(s).between(8, 90) & has_any(s, pack.decision_marks), shorten(s, 70))
 
 
-def _issue(sentence: Column, pack: RulePack) -> Column:
-    s = squeeze(sentence)
+def _issue(s: Column, pack: RulePack) -> Column:
     unclear = (
         F.length(s).between(10, 50) & has_any(s, pack.issue_marks) & has_any(s, pack.issue_context) & ~has_any(s, pack.issue_noise)
         & ~s.rlike("([\\x{4e00}-\\x{9fff}A-Za-z])\\1{4,}")
@@ -134,9 +141,8 @@ def _issue(sentence: Column, pack: RulePack) -> Column:
     return F.when(unclear, shorten(s, 48))
 
 
-def _actions(sentence: Column, pack: RulePack) -> Column:
+def _actions(s: Column, pack: RulePack) -> Column:
     """array of ``owner - task`` clues with the weekday words of the sentence."""
-    s = strip(sentence)
     due = F.regexp_extract(s, pack.action_due_regex, 1)
     both = F.arrays_zip(
         F.regexp_extract_all(s, F.lit(pack.action_regex), F.lit(1)).alias("o"), F.regexp_extract_all(s, F.lit(pack.action_regex), F.lit(2)).alias("t")
@@ -167,40 +173,96 @@ def action_clues(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH, top:
 
 
 # How many findings of each kind a summary shows.
-SHOWN = {"decision": 4, "issue": 5, "action": 4, "lead": 2}
+SHOWN = {"decision": 4, "issue": 5, "action": 4, "lead": 2, "token": 8, "row": 1}
+
 
+def _clue(kind: str, j, name) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), j.cast("int").alias("j"), name.alias("name"))
 
-def findings(sents: DataFrame, key: Sequence[str], pack: RulePack = ZH) -> DataFrame:
-    """The first decisions, issues, actions and sentences of each key, in one pass over the sentences."""
-    s = F.col("sentence")
-    item = lambda kind, j, value: F.struct(F.lit(kind).alias("kind"), j.alias("j"), value.alias("value"))
+
+def clue_pieces(text: Column, pack: RulePack = ZH) -> Column:
+    """What a text is taken apart into: itself, its short sentences and its keyword tokens, as (kind, j, name)."""
+    return F.concat(
+        F.array(_clue("row", F.lit(0), text)),
+        F.transform(sentences(text, pack, 80), lambda s, j: _clue("sentence", j, s)),
+        F.transform(tokens(text, pack, "keyword"), lambda s, j: _clue("token", j, s)),
+    )
+
+
+def sentence_findings(piece: Column, pack: RulePack = ZH) -> dict[str, Column]:
+    """What the rules say of a sentence piece, as columns of a projection, where shared steps are computed once."""
+    s, said = piece["name"], piece["kind"] == "sentence"
+    # only the first two sentences of a row can lead a summary
+    lead = F.when(said & (piece["j"] < SHOWN["lead"]), shorten(s, 60))
+    return {"_decision": F.when(said, _decision(s, pack)), "_issue": F.when(said, _issue(s, pack)), "_lead": lead, "_actions": F.when(said, _actions(s, pack))}
+
+
+def clues(piece: Column, pack: RulePack = ZH) -> Column:
+    """The clues of a piece as (kind, j, name): findings of a sentence, a token, or that there is a row."""
     one = F.lit(0)
-    listed = F.concat(
-        F.array(item("decision", one, _decision(s, pack)), item("issue", one, _issue(s, pack)), item("lead", one, shorten(s, 60))),
-        F.transform(_actions(s, pack), lambda a, j: item("action", j, a)),
+    found = F.concat(
+        F.array(*[_clue(kind, one, F.col(f"_{kind}")) for kind in ("decision", "issue", "lead")]), F.transform("_actions", lambda a, j: _clue("action", j, a))
     )
-    rows = sents.select(*key, "pos", F.explode(F.filter(listed, lambda v: v["value"].isNotNull())).alias("_f")).select(*key, "pos", "_f.*")
-    order = Window.partitionBy(*key, "kind").orderBy("pos", "j")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(SHOWN.values()))
+    word = F.array(_clue("token", one, piece["name"]))
+    token = F.when(~piece["name"].isin(*pack.keyword_stop), word) if pack.keyword_stop else word
+    return (
+        F.when(piece["kind"] == "token", token).when(piece["kind"] == "sentence", F.filter(found, lambda v: v["name"].isNotNull()))
+        .when(piece["kind"] == "row", F.array(_clue("row", one, F.lit(None).cast("string"))))
+    )
+
+
+def clue_rows(base: DataFrame, pieces: Column, found, pack: RulePack = ZH, steps: dict[str, Column] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """A row per clue from one look at each text: the columns of ``base``, piece, kind, name, pos, at and the topic masks.
+
+    ``pos`` is the place (``_order`` columns, piece, clue). ``at`` repeats it for
+    findings, which are listed one by one, and is null for clues that add up. ``steps``
+    are columns of a piece that ``found`` reads beside the findings, ``carry`` further
+    fields that it gives its clues.
+    """
+    order, piece = _order(base), F.col("piece")
+    rows = base.withColumn("piece", F.explode(pieces)).drop("text")
+    steps = {**sentence_findings(piece, pack), **(steps or {})}
+    rows = rows.withColumns(steps).withColumn("_c", F.explode(found(piece))).drop(*steps)
+    rows = rows.withColumns({c: F.col(f"_c.{c}") for c in ("kind", "name", *carry)})
+    rows = rows.withColumn("pos", F.struct(*order, F.col("piece.j").alias("_i"), F.col("_c.j").alias("_j"))).drop("_c")
+    listed = F.col("kind").isin("decision", "issue", "action", "lead")
+    masks = {f"_m{n}": F.when(F.col("kind") == "row", b) for n, b in enumerate(topic_masks(F.col("piece.name"), pack))}
+    return rows.withColumns({"at": F.when(listed, F.col("pos")), **masks})
+
+
+def clue_groups(rows: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
+    """Clues of a key added up: how often, where first, and all rows' topic masks."""
+    masks = [F.bit_or(c).alias(c) for c in rows.columns if c.startswith("_m")]
+    return rows.groupBy(*key, "kind", "name", "at").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), *masks, *more)
+
+
+def ranked_clues(groups: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The clues a summary shows: the most frequent, then the first of each kind; the group limit runs before the shuffle."""
+    order = Window.partitionBy(*key, "kind").orderBy(F.col("n").desc(), "pos")
+    ranked = groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(SHOWN.values()))
     return ranked.filter(F.col("rank") <= F.element_at(F.create_map(*[F.lit(v) for kv in SHOWN.items() for v in kv]), F.col("kind")))
 
 
-def structured_summary(df: DataFrame, key: Sequence[str], pack: RulePack = ZH) -> DataFrame:
-    """Topics, decisions, issues and actions of each key with the sentences made of them."""
+def clue_lists(ranked: DataFrame) -> list[Column]:
+    """Aggregates over the ranked clues of a key: its lists of findings, frequent tokens, and masks."""
     in_order = lambda rows: F.transform(F.array_sort(rows), lambda r: r["v"])
-    found = findings(sentence_rows(df, key, pack), key, pack).groupBy(*key).agg(*[
-        in_order(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", F.col("value").alias("v"))))).alias(name)
-        for kind, name in (("decision", "decisions"), ("issue", "open_issues"), ("action", "actions"), ("lead", "_lead"))
-    ])
-    topics = rule_topics(df, key, pack).groupBy(*key).agg(
-        in_order(F.collect_list(F.struct("rank", F.struct("name", "keywords").alias("v")))).alias("topics")
+    lists = [
+        in_order(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", F.col("name").alias("v"))))).alias(name)
+        for kind, name in (("decision", "decisions"), ("issue", "open_issues"), ("action", "actions"), ("lead", "_lead"), ("token", "_tokens"))
+    ]
+    return [*lists, *[F.max(c).alias(c) for c in ranked.columns if c.startswith("_m")]]
+
+
+def compose_summary(lists: DataFrame, pack: RulePack = ZH, top: int = 5) -> DataFrame:
+    """Topics and sentences made of the lists of ``clue_lists``, in their place."""
+    masks = [c for c in lists.columns if c.startswith("_m")]
+    filler = F.filter(
+        F.transform("_tokens", lambda w, i: F.struct((i + 1 + len(pack.topic_rules)).alias("pos"), w.alias("name"), F.array(w).alias("keywords"))),
+        lambda t: ~t["name"].isin(*pack.topic_skip) if pack.topic_skip else F.lit(True),
     )
-    out = df.select(*key).distinct().join(topics, list(key), "left").join(found, list(key), "left")
-    none = F.array().cast("array<string>")
-    topics = F.coalesce("topics", F.array().cast("array<struct<name:string,keywords:array<string>>>"))
-    out = out.withColumn("topics", topics)
-    for c in ("decisions", "open_issues", "actions", "_lead"):
-        out = out.withColumn(c, F.coalesce(c, none))
+    out = lists.withColumn("_t", ruled_topics(masks, pack))
+    out = out.withColumn("_t", F.slice(F.when(F.size("_t") < 2, F.concat("_t", filler)).otherwise(F.col("_t")), 1, top))
+    out = out.withColumn("topics", F.transform("_t", lambda t: F.struct(t["name"].alias("name"), t["keywords"].alias("keywords"))))
     about, todo, decided = pack.summary_parts
     pieces = F.array_compact(F.array(
         F.when(F.size("topics") > 0, F.format_string(about, F.array_join(F.slice("topics.name", 1, 3), "、"))),
@@ -217,7 +279,15 @@ def structured_summary(df: DataFrame, key: Sequence[str], pack: RulePack = ZH) -
     summary = ended(shorten(F.array_join(F.transform("_parts", trimmed("。； ")), "。"), 220))
     brief = ended(shorten(F.array_join(F.transform(F.slice("_parts", 1, 2), trimmed("。 ")), "；"), 120))
     out = out.withColumn("summary", summary).withColumn("executive_summary", F.coalesce(F.nullif(brief, F.lit("")), F.col("summary")))
-    return out.drop("_parts", "_lead").withColumn("sentiment_overall", F.lit(0.0)).withColumn("summary_type", F.lit("extractive"))
+    return out.drop("_parts", "_lead", "_tokens", "_t", *masks).withColumn("sentiment_overall", F.lit(0.0)).withColumn("summary_type", F.lit("extractive"))
+
+
+def structured_summary(df: DataFrame, key: Sequence[str], pack: RulePack = ZH) -> DataFrame:
+    """Topics, decisions, issues and actions of each key with the sentences made of them, from one look at the texts."""
+    base = df.select(*key, *_order(df), strip_tags(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = clue_rows(base, clue_pieces(F.col("text"), pack), lambda p: clues(p, pack), pack)
+    ranked = ranked_clues(clue_groups(rows, key), key)
+    return compose_summary(ranked.groupBy(*key).agg(*clue_lists(ranked)), pack)
 
 
 def summary_ok(df: DataFrame, pack: RulePack = ZH, summary: str = "summary", source: str = "source") -> Column:
@@ -230,5 +300,3 @@ def summary_ok(df: DataFrame, pack: RulePack = ZH, summary: str = "summary", sou
     refused = text.rlike("(?i)" + "|".join(pack.refusals)) if pack.refusals else F.lit(False)
     listed = (F.size("key_topics") >= 2) | (F.size("decisions") >= 1) | (F.size("open_issues") >= 1)
     return (F.length(text) >= 20) & ~refused & (listed | ~F.coalesce(far_off, F.lit(False)))
-
-

@@ -10,8 +10,8 @@ _REST = "[A-Za-z ]"
 
 PROSE = RulePack(
     name="prose",
-    sentence_break="[.!?;\\n\\r]+",
-    clause_break="[,|]+",
+    sentence_break="[.!?;。！？；\\n\\r]+",
+    clause_break="[,，|]+",
     trim_chars=" ,|\t",
     stop_mark=". ",
     final_marks=(".", "!", "?"),
