@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.catalog.registry import query
 from colloquy.catalog.views import stamp
 from colloquy.operators import changes as ch
+from colloquy.session import ship
 from colloquy.sources import tables as t
 from colloquy.streaming import live
 
@@ -103,9 +104,17 @@ last AS (SELECT task_key, arg_max(status, {'t': ts, 'e': event_id}) AS status, a
 
 @query("R03_latest_status_stream", f"WITH {_LOG} SELECT task_key, status, payload, {stamp('last_at')} AS last_at, events FROM last")
 def latest_status_stream(spark, d):
-    # lifetimes beyond the log: every state is still there
-    out = live.run_states(live.stream_states(log(stream(spark, d)), 10**6, 10**6))
-    return out.filter("alive").select("task_key", "status", "payload", *text_time("last_at"), "events")
+    out = live.run_states(live.stream_latest(log(live.replay(events(spark, d)))))
+    return out.select("task_key", "status", "payload", *text_time("last_at"), "events")
+
+
+# the watermark is ten minutes behind the last event when the log has been read
+@query("R04_expire_stream", f"""WITH {_LOG} SELECT task_key, status, payload, {stamp('last_at')} AS last_at, floor(epoch_us(last_at) / 1000) + 3600000 *
+  CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN 24 ELSE 48 END > (SELECT floor(epoch_us(max(ts)) / 1000) - 600000 FROM events) AS alive FROM last""")
+def expire_stream(spark, d):
+    ship(spark)
+    out = live.run_states(live.stream_states(log(live.replay(events(spark, d)))))
+    return out.select("task_key", "status", "payload", *text_time("last_at"), "alive")
 
 
 @query("R04_expire", f"""WITH {_LOG} SELECT task_key, status, {stamp('last_at')} AS last_at FROM last

@@ -15,21 +15,35 @@ from colloquy.functions.text import WS, bind, find_all, has_any, normalize_task,
 from colloquy.packs import ZH, RulePack, TaskPattern
 
 
+#: numbers added up at a time; the work for n numbers grows with n * BLOCK + (n / BLOCK) ** 2
+BLOCK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's numbers up to each place: block by block, then the blocks' own sums before them."""
+    whole = F.array().cast("array<int>")
+    append = lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + v))
+    blocks = F.when(F.size(numbers) > 0, F.transform(F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(BLOCK)), lambda i: F.slice(numbers, i + 1, F.lit(BLOCK))))
+    inner = F.transform(F.coalesce(blocks, F.array().cast("array<array<int>>")), lambda b: F.aggregate(b, whole, append))
+
+    # the blocks' sums are bound before they are used in the inner function
+    return bind(inner, lambda sums: bind(F.aggregate(F.transform(sums, lambda b: F.element_at(b, -1)), whole, append), lambda before: F.flatten(
+        F.transform(sums, lambda b, k: F.transform(b, lambda v: v + F.when(k > 0, F.get(before, k - 1)).otherwise(0)))
+    )))
+
+
 def occurrences(col, pattern: str) -> Column:
     """array<struct<text,start,end>> of the matches, 0-based, left to right."""
     col = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     gaps = F.transform(F.split(col, pattern, -1), lambda g: F.length(g))
     # one gap before each match; the gap after the last one has no match and drops out
     pairs = F.filter(F.arrays_zip(find_all(col, pattern).alias("text"), gaps.alias("gap")), lambda m: m["text"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + F.length(m["text"])
-        item = F.struct(m["text"].alias("text"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = running_sums(F.transform(found, lambda m: m["gap"] + F.length(m["text"])))
+        return F.zip_with(found, ends, lambda m, e: F.struct(m["text"].alias("text"), (e - F.length(m["text"])).alias("start"), e.alias("end")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return bind(pairs, placed)
 
 
 # --- tasks ------------------------------------------------------------------------------------

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from colloquy.operators.changes import TERMINAL
@@ -183,35 +185,118 @@ def utterance_sessions(seg: DataFrame, gap_seconds: float = 6.0, target: int = T
 STATES = "task_key long, status string, payload string, last_at timestamp, events long, alive boolean"
 
 
-def stream_states(log: DataFrame, task_hours: int = 48, result_hours: int = 24, delay: str = "10 minutes") -> DataFrame:
+def stream_latest(log: DataFrame) -> DataFrame:
     """Changed states of a stream: per key the last status and payload that are not null, the last time and a count.
 
-    State is one row per key. It is dropped when the watermark has passed the key's last
-    event by its lifetime, ended tasks sooner than open ones; that comes out as a row with
-    ``alive`` false. For ``update`` mode.
+    An aggregate in ``update`` mode: rows of a key are combined in every task before the
+    shuffle, and its state is one row, kept for ever; see ``stream_states`` for lifetimes.
     """
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            status, payload, last, n, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], status, payload, pd.Timestamp(last, unit="us"), n, False)], columns=names)
-            return
-        got = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        status, payload, last, n, _ = state.get if state.exists else (None, None, 0, 0, 0)
-        known = got["status"].dropna()
-        status = known.iloc[-1] if len(known) else status
-        known = got["payload"].dropna()
-        payload = known.iloc[-1] if len(known) else payload
-        last = max(last, int(got["ts"].max().value // 1000))
-        state.update((status, payload, last, n + len(got), 0))
-        until = last // 1000 + 3_600_000 * (result_hours if status in TERMINAL else task_hours)
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], status, payload, pd.Timestamp(last, unit="us"), n + len(got), True)], columns=names)
-
-    names = ["task_key", "status", "payload", "last_at", "events", "alive"]
-    rows = log.select("task_key", "event_id", "status", "payload", "ts").withWatermark("ts", delay)
-    kept = "status string, payload string, last long, events long, spare long"
-    return rows.groupBy("task_key").applyInPandasWithState(update, STATES, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    at = F.struct("ts", "event_id")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    return log.groupBy("task_key").agg(last("status"), last("payload"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events"), F.lit(True).alias("alive"))
+
+
+#: rows of many keys held by a task before they go on
+HELD_KEYS = 1 << 16
+PARTIAL = "task_key long, status string, status_at long, status_id long, payload string, payload_at long, payload_id long, last_at timestamp, events long"
+
+
+def combine_states(log: DataFrame) -> DataFrame:
+    """Rows of a key combined within their task (``PARTIAL``): a busy key sends one row per task and batch.
+
+    A stream allows no aggregate before another stateful step, so this works on the
+    task's rows as they come and holds at most ``HELD_KEYS`` keys.
+    """
+    def latest(rows: pd.DataFrame, field: str) -> pd.DataFrame:
+        kept = rows[rows[field].notna()].drop_duplicates("task_key", keep="last")
+        return kept[["task_key", field, f"{field}_at", f"{field}_id"]]
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows.groupby("task_key", as_index=False, dropna=False).agg(last_at=("last_at", "max"), events=("events", "sum"))
+        for field in ("status", "payload"):
+            out = out.merge(latest(rows.sort_values([f"{field}_at", f"{field}_id"]), field), "left", "task_key")
+        return out
+
+    def run(batches):
+        held = None
+        for rows in batches:
+            held = merge(rows if held is None else pd.concat([held, rows]))
+            if len(held) > HELD_KEYS:
+                yield held[columns]
+                held = None
+        if held is not None and len(held):
+            yield held[columns]
+
+    columns = [c.split(" ")[0] for c in PARTIAL.split(", ")]
+    at = F.unix_micros("ts")
+    rows = log.select(
+        F.col("task_key").cast("long").alias("task_key"), "status", at.alias("status_at"), F.col("event_id").cast("long").alias("status_id"),
+        "payload", at.alias("payload_at"), F.col("event_id").cast("long").alias("payload_id"), F.col("ts").alias("last_at"), F.lit(1).cast("long").alias("events"),
+    )
+    return rows.mapInPandas(run, PARTIAL)
+
+
+class StateTable(StatefulProcessor):
+    """One value per key and one timer: the end of its lifetime, later with each event."""
+
+    FIELDS = "status string, status_at long, status_id long, payload string, payload_at long, payload_id long, last long, events long"
+
+    def __init__(self, task_hours: int, result_hours: int):
+        self.task_hours, self.result_hours = task_hours, result_hours
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("state", self.FIELDS)
+
+    def _until(self, now: tuple) -> int:
+        return now[6] // 1000 + 3_600_000 * (self.result_hours if now[0] in TERMINAL else self.task_hours)
+
+    def _row(self, key, now: tuple, alive: bool) -> Row:
+        at = datetime.fromtimestamp(now[6] // 10**6, timezone.utc).replace(microsecond=now[6] % 10**6)
+        return Row(task_key=key[0], status=now[0], payload=now[3], last_at=at, events=now[7], alive=alive)
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = tuple(self.value.get()) if self.value.exists() else (None, None, None, None, None, None, 0, 0)
+        # partial rows come one by one and in any order; the latest by (time, event) wins
+        for row in rows:
+            status, payload = now[:3], now[3:6]
+            if row.status is not None and (status[0] is None or (row.status_at, row.status_id) > status[1:]):
+                status = (row.status, int(row.status_at), int(row.status_id))
+            if row.payload is not None and (payload[0] is None or (row.payload_at, row.payload_id) > payload[1:]):
+                payload = (row.payload, int(row.payload_at), int(row.payload_id))
+            seen = row.last_at.replace(tzinfo=row.last_at.tzinfo or timezone.utc) - EPOCH
+            now = (*status, *payload, max(now[6], seen // timedelta(microseconds=1)), now[7] + row.events)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.value.update(now)
+        self.handle.registerTimer(max(self._until(now), timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, now, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.value.exists():
+            now = tuple(self.value.get())
+            self.value.clear()
+            yield self._row(key, now, False)
+
+    def close(self) -> None:
+        pass
+
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def stream_states(log: DataFrame, task_hours: int = 48, result_hours: int = 24, delay: str = "10 minutes") -> DataFrame:
+    """``stream_latest`` with lifetimes: a key's state is dropped when the watermark has passed its last event by its lifetime.
+
+    Ended tasks live shorter than open ones. Dropping comes out as a row with ``alive``
+    false; a key that comes again later starts anew. For ``update`` mode and a session
+    with the RocksDB state store, see ``run_states``.
+    """
+    rows = combine_states(log).withWatermark("last_at", delay)
+    return rows.groupBy("task_key").transformWithState(StateTable(task_hours, result_hours), STATES, "Update", "EventTime")
+
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_states(states: DataFrame) -> DataFrame:
@@ -221,14 +306,37 @@ def run_states(states: DataFrame) -> DataFrame:
     replaces itself; keys are merged when the table is read.
     """
     spark, folder = states.sparkSession, work_folder(states.sparkSession)
-    out = f"{folder}/out"
-    writer = states.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update")
-    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    out, before = f"{folder}/out", spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        writer = states.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update")
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+    finally:
+        # a query keeps the settings it was started with
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+    query.awaitTermination()
     rows = spark.read.schema(f"{STATES}, batch long").parquet(out)
     columns = [f.name for f in states.schema]
     return rows.groupBy("task_key").agg(F.max_by(F.struct(*columns[1:]), "batch").alias("_s")).select("task_key", "_s.*")
 
 
+def replay(log: DataFrame, at: str = "ts", batches: int = 4) -> DataFrame:
+    """A stored log as a stream that brings it in the order of ``at``, a file and batch for each share of its rows.
+
+    The shares are cut at quantiles and written one after the other, since a file source
+    goes by the age of its files.
+    """
+    spark, folder = log.sparkSession, f"{work_folder(log.sparkSession)}/log"
+    micros = F.unix_micros(at)
+    cuts = log.agg(F.percentile_approx(micros, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    share = F.lit(0)
+    for cut in cuts:
+        share = share + F.when(micros > cut, 1).otherwise(0)
+    for k in range(batches):
+        log.filter(share == k).coalesce(1).write.parquet(f"{folder}/share={k}")
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/share=*").drop("share")
+
+
 def expire(states: DataFrame, as_of, task_hours: int = 48, result_hours: int = 24) -> DataFrame:
     """States still alive: results live shorter than open tasks."""
     hours = F.when(F.col("status").isin(*TERMINAL), result_hours).otherwise(task_hours)

@@ -92,11 +92,14 @@ def test_streams_over_many_batches(spark, small, tmp_path):
         F.max_by("status", at).alias("status"), F.max_by("payload", F.when(F.col("payload").isNotNull(), at)).alias("payload"),
         F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("events"),
     )
+    assert shown(live.run_states(live.stream_latest(holes(arriving())))) == shown(bounded)
     assert shown(live.run_states(live.stream_states(holes(arriving()), 10**6, 10**6)).filter("alive")) == shown(bounded)
-    short = live.run_states(live.stream_states(holes(arriving()))).filter("alive")
+    # exactly the keys whose time is over are told as dropped
+    short = {str(r.task_key): r.alive for r in live.run_states(live.stream_states(holes(arriving()), 6, 2)).collect()}
     end = whole.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTES")).first()[0]
-    alive = {r[0] for r in rows(live.expire(bounded, str(end)).select("task_key"))}
-    assert alive <= {str(r.task_key) for r in short.collect()}
+    alive = {r[0] for r in rows(live.expire(bounded, str(end), 6, 2).select("task_key"))}
+    assert {k for k, there in short.items() if there} == alive and set(short) == {r[0] for r in rows(bounded)}
+    assert not all(short.values())
     # a terminal state once per key, one partner per event
     assert rows(live.run_available(live.terminal_events(log(arriving())))) == rows(live.terminal_events(log(whole)))
     stages = lambda ev: [log(ev.filter(F.col("event_type") == k)) for k in ("signup", "purchase")]
@@ -139,3 +142,25 @@ def test_update_keeps_completion(spark):
     updates = spark.createDataFrame([(1, 1, "blocked"), (1, 2, "completed"), (2, 1, None), (3, 1, "pending")], "id long, seq long, status string")
     got = {r.id: (r.status, str(r.completed_at)) for r in apply_task_updates(tasks, updates, "2024-02-01 00:00:00").collect()}
     assert got == {1: ("completed", "2024-02-01 00:00:00"), 2: ("completed", "2024-01-01 00:00:00"), 3: ("pending", "None")}
+
+
+def test_busy_keys_are_combined_before_the_shuffle(spark):
+    data = [(k % 3 if k % 2 else 7, k, None if k % 5 else f"s{k}", None if k % 4 else f"p{k}", k) for k in range(4000)] + [(None, 1, "x", None, 5)]
+    frame = spark.createDataFrame(data, "task_key long, event_id long, status string, payload string, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    parts = live.combine_states(frame.repartition(4)).collect()
+    assert len(parts) <= 4 * 5 and sum(r.events for r in parts) == len(data)
+    for key in (0, 1, 2, 7):
+        mine = [r for r in data if r[0] == key]
+        got = [r for r in parts if r.task_key == key]
+        assert max((r.status_at, r.status) for r in got if r.status)[1] == max((r[4], r[2]) for r in mine if r[2])[1]
+        assert max((r.payload_at, r.payload) for r in got if r.payload)[1] == max((r[4], r[3]) for r in mine if r[3])[1] if any(r[3] for r in mine) else True
+        assert sum(r.events for r in got) == len(mine)
+
+
+def test_replay_brings_a_log_in_order(spark, small):
+    ev = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = []
+    query = live.replay(ev, batches=3).writeStream.foreachBatch(lambda df, n: seen.append(df.agg(F.count("*"), F.min("ts"), F.max("ts")).first())).trigger(availableNow=True)
+    query.option("checkpointLocation", live.work_folder(spark)).start().awaitTermination()
+    seen = [r for r in seen if r[0]]
+    assert len(seen) == 3 and sum(r[0] for r in seen) == ev.count() and all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
