@@ -559,7 +559,38 @@ def pair_similarity(spark, d):
     return sp.pair_similarity(_features(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("J05_track_speakers")
+# the pairs of a chunk from the best on, one a step, with who is taken on either side; then the links from root to root
+_J05 = f"""WITH RECURSIVE {_FEATS}, {_PAIRS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, chunk_id ORDER BY similarity DESC, speaker, previous) AS k FROM pairs WHERE similarity >= 0.55),
+g AS (SELECT DISTINCT meeting_id, chunk_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS used FROM ranked UNION ALL
+  SELECT r.meeting_id, r.chunk_id, r.k, CASE WHEN list_contains(taken, speaker) OR list_contains(used, previous) THEN taken ELSE list_append(taken, speaker) END,
+    CASE WHEN list_contains(taken, speaker) OR list_contains(used, previous) THEN used ELSE list_append(used, previous) END
+  FROM g JOIN ranked r ON r.meeting_id = g.meeting_id AND r.chunk_id = g.chunk_id AND r.k = g.k + 1),
+done AS (SELECT meeting_id, chunk_id, unnest(taken) AS speaker, unnest(used) AS previous FROM g QUALIFY row_number() OVER (PARTITION BY meeting_id, chunk_id ORDER BY k DESC) = 1),
+t AS (SELECT meeting_id, chunk_id, speaker, chunk_id AS root_chunk, speaker AS root FROM f WHERE NOT EXISTS (
+    SELECT 1 FROM done WHERE done.meeting_id = f.meeting_id AND done.chunk_id = f.chunk_id AND done.speaker = f.speaker) UNION ALL
+  SELECT d.meeting_id, d.chunk_id, d.speaker, root_chunk, root FROM t JOIN done d ON d.meeting_id = t.meeting_id AND d.chunk_id = t.chunk_id + 1 AND d.previous = t.speaker)
+SELECT meeting_id, chunk_id, speaker, printf('SPK_%03d', dense_rank() OVER (PARTITION BY meeting_id ORDER BY root_chunk, root) - 1) AS global_speaker FROM t"""
+
+# one chunk of a meeting a step, with the last five vectors of every speaker known by then
+_MEAN = "list_transform(range(1, len(k.recent[1]) + 1), lambda i: list_avg(list_transform(k.recent, lambda r: r[i])))"
+_J06 = f"""WITH RECURSIVE {_FEATS},
+ch AS (SELECT meeting_id, chunk_id, row_number() OVER (PARTITION BY meeting_id ORDER BY chunk_id) AS place, list({{'s': speaker, 'v': vec}} ORDER BY speaker) AS said FROM f GROUP BY meeting_id, chunk_id),
+t AS (SELECT DISTINCT meeting_id, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(s BIGINT, v DOUBLE[])[]) AS said, CAST([] AS BIGINT[]) AS numbers,
+    CAST([] AS STRUCT(n BIGINT, recent DOUBLE[][])[]) AS known FROM ch UNION ALL
+  SELECT meeting_id, chunk_id, place, said, numbers, list_transform(range(0, greatest(len(known), list_max(numbers) + 1)), lambda n: {{'n': n, 'recent': CASE
+      WHEN list_position(numbers, n) IS NULL THEN known[n + 1].recent WHEN n >= len(known) THEN [said[list_position(numbers, n)].v]
+      ELSE list_append(known[n + 1].recent, said[list_position(numbers, n)].v)[-5:] END}})
+  FROM (SELECT *, list_transform(kept, lambda b, i: coalesce(b, len(known) + len(list_filter(kept[1:i - 1], lambda z: z IS NULL)))) AS numbers
+    FROM (SELECT *, list_transform(best, lambda b, i: CASE WHEN b IS NOT NULL AND NOT list_contains(best[1:i - 1], b) THEN b END) AS kept
+      FROM (SELECT c.*, known, list_transform(c.said, lambda x: list_sort(list_filter(list_transform(known, lambda k:
+          {{'d': -(list_cosine_similarity(x.v, {_MEAN}) + 1) / 2, 'n': k.n}}), lambda q: q.d <= -0.55))[1].n) AS best
+        FROM t JOIN ch c ON c.meeting_id = t.meeting_id AND c.place = t.place + 1))))
+SELECT meeting_id, chunk_id, speaker, printf('SPEAKER_%02d', number) AS global_speaker
+FROM (SELECT meeting_id, chunk_id, unnest(list_transform(said, lambda x: x.s)) AS speaker, unnest(numbers) AS number FROM t WHERE place > 0)"""
+
+
+@query("J05_track_speakers", _J05)
 def track_speakers(spark, d):
     return sp.track_speakers(_features(spark, d), 0.55)
 
@@ -573,7 +604,7 @@ def best_candidates(spark, d):
     return sp.best_candidates(sp.pair_similarity(_features(spark, d)), 0.55).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("J06_track_speakers_best")
+@query("J06_track_speakers_best", _J06)
 def track_speakers_best(spark, d):
     return sp.track_speakers(_features(spark, d), 0.55, "best")
 

@@ -5,6 +5,7 @@ Input: ``(meeting_id, chunk_id, local_speaker, vec)`` with ``vec array<double>``
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -68,48 +69,71 @@ def mean_vector(vectors) -> Column:
     return F.transform(total, lambda v: v / F.size(vectors))
 
 
+class ProfileTable:
+    """The speakers of one meeting: each one's last vectors, by number."""
+
+    def __init__(self, threshold: float, memory: int):
+        self.threshold, self.memory, self.recent = threshold, memory, []
+
+    def hear(self, vectors: list) -> list[int]:
+        """Numbers of a chunk's speakers, in their order; then their vectors join the profiles."""
+        best, known = [-1] * len(vectors), len(self.recent)
+        if known and vectors:
+            means = np.array([np.mean(v, axis=0) for v in self.recent])
+            heard = np.array(vectors)
+            norms = np.sqrt((heard * heard).sum(axis=1))[:, None] * np.sqrt((means * means).sum(axis=1))[None, :]
+            alike = np.divide(heard @ means.T, norms, out=np.full(norms.shape, -1.0), where=norms > 0) / 2 + 0.5
+            for at, row in enumerate(np.where(norms > 0, alike, 0.0)):
+                top = int(row.argmax())
+                # the first one to claim a profile keeps it
+                if row[top] >= self.threshold and row[top] > 0 and top not in best:
+                    best[at] = top
+        out = []
+        for number, vector in zip(best, vectors):
+            if number < 0:
+                number = len(self.recent)
+                self.recent.append([])
+            self.recent[number] = [*self.recent[number], vector][-self.memory:]
+            out.append(number)
+        return out
+
+
 def track_profiles(features: DataFrame, threshold: float = 0.6, memory: int = 5) -> DataFrame:
     """Global ids by profiles: the mean of the last ``memory`` vectors of every speaker known in the meeting.
 
     A speaker takes the most similar profile at or above the threshold, the first one to
-    claim it keeps it, others are new; whoever skips chunks is known again. All meetings
-    go on together, one chunk of each in a step, with a table of (meeting, speaker,
-    last vectors) that is written down after every step.
+    claim it keeps it, others are new; whoever skips chunks is known again. A profile
+    depends on all chunks before it, so a meeting is gone through in order: rows are
+    placed by meeting and sorted by chunk, and pass by one chunk at a time with a table of
+    the meeting's profiles. That table, as large as the cast, is all a task holds.
     """
-    meetings = ["meeting_id"]
-    places = number_rows(features.select("meeting_id", "chunk_id").distinct(), meetings, ["chunk_id"], "_place")
-    rows = durable(features.join(places, ["meeting_id", "chunk_id"]).select(*meetings, "chunk_id", "_place", F.col("local_speaker").alias("speaker"), "vec"))
-    steps = (rows.agg(F.max("_place")).first()[0] or 0) + 1
-    known, found = None, []
-    for place in range(steps):
-        here = rows.filter(F.col("_place") == place)
-        if known is None:
-            named = here.withColumn("_number", F.lit(None).cast("bigint")).withColumn("_count", F.lit(0).cast("bigint"))
-        else:
-            pairs = here.join(known.select(*meetings, "number", mean_vector("recent").alias("_mean")), meetings)
-            pairs = pairs.withColumn("_s", cosine01("vec", "_mean")).filter((F.col("_s") >= threshold) & (F.col("_s") > 0))
-            best = pairs.groupBy(*meetings, "speaker").agg(F.max_by("number", F.struct("_s", (-F.col("number")).alias("t"))).alias("_number"))
-            claim = F.row_number().over(Window.partitionBy(*meetings, "_number").orderBy("speaker"))
-            kept = best.withColumn("_claim", claim).filter(F.col("_claim") == 1).drop("_claim")
-            counts = known.groupBy(*meetings).agg(F.count(F.lit(1)).alias("_count"))
-            named = here.join(kept, [*meetings, "speaker"], "left").join(counts, meetings, "left")
-        fresh = F.row_number().over(Window.partitionBy(*meetings, F.col("_number").isNull()).orderBy("speaker")) - 1
-        number = F.coalesce("_number", F.coalesce("_count", F.lit(0)) + fresh).cast("bigint")
-        named = durable(named.select(*meetings, "chunk_id", "speaker", "vec", number.alias("number")))
-        found.append(named)
-        heard = named.select(*meetings, "number", "vec")
-        if known is None:
-            known = heard.select(*meetings, "number", F.array("vec").alias("recent"))
-        else:
-            joined = known.join(heard, [*meetings, "number"], "full")
-            recent = F.concat(F.coalesce("recent", F.array().cast("array<array<double>>")), F.when(F.col("vec").isNull(), F.array().cast("array<array<double>>")).otherwise(F.array("vec")))
-            recent = F.slice(recent, F.greatest(F.size(recent) - (memory - 1), F.lit(1)), F.lit(memory))
-            known = joined.select(*meetings, "number", recent.alias("recent"))
-        known = durable(known)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionAll(part)
-    return out.select(*meetings, "chunk_id", "speaker", F.format_string("SPEAKER_%02d", "number").alias("global_speaker"))
+    def run(batches):
+        meeting, chunk, waiting, table = None, None, [], ProfileTable(threshold, memory)
+
+        def told():
+            numbers = table.hear([v for _, v in waiting])
+            return [(meeting, chunk, s, f"SPEAKER_{n:02d}") for (s, _), n in zip(waiting, numbers)]
+
+        for rows in batches:
+            out = []
+            for m, c, s, v in rows.itertuples(index=False, name=None):
+                if (m, c) != (meeting, chunk):
+                    out += told()
+                    waiting = []
+                    if m != meeting:
+                        table = ProfileTable(threshold, memory)
+                    meeting, chunk = m, c
+                waiting.append((s, np.asarray(v, float)))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if waiting:
+            yield pd.DataFrame(told(), columns=names)
+
+    rows = features.select("meeting_id", "chunk_id", F.col("local_speaker").alias("speaker"), "vec")
+    placed = rows.repartition("meeting_id").sortWithinPartitions("meeting_id", "chunk_id", "speaker")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = ["meeting_id", "chunk_id", "speaker", "global_speaker"]
+    return placed.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names[:3]) + ", global_speaker string")
 
 
 def track_speakers(features: DataFrame, threshold: float = 0.7, variant: str = "greedy") -> DataFrame:
