@@ -31,7 +31,7 @@ def merge_adjacent(seg: DataFrame, gap: float = 1.0, target: int = TARGET_ROWS)
     with blank ones only keeps them all as they are.
     """
     # cut by all segments, which needs no look at the texts
-    rows, cut = slice_keys(seg, KEY, "start_time", target)
+    rows, cut = slice_keys(seg, KEY, ["start_time", "seg_no"], target)
     spoken = rows.filter(strip("text") != "")
     order = ["start_time", "seg_no"]
     here = in_slice(KEY, *order)

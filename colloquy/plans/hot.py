@@ -2,9 +2,9 @@
 
 A Spark window sends one partition key to one task. When a single meeting can
 hold a third of all rows that task never ends, so ordered operators here work on
-slices of a key: keys above ``target`` rows are cut along their order column,
+slices of a key: keys above ``target`` rows are cut along their order columns,
 the window runs inside each slice, and only one summary row per slice is carried
-across slice borders. A narrow count over (key, order) decides first whether any
+across slice borders. A narrow count by key decides first whether any
 key needs this; where none does, the plan is the plain window.
 """
 
@@ -13,51 +13,77 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 TARGET_ROWS = 1 << 17
 SLICE = "_slice"
 
 
-def _too_large(df: DataFrame, by: Sequence[str], order: str, rows: int, target: int) -> DataFrame:
-    n = F.count(F.lit(1))
+#: quantiles a key or slice is cut at in one go, and slice numbers a cut may use
+CUTS, STRIDE = 32, 128
+LOWEST = -1.7e308
+
+
+def _numeric(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """The order columns up to the first that is no number; later ones cannot cut."""
+    kinds, out = {f.name: f.dataType for f in df.schema}, []
+    for c in order:
+        if not isinstance(kinds[c], T.NumericType):
+            break
+        out.append(c)
+    return out
+
+
+def _place_value(c: str) -> Column:
+    """A column as a double that sorts the same, nulls first."""
+    return F.coalesce(F.col(c).cast("double"), F.lit(LOWEST))
+
+
+def _borders(df: DataFrame, by: Sequence[str], columns: Sequence[str], rows: int) -> DataFrame:
+    """Where to cut keys or slices of more than ``rows`` rows: the number of the first column that varies there, and quantiles of it."""
+    shares = [k / CUTS for k in range(1, CUTS)]
+    varies = [(F.min(c) < F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))) for c in columns]
+    cuts = [F.percentile_approx(_place_value(c), F.lit(shares), F.lit(1000)) for c in columns]
     sized = df.groupBy(*by).agg(
-        n.alias("_rows"), F.ceil(n / F.lit(target)).alias("_slices"), F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi")
+        F.count(F.lit(1)).alias("_n"), *[v.alias(f"_v{k}") for k, v in enumerate(varies)], *[q.alias(f"_q{k}") for k, q in enumerate(cuts)]
     )
-    return sized.filter((F.col("_rows") > rows) & (F.col("_hi") > F.col("_lo"))).drop("_rows")
+    first = F.coalesce(*[F.when(F.col(f"_v{k}"), F.lit(k)) for k in range(len(columns))])
+    chosen = F.coalesce(*[F.when(F.col(f"_v{k}"), F.col(f"_q{k}")) for k in range(len(columns))])
+    return sized.filter(F.col("_n") > rows).select(*by, first.alias("_by"), F.array_sort(F.array_distinct(chosen)).alias("_cuts")).filter("_by IS NOT NULL")
 
 
-def _place(df: DataFrame, sizes: DataFrame, by: Sequence[str], order: str, most: int) -> tuple[DataFrame, Column]:
-    slices = F.least(F.col("_slices"), F.lit(most))
-    step = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
-    return df.join(sizes, list(by), "left"), F.coalesce(F.least(step, slices - 1), F.lit(0)).cast("bigint")
+def _number(columns: Sequence[str]) -> Column:
+    """Number of a row's slice: values between two cuts are one, and each cut is one of its own, as all its rows may be equal."""
+    x = F.coalesce(*[F.when(F.col("_by") == k, _place_value(c)) for k, c in enumerate(columns)])
+    number = F.size(F.filter("_cuts", lambda b: b < x)) * 2 + F.when(F.array_contains("_cuts", x), 1).otherwise(0)
+    return F.coalesce(F.when(F.col("_cuts").isNotNull(), number), F.lit(0)).cast("bigint")
 
 
 def slice_keys(
-    df: DataFrame, keys: Sequence[str], order: str, target: int = TARGET_ROWS, depth: int = 3
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], target: int = TARGET_ROWS, depth: int = 6
 ) -> tuple[DataFrame, bool]:
-    """Add a slice number that grows with ``order`` (numeric) within each key, and say whether any key was cut.
-
-    A cut is of equal width between a key's smallest and largest value; where rows are
-    dense, a slice is still too large and is cut again, up to ``depth`` times. Only keys or
-    slices above their limit enter a size table, so it has at most rows / target entries.
-    It is not hinted: the adaptive planner broadcasts it when its measured size allows, else
-    the join splits the skewed side. Counts and bounds are exact and written down once, so
-    every branch of a plan cuts at the same places.
+    """Add a slice number that grows with ``order`` (ascending, nulls first) within each key, and say whether any key was cut.
+
+    A key above ``target`` rows is cut at quantiles of its first order column that varies.
+    A value that many rows share is a slice of its own; it is cut again by the next
+    column, so rows of one time or priority are told apart by their ids. Slices that are
+    still too large are cut up to ``depth`` times. Only keys or slices above their limit
+    enter a table of cuts, so it has at most rows / target entries. It is not hinted: the
+    adaptive planner broadcasts it when its measured size allows, else the join splits
+    the skewed side. Tables of cuts are written down once, so every branch of a plan cuts
+    at the same places.
     """
+    columns = _numeric(df, [order] if isinstance(order, str) else order)
     whole = df.withColumn(SLICE, F.lit(0).cast("bigint"))
-    sizes = _too_large(df, keys, order, target, target)
-    if sizes.isEmpty():
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target).select(*keys, F.lit(True).alias("_cut"))
+    if not columns or hot.isEmpty():
         return whole, False
-    cut, number = _place(df, durable(sizes), keys, order, 1 << 30)
-    cut = cut.withColumn(SLICE, number).withColumn("_cut", F.col("_slices").isNotNull()).drop("_slices", "_lo", "_hi")
-    at, deeper = [*keys, SLICE], 1 << 15
-    for _ in range(depth - 1):
-        sizes = _too_large(cut.filter("_cut"), at, order, 2 * target, target)
-        if sizes.isEmpty():
+    cut, at = whole.join(durable(hot), list(keys), "left"), [*keys, SLICE]
+    for level in range(depth):
+        cuts = durable(_borders(cut.filter("_cut"), at, columns, target if level == 0 else 2 * target))
+        if cuts.isEmpty():
             break
-        cut, number = _place(cut, durable(sizes), at, order, deeper)
-        cut = cut.withColumn(SLICE, F.col(SLICE) * deeper + number).drop("_slices", "_lo", "_hi")
+        cut = cut.join(cuts, at, "left").withColumn(SLICE, F.col(SLICE) * STRIDE + _number(columns)).drop("_by", "_cuts")
     return cut.drop("_cut"), True
 
 
@@ -94,8 +120,8 @@ def earlier_slices(over: WindowSpec) -> WindowSpec:
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", target: int = TARGET_ROWS
 ) -> DataFrame:
-    """0-based position of each row within its key; ``order[0]`` must be numeric."""
-    rows, cut = slice_keys(df, keys, order[0], target)
+    """0-based position of each row within its key; keys are cut by the numeric columns that ``order`` begins with."""
+    rows, cut = slice_keys(df, keys, order, target)
     local = rows.withColumn(name, F.row_number().over(in_slice(keys, *order)) - 1)
     def before(ends: DataFrame, over: WindowSpec) -> DataFrame:
         return ends.select(*keys, SLICE, F.sum("_rows").over(earlier_slices(over)).alias("_before"))

@@ -78,7 +78,7 @@ def assemble_sessions(messages: DataFrame, target: int = TARGET_ROWS) -> DataFra
     """
     key = ["session_id"]
     timed = _parts(messages).withColumn("_at", F.unix_micros("at"))
-    rows, cut = slice_keys(timed, key, "_at", target)
+    rows, cut = slice_keys(timed, key, ["_at", "seq"], target)
     here = in_slice(key, "_at", "seq")
     past = here.rowsBetween(-9223372036854775808, -1)
     state = F.when(F.col("ends"), False).when(F.col("language").isNotNull(), True)
@@ -377,7 +377,7 @@ def stage_join(first: DataFrame, second: DataFrame, within_seconds: int = 3600,
     no pair is built that is not in the result. Busy keys are cut into slices.
     """
     timed = _stages(first, second).withColumn("_at", F.unix_micros("at"))
-    rows, cut = slice_keys(timed, ["task_key"], "_at", target)
+    rows, cut = slice_keys(timed, ["task_key"], ["_at", "stage", "event_id"], target)
     here = in_slice(["task_key"], "_at", "stage", "event_id")
     opened = F.when(F.col("stage") == 0, F.struct("event_id", "at"))
     local = rows.withColumn("_first", F.last(opened, True).over(here.rowsBetween(-9223372036854775808, -1)))

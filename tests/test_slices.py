@@ -113,3 +113,29 @@ def test_dense_stretches_are_cut_again(spark):
     got = number_rows(rows, ["k"], ["o"], target=100).orderBy("o").collect()
     assert [r.idx for r in got] == list(range(4000))
     assert slice_keys(rows, ["k"], "o", 5000)[1] is False
+
+
+@pytest.mark.parametrize("kind", ["one time", "one time and nulls", "dense", "few values"])
+def test_rows_of_one_order_value_are_cut_by_the_next_column(spark, kind):
+    from pyspark.sql import Window
+    from colloquy.plans.hot import SLICE, slice_keys
+
+    at = {
+        "one time": F.lit(5.0), "one time and nulls": F.when(F.col("id") % 3 > 0, 5.0),
+        "dense": F.when(F.col("id") % 100 == 0, F.col("id") * 1000.0).otherwise(F.col("id") / 1e6), "few values": (F.col("id") % 4).cast("double"),
+    }[kind]
+    df = spark.range(6000).withColumn("at", at).withColumn("key", F.when(F.col("id") % 50 == 0, 1).otherwise(0))
+    rows, cut = slice_keys(df, ["key"], ["at", "id"], target=200)
+    rows = rows.cache()
+    sizes = {(r.key, r[SLICE]): r["count"] for r in rows.groupBy("key", SLICE).count().collect()}
+    assert cut and max(sizes.values()) <= 400 and sum(sizes.values()) == 6000 and sizes[1, 0] == 120
+    # slices follow the whole order
+    over = Window.partitionBy("key").orderBy("at", "id")
+    assert rows.withColumn("before", F.lag(SLICE).over(over)).filter(F.col("before") > F.col(SLICE)).isEmpty()
+    same(number_rows(df, ["key"], ["at", "id"], target=200), number_rows(df, ["key"], ["at", "id"]))
+
+
+def test_merging_many_segments_of_one_start(spark):
+    rows = [(1, n, "AB"[n // 7 % 2], f"w{n}", float(n // 400), float(n // 400) + 0.5, 0.5) for n in range(1200)]
+    df = spark.createDataFrame(rows, SEGMENTS)
+    same(rounded(ops.merge_adjacent(df, 1.0, target=50)), rounded(ops.merge_adjacent(df, 1.0)))
