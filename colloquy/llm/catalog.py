@@ -114,7 +114,7 @@ def key_crc(key: str) -> Column:
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(key_crc("doc_id") % 4 == 2, F.lit(False))
-    model = centroids.learn(docs.where(~held_out))
+    model = centroids.learn(docs.where(~held_out), order=F.xxhash64("doc_id", "text"))
     found, language = centroids.identify(docs.select("doc_id", "text"), model)
     return found.select(
         "doc_id", held_out.alias("held_out"), language["lang"].alias("lang_pred"), language["score"].alias("score"),

@@ -111,9 +111,11 @@ def spherical_clusters(x: np.ndarray, clusters: int, rounds: int = 8) -> np.ndar
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, clusters: int = CLUSTERS, seeds: int = SEEDS) -> Model:
     """Learn from the rows with a language and a letter.
 
-    Frequencies, centroids and limits are over all of them. ``seeds`` texts of each
-    language, the first by ``order`` (by default a hash of the text), seed its clusters.
-    Without such rows there are no languages.
+    Frequencies, centroids and limits are over all of them. At most ``seeds`` texts of
+    each language, those with the smallest ``order``, seed its clusters; ``order`` is a
+    64-bit hash that spreads the rows (by default that of the text), so a first cut by
+    its value keeps about as many as are needed before anything is shuffled. Without
+    such rows there are no languages.
     """
     order = F.xxhash64(text) if order is None else order
     rows = docs.select(F.col(lang).alias("lang"), letters(F.col(text)).alias("text"), order.alias("turn")).where("lang is not null and text is not null")
@@ -128,8 +130,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
 
     found = vector_sum(known, frequencies, SLOTS + 1, "<i8")
     idf = np.log((found[-1] + 1) / (found[:-1] + 1)) + 1
+    sizes = docs.select(F.col(lang).alias("lang")).where("lang is not null").groupBy("lang").count()
+    share = F.lit(2.0 * seeds + 64) / F.col("count")
+    # a row per language, as many as the model holds
+    few = rows.join(F.broadcast(sizes), "lang").where(F.col("turn").cast("double") / 2.0**64 + 0.5 <= share).drop("count")
     best = Window.partitionBy("lang").orderBy("turn", "text")
-    sample = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= seeds)
+    sample = few.withColumn("place", F.row_number().over(best)).where(F.col("place") <= seeds)
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
