@@ -90,7 +90,9 @@ def extract_tasks(df: DataFrame, key: Sequence[str], as_of, pack: RulePack = ZH)
     """Task rows found by the pack's sentence patterns; one sentence may fit several."""
     order = [c for c in ("seg_no",) if c in df.columns]
     rows = df.select(*key, *order, F.posexplode(task_candidates("text", pack)).alias("_pos", "_s"))
-    found = rows.select(*key, *order, "_pos", "_s", F.explode(task_fits(F.col("_s"), pack)).alias("_t")).select(
+    # the outer form computes the fits once: no filter on their number is inferred
+    fits = rows.select(*key, *order, "_pos", "_s", F.explode_outer(task_fits(F.col("_s"), pack)).alias("_t")).filter(F.col("_t").isNotNull())
+    found = fits.select(
         *key, *order, "_pos", F.length("_s").alias("match_length"), has_any("_s", pack.score_verbs).alias("has_verb"), "_t.*"
     )
     found = found.filter(good_description(F.col("description"), pack))

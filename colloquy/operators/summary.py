@@ -220,9 +220,10 @@ def clue_rows(base: DataFrame, pieces: Column, found, pack: RulePack = ZH, steps
     fields that it gives its clues.
     """
     order, piece = _order(base), F.col("piece")
-    rows = base.withColumn("piece", F.explode(pieces)).drop("text")
+    # the outer form lets no filter on the array's size be inferred, which would compute the array once more
+    rows = base.withColumn("piece", F.explode_outer(pieces)).drop("text")
     steps = {**sentence_findings(piece, pack), **(steps or {})}
-    rows = rows.withColumns(steps).withColumn("_c", F.explode(found(piece))).drop(*steps)
+    rows = rows.withColumns(steps).withColumn("_c", F.explode_outer(found(piece))).filter(F.col("_c").isNotNull()).drop(*steps)
     rows = rows.withColumns({c: F.col(f"_c.{c}") for c in ("kind", "name", *carry)})
     rows = rows.withColumn("pos", F.struct(*order, F.col("piece.j").alias("_i"), F.col("_c.j").alias("_j"))).drop("_c")
     listed = F.col("kind").isin("decision", "issue", "action", "lead")
