@@ -126,6 +126,31 @@ def retention(spark, d):
     return ch.retention(states, "2024-01-20 00:00:00", 7).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+# one shape of a time per event: day, minutes, fractions, zones, and texts that only look like times
+_SHAPES = """shapes AS (SELECT event_id, ts, date_trunc('minute', ts) AS m, CASE event_id % 12 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M')
+  WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+05:30')
+  WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.123456789-1100') WHEN 6 THEN strftime(ts, '%Y-%m-%d_%H:%M-03') WHEN 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+24:00')
+  WHEN 8 THEN strftime(ts, '%d.%m.%Y') WHEN 9 THEN strftime(ts, '%Y-%m-31T%H') WHEN 10 THEN '' END AS created_time FROM events)"""
+
+
+@query("D07_retention_iso", f"""WITH {_SHAPES},
+read AS (SELECT event_id, created_time, CASE event_id % 12 WHEN 0 THEN date_trunc('day', ts) WHEN 1 THEN m WHEN 2 THEN ts WHEN 3 THEN date_trunc('second', ts)
+  WHEN 4 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE WHEN 5 THEN date_trunc('second', ts) + INTERVAL 660 MINUTE + INTERVAL 123456 MICROSECOND WHEN 6 THEN m + INTERVAL 180 MINUTE
+  WHEN 9 THEN try_cast(strftime(ts, '%Y-%m-31 %H:00:00') AS TIMESTAMP) END AS made FROM shapes)
+SELECT event_id, created_time, CASE WHEN made IS NULL THEN 'error' WHEN epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(made) > 7 * 86400000000 THEN 'cleaned' ELSE 'remaining' END AS outcome FROM read""")
+def retention_iso(spark, d):
+    k, ts = F.col("event_id") % 12, F.col("ts")
+    shapes = {
+        0: "yyyy-MM-dd", 1: "yyyy-MM-dd'T'HH:mm", 2: "yyyy-MM-dd HH:mm:ss.SSSSSS", 3: "yyyy-MM-dd'T'HH:mm:ss'Z'", 4: "yyyy-MM-dd'T'HH:mm:ss'+05:30'",
+        5: "yyyy-MM-dd'T'HH:mm:ss'.123456789-1100'", 6: "yyyy-MM-dd'_'HH:mm'-03'", 7: "yyyy-MM-dd'T'HH:mm:ss'+24:00'", 8: "dd.MM.yyyy", 9: "yyyy-MM'-31T'HH",
+    }
+    made = F.when(k == 10, "")
+    for i, shape in shapes.items():
+        made = made.when(k == i, F.date_format(ts, shape))
+    states = t.load(spark, d, "events").select("event_id", made.alias("created_time"))
+    return ch.retention(states, "2024-01-20 00:00:00", 7).select("event_id", "created_time", "outcome")
+
+
 @query("D08_quality_report", with_(TASKS, MEETINGS, USERS) + """
 , bad AS (SELECT * REPLACE (CASE WHEN id % 50 = 0 THEN 1.5 ELSE confidence END AS confidence, CASE WHEN id % 40 = 0 THEN 'lost' ELSE status END AS status,
   CASE WHEN id % 30 = 0 THEN NULL WHEN id % 31 = 0 THEN -1 ELSE meeting_id END AS meeting_id) FROM tasks)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.catalog.registry import query
 from colloquy.catalog.speech import sql_strip
 from colloquy.catalog.views import COMMENTS, MEETINGS, SEGMENTS, TASKS, stamp, with_
-from colloquy.catalog.mining import CAND, DEDUPED, _ACT, _DEC, _ISS, _PARTS_X11, _TOPICS, _clean
+from colloquy.catalog.mining import CAND, DEDUPED, _ACT, _DEC, _ISS, _PARTS_X11, _RANK, _TOPICS, _clean
 from colloquy.catalog.writing import CANDIDATES, PIECES, _cut, docs, sql_clean
 from colloquy.operators import summary as su
 from colloquy.packs import PROSE
@@ -262,7 +262,7 @@ m AS (SELECT meeting_id, seg_no, p, n FROM (SELECT meeting_id, seg_no, {_hits(P.
 SELECT s.meeting_id, s.seg_no, speaker, coalesce(keywords, '') AS keywords, organizations, CASE WHEN p + n = 0 THEN 'neutral' WHEN (p - n) / (p + n) > 0.1 THEN 'positive'
   WHEN (p - n) / (p + n) < -0.1 THEN 'negative' ELSE 'neutral' END AS mood FROM s LEFT JOIN k USING (meeting_id, seg_no) JOIN o USING (meeting_id, seg_no) JOIN m USING (meeting_id, seg_no)""")
 def process_transcript(spark, d):
-    rows = insights.process_transcript(t.segments(spark, d), NOW, P)
+    rows = insights.process_transcript(t.segments(spark, d), NOW, P, ranked=False)
     orgs = F.filter(F.coalesce("entities", F.array().cast(rows.schema["entities"].dataType.simpleString())), lambda e: e["type"] == "ORG")
     return rows.select(
         "meeting_id", "seg_no", "speaker", F.coalesce(F.array_join("keywords.token", "|"), F.lit("")).alias("keywords"),
@@ -270,6 +270,20 @@ def process_transcript(spark, d):
     )
 
 
+# a turn is a row here, so the rank's key is the meeting and turn in one number
+@query("X17_ranked_keywords", f"""WITH said AS (SELECT conv_id, turn, conv_id * 100000 + turn AS doc_id, {sql_strip('text')} AS text FROM conversations),
+documents AS (SELECT * FROM said WHERE text <> ''), {_RANK},
+r AS (SELECT doc_id, t AS token, s AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, t) AS rank FROM z QUALIFY rank <= 3),
+f AS (SELECT doc_id, w AS token, count(*) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS rank FROM (
+  SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '{P.token}') AS l FROM documents)) GROUP BY doc_id, w QUALIFY rank <= 3),
+b AS (SELECT * FROM r UNION ALL SELECT doc_id, token, CAST(weight AS DOUBLE), rank FROM f WHERE doc_id NOT IN (SELECT doc_id FROM r))
+SELECT conv_id AS meeting_id, turn AS seg_no, rank, token, round(weight, 4) AS weight FROM b JOIN said USING (doc_id)""")
+def ranked_keywords(spark, d):
+    rows = insights.process_transcript(t.segments(spark, d), NOW, P, with_entities=False, with_sentiment=False)
+    words = rows.select("meeting_id", "seg_no", F.explode("keywords").alias("w"))
+    return words.select("meeting_id", "seg_no", "w.rank", "w.token", F.round("w.weight", 4).alias("weight"))
+
+
 @query("X17_meeting_enrichment", f"""
 WITH w AS (SELECT conv_id, turn * 1000000 + unnest(range(len(l))) AS place, unnest(l) AS w FROM (SELECT conv_id, turn, regexp_extract_all(text, '{P.token}') AS l FROM conversations)),
 f AS (SELECT conv_id, w, count(*) AS n, min(place) AS fst FROM w GROUP BY ALL),

@@ -432,14 +432,17 @@ def stopwords(spark, d):
     )
 
 
-@query("K01_textrank", f"""WITH w AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (
+_RANK = f"""w AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (
   SELECT doc_id, list_transform(regexp_extract_all(text, '{P.token}'), lambda w: lower(w)) AS l FROM documents)),
 k AS (SELECT * FROM w WHERE t NOT IN {sql_list(P.stopwords)}),
 one AS (SELECT x.doc_id, x.t AS a, y.t AS b FROM k x JOIN k y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + 1 AND x.i + 4),
 g AS (SELECT doc_id, a, b, count(*) AS w FROM (SELECT doc_id, a, b FROM one UNION ALL SELECT doc_id, b, a FROM one) GROUP BY ALL),
 e AS MATERIALIZED (SELECT doc_id, a, b, w / sum(w) OVER (PARTITION BY doc_id, a) AS share FROM g),
 r0 AS (SELECT doc_id, a AS t, 1.0 / count(*) OVER (PARTITION BY doc_id) AS s FROM (SELECT DISTINCT doc_id, a FROM e)), {_RANKS},
-z AS (SELECT doc_id, t, (s - min(s) OVER v / 10) / (max(s) OVER v - min(s) OVER v / 10) AS s FROM r{_ROUNDS} WINDOW v AS (PARTITION BY doc_id))
+z AS (SELECT doc_id, t, (s - min(s) OVER v / 10) / (max(s) OVER v - min(s) OVER v / 10) AS s FROM r{_ROUNDS} WINDOW v AS (PARTITION BY doc_id))"""
+
+
+@query("K01_textrank", f"""WITH {_RANK}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, t) AS rank, t AS keyword, round(s, 4) AS score FROM z QUALIFY rank <= 5""")
 def textrank(spark, d):
     return tp.textrank(docs(spark, d), k=5, pack=P).withColumn("score", F.round("score", 4))
@@ -539,6 +542,45 @@ def resolve_topics(spark, d):
     return tp.resolve_topics(corpus, KEY, [stored, text]).select("doc_id", F.col("source").cast("bigint").alias("source"), F.array_join("topics", "|").alias("topics"))
 
 
+# the words of a text are its stored topics, its words by graph rank its analysed ones; one document in seven per level
+def _tokens_sql(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT doc_id, string_agg(w, '|' ORDER BY r) AS l FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS r FROM (
+  SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '{P.topic_token}') AS l FROM {source}))
+  WHERE w NOT IN {sql_list(P.topic_stop)} AND lower(w) NOT IN {sql_list(P.topic_stop_lower)} AND {VALID_TOPIC.format(c='w')} GROUP BY doc_id, w QUALIFY r <= 5) GROUP BY 1)"""
+
+
+_TRIMMED = "trim(name, ' ，,.:;:!?！？。；【】[]()（）" + chr(34) + "')"
+_CLEAN_TOPICS = """{to} AS (SELECT doc_id, string_agg(name, '|' ORDER BY pos) AS l FROM (SELECT * FROM (SELECT * FROM {of} WHERE {valid}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY pos) = 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5) GROUP BY 1)"""
+
+
+@query("X16_topic_cascade", f"""WITH given AS (SELECT doc_id, text, doc_id % 7 AS k FROM documents),
+st AS (SELECT doc_id, pos, {sql_strip('raw')} AS name FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, ' ') AS l FROM given WHERE k = 0))),
+{_CLEAN_TOPICS.format(to="l0", of="st", valid=VALID_TOPIC.format(c=_TRIMMED))},
+said AS (SELECT doc_id, CASE WHEN k IN (0, 4, 5) THEN text WHEN k = 1 THEN regexp_extract(text, '[A-Za-z]{{4,20}}') END AS text FROM given),
+documents AS (SELECT * FROM said WHERE text IS NOT NULL), {_RANK},
+best AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, t) - 1) AS pos, t AS name FROM z),
+heads AS (SELECT * FROM best WHERE pos % 3 = 0 AND pos < 15), {_CLEAN_TOPICS.format(to="l1", of="heads", valid=VALID_TOPIC.format(c=_TRIMMED))},
+items AS (SELECT doc_id, text FROM given WHERE k = 2), notes AS (SELECT doc_id, text FROM given WHERE k = 3),
+{_tokens_sql("l2", "said")}, {_tokens_sql("l3", "items")}, {_tokens_sql("l4", "notes")}
+SELECT g.doc_id, CAST(CASE WHEN l0.l IS NOT NULL THEN 0 WHEN l1.l IS NOT NULL THEN 1 WHEN l2.l IS NOT NULL THEN 2 WHEN l3.l IS NOT NULL THEN 3 WHEN l4.l IS NOT NULL THEN 4 END AS BIGINT) AS source,
+  coalesce(l0.l, l1.l, l2.l, l3.l, l4.l) AS topics
+FROM given g LEFT JOIN l0 USING (doc_id) LEFT JOIN l1 USING (doc_id) LEFT JOIN l2 USING (doc_id) LEFT JOIN l3 USING (doc_id) LEFT JOIN l4 USING (doc_id)""")
+def topic_cascade(spark, d):
+    corpus, k = docs(spark, d).select("doc_id", "text"), F.col("doc_id") % 7
+    said = corpus.withColumn("text", F.when(k.isin(0, 4, 5), F.col("text")).when(k == 1, F.regexp_extract("text", "[A-Za-z]{4,20}", 0))).filter(F.col("text").isNotNull())
+    stored = corpus.filter(k == 0).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "name"))
+    stored = stored.withColumn("keywords", F.array("name"))
+    of = lambda rows: lambda left: rows.join(left, KEY, "left_semi")
+    tokens = lambda texts: lambda left: tp.as_topics(tp.text_topics(of(texts)(left), KEY, 5, P), KEY)
+    levels = [
+        (of(stored), True), (lambda left: tp.analysed_topics(of(said)(left), "doc_id", 5, P), True),
+        (tokens(said), False), (tokens(corpus.filter(k == 2)), False), (tokens(corpus.filter(k == 3)), False),
+    ]
+    rows = tp.cascade_topics(corpus, KEY, levels, 5, P)
+    return rows.select("doc_id", F.col("source").cast("bigint").alias("source"), F.array_join("topics.name", "|").alias("topics"))
+
+
 # --- speakers --------------------------------------------------------------------------------------------------
 
 def _features(spark, d):

@@ -127,6 +127,24 @@ def days_between(later, earlier) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(86400000000.0)
 
 
+# Fixed value: the shape of an ISO time; day, hour, minute, second, fraction, zone.
+_ISO = r"(?s)^(\d{4}-\d\d-\d\d)(?:.(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?(Z|[+-]\d\d(?::?\d\d)?)?)?$"
+
+
+def iso_time(col) -> Column:
+    """The UTC time of an ISO text: a day, or a day and a clock time down to fractions of any length (cut at
+    microseconds), with ``Z`` or an offset below 24 hours, or neither; null for any other text."""
+    text = _col(col)
+    part = lambda i: F.regexp_extract(text, _ISO, i)
+    two = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("00"))
+    local = F.concat(part(1), F.lit(" "), F.concat_ws(":", two(2), two(3), two(4)), F.lit("."), F.rpad(F.substring(part(5), 1, 6), 6, "0"))
+    zone = F.regexp_replace(part(6), "[^0-9]", "")
+    hours, minutes = (F.coalesce(F.substring(zone, k, 2).try_cast("int"), F.lit(0)) for k in (1, 3))
+    east = F.when(F.startswith(part(6), F.lit("-")), -1).otherwise(1) * (hours * 60 + minutes)
+    fits = text.rlike(_ISO) & (hours < 24) & (minutes < 60)
+    return F.when(fits, local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=east))
+
+
 def days_until(col, as_of) -> Column:
     return F.floor(days_between(col, as_time(as_of))).cast("bigint")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.functions.dates import as_time, days_between
+from colloquy.functions.dates import as_time, days_between, iso_time
 from colloquy.functions.text import blank_to_null, restore_marks, strip
 from colloquy.operators.segments import merge_adjacent
 from colloquy.packs import ZH, RulePack
@@ -93,12 +93,11 @@ def rename_speakers(seg: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def retention(states: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Each state with what becomes of it: cleaned, remaining, or error (kept) when its time is unreadable."""
-    made = F.coalesce(
-        F.try_to_timestamp(F.col("created_time"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(F.col("created_time"), F.lit("yyyy-MM-dd HH:mm:ss")),
-    )
-    old = days_between(as_time(as_of), made) > days
+    """Each state with what becomes of it: cleaned, remaining, or error (kept) when its time is unreadable.
+
+    Times are read by ``iso_time``: those with an offset count as instants, others as UTC like ``as_of``.
+    """
+    old = days_between(as_time(as_of), made := iso_time("created_time")) > days
     return states.withColumn("outcome", F.when(made.isNull(), "error").when(old, "cleaned").otherwise("remaining"))
 
 

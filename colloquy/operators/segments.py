@@ -387,25 +387,36 @@ def by_speaker(seg: DataFrame, speaker: str) -> DataFrame:
 def assign_speaker(tr: DataFrame, di: DataFrame, bucket: float = 60.0) -> DataFrame:
     """Each transcript segment takes the speaker of the turn it overlaps most.
 
-    Both sides are put on a time grid and joined on (meeting, cell); a pair is kept only
-    in the cell where its overlap begins, so no pair is seen twice and none is deduplicated.
-    Equal overlaps go to the turn that comes first. Meetings without transcript keep
-    their turns as they are.
+    Both sides are put on time grids whose cells double in width from ``bucket`` on. A row's
+    level is the first whose cells are as wide as the row is long, so it touches few cells
+    however long it is; it is also put on the wider grids that the other side of its meeting
+    uses. A pair meets on the level of its longer row and is kept only in the cell where its
+    overlap begins, so no pair is seen twice and none is deduplicated. Equal overlaps go to
+    the turn that comes first. Meetings without transcript keep their turns as they are.
     """
-    def cells(df: DataFrame) -> DataFrame:
-        grid = F.sequence(F.floor(F.col("_s") / bucket), F.floor(F.greatest("_s", "_e") / bucket))
-        return df.withColumn("_cell", F.explode(grid))
-
-    left = cells(tr.select("meeting_id", "seg_no", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")))
+    def graded(df: DataFrame) -> DataFrame:
+        length = (F.col("_e") - F.col("_s")) / bucket
+        return df.withColumn("_own", F.when(length > 1, F.ceil(F.log2(length))).otherwise(F.lit(0)).cast("int"))
+
+    def cells(df: DataFrame, other: DataFrame) -> DataFrame:
+        # a meeting uses a few dozen levels at most
+        wider = other.groupBy("meeting_id").agg(F.collect_set("_own").alias("_wider"))
+        levels = F.concat(F.array("_own"), F.filter(F.coalesce("_wider", F.array().cast("array<int>")), lambda x: x > F.col("_own")))
+        rows = df.join(wider, "meeting_id", "left").withColumn("_level", F.explode(levels)).drop("_wider")
+        width = F.pow(F.lit(2.0), F.col("_level")) * bucket
+        return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.greatest("_s", "_e") / width))))
+
+    left = graded(tr.select("meeting_id", "seg_no", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")))
     # turns over the same stretch tie everywhere, so only the first of them can win
     turns = di.groupBy("meeting_id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e")).agg(
         F.min(F.struct(F.col("seg_no").alias("n"), F.col("speaker").alias("who"))).alias("_t")
     )
-    right = cells(turns.select("meeting_id", F.col("_t.n").alias("_turn"), F.col("_t.who").alias("_who"), "_s", "_e"))
-    right = right.withColumnsRenamed({"_s": "_ds", "_e": "_de"})
+    right = graded(turns.select("meeting_id", F.col("_t.n").alias("_turn"), F.col("_t.who").alias("_who"), "_s", "_e"))
+    said = cells(right, left).withColumnsRenamed({"_s": "_ds", "_e": "_de", "_own": "_ds_own"})
     begin = F.greatest("_s", "_ds")
-    pairs = left.join(right, ["meeting_id", "_cell"]).filter(
-        (F.col("_s") < F.col("_de")) & (F.col("_ds") < F.col("_e")) & (F.floor(begin / bucket) == F.col("_cell"))
+    pairs = cells(left, right).join(said, ["meeting_id", "_level", "_cell"]).filter(
+        (F.col("_s") < F.col("_de")) & (F.col("_ds") < F.col("_e")) & (F.greatest("_own", "_ds_own") == F.col("_level"))
+        & (F.floor(begin / (F.pow(F.lit(2.0), F.col("_level")) * bucket)) == F.col("_cell"))
     )
     overlap = F.least("_e", "_de") - begin
     best = pairs.filter(overlap > 0).groupBy("meeting_id", "seg_no").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +53,18 @@ def _graph_rank(words: list[str], window: int, iterations: int, k: int, damping:
 
 
 def textrank(
-    df: DataFrame, key: str = "doc_id", window: int = 5, iterations: int = 10, k: int = 10, damping: float = 0.85,
+    df: DataFrame, key: str | Sequence[str] = "doc_id", window: int = 5, iterations: int = 10, k: int = 10, damping: float = 0.85,
     pack: RulePack = ZH,
 ) -> DataFrame:
     """Top words of each text by weighted rank over its co-occurrence graph.
 
     The graph of a text is as large as the text, so each row is ranked where it lies, in
-    Arrow batches of token arrays: no edges, no grouping, no shuffle. ``key`` is one row's.
+    Arrow batches of token arrays: no edges, no grouping, no shuffle. ``key`` is one row's, a column or several.
     """
     ship(df.sparkSession)
     skip = frozenset(pack.stopwords)
-    kind = df.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def rank(batches):
         for batch in batches:
@@ -71,12 +72,12 @@ def textrank(
             sizes = [len(r) for r in ranked]
             rows = np.repeat(np.arange(len(ranked)), sizes)
             yield pa.RecordBatch.from_arrays([
-                batch.column(key).take(pa.array(rows)), pa.array([n for s in sizes for n in range(1, s + 1)], pa.int64()),
+                *[batch.column(c).take(pa.array(rows)) for c in keys], pa.array([n for s in sizes for n in range(1, s + 1)], pa.int64()),
                 pa.array([w for r in ranked for w, _ in r], pa.string()), pa.array([v for r in ranked for _, v in r], pa.float64()),
-            ], names=[key, "rank", "keyword", "score"])
+            ], names=[*keys, "rank", "keyword", "score"])
 
-    words = df.select(key, F.transform(tokens("text", pack), F.lower).alias("_w"))
-    return words.mapInArrow(rank, f"{key} {kind}, rank bigint, keyword string, score double")
+    words = df.select(*keys, F.transform(tokens("text", pack), F.lower).alias("_w"))
+    return words.mapInArrow(rank, f"{kinds}, rank bigint, keyword string, score double")
 
 
 def tfidf_keywords(df: DataFrame, key: str = "doc_id", k: int = 10, pack: RulePack = ZH) -> DataFrame:
@@ -212,6 +213,43 @@ def resolve_topics(keys: DataFrame, key: Sequence[str], candidates: Sequence[Dat
     return out.withColumn("_r", F.coalesce(*names)).select(*key, F.col("_r.source").alias("source"), F.col("_r.topics").alias("topics"))
 
 
+def as_topics(words: DataFrame, key: Sequence[str], name: str = "token") -> DataFrame:
+    """Ranked words as topic rows ``(pos, name, keywords)``, each its own keyword."""
+    return words.select(*key, F.col("rank").cast("int").alias("pos"), F.col(name).alias("name"), F.array(name).alias("keywords"))
+
+
+def analysed_topics(texts: DataFrame, key: str, n: int = 5, pack: RulePack = ZH) -> DataFrame:
+    """Topic rows ``(pos, name, keywords)`` of one text per key: its words by graph rank in groups of three."""
+    ranked = textrank(texts, key, k=3 * n, pack=pack).withColumnRenamed("keyword", "token")
+    return keyword_topics(ranked, [key], n).select(key, F.col("topic").cast("int").alias("pos"), "name", "keywords")
+
+
+def cascade_topics(keys: DataFrame, key: Sequence[str], levels: Sequence[tuple[Callable[[DataFrame], DataFrame], bool]], n: int = 5, pack: RulePack = ZH) -> DataFrame:
+    """Topics of each key from the first level that has some, with the level's number.
+
+    A level is a function from the keys that are left to topic rows ``(*key, pos, name, keywords)``
+    and whether they are sanitized; others are taken as they are, the first ``n`` of them. A level
+    only ever sees the keys without topics so far, so a costly one runs on few. Keys that
+    no level helps have a null source and null topics.
+    """
+    left = durable(keys.select(*key).distinct())
+    out: DataFrame | None = None
+    for i, (level, sanitized) in enumerate(levels):
+        rows = level(left)
+        if sanitized:
+            rows = sanitize_topics(rows, key, n, pack)
+        else:
+            first = Window.partitionBy(*key).orderBy("pos")
+            rows = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
+        found = durable(rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "name", "keywords"))).alias("topics")))
+        left = durable(left.join(found.select(*key), list(key), "left_anti"))
+        told = found.select(*key, F.lit(i).alias("source"), "topics")
+        out = told if out is None else out.unionByName(told)
+        if left.isEmpty():
+            break
+    return left.unionByName(out, allowMissingColumns=True) if out is not None else left
+
+
 # --- models ----------------------------------------------------------------------------------------
 
 def _counted(df: DataFrame, key: Sequence[str], size: int, pack: RulePack):

@@ -8,6 +8,7 @@ from colloquy.functions.dates import parse_task_phrase
 from colloquy.functions.text import clean_text, has_any, sentiment, sentiment_scores, strip, strip_tags, task_candidates
 from colloquy.operators.extract import description_key, entities, good_description, known_assignee, task_confidence, task_fits, task_priority
 from colloquy.operators.summary import SHOWN, clue_groups, clue_lists, clue_pieces, clue_rows, clues, compose_summary, ranked_clues, top_tokens
+from colloquy.operators.topics import textrank
 from colloquy.packs import ZH, RulePack
 from colloquy.plans.hot import durable
 
@@ -15,9 +16,14 @@ MEETING = ["meeting_id"]
 
 
 def process_transcript(
-    seg: DataFrame, as_of: str, pack: RulePack = ZH, with_entities: bool = True, with_keywords: bool = True, with_sentiment: bool = True
+    seg: DataFrame, as_of: str, pack: RulePack = ZH, with_entities: bool = True, with_keywords: bool = True, with_sentiment: bool = True,
+    ranked: bool = True,
 ) -> DataFrame:
-    """Segments with their entities, three frequent tokens and sentiment."""
+    """Segments with their entities, three keywords and sentiment.
+
+    Keywords are the best words by graph rank, weighted by it; a segment whose words have no
+    neighbours, or every one without ``ranked``, takes its most frequent tokens, weighted by their numbers.
+    """
     key = ["meeting_id", "seg_no"]
     out = seg.withColumn("text", strip(F.coalesce("text", F.lit("")))).withColumn("speaker", F.coalesce("speaker", F.lit("Unknown")))
     spoken = out.filter(F.col("text") != "")
@@ -27,9 +33,13 @@ def process_transcript(
         )
         out = out.join(found, key, "left")
     if with_keywords:
-        best = top_tokens(spoken.select(*key, "text"), key, 3, pack).groupBy(*key).agg(
-            F.array_sort(F.collect_list(F.struct("rank", "token", "n"))).alias("keywords")
-        )
+        texts = spoken.select(*key, "text")
+        words = top_tokens(texts, key, 3, pack).select(*key, F.lit(1).alias("_way"), "rank", "token", "n", F.col("n").cast("double").alias("weight"))
+        if ranked:
+            best = textrank(texts, key, k=3, pack=pack).withColumnsRenamed({"keyword": "token", "score": "weight"})
+            words = words.unionByName(best.withColumn("_way", F.lit(0)), allowMissingColumns=True)
+        listed = words.groupBy(*key, "_way").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "n", "weight"))).alias("_words"))
+        best = listed.groupBy(*key).agg(F.min_by("_words", "_way").alias("keywords"))
         out = out.join(best, key, "left")
     if with_sentiment:
         out = out.withColumn("sentiment", F.when(F.col("text") != "", sentiment("text", pack)))
