@@ -349,6 +349,19 @@ def test_model_is_a_distribution_and_learns_from_training_only(spark, docs):
     assert {(x.n_known, x.train_tokens) for x in language_model.score_documents(none).collect()} == {(0, 0)}
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET_WORDS", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for parts in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append({x.doc_id: x.score for x in language_model.score_documents(docs.repartition(parts + 1)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(found[0]) == 200 and found[0] == found[1]
+
+
 def test_text_mixture_is_sequential():
     log_p = np.log(np.array([0.2, 0.1, 0.2, 0.2, 0.05]))
     token, owner, first = np.array([0, 1, 0, 0, 2]), np.array([0, 0, 0, 0, 1]), np.array([0, 4, 5])
