@@ -87,6 +87,19 @@ def page(spark, d):
     return ops.page(t.tasks(spark, d), [F.col("created_at").desc(), "id"], 60, 30).select("id", "title")
 
 
+@query("P12_page_after", with_(TASKS) + "SELECT id, title FROM tasks ORDER BY created_at DESC, id LIMIT 30 OFFSET 60")
+def page_after(spark, d):
+    rows, order = t.tasks(spark, d), [("created_at", True), ("id", False)]
+    # the two pages before, 30 rows each; the last row of one is where the next begins
+    last = None
+    for _ in range(2):
+        end = ops.page_after(rows.select("created_at", "id"), order, last, 30).tail(1)
+        if not end:
+            return rows.select("id", "title").limit(0)
+        last = end[0].asDict()
+    return ops.page_after(rows, order, last, 30).select("id", "title")
+
+
 @query("J01_owned_tasks", with_(TASKS, MEETINGS) + f"""
 SELECT id, meeting_id FROM tasks WHERE meeting_id IN (SELECT id FROM meetings WHERE owner_id = {OWNER})""")
 def owned_tasks(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.dates import as_time, days_between
@@ -44,6 +46,28 @@ def normalize_status(col="status", mapping=LEGACY_STATUS) -> Column:
     return out
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: dict | None = None, limit: int = 50) -> DataFrame:
+    """The page behind a row, by its sort values: columns of ``order`` with whether they fall.
+
+    ``last`` holds the values of those columns in the last row of the page before, None
+    for the first page. Rows before are filtered in the scan, never sorted and skipped,
+    however far the page lies. Rising columns have nulls first, falling ones last. The
+    columns together tell rows apart, else rows equal to the last are passed over.
+    """
+    sort = [F.col(c).desc() if falls else F.col(c).asc() for c, falls in order]
+    if last is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for c, falls in order:
+            value = F.lit(last[c]).cast(df.schema[c].dataType)
+            if last[c] is None:
+                after = F.lit(False) if falls else F.col(c).isNotNull()
+            else:
+                after = (F.col(c) < value) | F.col(c).isNull() if falls else F.col(c) > value
+            behind, equal = behind | (equal & after), equal & F.col(c).eqNullSafe(value)
+        df = df.filter(behind)
+    return df.orderBy(*sort).limit(limit)
+
+
 def page(df: DataFrame, order: list, skip: int = 0, limit: int = 50) -> DataFrame:
     """Rows ``skip .. skip+limit`` of a total order (the order must be unique to be stable)."""
     return df.orderBy(*order).offset(skip).limit(limit)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from colloquy.functions.dates import iso_time
-from colloquy.operators import segments as ops, topics as tp
+from colloquy.operators import segments as ops, tasks, topics as tp
 from colloquy.packs import PROSE
 from colloquy.plans import insights
 
@@ -89,3 +89,16 @@ def test_keywords_by_rank_with_tokens_as_fallback(spark):
     got = {r.seg_no: r.keywords for r in insights.process_transcript(seg, "2024-03-20 09:30:00", PROSE, with_entities=False, with_sentiment=False).collect()}
     assert [k.token for k in got[0]][0] == "alpha" and len(got[0]) == 3 and got[0][0].n is None
     assert [(k.token, k.n, k.weight) for k in got[1]] == [("lonely", 1, 1.0)] and got[2] is None
+
+
+def test_pages_behind_rows_are_the_whole_list(spark):
+    rnd = random.Random(8)
+    data = [(k, rnd.choice([None, 1, 2, 3]), rnd.choice([None, "a", "b"])) for k in range(60)]
+    df = spark.createDataFrame(data, "id long, n int, s string").repartition(3)
+    order = [("n", True), ("s", False), ("id", True)]
+    listed = [r.id for r in df.orderBy(F.col("n").desc(), F.col("s").asc(), F.col("id").desc()).collect()]
+    found, last = [], None
+    while rows := tasks.page_after(df, order, last, 13).collect():
+        found += [r.id for r in rows]
+        last = rows[-1].asDict()
+    assert found == listed
