@@ -376,6 +376,54 @@ def test_text_mixture_is_sequential():
     assert found == pytest.approx([total, log_p[4]])
 
 
+def test_pairs_are_counted_exactly_and_shares_stay_below_one(spark):
+    texts = ["the cat sat on the mat", "The  cat ran", "", "a dog ran on the cat", "odd one"] * 3
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").repartition(4)
+    words = sorted({w for x in texts for w in x.lower().encode().split()} - {b"odd"} | {b""})
+    tokens = [[*x.lower().encode().split(), b""] for x in texts]
+    counts = np.array([sum(x.count(w) for x in tokens) for w in words])
+    brute = Counter((b, t) for x in tokens for b, t in zip([b"", *x[:-1]], x) if b in words)
+    pairs = language_model.count_pairs(docs, words, counts)
+    hashes = {w: int(language_model.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in {w for x in tokens for w in x}}
+
+    def shares(before, token):
+        return [x[0] for x in pairs.shares(*[np.array([hashes[w]], np.uint64) for w in (before, token)])]
+
+    assert len(pairs.keys) == len(brute)
+    for b in hashes:
+        total = sum(n for (x, _), n in brute.items() if x == b)
+        found = [shares(b, t) for t in hashes]
+        assert [x[0] for x in found] == pytest.approx([brute[b, t] / total if total else 0 for t in hashes])
+        assert {round(x[1], 9) for x in found} == {1.0 if total else 0.0}
+        assert sum(x[0] for x in found) == pytest.approx(found[0][1])
+    # a bound keeps whole steps of counts, from the top
+    fewer = language_model.count_pairs(docs, words, counts, 5)
+    assert 0 < len(fewer.keys) <= 5 and fewer.counts.min() > max(set(brute.values()) - set(fewer.counts.tolist()), default=0)
+
+
+def test_mixtures_of_shares_are_worked_out():
+    log_p, word, pair, mass = np.log([0.1, 0.2]), np.array([0.3, 0.0]), np.array([0.5, 0.0]), np.array([0.75, 0.0])
+    found = np.exp(language_model.with_shares(log_p, word, 0.9, pair, mass))
+    for line, (a, b) in zip(found, language_model.SHARES):
+        among = (1 - a * 0.9) * np.exp(log_p) + a * word
+        assert line == pytest.approx((1 - b * mass) * among + b * pair)
+
+
+def test_words_before_tell_what_comes(spark):
+    """Texts in which each word settles the next: held-out scores have to use that, and beat the base."""
+    rng = np.random.default_rng(5)
+    following = rng.permutation(200)
+    texts = []
+    for start in rng.integers(0, 200, 400):
+        chain = [start]
+        for jump in rng.random(40) < 0.1:
+            chain.append(rng.integers(200) if jump else following[chain[-1]])
+        texts.append(" ".join(f"w{int(x) * 7919 % 100003}" for x in chain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [x for x in language_model.score_documents(docs).collect() if x.held_out]
+    assert sum(x.score for x in held) > 0.6 * sum(x.base_score for x in held)
+
+
 # licences
 
 
