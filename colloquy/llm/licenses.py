@@ -53,8 +53,46 @@ SENTENCES = {
     "CCBY": r"(this work is )?licensed under (a )?cc by 4\.0",
     "SPDXApache": r"spdx-license-identifier: apache-2\.0",
     "SPDXMIT": r"spdx-license-identifier: mit",
+    "LGPLFree21": r"(this (program|library) is free software:? )?you can redistribute it and/or modify it under the terms of the gnu lesser general public license.*version 2\.1 of the license.*",
+    "LGPLFree3": r"(this (program|library) is free software:? )?you can redistribute it and/or modify it under the terms of the gnu lesser general public license.*version 3 of the license.*",
+    "LGPLFree": r"(this (program|library) is free software:? )?you can redistribute it and/or modify it under the terms of the gnu lesser general public license.*",
+    "LGPLVersion21": r"(either )?version 2\.1 of the license.*",
+    "AGPLFree3": r"(this program is free software:? )?you can redistribute it and/or modify it under the terms of the gnu affero general public license.*version 3 of the license.*",
+    "AGPLFree": r"(this program is free software:? )?you can redistribute it and/or modify it under the terms of the gnu affero general public license.*",
+    "LGPLWarranty": r"this library is distributed in the hope that it will be useful,? but without any warranty.*",
+    "LGPLReceived": r"you should have received a copy of the gnu (lesser|affero) general public license along with this (program|library).*",
+    "LGPLDetails": r"see the gnu (lesser|affero) general public license for more details",
+    "MPLTerms": r"this source code form is subject to the terms of the mozilla public license(,? v(\. ?2\.0)?)?",
+    "ISCGrant": r"permission to use,? copy,? modify,? and/?(or)? ?distribute this software for any purpose with or without fee is hereby granted.*",
+    "ISCWarranty": r"the software is provided as is and the author disclaims all warranties.*",
+    "ISCLiability": r"in no event shall the author be liable for any special,? direct.*",
+    "BoostGrant": r"distributed under the boost software license,? version 1\.0",
+    "UnlicenseGrant": r"this is free and unencumbered software released into the public domain",
+    "SPDX": r"spdx-license-identifier: ([\w.+-]+(?: (?:and|or|with) [\w.+-]+)*)",
     "Rights": r".*all rights reserved",
+    "Copyright": r"copyright (c )?\d{4}\b.*",
 }
+# fixed values: names by which licences are called in a sentence
+NAMES = {
+    "MIT": r"mit( license)?",
+    "ISC": r"isc( license)?",
+    "Apache-2.0": r"apache( software)? license,?( version| v)? ?2(\.0)?|apache[- ]2(\.0)?( license)?",
+    "BSD-3-Clause": r"(3-clause|three-clause|new|modified|revised) bsd( license)?|bsd[- ]3-clause( license)?",
+    "BSD-2-Clause": r"(2-clause|two-clause|simplified) bsd( license)?|bsd[- ]2-clause( license)?",
+    "LGPL-2.1": r"(gnu )?(lesser general public license|lgpl),?( version| v)?[ -]?2\.1( or( any)? later( version)?)?",
+    "LGPL-3.0": r"(gnu )?(lesser general public license|lgpl),?( version| v)?[ -]?3(\.0)?( or( any)? later( version)?)?",
+    "AGPL-3.0": r"(gnu )?(affero general public license|agpl),?( version| v)?[ -]?3(\.0)?( or( any)? later( version)?)?",
+    "GPL-2.0": r"(gnu )?(general public license|gpl),?( version| v)?[ -]?2(\.0)?( or( any)? later( version)?)?",
+    "GPL-3.0": r"(gnu )?(general public license|gpl),?( version| v)?[ -]?3(\.0)?( or( any)? later( version)?)?",
+    "MPL-2.0": r"mozilla public license,?( version| v)? ?2(\.0)?|mpl[- ]?2(\.0)?",
+    "EPL-2.0": r"eclipse public license,?( version| v)? ?-? ?2(\.0)?|epl[- ]?2(\.0)?",
+    "BSL-1.0": r"boost software license,?( version| v)? ?1\.0",
+    "Zlib": r"zlib( license)?",
+    "Unlicense": r"unlicense",
+    "CC0-1.0": r"(creative commons )?cc0( 1\.0)?( universal)?( license)?",
+}
+#: what leads up to a licence's name in a sentence
+_UNDER = r"(?:(?:this|the) (?:\w+ ){1,2}(?:is|are) |it is )?(?:released|licensed|distributed|available|made available|provided) under (?:the terms of )?(?:the |an? )?"
 # fixed values: licences by the identifiers that show them, the first that fits is taken
 RULES = (
     ("Apache-2.0", ("ApacheName", "ApacheTerms", "ApacheCopy", "ApacheWarranty", "ApacheLanguage")),
@@ -81,13 +119,25 @@ RULES = (
     ("CC-BY-4.0", ("CCBY",)),
     ("Apache-2.0", ("SPDXApache",)),
     ("MIT", ("SPDXMIT",)),
+    ("LGPL-2.1", ("LGPLFree", "LGPLVersion21")),
+    ("LGPL-3.0", ("LGPLFree", "GPLVersion3")),
+    ("AGPL-3.0", ("AGPLFree", "GPLVersion3")),
+    ("LGPL-2.1", ("LGPLFree21",)),
+    ("LGPL-3.0", ("LGPLFree3",)),
+    ("AGPL-3.0", ("AGPLFree3",)),
+    ("LGPL-unversioned", ("LGPLFree",)),
+    ("AGPL-unversioned", ("AGPLFree",)),
+    ("MPL-2.0", ("MPLTerms",)),
+    ("ISC", ("ISCGrant",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("Unlicense", ("UnlicenseGrant",)),
     ("Proprietary", ("Rights",)),
 )
 UNKNOWN = "Unknown"
 #: most lines of a known sentence that stands unpunctuated among others
 LINES = 24
 #: what a sentence has to hold to be looked at
-_HINTS = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|liab|rights reserved|spdx|copyleft|you may (not use|obtain)|version [23] of")
+_HINTS = re.compile(r"licen[sc]|copyright|permission|redistribut|warrant|liab|rights reserved|public domain|spdx|copyleft|\b[al]?gpl\b|(released|distributed|available|provided) under|you may (not use|obtain)|version [23] of")
 #: what makes an unrecognised sentence one that speaks of licences
 _SPEAKS = re.compile(r"licen[sc]|copyright|redistribut|copyleft|spdx")
 _ENDS = re.compile(r"(?<=[.!?;])\s+|\n(?:[ \t]*\n)+")
@@ -102,7 +152,9 @@ SCHEMA = "doc_id long, sentence_ids array<string>, licenses array<string>"
 class Scanner:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES):
         self.known = [(name, re.compile(pattern)) for name, pattern in sentences.items()]
-        self.rules = rules
+        self.known += [(f"Name:{name}", re.compile(f"{_UNDER}(?:{pattern})")) for name, pattern in NAMES.items()]
+        self.rules = [*rules, *((name, (f"Name:{name}",)) for name in NAMES)]
+        self.spelled = {x.lower(): x for x in [*NAMES, *(name for name, _ in rules)]} | {x: x.upper() for x in ("and", "or", "with")}
 
     @staticmethod
     def normalise(sentence: str) -> str:
@@ -120,7 +172,11 @@ class Scanner:
         return out
 
     def _name(self, plain: str) -> str | None:
-        return next((name for name, pattern in self.known if pattern.fullmatch(plain)), None)
+        """Identifier of a known sentence; an SPDX line has one by its expression, in which known names have their spelling."""
+        for name, pattern in self.known:
+            if found := pattern.fullmatch(plain):
+                return f"SPDX:{' '.join(self.spelled.get(x, x) for x in found[1].split())}" if name == "SPDX" else name
+        return None
 
     def _named(self, lines: list[str]) -> list[str]:
         """Identifiers of a sentence: of the whole, else of the longest runs of its lines that are known, and of the lines between."""
@@ -142,7 +198,10 @@ class Scanner:
         return out
 
     def licenses(self, identifiers: list[str]) -> list[str]:
-        """Licences that the rules find in a sequence, by where they begin; ``Unknown`` for sentences left over."""
+        """Licences that the rules find in a sequence, by where they begin; ``Unknown`` for sentences left over.
+
+        An SPDX expression is a licence as it stands. Reserved rights are one only where no licence comes behind them.
+        """
         left: list[str | None] = list(identifiers)
         found: list[tuple[int, str]] = []
         for name, rule in self.rules:
@@ -154,6 +213,9 @@ class Scanner:
                     at += len(rule)
                 else:
                     at += 1
+        found += [(k, x[5:]) for k, x in enumerate(left) if x and x.startswith("SPDX:")]
+        last = max((k for k, name in found if name != "Proprietary"), default=-1)
+        found = [(k, name) for k, name in found if name != "Proprietary" or k > last]
         found += [(k, UNKNOWN) for k, x in enumerate(left) if x == UNKNOWN]
         return list(dict.fromkeys(name for _, name in sorted(found)))
 

@@ -79,3 +79,30 @@ def test_lines_without_points_stay_apart():
     scanner = licenses.Scanner()
     assert scanner.identifiers("A page\nLicensed under CC BY 4.0\nMore of the page") == ["CCBY"]
     assert scanner.identifiers("Some licence of ours\nSPDX-License-Identifier: MIT\nThis copyright is odd") == ["Unknown", "SPDXMIT", "Unknown"]
+
+
+LGPL = GPL3.replace("General Public", "Lesser General Public").replace("This program is", "This library is").replace("this program", "this library")
+SENTENCES = {
+    "This project is licensed under the MIT License.": ["MIT"],
+    "This software is released under the Apache License 2.0.": ["Apache-2.0"],
+    "Licensed under the GNU Lesser General Public License v2.1 or later.": ["LGPL-2.1"],
+    "The source code is available under the terms of the 3-clause BSD license.": ["BSD-3-Clause"],
+    "This program is distributed under the AGPL-3.0.": ["AGPL-3.0"],
+    "It is provided under the Mozilla Public License, version 2.0.": ["MPL-2.0"],
+    "SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"],
+    "// SPDX-License-Identifier: (GPL-2.0 OR MIT)": ["GPL-2.0 OR MIT"],
+    "SPDX-License-Identifier: Some-Thing-1.0": ["some-thing-1.0"],
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": ["MPL-2.0"],
+    "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+    "Copyright (c) 2020, Someone. All rights reserved.\n\n" + BSD: ["BSD-3-Clause"],
+    "Copyright 2020 Someone. All rights reserved.": ["Proprietary"],
+    LGPL: ["LGPL-3.0"],
+    LGPL.replace("Foundation, either version 3", "Foundation; either version 2.1"): ["LGPL-2.1"],
+    GPL3.replace("General Public", "Affero General Public"): ["AGPL-3.0"],
+}
+
+
+@pytest.mark.parametrize("text", SENTENCES)
+def test_names_expressions_and_families(text):
+    scanner = licenses.Scanner()
+    assert scanner.licenses(scanner.identifiers(text)) == SENTENCES[text]
