@@ -13,9 +13,10 @@ distinct word.
 Across words, the result of the bits is mixed with the share of the token behind the
 word before it, from counts of word pairs, and with its share among all tokens, and
 within a text with its share among the tokens before it. Rates of these mixtures
-compete by how well they did so far in the text. Pairs and words that go to the tasks
-are exact counts and grow with the corpus up to a bound; each share is spread over no
-more than its own mass, so the probabilities of all tokens add up to at most one.
+compete by how well they did so far in the text. All pairs of all words are counted:
+texts are put in shards, the distinct pairs of a shard go to the buckets that count
+them, and their counts come back to the shard. Each share is spread over no more than
+its own mass, so the probabilities of all tokens add up to at most one.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ BUCKET_WORDS = 1 << 15
 RATES = np.array([0.0, 0.01, 0.03, 0.08, 0.2, 0.45])
 #: rates of a token's share among all tokens, and behind the word before it
 SHARES = ((0.0, 0.0), (0.5, 0.0), (0.95, 0.0), (0.5, 0.4), (0.95, 0.8))
-#: most pairs of words that go to every task
+#: pairs that one task counts at a time, as they come from the shards
+BUCKET_PAIRS = 1 << 20
+#: most pairs of words that ``count_pairs`` brings to one place
 HEAD_PAIRS = 1 << 20
 #: slots that pairs are first counted in, as a power of two, and the share of them that is counted exactly
 PAIR_POWER, PAIR_SHARE = 20, 4
@@ -365,6 +368,7 @@ class Pairs:
 def count_pairs(texts: DataFrame, words: list[bytes], counts: np.ndarray, limit: int = HEAD_PAIRS) -> Pairs:
     """Exact counts of the at most ``limit`` most frequent pairs that follow one of ``words``, those of one occurrence apart.
 
+    For corpora whose pairs fit in one place; ``score_documents`` counts all by ``counted_pairs``.
     Pairs are first counted by slot; those of the fullest slots are then counted one by
     one, so a shuffle carries a part of the pairs only. What is kept goes by counts alone:
     steps of counts from the top, as many as fit whole.
@@ -420,6 +424,124 @@ def count_pairs(texts: DataFrame, words: list[bytes], counts: np.ndarray, limit:
     return Pairs(key[order], n[order].astype(np.float64), contexts, totals, masses)
 
 
+def distinct_pairs(data: np.ndarray, offsets: np.ndarray, train: np.ndarray, hot: Places, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word before, pair, occurrences in training texts) of each distinct pair of a shard, by bucket, word before and pair.
+
+    All pairs behind a word are in one bucket, which so knows how many there are; those
+    of the frequent words ``hot`` are spread over all buckets. The order of the texts
+    doesn't matter.
+    """
+    starts, ends, first = word_spans(data, offsets, SPACED)
+    token = np.insert(word_hashes(lowered(data, SPACED), starts, ends), first[1:], np.uint64(0))
+    before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])
+    key, place, inverse = np.unique(pair_hashes(before, token), return_index=True, return_inverse=True)
+    before, n = before[place], np.bincount(inverse, np.repeat(train, np.diff(first) + 1), len(key))
+    spread = mix(np.where(hot(before) >= 0, key, before))
+    bucket = (spread >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((before, bucket))
+    return bucket[order].astype(np.int64), before[order], key[order], n[order].astype("<u4")
+
+
+def _heads(bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a pair is the first behind its word, in the order of ``distinct_pairs``."""
+    return np.append(True, (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1]))[: len(before)]
+
+
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
+    """What the pairs of each shard of (shard, text, held_out) count in all training texts: (shard, bucket, counts, totals, masses).
+
+    A row has the counts of the shard's pairs in a bucket, those of one occurrence as 0,
+    and of each word before them how often it occurs and how much of that the counts make
+    up, in the order of ``distinct_pairs``. Of the words ``hot`` a bucket knows its part of
+    the mass only: rows of shard -1 have their places in ``totals`` and the parts in ``masses``.
+    """
+    known = sharded.sparkSession.sparkContext.broadcast(hot)
+
+    def send(texts: pa.Table) -> pa.Table:
+        train = ~np.array(texts.column("held_out").to_pylist(), bool)
+        bucket, before, key, n = distinct_pairs(*_text_bytes(texts), train, known.value, buckets)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        parts = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
+        return pa.table({
+            "bucket": pa.array(bucket[cuts]), "shard": pa.array(np.full(len(cuts), texts.column("shard")[0].as_py())),
+            **{name: pa.array([x[p].tobytes() for p in parts], pa.binary()) for name, x in (("words", before), ("pairs", key), ("n", n))},
+        })
+
+    def count(rows: pa.Table) -> pa.Table:
+        before, key, n = (_numbers(rows.column(c), kind) for c, kind in (("words", "<u8"), ("pairs", "<u8"), ("n", "<u4")))
+        ends = np.cumsum([len(x) // 4 for x in rows.column("n").to_pylist()])
+        shard = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        distinct, place, pair = np.unique(key, return_index=True, return_inverse=True)
+        occurrences = np.bincount(pair, n, len(distinct))
+        counts = np.where(occurrences > 1, occurrences, 0)
+        words, word = np.unique(before[place], return_inverse=True)
+        totals, masses = np.bincount(word, occurrences, len(words)), np.bincount(word, counts, len(words))
+        heads = _heads(shard, before)
+        first, of = np.cumsum(heads), word[pair[heads]]
+        columns: list[list] = [[], [], []]
+        for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            at = of[first[begin] - 1: first[end - 1]]
+            for column, x in zip(columns, (counts[pair[begin:end]], totals[at], masses[at])):
+                column.append(x.astype("<u4").tobytes())
+        places = known.value(words)
+        frequent = np.flatnonzero((places >= 0) & (masses > 0))
+        for column, x in zip(columns, (places[:0], places[frequent], masses[frequent])):
+            column.append(x.astype("<u4").tobytes())
+        return pa.table({
+            "shard": pa.array([*rows.column("shard").to_pylist(), -1], pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * (len(ends) + 1), pa.int64()),
+            **{name: pa.array(x, pa.binary()) for name, x in zip(("counts", "totals", "masses"), columns)},
+        })
+
+    sent = sharded.groupBy("shard").applyInArrow(send, "bucket long, shard long, words binary, pairs binary, n binary")
+    return settle(sent.groupBy("bucket").applyInArrow(count, "shard long, bucket long, counts binary, totals binary, masses binary"), "pairs")
+
+
+def hot_masses(counted: DataFrame, size: int) -> np.ndarray:
+    """How much of the occurrences of each frequent word the counts of ``counted_pairs`` make up."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for batch in batches:
+            for places, masses in zip(batch.column("totals").to_pylist(), batch.column("masses").to_pylist()):
+                total = np.zeros(size) if total is None else total
+                total[np.frombuffer(places, "<u4")] += np.frombuffer(masses, "<u4")
+        return total
+
+    return vector_sum(counted.where("shard < 0"), fold, size, "<f8", 8192)
+
+
+def _text_bytes(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return byte_column(pa.concat_arrays([x.cast(pa.large_string()) for x in texts.column("text").chunks]))
+
+
+@dataclass
+class ShardPairs:
+    """Of each distinct pair of a shard, its share behind the word before it, and the sum of the shares of all tokens there."""
+
+    keys: np.ndarray
+    share: np.ndarray
+    mass: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray, lists: pa.Table, hot: Places, hot_totals: np.ndarray, hot_masses: np.ndarray, buckets: int) -> "ShardPairs":
+        bucket, before, key, _ = distinct_pairs(data, offsets, np.zeros(len(offsets) - 1, bool), hot, buckets)
+        lists = lists.sort_by("bucket")
+        counts, totals, masses = (_numbers(lists.column(c), "<u4").astype(np.float64) for c in ("counts", "totals", "masses"))
+        word = np.cumsum(_heads(bucket, before)) - 1
+        place = hot(before)
+        total = np.maximum(np.where(place >= 0, np.append(hot_totals, 0.0)[place], totals[word]), 1)
+        mass = np.where(place >= 0, np.append(hot_masses, 0.0)[place], masses[word])
+        order = np.argsort(key)
+        return cls(key[order], (counts / total)[order], (mass / total)[order])
+
+    def shares(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.keys, pair_hashes(before, token))
+        return self.share[place], self.mass[place]
+
+
 def with_shares(log_p: np.ndarray, word: np.ndarray, word_mass: float, pair: np.ndarray, pair_mass: np.ndarray, token=slice(None)) -> np.ndarray:
     """Log-probability of each token by each of the rates ``SHARES``: shares among all tokens, then behind the word before, mixed in.
 
@@ -473,7 +595,7 @@ def refine(token: np.ndarray, owner: np.ndarray, log_p: np.ndarray, first: np.nd
     return top + np.log(np.exp(sums - top).mean(axis=0))
 
 
-def shard_columns(data: np.ndarray, offsets: np.ndarray, mixer: Mixer, head: Head, pairs: Pairs, total: int) -> list[pa.Array]:
+def shard_columns(data: np.ndarray, offsets: np.ndarray, mixer: Mixer, head: Head, pairs: Pairs | ShardPairs, total: int) -> list[pa.Array]:
     """Tokens, bytes, score, base score and known tokens from the head, and the words to look up, of each text of a shard."""
     starts, ends, first = word_spans(data, offsets, SPACED)
     data = lowered(data, SPACED)
@@ -506,14 +628,14 @@ def shard_columns(data: np.ndarray, offsets: np.ndarray, mixer: Mixer, head: Hea
     return [pa.array(counts + 1), pa.array(sizes), pa.array(score), pa.array(sums), pa.array(found), pa.ListArray.from_arrays(pa.array(cuts), entries)]
 
 
-def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS) -> DataFrame:
+def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of (doc_id, text).
 
     Counts and tables come from the rows that ``held_out`` leaves to training; nothing
     of a held-out text reaches another text's score. Tokens are lower-cased words and
     one end. ``base_score`` sums log10((c + 1) / (N + V + 1)) over them, ``score`` is
     the model's log10-probability of the same tokens. The ``head_words`` most frequent
-    words and ``head_pairs`` most frequent pairs behind them go to every task. Null text is the empty text, one
+    words go to every task; pairs of words are counted all. Null text is the empty text, one
     end. Repeated rows are scored each and counted each; with no training rows, counts
     are zero and every bit costs one bit. Other columns are ignored; an empty table
     gives no rows.
@@ -522,8 +644,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, head_pairs: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where(~F.col("held_out")).select("text")
     words = settle(word_counts(training), "word-counts")
-    total, distinct = words.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = total or 0, distinct or 0
+    total, distinct, size = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * (F.octet_length("word") + 1))).first())
     code = huffman(byte_counts(words))
     counts = count_bits(words, code)
     sent = spark.sparkContext.broadcast(counts)
@@ -534,22 +655,28 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, head_pairs: i
     frequent = words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
     listed, times = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
     head = Head(listed, times, np.log10(times + 1) + odds, mixer)
-    shared = spark.sparkContext.broadcast((mixer, head, count_pairs(training, listed, times, head_pairs), total))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for batch in slabs(batches, "text", SLAB):
-            columns = shard_columns(*byte_column(batch.column("text")), *shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), *columns],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "head_score", "head_known", "tail"],
-            )
-            row += batch.num_rows
+    hashes = word_hashes(*_joined(listed)) if listed else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    hot = Places(hashes[order])
+    # numbers of shards and buckets by the training texts; the texts kept from training are fewer
+    shards, buckets = 1 + 2 * size // SLAB, 1 + total // BUCKET_PAIRS
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    counted = counted_pairs(sharded, hot, buckets)
+    shared = spark.sparkContext.broadcast((mixer, head, total, hot, times[order].astype(np.float64), hot_masses(counted, len(listed)), buckets))
+
+    def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
+        mixer, head, total, *pairs = shared.value
+        data, offsets = _text_bytes(texts)
+        columns = shard_columns(data, offsets, mixer, head, ShardPairs.of(data, offsets, lists, *pairs), total)
+        row = (texts.column("shard")[0].as_py() << 32) + np.arange(texts.num_rows)
+        return pa.table(
+            [pa.array(row), texts.column("doc_id"), texts.column("held_out"), *columns],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "head_score", "head_known", "tail"],
+        )
 
     # written once, so a row's number is its own
-    scored = settle(rows.mapInArrow(run, SCORES), "scores")
+    scored = sharded.groupBy("shard").cogroup(counted.where("shard >= 0").groupBy("shard")).applyInArrow(run, SCORES)
+    scored = settle(scored, "scores")
     tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.times").join(words, "word", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) + F.lit(float(odds)))).alias("tail_score"),

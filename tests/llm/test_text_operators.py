@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import rows
 from pyspark.sql import functions as F
@@ -401,6 +402,33 @@ def test_pairs_are_counted_exactly_and_shares_stay_below_one(spark):
     assert 0 < len(fewer.keys) <= 5 and fewer.counts.min() > max(set(brute.values()) - set(fewer.counts.tolist()), default=0)
 
 
+def test_every_pair_counts_whatever_the_size(spark):
+    """Pairs behind frequent and rare words, over many shards and buckets, have the shares of brute force."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.3, 30) % 90) for _ in range(60)] + ["", "one", "one two"] * 2
+    docs = spark.createDataFrame([(k, x, k % 5 == 0) for k, x in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(5)
+    tokens = [[*x.lower().encode().split(), b""] for x in texts]
+    training = [x for k, x in enumerate(tokens) if k % 5]
+    counts = Counter((b, t) for x in training for b, t in zip([b"", *x[:-1]], x))
+    totals = Counter(w for x in training for w in x)
+    listed = [w for w, _ in totals.most_common(6)]
+    hashes = language_model.word_hashes(*language_model._joined(listed))
+    order = np.argsort(hashes)
+    hot = language_model.Places(hashes[order])
+    counted = language_model.counted_pairs(docs.withColumn("shard", F.col("doc_id") % 4), hot, 7)
+    masses = language_model.hot_masses(counted, 6)
+    for shard in range(4):
+        lists = counted.where(F.col("shard") == shard).toArrow()
+        mine = [x for k, x in enumerate(texts) if k % 4 == shard]
+        data, offsets = language_model.byte_column(pa.array(mine))
+        pairs = language_model.ShardPairs.of(data, offsets, lists, hot, np.array([totals[listed[k]] for k in order], float), masses, 7)
+        share, mass = pairs.shares(*language_model.text_pairs(data, offsets))
+        seen = [(b, t) for x in mine for y in [[*x.lower().encode().split(), b""]] for b, t in zip([b"", *y[:-1]], y)]
+        often = {p: n for p, n in counts.items() if n > 1}
+        assert share == pytest.approx([often.get(p, 0) / max(1, totals[p[0]]) for p in seen])
+        assert mass == pytest.approx([sum(n for (b, _), n in often.items() if b == p[0]) / max(1, totals[p[0]]) for p in seen])
+
+
 def test_mixtures_of_shares_are_worked_out():
     log_p, word, pair, mass = np.log([0.1, 0.2]), np.array([0.3, 0.0]), np.array([0.5, 0.0]), np.array([0.75, 0.0])
     found = np.exp(language_model.with_shares(log_p, word, 0.9, pair, mass))
