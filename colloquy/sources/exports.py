@@ -10,7 +10,7 @@ from colloquy.functions.dates import parse_task_phrase
 from colloquy.functions.text import bind, blank_to_null, normalize_task, strip
 from colloquy.operators.extract import good_assignee, good_description
 from colloquy.packs import ZH, RulePack
-from colloquy.plans.hot import TARGET_ROWS, number_rows
+from colloquy.plans.hot import TARGET_ROWS, number_rows, spread
 
 PART_ROWS = 10_000
 
@@ -259,7 +259,7 @@ def validate_summary(df: DataFrame, col: str = "response") -> DataFrame:
 
 def validate_tasks(df: DataFrame, key: Sequence[str], as_of, col: str = "response", pack: RulePack = ZH) -> DataFrame:
     """Task rows from stored replies, through the same gates as rule-found tasks."""
-    v = F.try_parse_json(extract_json(col))
+    df, v = spread(df), F.try_parse_json(extract_json(col))
     items = F.coalesce(F.try_variant_get(v, "$.action_items", "array<variant>"), F.array().cast("array<variant>"))
     rows = df.select(*key, F.posexplode(items).alias("pos", "_v"))
     field = lambda p, kind="string": F.try_variant_get(F.col("_v"), p, kind)
