@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.text import WS, clean_text, clock, has_any, is_low_value, squeeze, strip
 from colloquy.packs import ZH, RulePack
-from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys
+from colloquy.plans.hot import SLICE, TARGET_ROWS, carry, earlier_slices, in_slice, number_rows, slice_keys, spread
 
 KEY = ["meeting_id"]
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
@@ -220,7 +220,7 @@ def fixed_segments(df: DataFrame, length: int = 30, variant: str = "client", dur
     ``client``: one speaker, pieces under a second dropped. ``virtual``: two speakers in
     turn; a recording of at most one length becomes two halves.
     """
-    d = F.col(duration)
+    df, d = spread(df), F.col(duration)
     if variant == "client":
         last = F.ceil(F.floor(d) / length) - 1
         starts = F.sequence(F.lit(0).cast("bigint"), last)
