@@ -22,6 +22,7 @@ its own mass, so the probabilities of all tokens add up to at most one.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,6 +56,8 @@ RATES = np.array([0.0, 0.01, 0.03, 0.08, 0.2, 0.45])
 SHARES = ((0.0, 0.0), (0.5, 0.0), (0.95, 0.0), (0.5, 0.4), (0.95, 0.8))
 #: pairs that one task counts at a time, as they come from the shards
 BUCKET_PAIRS = 1 << 20
+#: bytes of a pair's hash that a shard sends: they tell apart the pairs behind one word in one bucket
+KEY_BYTES = 5
 #: most pairs of words that ``count_pairs`` brings to one place
 HEAD_PAIRS = 1 << 20
 #: slots that pairs are first counted in, as a power of two, and the share of them that is counted exactly
@@ -447,8 +450,40 @@ def _heads(bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.append(True, (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1]))[: len(before)]
 
 
-def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers as bytes; most are far below the size that the largest needs."""
+    return zlib.compress(numbers.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x), "<u4") for x in column.to_pylist()]
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "<u4"), *_unpacked(column)])
+
+
+def _steps(places: np.ndarray) -> np.ndarray:
+    """Growing places as steps of 1 at least, between them 0 where a place is -1."""
+    steps = np.zeros(len(places), np.int64)
+    known = places >= 0
+    steps[known] = np.diff(places[known], prepend=-1)
+    return steps
+
+
+def _from_steps(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, np.cumsum(steps, dtype=np.int64) - 1, -1)
+
+
+def _key_bytes(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _short_keys(column: pa.ChunkedArray) -> np.ndarray:
+    cut = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(cut), 8), np.uint8)
+    keys[:, :KEY_BYTES] = cut
+    return keys.view("<u8").ravel()
 
 
 def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
@@ -456,8 +491,11 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
 
     A row has the counts of the shard's pairs in a bucket, those of one occurrence as 0,
     and of each word before them how often it occurs and how much of that the counts make
-    up, in the order of ``distinct_pairs``. Of the words ``hot`` a bucket knows its part of
-    the mass only: rows of shard -1 have their places in ``totals`` and the parts in ``masses``.
+    up, in the order of ``distinct_pairs``; numbers are packed. Of the words ``hot`` a bucket
+    knows its part of the mass only: rows of shard -1 have their places in ``totals`` and
+    the parts in ``masses``. A shard sends the number of pairs of each word before, once,
+    and some bytes of their hashes; a frequent word goes by its place, as the step from the
+    one before, and any other as step 0 and its hash.
     """
     known = sharded.sparkSession.sparkContext.broadcast(hot)
 
@@ -465,15 +503,28 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
         train = ~np.array(texts.column("held_out").to_pylist(), bool)
         bucket, before, key, n = distinct_pairs(*_text_bytes(texts), train, known.value, buckets)
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        heads = np.flatnonzero(_heads(bucket, before))
+        sizes, words = np.diff(np.append(heads, len(bucket))), before[heads]
+        places = known.value(words)
         parts = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
+        first = np.searchsorted(heads, cuts)
+        groups = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(heads)])]
         return pa.table({
             "bucket": pa.array(bucket[cuts]), "shard": pa.array(np.full(len(cuts), texts.column("shard")[0].as_py())),
-            **{name: pa.array([x[p].tobytes() for p in parts], pa.binary()) for name, x in (("words", before), ("pairs", key), ("n", n))},
+            "steps": pa.array([_packed(_steps(places[g])) for g in groups], pa.binary()),
+            "words": pa.array([words[g][places[g] < 0].tobytes() for g in groups], pa.binary()), "sizes": pa.array([_packed(sizes[g]) for g in groups], pa.binary()),
+            "pairs": pa.array([_key_bytes(key[p]) for p in parts], pa.binary()), "n": pa.array([_packed(n[p]) for p in parts], pa.binary()),
         })
 
     def count(rows: pa.Table) -> pa.Table:
-        before, key, n = (_numbers(rows.column(c), kind) for c, kind in (("words", "<u8"), ("pairs", "<u8"), ("n", "<u4")))
-        ends = np.cumsum([len(x) // 4 for x in rows.column("n").to_pylist()])
+        at = np.concatenate([_from_steps(x) for x in _unpacked(rows.column("steps"))])
+        named = np.append(known.value.keys, np.uint64(0))[at]
+        named[at < 0] = np.frombuffer(b"".join(rows.column("words").to_pylist()), "<u8")
+        before = np.repeat(named, _numbers(rows.column("sizes")))
+        # a pair is its word before and what was sent of its hash
+        key = pair_hashes(before, _short_keys(rows.column("pairs")))
+        times = _unpacked(rows.column("n"))
+        n, ends = np.concatenate(times), np.cumsum([len(x) for x in times])
         shard = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         distinct, place, pair = np.unique(key, return_index=True, return_inverse=True)
         occurrences = np.bincount(pair, n, len(distinct))
@@ -486,17 +537,17 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
         for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
             at = of[first[begin] - 1: first[end - 1]]
             for column, x in zip(columns, (counts[pair[begin:end]], totals[at], masses[at])):
-                column.append(x.astype("<u4").tobytes())
+                column.append(_packed(x))
         places = known.value(words)
         frequent = np.flatnonzero((places >= 0) & (masses > 0))
         for column, x in zip(columns, (places[:0], places[frequent], masses[frequent])):
-            column.append(x.astype("<u4").tobytes())
+            column.append(_packed(x))
         return pa.table({
             "shard": pa.array([*rows.column("shard").to_pylist(), -1], pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * (len(ends) + 1), pa.int64()),
             **{name: pa.array(x, pa.binary()) for name, x in zip(("counts", "totals", "masses"), columns)},
         })
 
-    sent = sharded.groupBy("shard").applyInArrow(send, "bucket long, shard long, words binary, pairs binary, n binary")
+    sent = sharded.groupBy("shard").applyInArrow(send, "bucket long, shard long, steps binary, words binary, sizes binary, pairs binary, n binary")
     return settle(sent.groupBy("bucket").applyInArrow(count, "shard long, bucket long, counts binary, totals binary, masses binary"), "pairs")
 
 
@@ -505,9 +556,9 @@ def hot_masses(counted: DataFrame, size: int) -> np.ndarray:
     def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
         for batch in batches:
-            for places, masses in zip(batch.column("totals").to_pylist(), batch.column("masses").to_pylist()):
+            for places, masses in zip(_unpacked(batch.column("totals")), _unpacked(batch.column("masses"))):
                 total = np.zeros(size) if total is None else total
-                total[np.frombuffer(places, "<u4")] += np.frombuffer(masses, "<u4")
+                total[places] += masses
         return total
 
     return vector_sum(counted.where("shard < 0"), fold, size, "<f8", 8192)
@@ -529,7 +580,7 @@ class ShardPairs:
     def of(cls, data: np.ndarray, offsets: np.ndarray, lists: pa.Table, hot: Places, hot_totals: np.ndarray, hot_masses: np.ndarray, buckets: int) -> "ShardPairs":
         bucket, before, key, _ = distinct_pairs(data, offsets, np.zeros(len(offsets) - 1, bool), hot, buckets)
         lists = lists.sort_by("bucket")
-        counts, totals, masses = (_numbers(lists.column(c), "<u4").astype(np.float64) for c in ("counts", "totals", "masses"))
+        counts, totals, masses = (_numbers(lists.column(c)).astype(np.float64) for c in ("counts", "totals", "masses"))
         word = np.cumsum(_heads(bucket, before)) - 1
         place = hot(before)
         total = np.maximum(np.where(place >= 0, np.append(hot_totals, 0.0)[place], totals[word]), 1)
@@ -659,7 +710,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     order = np.argsort(hashes)
     hot = Places(hashes[order])
     # numbers of shards and buckets by the training texts; the texts kept from training are fewer
-    shards, buckets = 1 + 2 * size // SLAB, 1 + total // BUCKET_PAIRS
+    shards, buckets = 1 + size // SLAB, 1 + total // BUCKET_PAIRS
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     counted = counted_pairs(sharded, hot, buckets)
     shared = spark.sparkContext.broadcast((mixer, head, total, hot, times[order].astype(np.float64), hot_masses(counted, len(listed)), buckets))

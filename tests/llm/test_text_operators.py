@@ -429,6 +429,23 @@ def test_every_pair_counts_whatever_the_size(spark):
         assert mass == pytest.approx([sum(n for (b, _), n in often.items() if b == p[0]) / max(1, totals[p[0]]) for p in seen])
 
 
+def test_messages_of_pairs_are_small(spark):
+    """What shards send and get back of their pairs takes far less than hashes and counts written out."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.2, 400) % 5000) for _ in range(60)]
+    docs = spark.createDataFrame([(k, x, False) for k, x in enumerate(texts)], "doc_id long, text string, held_out boolean").withColumn("shard", F.lit(0))
+    listed = [w for w, _ in Counter(w for x in texts for w in x.encode().split()).most_common(500)]
+    hot = language_model.Places(np.sort(language_model.word_hashes(*language_model._joined(listed))))
+    back = language_model.counted_pairs(docs, hot, 2).where("shard >= 0").toArrow()
+    pairs = sum(len(x) for x in language_model._unpacked(back.column("counts")))
+    assert pairs > 5000 and sum(len(x) for c in ("counts", "totals", "masses") for x in back.column(c).to_pylist()) < 2 * pairs
+    places = np.array([-1, 0, -1, 3, 4, -1])
+    assert language_model._from_steps(language_model._steps(places)).tolist() == places.tolist()
+    keys = rng.integers(0, 2**63, 50).astype(np.uint64)
+    sent = language_model._key_bytes(keys)
+    assert len(sent) == 250 and (language_model._short_keys(pa.chunked_array([[sent]], pa.binary())) == keys % 2**40).all()
+
+
 def test_mixtures_of_shares_are_worked_out():
     log_p, word, pair, mass = np.log([0.1, 0.2]), np.array([0.3, 0.0]), np.array([0.5, 0.0]), np.array([0.75, 0.0])
     found = np.exp(language_model.with_shares(log_p, word, 0.9, pair, mass))
