@@ -4,12 +4,15 @@ import math
 import random
 from collections import Counter
 
-
+from colloquy.catalog import QUERIES, load_all, writing
+from colloquy.functions.text import has_any
 from colloquy.operators import segments, summary, topics
 from colloquy.packs import PROSE
 from colloquy.plans import hot
 from colloquy.sources import exports
 
+load_all()
+
 
 def partitions(df):
     return df.rdd.getNumPartitions()
@@ -71,3 +74,23 @@ def test_keywords_of_few_candidates_are_those_of_all(spark, monkeypatch):
     assert {(r.doc_id, r.rank, r.token) for r in found.collect()} == expected
     # only texts' words that may be among the best are joined
     assert "_kth" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_one_file_are_taken_apart_by_all_tasks(spark, tmp_path):
+    rows = [(k, None if k == 3 else f"To plan the thing {k}, that is for the others. Then not the end.", "en", "s", 60) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    corpus = writing.placed_docs(spark, str(tmp_path))
+    assert partitions(writing.docs(spark, str(tmp_path))) == 1 and partitions(corpus) >= spark.sparkContext.defaultParallelism
+    assert corpus.select("doc_id", "text").exceptAll(df.select("doc_id", "text")).isEmpty() and corpus.count() == 200
+    for name in ("X06_refine_tasks", "X07_tasks_with_entities", "X11_structured_summary", "X12_rule_topics"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
+
+
+def test_literal_words_are_found_without_a_regex(spark):
+    texts = ["a.b", "axb", "", None, "(c", "né"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, text string")
+    found = df.select("k", has_any("text", (".b", "(c", "é")).alias("v"), has_any("text", ()).alias("none"))
+    assert {r.k: (r.v, r.none) for r in found.collect()} == {0: (True, False), 1: (False, False), 2: (False, False), 3: (None, False), 4: (True, False), 5: (True, False)}
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
