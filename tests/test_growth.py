@@ -94,3 +94,16 @@ def test_literal_words_are_found_without_a_regex(spark):
     found = df.select("k", has_any("text", (".b", "(c", "é")).alias("v"), has_any("text", ()).alias("none"))
     assert {r.k: (r.v, r.none) for r in found.collect()} == {0: (True, False), 1: (False, False), 2: (False, False), 3: (None, False), 4: (True, False), 5: (True, False)}
     assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keywords_place_texts_once(spark):
+    df = spark.createDataFrame([(k, f"alpha beta{'x' * (k % 7)} gamma{'y' * (k % 5)} alpha") for k in range(60)], "doc_id long, text string")
+    found = topics.tfidf_keywords(df, k=2, pack=PROSE)
+    assert found.count() > 60
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    placed = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    words = [x for x in plan.splitlines() if "hashpartitioning(token" in x and "ENSURE_REQUIREMENTS" in x]
+    # one shuffle of texts and one of the words' counts; all other uses read them again
+    assert len([x for x in placed if "ReusedExchange" not in x]) == 1 and len(placed) >= 2
+    assert len([x for x in words if "ReusedExchange" not in x and "token" in x]) <= 2 and any("ReusedExchange" in x for x in words)
