@@ -107,3 +107,16 @@ def test_keywords_place_texts_once(spark):
     # one shuffle of texts and one of the words' counts; all other uses read them again
     assert len([x for x in placed if "ReusedExchange" not in x]) == 1 and len(placed) >= 2
     assert len([x for x in words if "ReusedExchange" not in x and "token" in x]) <= 2 and any("ReusedExchange" in x for x in words)
+
+
+def test_topics_without_keywords_are_named_by_their_tokens(spark):
+    texts = [(1, "tree tree house"), (1, None), (2, "Lake lake boat, the the the"), (2, "boat lake"), (3, "a, 12"), (None, "river river")]
+    keywords = [(1, "house", 2.0), (1, "tree", 1.0), (None, "river", 3.0)]
+    df = spark.createDataFrame(texts, "topic long, text string")
+    kw = spark.createDataFrame(keywords, "topic long, keyword string, score double")
+    found = {r.topic: r.name for r in topics.name_topics(kw, df, pack=PROSE).collect()}
+    assert found == {1: "house", 2: "lake", 3: "主题_3", None: None}
+    # where each topic has a keyword, no text is taken apart
+    all_named = topics.name_topics(kw, df.filter("topic = 1"), pack=PROSE)
+    assert [tuple(r) for r in all_named.collect()] == [(1, "house")]
+    assert "regexp_extract_all" not in all_named._jdf.queryExecution().optimizedPlan().toString()
