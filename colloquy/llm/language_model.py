@@ -36,7 +36,7 @@ from colloquy.llm.support import SPACED, byte_column, lowered, mix, prefix_hashe
 
 HELD_OUT = (7, 2)
 SLAB = 2 << 20
-#: most frequent words that go to every task; counts of the others come by a join
+#: most frequent words that go to every task; counts of the others come with the pairs
 HEAD_WORDS = 1 << 17
 #: slots of the three tables, as powers of two: their size bounds what is broadcast
 POWERS = (16, 20, 22)
@@ -47,7 +47,7 @@ GATES = 21
 START = np.array([[1, 0, 0]] + [[0.3, 0.7, 0]] * 10 + [[0.1, 0.4, 0.6]] * 10, np.float32)
 #: added to counts
 FEW = 0.1
-BATCH, STEP = 4096, 1 << 17
+BATCH, STEP, STEP_BYTES = 1 << 15, 1 << 17, 1 << 15
 #: distinct words whose bits one learner of weights sees
 BUCKET_WORDS = 1 << 15
 #: rates at which a text's own tokens are mixed in
@@ -58,11 +58,13 @@ SHARES = ((0.0, 0.0), (0.5, 0.0), (0.95, 0.0), (0.5, 0.4), (0.95, 0.8))
 BUCKET_PAIRS = 1 << 20
 #: bytes of a pair's hash that a shard sends: they tell apart the pairs behind one word in one bucket
 KEY_BYTES = 5
+#: bytes of a frequent token's place, which is sent instead
+PLACE_BYTES = 3
 #: most pairs of words that ``count_pairs`` brings to one place
 HEAD_PAIRS = 1 << 20
 #: slots that pairs are first counted in, as a power of two, and the share of them that is counted exactly
 PAIR_POWER, PAIR_SHARE = 20, 4
-SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, head_score double, head_known long, tail array<struct<word: binary, times: long>>"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,8 +145,8 @@ class Bits:
     slots: np.ndarray
 
 
-def bits_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: Code) -> Bits:
-    """Bits of words given as ranges of bytes; a space closes a word, and the empty word is the end of a text."""
+def _symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word, value and three contexts of every byte of words given as ranges of bytes; a space closes a word, and the empty word is the end of a text."""
     size = ends - starts
     length = size + 1 + LEAD
     begin = np.cumsum(length) - length
@@ -157,10 +159,19 @@ def bits_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: Code)
     sums = prefix_hashes(text)
     near = text[at - 1].astype(np.uint32) | text[at - 2].astype(np.uint32) << np.uint32(8)
     four = near | text[at - 3].astype(np.uint32) << np.uint32(16) | text[at - 4].astype(np.uint32) << np.uint32(24)
-    prefix = (range_hashes(sums, begin[owner], at) >> np.uint64(32)).astype(np.uint32)
-    symbols = text[at]
+    return owner, text[at], [near, four, range_hashes(sums, begin[owner], at)]
+
+
+def bits_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: Code) -> Bits:
+    """Bits of words given as ranges of bytes."""
+    return _bits(*_symbols(data, starts, ends), code)
+
+
+def _bits(owner: np.ndarray, symbols: np.ndarray, contexts: list[np.ndarray], code: Code) -> Bits:
+    near, four, prefix = contexts
+    prefix = (prefix >> np.uint64(32)).astype(np.uint32)
     left = code.length[symbols]
-    active = np.arange(len(at), dtype=np.int32)
+    active = np.arange(len(symbols), dtype=np.int32)
     parts: list[tuple] = []
     while len(active):
         level = len(parts)
@@ -204,8 +215,8 @@ def count_bits(words: DataFrame, code: Code) -> np.ndarray:
 def _grade(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """How much a context's counts say: 0 for none, then by their number, with and without both values among them."""
     seen = ones + zeros
-    grade = 1 + np.searchsorted([2, 6, 40, 400], seen) + 5 * (np.minimum(ones, zeros) > 0)
-    return np.where(seen > 0, grade, 0).astype(np.uint8)
+    grade = sum(((seen > x).view(np.uint8) for x in (2, 6, 40, 400)), np.uint8(1)) + np.uint8(5) * (np.minimum(ones, zeros) > 0)
+    return np.where(seen > 0, grade, np.uint8(0))
 
 
 def _gates(four: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -237,7 +248,8 @@ def learn_weights(words: DataFrame, code: Code, counts, distinct: int) -> np.nda
                 part = slice(begin, begin + STEP)
                 value, times = bits.value[part], n[bits.word[part]].astype(np.float64)
                 # what the counts say without one occurrence of the word itself
-                ones, zeros = [np.stack([np.maximum(table[x[part], k] - (value == k), 0) for x in bits.slots]) for k in (1, 0)]
+                seen = [table[x[part]] for x in bits.slots]
+                ones, zeros = [np.stack([np.maximum(x[:, k] - (value == k), 0) for x in seen]) for k in (1, 0)]
                 inputs, gate = _log_odds(ones, zeros), _gates(*_grade(ones[1:], zeros[1:]))
                 p = _squash((weights[gate].T * inputs).sum(axis=0))
                 pull = (value - p) * times
@@ -259,9 +271,10 @@ def learn_weights(words: DataFrame, code: Code, counts, distinct: int) -> np.nda
 
     mark = F.crc32("word")
     marked = words.select("word", "n", mark.alias("mark"), F.pmod(mark, F.lit(distinct // BUCKET_WORDS + 1)).cast("int").alias("bucket"))
-    parts = marked.groupBy("bucket").applyInArrow(learn, "bucket int, numbers binary").orderBy("bucket").collect()
+    parts = marked.groupBy("bucket").applyInArrow(learn, "bucket int, numbers binary").collect()
     sums = np.zeros(4 * GATES)
-    for x in parts:
+    # put in order here: a sort by Spark would look at samples first, for which all buckets are learned once more
+    for x in sorted(parts, key=lambda x: x.bucket):
         sums += np.frombuffer(x.numbers)
     mass = sums[3 * GATES:].reshape(GATES, 1)
     return np.where(mass > 0, sums[: 3 * GATES].reshape(GATES, 3) / np.maximum(mass, 1e-9), START).astype(np.float32)
@@ -279,18 +292,35 @@ class Mixer:
         return cls(code, _log_odds(counts[:, 1], counts[:, 0]).astype(np.float32), _grade(counts[:, 1], counts[:, 0]), weights)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each word as a token."""
+        """Natural log-probability of each word as a token; what words have in common up to a byte is worked out once."""
         out = np.zeros(len(starts))
         for begin in range(0, len(starts), BATCH):
             part = slice(begin, begin + BATCH)
-            bits = bits_of(data, starts[part], ends[part], self.code)
-            gate = _gates(*self.grades[bits.slots[1:]])
-            mixed = sum(self.weights[:, k][gate] * self.odds[bits.slots[k]] for k in range(3))
-            # log-probability of the bit that came
-            x = np.clip(np.where(bits.value, mixed, -mixed), -12, 12)
-            out[part] = np.bincount(bits.word, -np.log1p(np.exp(-x)), len(starts[part]))
+            owner, symbols, contexts = _symbols(data, starts[part], ends[part])
+            _, place, prefix = distinct_places(pair_hashes(contexts[2], symbols.astype(np.uint64)))
+            costs = [self._bytes(symbols[x], [c[x] for c in contexts]) for x in (place[k: k + STEP_BYTES] for k in range(0, len(place), STEP_BYTES))]
+            if costs:
+                out[part] = np.bincount(owner, np.concatenate(costs)[prefix], len(starts[part]))
         return out
 
+    def _bytes(self, symbols: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        bits = _bits(np.arange(len(symbols)), symbols, contexts, self.code)
+        gate = _gates(*self.grades[bits.slots[1:]])
+        mixed = sum(self.weights[:, k][gate] * self.odds[bits.slots[k]] for k in range(3))
+        # log-probability of the bit that came
+        x = np.clip(np.where(bits.value, mixed, -mixed), -12, 12)
+        return np.bincount(bits.word, -np.log1p(np.exp(-x)), len(symbols))
+
+
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, a place of each, and of each place which number it has; ``np.unique`` keeps the first place, for which it sorts more slowly."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
 
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in words], np.int64)
@@ -299,13 +329,30 @@ def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Head:
-    """The most frequent words: base score, count and log-probability of each, looked up by place."""
+    """The most frequent words: base score, count and log-probability of each, looked up by hash; ``order`` is that of their hashes, in which ``find`` has them."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, base: np.ndarray, mixer: Mixer):
-        self.place = {x: k for k, x in enumerate(words)}
+        self.data, self.starts, self.ends = _joined(words)
+        hashes = word_hashes(self.data, self.starts, self.ends) if words else np.zeros(0, np.uint64)
+        self.order = np.argsort(hashes)
+        self.find = Places(hashes[self.order])
         self.base = np.append(base, 0.0)
         self.counts = np.append(counts, 0).astype(np.float64)
-        self.log_p = np.append(mixer.words(*_joined(words)), 0.0)
+        self.log_p = np.append(mixer.words(self.data, self.starts, self.ends), 0.0)
+
+    def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for none; words of one hash are told apart by their bytes."""
+        out = np.append(self.order, -1)[self.find(hashes)]
+        found = np.flatnonzero(out >= 0)
+        place, size = out[found], ends[found] - starts[found]
+        equal = size == self.ends[place] - self.starts[place]
+        found, place, size = found[equal], place[equal], size[equal]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        other = data[np.repeat(starts[found], size) + within] != self.data[np.repeat(self.starts[place], size) + within]
+        same = np.bincount(np.repeat(np.arange(len(found)), size), other, len(found)) == 0
+        out[:] = -1
+        out[found[same]] = place[same]
+        return out
 
 
 def pair_hashes(before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -427,26 +474,67 @@ def count_pairs(texts: DataFrame, words: list[bytes], counts: np.ndarray, limit:
     return Pairs(key[order], n[order].astype(np.float64), contexts, totals, masses)
 
 
-def distinct_pairs(data: np.ndarray, offsets: np.ndarray, train: np.ndarray, hot: Places, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, word before, pair, occurrences in training texts) of each distinct pair of a shard, by bucket, word before and pair.
+@dataclass
+class Tokens:
+    """The tokens of texts by number: 0 is the end of a text, words are numbered by growing hash; each word's bytes are a range of ``data``."""
 
-    All pairs behind a word are in one bucket, which so knows how many there are; those
-    of the frequent words ``hot`` are spread over all buckets. The order of the texts
-    doesn't matter.
-    """
-    starts, ends, first = word_spans(data, offsets, SPACED)
-    token = np.insert(word_hashes(lowered(data, SPACED), starts, ends), first[1:], np.uint64(0))
-    before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])
-    key, place, inverse = np.unique(pair_hashes(before, token), return_index=True, return_inverse=True)
-    before, n = before[place], np.bincount(inverse, np.repeat(train, np.diff(first) + 1), len(key))
-    spread = mix(np.where(hot(before) >= 0, key, before))
-    bucket = (spread >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((before, bucket))
-    return bucket[order].astype(np.int64), before[order], key[order], n[order].astype("<u4")
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    token: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> "Tokens":
+        starts, ends, first = word_spans(data, offsets, SPACED)
+        data = lowered(data, SPACED)
+        hashes, place, word = distinct_places(word_hashes(data, starts, ends))
+        none = np.zeros(1, np.int64)
+        return cls(
+            data, np.append(none, starts[place]), np.append(none, ends[place]), np.append(np.uint64(0), hashes),
+            np.insert(word + 1, first[1:], 0), first + np.arange(len(first)),
+        )
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+@dataclass
+class DistinctPairs:
+    """Each distinct pair of a shard, by bucket, word before (by hash) and token; ``pair`` tells which one each token makes with the word before it."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+    key: np.ndarray
+    token: np.ndarray
+    hot: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: Tokens, hot: Places, buckets: int) -> "DistinctPairs":
+        """All pairs behind a word are in one bucket, which so knows how many there are; those of the frequent
+        words ``hot`` are spread over all buckets. The order of the texts doesn't matter.
+        """
+        words = len(tokens.hashes)
+        before = np.append(0, tokens.token[:-1])[: len(tokens.token)]
+        number, _, pair = distinct_places(before * words + tokens.token)
+        first, token = np.divmod(number, words)
+        before = tokens.hashes[first]
+        key, place = pair_hashes(before, tokens.hashes[token]), hot(tokens.hashes)[first]
+        spread = mix(np.where(place >= 0, key, before))
+        bucket = (spread >> np.uint64(32)) % np.uint64(buckets)
+        # numbers of two bytes are sorted by counting
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        return cls(bucket[order].astype(np.int64), first[order], before[order], key[order], token[order], place[order], moved[pair])
 
 
 def _heads(bucket: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Whether a pair is the first behind its word, in the order of ``distinct_pairs``."""
+    """Whether a pair is the first behind its word, in the order of ``DistinctPairs``."""
     return np.append(True, (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1]))[: len(before)]
 
 
@@ -475,37 +563,48 @@ def _from_steps(steps: np.ndarray) -> np.ndarray:
     return np.where(steps > 0, np.cumsum(steps, dtype=np.int64) - 1, -1)
 
 
-def _key_bytes(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+def _key_bytes(keys: np.ndarray, size: int = KEY_BYTES) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _short_keys(column: pa.ChunkedArray) -> np.ndarray:
-    cut = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+def _short_keys(column: pa.ChunkedArray, size: int = KEY_BYTES) -> np.ndarray:
+    cut = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
     keys = np.zeros((len(cut), 8), np.uint8)
-    keys[:, :KEY_BYTES] = cut
+    keys[:, :size] = cut
     return keys.view("<u8").ravel()
 
 
+def _second_words(places: pa.ChunkedArray, rest: pa.ChunkedArray) -> np.ndarray:
+    """One number for each token that pairs were sent with: its place plus one, or what was sent of the pair's hash, above all places."""
+    out = _short_keys(places, PLACE_BYTES)
+    out[out == 0] = _short_keys(rest) + np.uint64(1 << 8 * PLACE_BYTES)
+    return out
+
+
 def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
     """What the pairs of each shard of (shard, text, held_out) count in all training texts: (shard, bucket, counts, totals, masses).
 
     A row has the counts of the shard's pairs in a bucket, those of one occurrence as 0,
     and of each word before them how often it occurs and how much of that the counts make
-    up, in the order of ``distinct_pairs``; numbers are packed. Of the words ``hot`` a bucket
+    up, in the order of ``DistinctPairs``; numbers are packed. Of the words ``hot`` a bucket
     knows its part of the mass only: rows of shard -1 have their places in ``totals`` and
     the parts in ``masses``. A shard sends the number of pairs of each word before, once,
-    and some bytes of their hashes; a frequent word goes by its place, as the step from the
-    one before, and any other as step 0 and its hash.
+    and of each pair the place of its token plus one, or 0 and some bytes of its hash where
+    the token is not frequent; a frequent word before goes by its place, as the step from
+    the one before, and any other as step 0 and its hash.
     """
     known = sharded.sparkSession.sparkContext.broadcast(hot)
 
     def send(texts: pa.Table) -> pa.Table:
         train = ~np.array(texts.column("held_out").to_pylist(), bool)
-        bucket, before, key, n = distinct_pairs(*_text_bytes(texts), train, known.value, buckets)
+        tokens = Tokens.of(*_text_bytes(texts))
+        found = DistinctPairs.of(tokens, known.value, buckets)
+        bucket, before, key = found.bucket, found.before, found.key
+        token = (known.value(tokens.hashes) + 1).astype(np.uint64)[found.token]
+        n = np.bincount(found.pair, np.repeat(train, np.diff(tokens.first)), len(key))
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         heads = np.flatnonzero(_heads(bucket, before))
-        sizes, words = np.diff(np.append(heads, len(bucket))), before[heads]
-        places = known.value(words)
+        sizes, words, places = np.diff(np.append(heads, len(bucket))), before[heads], found.hot[heads]
         parts = [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
         first = np.searchsorted(heads, cuts)
         groups = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(heads)])]
@@ -513,7 +612,8 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
             "bucket": pa.array(bucket[cuts]), "shard": pa.array(np.full(len(cuts), texts.column("shard")[0].as_py())),
             "steps": pa.array([_packed(_steps(places[g])) for g in groups], pa.binary()),
             "words": pa.array([words[g][places[g] < 0].tobytes() for g in groups], pa.binary()), "sizes": pa.array([_packed(sizes[g]) for g in groups], pa.binary()),
-            "pairs": pa.array([_key_bytes(key[p]) for p in parts], pa.binary()), "n": pa.array([_packed(n[p]) for p in parts], pa.binary()),
+            "tokens": pa.array([_key_bytes(token[p], PLACE_BYTES) for p in parts], pa.binary()),
+            "pairs": pa.array([_key_bytes(key[p][token[p] == 0]) for p in parts], pa.binary()), "n": pa.array([_packed(n[p]) for p in parts], pa.binary()),
         })
 
     def count(rows: pa.Table) -> pa.Table:
@@ -521,15 +621,15 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
         named = np.append(known.value.keys, np.uint64(0))[at]
         named[at < 0] = np.frombuffer(b"".join(rows.column("words").to_pylist()), "<u8")
         before = np.repeat(named, _numbers(rows.column("sizes")))
-        # a pair is its word before and what was sent of its hash
-        key = pair_hashes(before, _short_keys(rows.column("pairs")))
+        # a pair is its word before and what was sent of its token
+        key = pair_hashes(before, _second_words(rows.column("tokens"), rows.column("pairs")))
         times = _unpacked(rows.column("n"))
         n, ends = np.concatenate(times), np.cumsum([len(x) for x in times])
         shard = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        distinct, place, pair = np.unique(key, return_index=True, return_inverse=True)
+        distinct, place, pair = distinct_places(key)
         occurrences = np.bincount(pair, n, len(distinct))
         counts = np.where(occurrences > 1, occurrences, 0)
-        words, word = np.unique(before[place], return_inverse=True)
+        words, _, word = distinct_places(before[place])
         totals, masses = np.bincount(word, occurrences, len(words)), np.bincount(word, counts, len(words))
         heads = _heads(shard, before)
         first, of = np.cumsum(heads), word[pair[heads]]
@@ -547,7 +647,7 @@ def counted_pairs(sharded: DataFrame, hot: Places, buckets: int) -> DataFrame:
             **{name: pa.array(x, pa.binary()) for name, x in zip(("counts", "totals", "masses"), columns)},
         })
 
-    sent = sharded.groupBy("shard").applyInArrow(send, "bucket long, shard long, steps binary, words binary, sizes binary, pairs binary, n binary")
+    sent = sharded.groupBy("shard").applyInArrow(send, "bucket long, shard long, steps binary, words binary, sizes binary, tokens binary, pairs binary, n binary")
     return settle(sent.groupBy("bucket").applyInArrow(count, "shard long, bucket long, counts binary, totals binary, masses binary"), "pairs")
 
 
@@ -570,26 +670,38 @@ def _text_bytes(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ShardPairs:
-    """Of each distinct pair of a shard, its share behind the word before it, and the sum of the shares of all tokens there."""
+    """Of each distinct pair of a shard, its share behind the word before it, and the sum of the shares of all tokens there; of each word outside ``hot`` its count.
 
-    keys: np.ndarray
+    Every token but the last end has one behind it, and so has what is before a text, as
+    often as there are ends: a word's occurrences before others are all it has.
+    """
+
+    pairs: DistinctPairs
     share: np.ndarray
     mass: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray, *known) -> "ShardPairs":
+        return cls.among(Tokens.of(data, offsets), *known)
 
     @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray, lists: pa.Table, hot: Places, hot_totals: np.ndarray, hot_masses: np.ndarray, buckets: int) -> "ShardPairs":
-        bucket, before, key, _ = distinct_pairs(data, offsets, np.zeros(len(offsets) - 1, bool), hot, buckets)
+    def among(cls, tokens: Tokens, lists: pa.Table, hot: Places, hot_totals: np.ndarray, hot_masses: np.ndarray, buckets: int) -> "ShardPairs":
+        pairs = DistinctPairs.of(tokens, hot, buckets)
         lists = lists.sort_by("bucket")
         counts, totals, masses = (_numbers(lists.column(c)).astype(np.float64) for c in ("counts", "totals", "masses"))
-        word = np.cumsum(_heads(bucket, before)) - 1
-        place = hot(before)
+        heads, place = _heads(pairs.bucket, pairs.before), pairs.hot
+        word = np.cumsum(heads) - 1
         total = np.maximum(np.where(place >= 0, np.append(hot_totals, 0.0)[place], totals[word]), 1)
         mass = np.where(place >= 0, np.append(hot_masses, 0.0)[place], masses[word])
-        order = np.argsort(key)
-        return cls(key[order], (counts / total)[order], (mass / total)[order])
+        alone = heads & (place < 0)
+        of_word = np.zeros(len(tokens.hashes))
+        of_word[pairs.first[alone]] = totals[word[alone]]
+        return cls(pairs, counts / total, mass / total, of_word)
 
     def shares(self, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.keys, pair_hashes(before, token))
+        order = np.argsort(self.pairs.key)
+        place = order[np.searchsorted(self.pairs.key, pair_hashes(before, token), sorter=order)]
         return self.share[place], self.mass[place]
 
 
@@ -646,37 +758,22 @@ def refine(token: np.ndarray, owner: np.ndarray, log_p: np.ndarray, first: np.nd
     return top + np.log(np.exp(sums - top).mean(axis=0))
 
 
-def shard_columns(data: np.ndarray, offsets: np.ndarray, mixer: Mixer, head: Head, pairs: Pairs | ShardPairs, total: int) -> list[pa.Array]:
-    """Tokens, bytes, score, base score and known tokens from the head, and the words to look up, of each text of a shard."""
-    starts, ends, first = word_spans(data, offsets, SPACED)
-    data = lowered(data, SPACED)
-    counts = np.diff(first)
-    hashes = word_hashes(data, starts, ends)
-    distinct, place, word = np.unique(hashes, return_index=True, return_inverse=True)
-    n = len(place)
-    # the end of a text is one more word, behind its others
-    token = np.insert(word, first[1:], n)
-    owner = np.repeat(np.arange(len(counts)), counts + 1)
-    begin = first + np.arange(len(first))
-    w_starts, w_ends = np.append(starts[place], 0), np.append(ends[place], 0)
-    texts = [data[a:b].tobytes() for a, b in zip(w_starts.tolist(), w_ends.tolist())]
-    known = np.array([head.place.get(x, -1) for x in texts])
-    log_p, base = head.log_p[known], head.base[known]
-    new = known < 0
-    log_p[new] = mixer.words(data, w_starts[new], w_ends[new])
-    named = np.append(distinct, np.uint64(0))[token]
-    share = pairs.shares(np.concatenate([np.zeros(1, np.uint64), named[:-1]]), named)
+def shard_columns(tokens: Tokens, mixer: Mixer, head: Head, pairs: ShardPairs, total: int, odds: float) -> list[pa.Array]:
+    """Tokens, known tokens, bytes, base score and score of each text of a shard; ``odds`` is the base score of a word without count."""
+    token, owner, n = tokens.token, tokens.owner, len(tokens.first) - 1
+    known = head.places(tokens.hashes, tokens.data, tokens.starts, tokens.ends)
+    new = np.flatnonzero(known < 0)
+    log_p, base, counts = head.log_p[known], head.base[known], head.counts[known]
+    log_p[new] = mixer.words(tokens.data, tokens.starts[new], tokens.ends[new])
+    counts[new] = pairs.counts[new]
+    base[new] = np.log10(counts[new] + 1) + odds
     among = head.counts / max(1, total)
-    score = refine(token, owner, with_shares(log_p, among[known], float(among.sum()), *share, token), begin) / np.log(10)
-    in_head = ~new
-    found = np.bincount(owner, in_head[token], len(counts)).astype(np.int64)
-    sums = np.bincount(owner, base[token], len(counts))
-    rest = ~in_head[token]
-    pairs, times = np.unique(owner[rest] * (n + 1) + token[rest], return_counts=True)
-    cuts = np.searchsorted(pairs, np.arange(len(counts) + 1) * (n + 1)).astype(np.int32)
-    entries = pa.StructArray.from_arrays([pa.array([texts[k] for k in (pairs % (n + 1)).tolist()], pa.binary()), pa.array(times.astype(np.int64))], names=["word", "times"])
-    sizes = np.bincount(owner, np.append(w_ends[:-1] - w_starts[:-1] + 1, 1)[token], len(counts)).astype(np.int64)
-    return [pa.array(counts + 1), pa.array(sizes), pa.array(score), pa.array(sums), pa.array(found), pa.ListArray.from_arrays(pa.array(cuts), entries)]
+    # worked out once for each distinct pair
+    shares = with_shares(log_p, among[known], float(among.sum()), pairs.share, pairs.mass, pairs.pairs.token)
+    score = refine(token, owner, shares[:, pairs.pairs.pair], tokens.first) / np.log(10)
+    sizes = tokens.ends - tokens.starts + 1
+    sums = [np.bincount(owner, x[token], n) for x in (counts > 0, sizes, base)]
+    return [pa.array(np.diff(tokens.first)), *[pa.array(x.astype(np.int64)) for x in sums[:2]], pa.array(sums[2]), pa.array(score)]
 
 
 def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -686,12 +783,13 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     of a held-out text reaches another text's score. Tokens are lower-cased words and
     one end. ``base_score`` sums log10((c + 1) / (N + V + 1)) over them, ``score`` is
     the model's log10-probability of the same tokens. The ``head_words`` most frequent
-    words go to every task; pairs of words are counted all. Null text is the empty text, one
+    words go to every task; pairs of words are counted all, and by them, so by hashes of 64 bits, any other word. Null text is the empty text, one
     end. Repeated rows are scored each and counted each; with no training rows, counts
     are zero and every bit costs one bit. Other columns are ignored; an empty table
     gives no rows.
     """
     spark = docs.sparkSession
+    head_words = min(head_words, (1 << 8 * PLACE_BYTES) - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where(~F.col("held_out")).select("text")
     words = settle(word_counts(training), "word-counts")
@@ -702,38 +800,25 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     mixer = Mixer.of(code, counts, learn_weights(words, code, sent, distinct))
     sent.destroy()
     del counts
-    odds = np.log10(1.0 / (total + distinct + 1))
+    odds = float(np.log10(1.0 / (total + distinct + 1)))
     frequent = words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
     listed, times = frequent.column("word").to_pylist(), frequent.column("n").to_numpy()
     head = Head(listed, times, np.log10(times + 1) + odds, mixer)
-    hashes = word_hashes(*_joined(listed)) if listed else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    hot = Places(hashes[order])
+    hot = head.find
     # numbers of shards and buckets by the training texts; the texts kept from training are fewer
     shards, buckets = 1 + size // SLAB, 1 + total // BUCKET_PAIRS
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     counted = counted_pairs(sharded, hot, buckets)
-    shared = spark.sparkContext.broadcast((mixer, head, total, hot, times[order].astype(np.float64), hot_masses(counted, len(listed)), buckets))
+    shared = spark.sparkContext.broadcast((mixer, head, total, hot, times[head.order].astype(np.float64), hot_masses(counted, len(listed)), buckets))
 
     def run(texts: pa.Table, lists: pa.Table) -> pa.Table:
         mixer, head, total, *pairs = shared.value
-        data, offsets = _text_bytes(texts)
-        columns = shard_columns(data, offsets, mixer, head, ShardPairs.of(data, offsets, lists, *pairs), total)
-        row = (texts.column("shard")[0].as_py() << 32) + np.arange(texts.num_rows)
-        return pa.table(
-            [pa.array(row), texts.column("doc_id"), texts.column("held_out"), *columns],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "head_score", "head_known", "tail"],
-        )
+        tokens = Tokens.of(*_text_bytes(texts))
+        columns = shard_columns(tokens, mixer, head, ShardPairs.among(tokens, lists, *pairs), total, odds)
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
 
-    # written once, so a row's number is its own
     scored = sharded.groupBy("shard").cogroup(counted.where("shard >= 0").groupBy("shard")).applyInArrow(run, SCORES)
-    scored = settle(scored, "scores")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.word", "x.times").join(words, "word", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) + F.lit(float(odds)))).alias("tail_score"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"),
-    )
-    return scored.drop("tail").join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

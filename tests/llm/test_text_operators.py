@@ -469,6 +469,65 @@ def test_words_before_tell_what_comes(spark):
     assert sum(x.score for x in held) > 0.6 * sum(x.base_score for x in held)
 
 
+def test_what_words_have_in_common_is_worked_out_once():
+    """Words of one long beginning look up the bits of that beginning once, and have the probabilities they have alone."""
+    rng = np.random.default_rng(6)
+
+    class Counted:
+        def __init__(self, table):
+            self.table, self.seen = table, 0
+
+        def __getitem__(self, places):
+            self.seen += places.size
+            return self.table[places]
+
+    code = language_model.huffman(rng.integers(1, 1000, 256))
+    counts = rng.integers(0, 50, (int(language_model.BOUNDS[-1]), 2)).astype(np.float32)
+    mixer = language_model.Mixer.of(code, counts, language_model.START)
+    words = [b"a" * 60 + b"%d" % k for k in range(200)] + [b""]
+    alone = [mixer.words(*language_model._joined([w]))[0] for w in words]
+    mixer.odds = Counted(mixer.odds)
+    mixer.words(*language_model._joined(words[:1]))
+    one, mixer.odds.seen = mixer.odds.seen, 0
+    assert mixer.words(*language_model._joined(words)) == pytest.approx(alone)
+    assert mixer.odds.seen < 30 * one
+    assert mixer.words(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+    # a word of the same hash and other bytes is not in the head
+    head = language_model.Head(words, np.ones(len(words)), np.zeros(len(words)), mixer)
+    data, starts, ends = language_model._joined([words[3], words[5], b""])
+    hashes = language_model.word_hashes(data, starts, ends)
+    assert head.places(hashes, data, starts, ends).tolist() == [3, 5, 200]
+    assert head.places(hashes[[1, 1, 0]], data, starts, ends).tolist() == [-1, 5, -1]
+
+
+def test_frequent_tokens_go_by_place():
+    """Three bytes for a pair whose token is frequent, hashes apart from all places for the others."""
+    places, keys = np.array([0, 7, 0, 1 << 16], np.uint64), np.array([5, 1 << 39], np.uint64)
+    sent = [language_model._key_bytes(places, language_model.PLACE_BYTES), language_model._key_bytes(keys)]
+    found = language_model._second_words(*[pa.chunked_array([[x[:k], x[k:]]], pa.binary()) for x, k in zip(sent, (6, 5))])
+    assert [len(x) for x in sent] == [12, 10] and found.tolist() == [5 + (1 << 24), 7, (1 << 39) + (1 << 24), 1 << 16]
+
+
+def test_weights_are_learned_once(spark):
+    """Learning is one job: a sort of its results would run it a second time for samples."""
+    words = spark.createDataFrame([(b"w%d" % k, 1 + k % 7) for k in range(300)], "word binary, n long")
+    counts = spark.sparkContext.broadcast(np.ones((int(language_model.BOUNDS[-1]), 2), np.float32))
+    spark.sparkContext.setJobGroup("learn-once", "")
+    try:
+        weights = language_model.learn_weights(words, language_model.huffman(np.arange(256)), counts, 300)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {x for job in tracker.getJobIdsForGroup("learn-once") for x in tracker.getJobInfo(job).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert weights.shape == (language_model.GATES, 3) and len(stages) <= 3
+
+
+def test_counts_of_rare_words_come_with_their_pairs(docs):
+    """No (text, rare word) rows are joined with the words: what a shard's pairs bring tells their counts."""
+    found = language_model.score_documents(docs, 5)
+    assert " Join " not in found._jdf.queryExecution().optimizedPlan().toString() and found.where("n_known < n_tokens").count() > 0
+
+
 # licences
 
 
