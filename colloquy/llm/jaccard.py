@@ -1,19 +1,22 @@
 """N-gram Jaccard join that skips by relations between sets.
 
 Texts with the same shingle set become one class. A class's shingles are ordered by
-how often their hash bucket occurs in the corpus, seldom ones first; two sets with
-enough in common share a shingle among their first ones. Of these index lists only
-those with two classes or more matter: a list is read in blocks by position, and a
-block is skipped where its position leaves too few shingles to come. Classes that
-lists bring together form families, and each family is joined in tasks of bounded
-size: the overlaps of one set with all others are computed from its index lists, those
-of a highly similar set by adding and subtracting the lists of the shingles in which
-the two differ. Every pair that may reach the threshold is counted exactly.
+how often they are likely to occur in the corpus, seldom ones first, which their hash
+bucket and the words in them tell; two sets with enough in common share a shingle among
+their first ones. Of these index lists only those with two classes or more matter: the
+pairs of a short one have to pass the parities of both sets, a long one is read in blocks
+by position, and a block is skipped where its position leaves too few shingles to come.
+What long lists tie together is compared by parities before it counts. The rest forms
+families, and each family is joined in tasks of bounded size: the overlaps of one set with
+all others are computed from its index lists, those of a highly similar set by adding and
+subtracting the lists of the shingles in which the two differ. Every pair that may reach
+the threshold is counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,16 @@ THRESHOLD = (90, 100)
 ORDER_BITS = 20
 #: classes of an index list that meet pair by pair; longer ones go by blocks, and beyond the second number in parts
 LIST_PAIRS, LIST_CLASSES = 32, 1024
-#: marks of the ids whose sets are compared: a fixed size, more ids only let more rows through
-MARK_BITS = 20
-#: most bits of a set's parities
-PARITY_BITS = 1 << 14
+#: marks of the ids whose sets are compared: 32 and more for an id, a table of a fixed size at most, more ids only let more rows through
+MARK_BITS, MARK_BLOCK = (20, 26), 16
+#: power of two by which two words of one language or topic may come together more often than by chance
+TOGETHER = 3
+#: least and most bits of a set's parities
+PARITY_BITS = (1 << 6, 1 << 18)
+#: sets and bytes of a block whose parities are compared
+TIE_SETS, TIE_BYTES = 4096, 1 << 25
+#: what index lists give: pairs of ids; ids that a long list ties; an id and the long list it is in
+PAIR, TIE, MEMBER = range(3)
 BLOCK = 64
 #: shingles and sets of a family block
 BLOCK_SHINGLES = 1 << 20
@@ -43,25 +52,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     A text of fewer words than ``size``, but not none, has the whole sequence as its
     only shingle.
     """
-    hashes, first = shingle_runs(data, offsets, size)
+    hashes, first, _ = weighed_sets(data, offsets, size)
+    return hashes, first
+
+
+def weighed_sets(data: np.ndarray, offsets: np.ndarray, size: int, weigh: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The sets of ``shingle_sets``, and ``weigh(shingles, words)`` of each shingle, where ``words`` are the word hashes from its place on."""
+    words, word_first = text_words(data, offsets)
+    hashes, first, at = shingle_runs(words, word_first, size)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[fresh], owner[fresh]
-    return hashes, np.searchsorted(owner, np.arange(len(offsets)))
+    return hashes, np.searchsorted(owner, np.arange(len(offsets))), weigh and weigh(hashes, words, at[order][fresh])
 
 
-def shingle_runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each text in their order, repeats included."""
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and each text's first one."""
     starts, ends, first = word_spans(data, offsets, SPACED)
-    words = range_hashes(prefix_hashes(lowered(data, SPACED)), starts, ends)
+    return range_hashes(prefix_hashes(lowered(data, SPACED)), starts, ends), first
+
+
+def shingle_runs(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text in their order, repeats included, each text's first one, and the place of each shingle's first word."""
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(max(0, len(words) - size + 1))
     full = at[at + size <= first[owner[at] + 1]] if len(at) else at
-    out, of = [window_hashes(words, size)[full]], [owner[full]]
+    out, of, at = [window_hashes(words, size)[full]], [owner[full]], [full]
     for n in range(1, size):
         short = np.flatnonzero(counts == n)
         total = np.full(len(short), n, np.uint64)
@@ -69,9 +89,10 @@ def shingle_runs(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
             total = mix(total * np.uint64(31) + words[first[short] + k])
         out.append(total)
         of.append(short)
-    hashes, owner = np.concatenate(out), np.concatenate(of)
+        at.append(first[short])
+    hashes, owner, places = np.concatenate(out), np.concatenate(of), np.concatenate(at)
     order = np.argsort(owner, kind="stable")
-    return hashes[order], np.searchsorted(owner[order], np.arange(len(counts) + 1))
+    return hashes[order], np.searchsorted(owner[order], np.arange(len(counts) + 1)), places[order]
 
 
 def least_overlap(a, b, threshold: tuple[int, int]):
@@ -80,16 +101,50 @@ def least_overlap(a, b, threshold: tuple[int, int]):
     return -(-s * (a + b) // (s + t))
 
 
-def bucket_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """How many shingles of the corpus fall into each of 2**bits hash buckets."""
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bucket_counts(docs: DataFrame, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles and how many words of the corpus fall into each of 2**bits hash buckets."""
     def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros((2, 1 << bits), np.int64)
         for batch in slabs(batches, "text"):
-            hashes, _ = shingle_runs(*byte_column(batch.column("text")), size)
-            total += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        return total
+            words, first = text_words(*byte_column(batch.column("text")))
+            for k, hashes in enumerate((shingle_runs(words, first, size)[0], words)):
+                total[k] += np.bincount(_bucket(hashes, bits), minlength=1 << bits)
+        return total.ravel()
+
+    shingles, words = vector_sum(docs.select("text"), fold, 2 << bits, "<i8", 8192).reshape(2, -1)
+    return shingles, words
+
 
-    return vector_sum(docs.select("text"), fold, 1 << bits, "<i8", 8192)
+def likely_counts(shingles: np.ndarray, words: np.ndarray, size: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """A function of shingle hashes, word hashes and places: numbers in the order of how often a shingle is likely to occur.
+
+    In a large corpus all buckets are full of seldom shingles. So the power of two comes
+    first of what a bucket holds beyond the usual, or of what the words would make by
+    chance if that is more, but no more than the seldomest word has; then the bucket's
+    count. What chance makes so seldom that words of one topic may outdo it is not told apart.
+    """
+    bits = (len(shingles) - 1).bit_length()
+    usual = shingles.sum() / len(shingles)
+    beyond = np.log2(np.maximum(shingles - usual - 2 * np.sqrt(usual), 2.0 ** -(TOGETHER * (size - 1)))).astype(np.float32)
+    share = np.log2(np.maximum(words, 1)).astype(np.float32)
+    total = np.float32(np.log2(max(1, int(words.sum()))))
+
+    def weigh(hashes: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = share[_bucket(of, bits)]
+        chance, most = own[at], own[at]
+        for k in range(1, size):
+            # a text of fewer words has one shingle only, whose place in the order does not matter
+            more = own[np.minimum(at + k, max(0, len(own) - 1))]
+            chance, most = chance + more - total, np.minimum(most, more)
+        bucket = _bucket(hashes, bits)
+        power = np.floor(np.minimum(most, np.maximum(chance, beyond[bucket]))).astype(np.int64)
+        return (power << 32) + shingles[bucket]
+
+    return weigh
 
 
 def _digest_sums(hashes: np.ndarray) -> np.ndarray:
@@ -100,22 +155,43 @@ def _digest_sums(hashes: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _mark_of(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+def _mark_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    return _bucket(mix(ids.astype(np.int64).view(np.uint64)), bits)
+
+
+def id_marks(ids: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, packed, in which those of the ids (doc_id) are set; 2**bits / 8 bytes come to the driver at most."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_mark_of(batch.column("doc_id").to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> MARK_BLOCK).astype(np.int32)), pa.array((at & (1 << MARK_BLOCK) - 1).astype(np.int32))], names=["block", "place"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, at = batch.column("block").to_numpy(), batch.column("place").to_numpy()
+            for k in np.unique(blocks).tolist():
+                marks.setdefault(k, np.zeros(1 << MARK_BLOCK, bool))[at[blocks == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in marks.values()], pa.binary())], names=["block", "marks"])
+
+    total = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << MARK_BLOCK - 3
+    for row in ids.select("doc_id").mapInArrow(places, "block int, place int").repartition("block").mapInArrow(pack, "block int, marks binary").collect():
+        total[row.block * size: (row.block + 1) * size] = np.frombuffer(row.marks, np.uint8)
+    return total
 
 
 def _documents(docs: DataFrame, size: int, threshold: tuple[int, int], bits: int) -> DataFrame:
     """(doc_id, n, high, low, parity, first): size, digest and parities of each set, and its first shingles in the common order."""
-    common = bucket_counts(docs, size, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(common, 2**31 - 1).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast([np.minimum(x, 2**31 - 1).astype(np.int32) for x in bucket_counts(docs, size, bits)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        weigh = likely_counts(*shared.value, size)
         for batch in slabs(batches, "text"):
-            hashes, first = shingle_sets(*byte_column(batch.column("text")), size)
+            hashes, first, likely = weighed_sets(*byte_column(batch.column("text")), size, weigh)
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - bits)).astype(np.int64)], owner))
+            order = np.lexsort((hashes, likely, owner))
             keep = n - least_overlap(n, -(-n * threshold[0] // threshold[1]), threshold) + 1
             rank = np.arange(len(hashes)) - first[owner]
             prefix = signed(hashes[order][rank < keep[owner]])
@@ -181,9 +257,9 @@ def short_pairs(rows: dict[str, np.ndarray], cuts: np.ndarray, threshold: tuple[
 
 
 def parities(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """For each set, the parities of how many shingles fall into each of a power of two of buckets, about half its size."""
+    """For each set, the parities of how many shingles fall into each of a power of two of buckets, about its size."""
     n = np.diff(first)
-    bits = np.minimum(PARITY_BITS, np.where(n > 16, 1 << np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64), 8))
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *PARITY_BITS)
     begin = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(n)), n)
     bucket = begin[owner] + (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -202,6 +278,37 @@ def fewest_differences(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def folded(sets: list[bytes]) -> np.ndarray:
+    """Parities of sets as rows of 64-bit numbers, all as short as the shortest."""
+    width = min(len(x) for x in sets)
+    out = np.zeros((len(sets), width // 8), np.uint64)
+    for k, x in enumerate(sets):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, width // 8))
+    return out
+
+
+def possible_ties(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the sets of two blocks, or of one (side 0 only), that connects all pairs whose sizes and parities let them link.
+
+    Two sets of role 1 are not compared.
+    """
+    ids, n, role, side = rows["id"], rows["n"], rows["role"], rows["side"]
+    bits = folded(list(rows["parity"]))
+    alone = not side.any()
+    root = np.arange(len(ids))
+    for k in np.flatnonzero(side == 0):
+        # sets that are tied already need no look
+        other = np.flatnonzero((root != root[k]) & (role + role[k] < 2) & (alone | (side == 1)))
+        other = other[np.minimum(n[other], n[k]) >= least_overlap(n[other], n[k], threshold)]
+        differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        hit = other[differ <= n[other] + n[k] - 2 * least_overlap(n[other], n[k], threshold)]
+        if len(hit):
+            trees = np.unique(root[np.append(hit, k)])
+            root[np.isin(root, trees)] = trees[0]
+    joined = root != np.arange(len(ids))
+    return ids[joined], ids[root[joined]]
+
+
 def long_list(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """A forest over the classes of a long index list that holds all pairs that may reach the threshold.
 
@@ -324,6 +431,49 @@ def family_links(rows: dict[str, np.ndarray], threshold: tuple[int, int]) -> tup
     return ids, ids[root], links
 
 
+def _checked_ties(edges: DataFrame, signs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between the ids that long lists tie, where sizes and parities (id, n, parity) let pairs link.
+
+    What ties connect is compared as a whole, or list by list where that sends fewer
+    rows. Sets meet those of their own cell and of the next, since sets that link are of
+    about one size; a cell of many sets is compared by pairs of blocks.
+    """
+    ties = edges.where(f"kind = {TIE}").select("a", "b")
+    if ties.isEmpty():
+        return ties
+    tied = components(ties, "ties").withColumnRenamed("root", "family")
+    lists = edges.where(f"kind = {MEMBER}").select(F.col("a").alias("id"), F.col("b").alias("list"))
+    rows = tied.groupBy("family").agg(F.count("*").alias("ids")).join(tied.join(lists, "id").groupBy("family").agg(F.count("*").alias("rows")), "family")
+    rows = rows.select("family", (F.col("rows") < F.col("ids") * F.ceil(F.col("ids") / TIE_SETS)).alias("apart"))
+    tied = tied.join(rows, "family")
+    whole = tied.where("not apart").select("id", "family", F.lit(False).alias("apart"))
+    apart = tied.where("apart").join(lists, "id").select("id", F.col("list").alias("family"), "apart")
+    tied = whole.union(apart).join(signs, "id").dropDuplicates(["id", "n", "family", "apart", "parity"])
+    # a little wider than the ratio of sizes, so that no rounding puts two cells between sets that link
+    cell = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(1e-6, 1.0001 * math.log(threshold[1] / threshold[0])))).cast("int")
+    tied = settle(tied.withColumn("cell", cell), "jaccard-tied")
+    roles = tied.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("cell", F.col("cell") - F.col("role"))
+    blocks = roles.groupBy("apart", "family", "cell").agg(
+        F.greatest(F.ceil(F.count("*") / TIE_SETS), F.ceil(F.sum(F.octet_length("parity")) / TIE_BYTES)).cast("int").alias("blocks"),
+        F.count("*").alias("rows"), F.min("role").alias("least"),
+    ).where("rows > 1 and least = 0").select("apart", "family", "cell", "blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = roles.join(blocks, ["apart", "family", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select(
+        "apart", "family", "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "role", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "parity",
+    )
+    keys = ["apart", "family", "cell", "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts, _ in _groups(batches, keys):
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                a, b = possible_ties({k: v[begin:end] for k, v in rows.items()}, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "n", "id").mapInArrow(compare, "a long, b long")
+
+
 def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, bits: int = ORDER_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) of every row of (doc_id, text).
 
@@ -344,14 +494,19 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
         for rows, cuts, part in _groups(batches, ["shingle"], LIST_CLASSES):
             if part:
                 # a part's classes meet at its smallest id, and the next part at its last row
-                yield edges_of(rows["id"], np.full(len(rows["id"]), rows["id"].min()), False)
+                yield edges_of(rows["id"], np.full(len(rows["id"]), rows["id"].min()), TIE)
+                yield edges_of(rows["id"], rows["shingle"], MEMBER)
                 continue
-            yield edges_of(*short_pairs(rows, cuts, threshold), True)
+            yield edges_of(*short_pairs(rows, cuts, threshold), PAIR)
             for k in np.flatnonzero(np.diff(cuts) > LIST_PAIRS):
-                yield edges_of(*long_list({x: v[cuts[k]: cuts[k + 1]] for x, v in rows.items()}, threshold), False)
+                yield edges_of(*(tie := long_list({x: v[cuts[k]: cuts[k + 1]] for x, v in rows.items()}, threshold)), TIE)
+                ids = np.unique(np.concatenate(tie))
+                yield edges_of(ids, np.full(len(ids), rows["shingle"][cuts[k]]), MEMBER)
 
-    def edges_of(a: np.ndarray, b: np.ndarray, checked: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), checked))], names=["a", "b", "checked"])
+    def edges_of(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+        if kind != MEMBER:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
 
     def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,13 +519,14 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     ).select(F.col("doc_id").alias("id"), "n", F.posexplode("first").alias("place", "shingle"))
     lists = first.select("shingle", "id", F.col("n"), F.col("place").cast("long").alias("place"))
     lists = lists.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
-    edges = settle(lists.mapInArrow(join_lists, "a long, b long, checked boolean").where("a != b").distinct(), "jaccard-pairs")
+    edges = settle(lists.mapInArrow(join_lists, "a long, b long, kind int").where(f"a != b or kind = {MEMBER}").distinct(), "jaccard-pairs")
     # pairs of short lists have to pass the parities of both sets
     parity = documents.select("doc_id", "n", "high", "low", "parity").join(named.select(F.col("id").alias("doc_id"), "n", "high", "low"), ["doc_id", "n", "high", "low"], "left_semi")
-    pairs = edges.where("checked").join(parity.select(F.col("doc_id").alias("a"), "n", F.col("parity").alias("x")), "a")
+    pairs = edges.where(f"kind = {PAIR}").join(parity.select(F.col("doc_id").alias("a"), "n", F.col("parity").alias("x")), "a")
     pairs = pairs.join(parity.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b")
     pairs = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(may_link, "a long, b long")
-    families = components(pairs.union(edges.where("not checked").select("a", "b")), "families")
+    signs = parity.select(F.col("doc_id").alias("id"), "n", "parity")
+    families = components(pairs.union(_checked_ties(edges, signs, threshold)), "families")
     members = families.join(named, "id").select("id", F.col("root").alias("family"), "n", "high", "low", "weight")
     members = settle(members, "jaccard-members")
     blocks = members.groupBy("family").agg(
@@ -378,18 +534,14 @@ def link_documents(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, i
     )
     wanted = members.join(blocks, "family").select(F.col("id").alias("doc_id"), "family", "high", "low", "weight", "blocks")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        marks = np.zeros(1 << MARK_BITS, np.int32)
-        for batch in batches:
-            marks[_mark_of(batch.column("doc_id").to_numpy())] = 1
-        return marks
-
-    marks = docs.sparkSession.sparkContext.broadcast(vector_sum(wanted.select("doc_id"), mark, 1 << MARK_BITS, "<i4", 8192) > 0)
+    bits = min(MARK_BITS[1], max(MARK_BITS[0], (32 * members.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(id_marks(wanted, bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows whose id is not marked go before anything is shuffled
         for batch in batches:
-            batch = batch.filter(pa.array(marks.value[_mark_of(batch.column("doc_id").to_numpy())]))
+            at = _mark_of(batch.column("doc_id").to_numpy(), bits)
+            batch = batch.filter(pa.array(marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
             for part in slabs(iter([batch]), "text"):
                 hashes, at = shingle_sets(*byte_column(part.column("text")), size)
                 digests = [signed(x[at[1:]] - x[at[:-1]]) for x in _digest_sums(hashes)]

@@ -1,10 +1,16 @@
 """The stage of near copies against brute force over five-word shingles at 0.8."""
 
+import glob
+import os
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 import rows
 
+from colloquy.llm import jaccard
+
 PLANTED = 10_000
 
 
@@ -54,3 +60,48 @@ def test_near_copies_are_grouped_by_five_words(spark):
     assert kept == sorted(expected)
     # some pairs are near copies by five words at 0.8, but not by three at 0.9
     assert expected < least_of_groups(texts, 3, 90)
+
+
+def with_phrases(rng, documents=300):
+    """Texts of private words and of phrases that many texts have, each fifth of them with a near copy, and how many have one."""
+    phrases = [" ".join(f"f{k}w{j}" for j in range(5)) for k in range(20)]
+    texts = []
+    for k in range(documents):
+        parts = [f"d{k}w{j}" for j in range(60)] + rng.sample(phrases, 8)
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+        if k % 5 == 0:
+            texts.append(texts[-1] + f" d{k}end")
+    return texts
+
+
+@pytest.mark.parametrize(("size", "threshold"), [(3, (90, 100)), (5, (80, 100))])
+def test_shared_phrases_make_no_family(spark, monkeypatch, size, threshold):
+    # two buckets, as full as those of a large corpus, and lists that are long from three classes on
+    for name, value in {"LIST_PAIRS": 2, "LIST_CLASSES": 16, "TIE_SETS": 8}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = with_phrases(random.Random(8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = jaccard.link_documents(docs, size, threshold, 1).collect()
+    assert {x.doc_id for x in found if x.doc_id == x.component_id} == least_of_groups(dict(enumerate(texts)), size, threshold[0])
+    assert sum(x.n_links for x in found) == 2 * 60
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).removeprefix("file:")
+    members = spark.read.parquet(max(glob.glob(f"{base}/jaccard-members-*"), key=os.path.getmtime))
+    assert max(x["count"] for x in members.groupBy("family").count().collect()) <= 4
+
+
+def test_shingles_of_seldom_words_come_first_where_buckets_are_full():
+    bits = 8
+    shingles = np.full(1 << bits, 1000)
+    words = np.where(np.arange(1 << bits) < 128, 4000, 2)
+    weigh = jaccard.likely_counts(shingles, words, 3)
+    often = np.arange(6, dtype=np.uint64) << np.uint64(64 - bits)
+    seldom = often + np.uint64(1 << 63)
+    hashes = np.arange(2, dtype=np.uint64)
+    a, b = weigh(hashes, np.concatenate([often[:3], seldom[:3]]), np.array([0, 3]))
+    assert a > b
+    # what its bucket holds beyond the usual makes a shingle frequent, but not more than its words
+    shingles[128] = 2000
+    weigh = jaccard.likely_counts(shingles, np.full(1 << bits, 500), 3)
+    full, usual = weigh(np.array([1 << 63, 1], np.uint64), often, np.array([0, 3]))
+    assert full > usual and full >> 32 == 8
